@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, secrets, warc
+from . import bpe, lines, media, mixing, neardup, quality, secrets, warc
 from .common import shared_folder, table
 
 
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.described(warc.read_bundles(bundles))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bpe.default_path()
     ids = bpe.encode(table(spark, sf_dir, "documents"), path, ["doc_id"])
@@ -25,19 +29,37 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality.verdicts(quality.statistics(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents"), ["doc_id"])
     return media.described(media.fingerprint(stored), ["doc_id"])
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op5_lines": op5_lines,
+    "op7_quality": op7_quality,
     "op8_media": op8_media,
+    "op9_minhash": op9_minhash,
     "op10_secrets": op10_secrets,
 }
 
@@ -50,4 +72,6 @@ ORACLES: dict[str, str] = {
                CASE WHEN last IS NULL OR last IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN last IS NULL OR last IS NOT DISTINCT FROM page_id THEN NULL ELSE last END AS refers_to
         FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 1000""",
+    "op5_lines": lines.ORACLE,
+    "op9_minhash": neardup.ORACLE,
 }
