@@ -30,7 +30,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = regex.compile(r"\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Pieces remembered by a worker; when full it starts anew, which changes no result.
-MEMORY = 500_000
+MEMORY = 200_000
+#: Bytes of text encoded at once.
+AT_ONCE = 2 << 20
 NONE = np.iinfo(np.int64).max
 
 
@@ -176,16 +178,19 @@ def default_path() -> str:
     return path("word_bpe_49k.json")
 
 
-def encode(df: DataFrame, path: str, keys: list[str], text: str = "text", ids: str = "ids") -> DataFrame:
-    """The key columns and ids array<int> of every whole text."""
+def encode(df: DataFrame, path: str, keys: list[str], text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The key columns and ids array<int> of every whole text; with decoded, also the text that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(path)
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, AT_ONCE):
             values, offsets = held.encode(texts_of(batch, text))
-            yield emit(batch, keys, {ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))})
+            more = {ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))}
+            if decoded:
+                more[decoded] = pa.array([held.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+            yield emit(batch, keys, more)
 
-    return df.select(*keys, text).mapInArrow(run, schema_of(df, keys, f"`{ids}` array<int>"))
+    return df.select(*keys, text).mapInArrow(run, schema_of(df, keys, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

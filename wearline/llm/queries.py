@@ -23,9 +23,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = bpe.default_path()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, ["doc_id"])
-    both = bpe.decode(ids, path)
+    both = bpe.encode(table(spark, sf_dir, "documents"), bpe.default_path(), ["doc_id"], decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
