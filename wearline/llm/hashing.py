@@ -52,6 +52,33 @@ def words(texts: list[str], gaps: bytes = SPACES) -> tuple[np.ndarray, np.ndarra
     return mix(h + size.astype(np.uint64) * np.uint64(ODD[2])) & MASK, raw[end - 1].astype(np.int64) * 256 + before, ends, size
 
 
+def beginnings(texts: list[str], gaps: bytes, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and, of those with more bytes, of their first bytes in each of the lengths; the text each
+    hash belongs to, and the number of words of each text."""
+    parts = [t.encode("utf-8", "replace").translate(LOWER) for t in texts]
+    raw = np.frombuffer(b"\x20".join([*parts, b""]), np.uint8)
+    inside = np.ones(256, bool)
+    inside[list(gaps)] = False
+    solid = inside[raw]
+    edge = np.diff(np.r_[False, solid, False].astype(np.int8))
+    begin = np.flatnonzero(edge == 1)
+    size = np.flatnonzero(edge == -1) - begin
+    owner = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), begin, side="right")
+    n_words = np.bincount(owner, minlength=len(texts))
+    if not len(size):
+        return np.empty(0, np.uint64), owner, n_words
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    term = LETTER[raw[solid]] * powers(int(size.max()))[place]
+    found, whose = [mix(np.add.reduceat(term, first) + size.astype(np.uint64) * np.uint64(ODD[2]))], [owner]
+    for n in lengths:
+        long = size > n
+        part = np.add.reduceat(np.where(place < n, term, np.uint64(0)), first)[long]
+        found.append(mix(part + np.uint64((n + (1 << 32)) * ODD[3] % (1 << 64))))
+        whose.append(owner[long])
+    return np.concatenate(found) & MASK, np.concatenate(whose), n_words
+
+
 def shingles(texts: list[str], k: int = 5) -> list[np.ndarray]:
     """Each text's distinct hashes of k words in a row, sorted; of fewer words the whole sequence; none of none."""
     h, _, ends, _ = words(texts)

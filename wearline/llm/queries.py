@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, media, mixing, neardup, quality, secrets, warc
-from .common import shared_folder, table
+from . import bpe, lines, media, mixing, neardup, quality, secrets, toxicity, warc
+from .common import crc_bucket, shared_folder, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 3) != 1)
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_lines": op5_lines,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
