@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, media, mixing, neardup, quality, secrets, toxicity, warc
+from . import bpe, lines, media, mixing, neardup, pitman_yor, quality, secrets, toxicity, warc
 from .common import crc_bucket, shared_folder, table
 
 
@@ -39,6 +39,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_bucket("doc_id", 5) != 1)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return quality.verdicts(quality.statistics(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_lines": op5_lines,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
     "op9_minhash": op9_minhash,
