@@ -5,12 +5,12 @@ KEEP least hashes of its set, its bottom-k sketch; the first INDEX of them go in
 a list are candidates; the union of two sketches estimates the similarity and drops those far below the limit; the
 rest is verified on the full sets of both whole texts.
 
-Lists are worked through without writing out all their pairs.  First every class is paired with one pivot of each of
-its lists (a hash picks the pivot, anew in each round), and only the best such partner of a class is verified; the
-links make components.  Then pairs across components are taken from the lists that still hold several; lists of more
-than HOT classes are split by a second shared value.  Two classes as similar as asked miss each other in the lists
-with a probability of about 1e-8 (fewer than two of 16 values shared), whatever the sizes of lists, and sets of up to
-INDEX shingles never.
+Lists are worked through without writing out all their pairs.  First every class is paired with the pivot of most of
+its lists (a hash picks pivots, anew in each round) and verified; the links make components.  Then pairs across
+components are taken from the lists that still hold several, by the pairs of values they share: classes that share a
+single common passage seldom share two of their least values.  Two classes as similar as asked share fewer than
+LEAST_LISTS of INDEX values with a probability of about 3e-7, whatever the sizes of lists; sets of up to INDEX shingles
+never do, as unequal ones must then have three in common.
 
 An empty or null text has no shingles and no links; fewer than five words are one shingle of the whole sequence; rows
 with a null id are left apart (component null, kept); rows that share an id count as one document with all their
@@ -32,9 +32,10 @@ from .components import components
 from .hashing import shingles
 
 WORDS, LIMIT = 5, (75, 100)
-KEEP, INDEX, HOT, ROUNDS = 64, 16, 64, 2
-#: Least share of the union sketch: seven deviations below the limit.
-LEAST_SHARE = 0.37
+#: Least hashes kept, of these in inverted lists, lists that a pair must share, and rounds of pivots.
+KEEP, INDEX, LEAST_LISTS, ROUNDS = 64, 16, 3, 2
+#: Least share of the union sketch: six deviations below the limit.
+LEAST_SHARE = 0.42
 #: Bytes of text that a task turns into shingles at once.
 AT_ONCE = 2 << 20
 
@@ -68,8 +69,9 @@ def sizes_fit(a: str, b: str):
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose union sketch doesn't rule the similarity out, with share, the estimate."""
-    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("s"), F.col("n").alias("n"))
-    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("t"), F.col("n").alias("m"))
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = classes.join(need, "node", "left_semi")
+    one, two = held.select(F.col("node").alias("a"), F.col("sketch").alias("s")), held.select(F.col("node").alias("b"), F.col("sketch").alias("t"))
     rows = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("union", F.slice(F.array_sort(F.array_union("s", "t")), 1, KEEP))
     # of a set that is kept whole every value counts, else only what both sketches cover: the least KEEP of the union
     shared = F.size(F.array_intersect(F.array_intersect("s", "t"), F.col("union")))
@@ -109,29 +111,25 @@ def mixed_lists(posted: DataFrame, keys: list[str], *more) -> DataFrame:
     return posted.groupBy(*keys).agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"), *more).where("low != high").drop("low", "high")
 
 
-def pivot_pairs(posted: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """For each class the likeliest of the pivots of its lists that is in another component."""
-    choice = F.min_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("part").alias("other")), F.xxhash64(F.lit(turn), "value", "node")).alias("p")
+def pivot_pairs(posted: DataFrame, turn: int) -> DataFrame:
+    """For each class the pivot of most of its lists, if that is in another component and of LEAST_LISTS of them."""
+    choice = F.min_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("part").alias("other")), F.xxhash64(F.lit(turn), "node")).alias("p")
     lists = mixed_lists(posted, ["value"], choice).select("value", "p.*")
     pairs = posted.join(lists, "value").where((F.col("part") != F.col("other")) & sizes_fit("n", "m"))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    return likely(pairs, classes).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    counts = pairs.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= LEAST_LISTS)
+    return counts.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
 
 
 def cross_pairs(posted: DataFrame) -> DataFrame:
-    """All pairs across components that share a list, or two lists where one is large."""
-    lists = mixed_lists(posted, ["value"])
-    rows = posted.join(lists, "value").withColumn("second", F.lit(-1).cast("long"))
-    small = rows.where(F.col("size") <= HOT)
-    large = rows.where(F.col("size") > HOT).drop("size", "second")
-    others = posted.select("node", F.col("value").alias("second"))
-    split = large.join(others, "node").where("value != second")
-    split = split.join(mixed_lists(split, ["value", "second"]), ["value", "second"])
-    rows = small.select("value", "second", "node", "n", "place", "part").unionByName(split.select("value", "second", "node", "n", "place", "part"))
-    other = rows.select("value", "second", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("part").alias("part2"))
-    # the least common value lies at places that add up to less than INDEX, but for a chance of 0.25 ** INDEX
-    near = (F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & sizes_fit("n", "n2") & ((F.col("place") + F.col("place2") < INDEX) | (F.col("second") >= 0))
-    return rows.join(other, ["value", "second"]).where(near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    """All pairs across components that share LEAST_LISTS lists or more, found by the pairs of values that they share."""
+    inside = posted.join(mixed_lists(posted, ["value"]).select("value"), "value", "left_semi")
+    values = inside.groupBy("node", "n", "part").agg(F.array_sort(F.collect_list("value")).alias("values")).where(F.size("values") >= LEAST_LISTS)  # at most INDEX values
+    later = lambda x, i: F.transform(F.slice("values", i + 2, F.size("values")), lambda y: F.struct(x.alias("first"), y.alias("second")))
+    twos = values.select("node", "n", "part", F.explode(F.flatten(F.transform("values", later))).alias("k")).select("node", "n", "part", "k.first", "k.second")
+    twos = twos.join(mixed_lists(twos, ["first", "second"]).select("first", "second"), ["first", "second"], "left_semi")
+    other = twos.select("first", "second", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+    found = twos.join(other, ["first", "second"]).where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & sizes_fit("n", "n2"))
+    return found.groupBy(F.col("node").alias("a"), F.col("node2").alias("b")).agg(F.count(F.lit(1)).alias("twos")).where(F.col("twos") >= LEAST_LISTS * (LEAST_LISTS - 1) // 2).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,10 +142,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     posted = written(posted.join(posted.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "value"), "postings")
     edges, parts = None, None
     for turn in range(ROUNDS):
-        found = verified(pivot_pairs(labelled(posted, parts), classes, turn), docs, key, text)
+        found = verified(pivot_pairs(labelled(posted, parts), turn), docs, key, text)
         edges = written(found if edges is None else edges.unionByName(found), "links")
         parts = components(edges)
-    pairs = written(likely(cross_pairs(labelled(posted, parts)), classes), "pairs")
+    pairs = written(cross_pairs(labelled(posted, parts)), "pairs")
+    pairs = written(likely(pairs, classes), "likely-pairs")
     parts = components(edges.unionByName(verified(pairs, docs, key, text)))
     classes = classes.select("set_digest", "node").join(parts, "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
     joined = rows.select(key, "n_shingles", "set_digest").join(classes, "set_digest", "left")
