@@ -25,7 +25,7 @@ from .common import written
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of tokens that are asked for, and the total as a multiple of the largest that repeats no domain.
-TARGETS, GROWTH = {"clean": 0.96, "toxic": 0.01, "junk": 0.03}, 1.05
+TARGETS, GROWTH = {"clean": 0.90, "toxic": 0.05, "junk": 0.05}, 1.05
 LEXICON = 48
 #: About so many labelled rows, chosen by a hash of the id, give the lexicon.
 LABELLED = 20_000

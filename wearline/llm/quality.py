@@ -29,10 +29,10 @@ LEAST_WORDS, MOST_REPEATED, SPAN = 20, 30, 8
 LEAST_GROUP, HALF_SHARE, STEPS = 50, 0.75, 3
 #: Makes the scatter of the nearer three quarters of a normal sample in 4 dimensions that of the whole sample.
 CONSISTENCY = 1.485
-#: Squared distance over which a document is an outlier; a chi-squared variable with 4 degrees exceeds it once in 5e10.
-CUTOFF = 55.0
+#: Squared distance over which a document is an outlier; a chi-squared variable with 4 degrees exceeds it three times in 1e7.
+CUTOFF = 36.0
 #: Least deviation of each transformed statistic, so that a constant one doesn't make every other value an outlier.
-FLOOR = {"x0": 0.05, "x1": 0.05, "x2": 0.08, "x3": 0.08}
+FLOOR = {"x0": 0.05, "x1": 0.045, "x2": 0.15, "x3": 0.15}
 DIMS = list(FLOOR)
 BINS = 4096
 
