@@ -120,7 +120,8 @@ def grouped(stats: DataFrame) -> DataFrame:
 def verdicts(stats: DataFrame) -> DataFrame:
     """stats with distance2 (null without a group), base_failed and kept; asks for lang, source and the counts."""
     names = [c for c in stats.columns if c not in ("group", "distance2", "base_failed", "kept", *DIMS)]
-    rows = written(grouped(stats.select(*names).withColumns(vector())), "quality-vectors")
+    rows = written(stats.select(*names).withColumns(vector()), "quality-statistics")
+    rows = written(grouped(rows), "quality-vectors")
     fit = rows.where(F.col("group").isNotNull() & ~base_failed())
     middle = quantile(fit, {k: F.col(k) for k in DIMS}, 0.5).select("group", *(F.col(k).alias(f"m{i}") for i, k in enumerate(DIMS)))
     middle = written(middle, "quality-fit")
