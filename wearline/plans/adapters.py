@@ -16,7 +16,7 @@ def value_columns() -> dict[str, str]:
     """The 24 snapshot columns as SQL over an event's value and id."""
     v, e = "value", "event_id"
     out = {
-        "rms_horiz": f"{v} / 97", "rms_vert": f"{v} / 83 + 0.1", "kurtosis_horiz": f"({v} - 100) / 53", "kurtosis_vert": f"abs({v} - 100) / 53",
+        "rms_horiz": f"{v} / 97", "rms_vert": f"{v} / 83 + 0.1", "kurtosis_horiz": f"({v} - 100) / 53.1", "kurtosis_vert": f"abs({v} - 100) / 53.1",
         "skewness_horiz": f"{v} / 199 - 0.5", "skewness_vert": f"0.5 - {v} / 251", "crest_factor_horiz": f"3 + ({e} % 11) / 10.0E0", "crest_factor_vert": f"3 + ({e} % 13) / 10.0E0",
     }
     out |= {f"fft_band_{i}_horiz": f"{v} * {i + 1} / 101 + {e} % {i + 3}" for i in range(catalog.N_BANDS)}
