@@ -1,16 +1,15 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 Every text is the set of hashes of its five-word shingles; texts with equal sets are one class.  A class keeps the
-KEEP least hashes of its set, its bottom-k sketch; the first INDEX of them go into inverted lists.  Classes that share
-a list are candidates; the union of two sketches estimates the similarity and drops those far below the limit; the
-rest is verified on the full sets of both whole texts.
+KEEP least hashes of its set, its bottom-k sketch.  Of the first INDEX, the values that are rarest in the corpus go
+into inverted lists (see postings()).  Classes that share a list are candidates; the union of two sketches estimates
+the similarity and drops those far below the limit; the rest is verified on the full sets of both whole texts.
 
-Lists are worked through without writing out all their pairs.  First every class is paired with the pivot of most of
-its lists (a hash picks pivots, anew in each round) and verified; the links make components.  Then pairs across
-components are taken from the lists that still hold several, by the pairs of values they share: classes that share a
-single common passage seldom share two of their least values.  Two classes as similar as asked share fewer than
-LEAST_LISTS of INDEX values with a probability of about 3e-7, whatever the sizes of lists; sets of up to INDEX shingles
-never do, as unequal ones must then have three in common.
+Lists are worked through without writing out all their pairs.  First every class is paired with one pivot of its lists,
+that of most of them (a hash picks pivots, anew in each round), and verified; the links make components.  Then pairs
+across components are taken from the lists that still hold several.  Two classes as similar as asked share 27 of
+INDEX values on average and fewer than OVERLAP with a probability below 1e-6, whatever the sizes of lists; sets of up
+to INDEX shingles are never missed.
 
 An empty or null text has no shingles and no links; fewer than five words are one shingle of the whole sequence; rows
 with a null id are left apart (component null, kept); rows that share an id count as one document with all their
@@ -32,8 +31,9 @@ from .components import components
 from .hashing import shingles
 
 WORDS, LIMIT = 5, (75, 100)
-#: Least hashes kept, of these in inverted lists, lists that a pair must share, and rounds of pivots.
-KEEP, INDEX, LEAST_LISTS, ROUNDS = 64, 16, 3, 2
+#: Least hashes kept, of these looked at for lists, how many of them a pair must share, rounds of pivots, and pivots of
+#: a list in a round.
+KEEP, INDEX, OVERLAP, ROUNDS, PIVOTS = 64, 32, 14, 2, 6
 #: Least share of the union sketch: six deviations below the limit.
 LEAST_SHARE = 0.42
 #: Bytes of text that a task turns into shingles at once.
@@ -58,8 +58,20 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """A row for each indexed value of a class: value, place in the sketch, node, n."""
-    return classes.select("node", "n", F.posexplode(F.slice("sketch", 1, INDEX)).alias("place", "value"))
+    """A row (node, n, value) for each value of a class that goes into an inverted list.
+
+    Of the least INDEX hashes, ordered from the rarest in the corpus, the first INDEX - OVERLAP + 1: two classes with
+    OVERLAP of them in common have one of these in common.  Sets of fewer hashes ask for 75 percent of their own.  A
+    value of one class alone counts as rarest and makes no list, so texts that share a common passage and are
+    otherwise their own have no list at all."""
+    values = classes.select("node", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("value"))
+    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    held = F.array_sort(F.collect_list(F.struct("often", "value")))  # at most INDEX values
+    rows = values.join(often, "value").groupBy("node", "n").agg(held.alias("held"))
+    size = F.least(F.col("n"), F.lit(INDEX)).cast("int")
+    first = size - F.least(F.lit(OVERLAP), F.ceil(size * LIMIT[0] / LIMIT[1]).cast("int")) + 1
+    room = F.greatest(F.lit(0), first - (size - F.size("held")))
+    return rows.select("node", "n", F.explode(F.slice("held", F.lit(1), room)).alias("v")).select("node", "n", "v.value")
 
 
 def sizes_fit(a: str, b: str):
@@ -112,24 +124,30 @@ def mixed_lists(posted: DataFrame, keys: list[str], *more) -> DataFrame:
 
 
 def pivot_pairs(posted: DataFrame, turn: int) -> DataFrame:
-    """For each class the pivot of most of its lists, if that is in another component and of LEAST_LISTS of them."""
-    choice = F.min_by(F.struct(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("part").alias("other")), F.xxhash64(F.lit(turn), "node")).alias("p")
-    lists = mixed_lists(posted, ["value"], choice).select("value", "p.*")
+    """For each class, of the PIVOTS pivots of its lists the one that shares most lists with it, if that is in another
+    component.  A pivot is the least of a list by a hash of the class alone, so a
+    family of near copies has few of them."""
+    picks = [F.min_by(F.struct("node", "n", "part"), F.xxhash64(F.lit(turn * PIVOTS + k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
+    lists = mixed_lists(posted, ["value"], *picks).select("value", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
+    lists = lists.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.part").alias("other"))
     pairs = posted.join(lists, "value").where((F.col("part") != F.col("other")) & sizes_fit("n", "m"))
-    counts = pairs.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= LEAST_LISTS)
+    counts = pairs.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
     return counts.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
 
 
 def cross_pairs(posted: DataFrame) -> DataFrame:
-    """All pairs across components that share LEAST_LISTS lists or more, found by the pairs of values that they share."""
-    inside = posted.join(mixed_lists(posted, ["value"]).select("value"), "value", "left_semi")
-    values = inside.groupBy("node", "n", "part").agg(F.array_sort(F.collect_list("value")).alias("values")).where(F.size("values") >= LEAST_LISTS)  # at most INDEX values
-    later = lambda x, i: F.transform(F.slice("values", i + 2, F.size("values")), lambda y: F.struct(x.alias("first"), y.alias("second")))
-    twos = values.select("node", "n", "part", F.explode(F.flatten(F.transform("values", later))).alias("k")).select("node", "n", "part", "k.first", "k.second")
-    twos = twos.join(mixed_lists(twos, ["first", "second"]).select("first", "second"), ["first", "second"], "left_semi")
-    other = twos.select("first", "second", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-    found = twos.join(other, ["first", "second"]).where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & sizes_fit("n", "n2"))
-    return found.groupBy(F.col("node").alias("a"), F.col("node2").alias("b")).agg(F.count(F.lit(1)).alias("twos")).where(F.col("twos") >= LEAST_LISTS * (LEAST_LISTS - 1) // 2).select("a", "b")
+    """All pairs across components that share a list."""
+    rows = posted.join(mixed_lists(posted, ["value"]).select("value"), "value", "left_semi")
+    other = rows.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+    found = rows.join(other, "value").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & sizes_fit("n", "n2"))
+    return found.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return rows.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "share")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,17 +155,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = written(sketches(docs, key, text), "sketches")
     known = rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
     classes = written(known.groupBy("set_digest").agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    posted = postings(classes)
-    # a value that only one class holds makes no list
-    posted = written(posted.join(posted.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "value"), "postings")
+    posted = written(postings(classes), "postings")
     edges, parts = None, None
     for turn in range(ROUNDS):
         found = verified(pivot_pairs(labelled(posted, parts), turn), docs, key, text)
         edges = written(found if edges is None else edges.unionByName(found), "links")
         parts = components(edges)
-    pairs = written(cross_pairs(labelled(posted, parts)), "pairs")
-    pairs = written(likely(pairs, classes), "likely-pairs")
-    parts = components(edges.unionByName(verified(pairs, docs, key, text)))
+    pairs = written(likely(cross_pairs(labelled(posted, parts)), classes), "pairs")
+    for _ in range(ROUNDS):  # the likeliest partners first, so that few pairs are left across components
+        apart = across(pairs, parts)
+        best = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "share")).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+        edges = written(edges.unionByName(verified(best, docs, key, text)), "links")
+        parts = components(edges)
+    parts = components(edges.unionByName(verified(across(pairs, parts), docs, key, text)))
     classes = classes.select("set_digest", "node").join(parts, "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
     joined = rows.select(key, "n_shingles", "set_digest").join(classes, "set_digest", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key))
