@@ -27,7 +27,7 @@ from .common import emit, schema_of, sliced, texts_of
 from .hashing import PUNCTUATION, SPACES, beginnings
 
 SLOTS = 1 << 18
-POSITIVES, UNLABELLED = 4000, 10_000
+POSITIVES, UNLABELLED = 2000, 5000
 LEAST_COUNT, SCREEN = 3, 3.0
 EPOCHS, RATE, DECAY = 300, 0.05, 2e-4
 #: Lengths of the words' beginnings that are features, in bytes.
@@ -47,15 +47,15 @@ def slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_slots(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns, slots and their values."""
+    """The kept columns, slots (int32) and their values (float32), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
             found, values, ends = slots(texts_of(batch, text))
-            ends = pa.array(ends, pa.int32())
-            yield emit(batch, keep, {"slots": pa.ListArray.from_arrays(ends, pa.array(found, pa.int32())), "counts": pa.ListArray.from_arrays(ends, pa.array(values, pa.float32()))})
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())  # noqa: E731, B023
+            yield emit(batch, keep, {"slots": cut(found), "counts": cut(values)})
 
-    return df.select(*keep, text).mapInArrow(run, schema_of(df, keep, "slots array<int>, counts array<float>"))
+    return df.select(*keep, text).mapInArrow(run, schema_of(df, keep, "slots binary, counts binary"))
 
 
 class Model:
@@ -76,7 +76,7 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(weights, -30.0 if prior <= 0 else float(np.log(prior / (1 - prior))) if prior < 1 else 30.0, prior)
     n_p, n_u = len(positive), len(unlabelled)
-    row = np.repeat(np.arange(n_p + n_u), [len(x) for x, _ in (*positive, *unlabelled)])
+    row = np.repeat(np.arange(n_p + n_u, dtype=np.int32), [len(x) for x, _ in (*positive, *unlabelled)])
     found, values = (np.concatenate([x[k] for x in (*positive, *unlabelled)]) for k in (0, 1))
     # features whose mean among positives is over that of unlabelled rows by SCREEN standard errors
     mine = row < n_p
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     chosen = F.broadcast(one.unionByName(two))  # about POSITIVES + UNLABELLED rows of two numbers
     rows = word_slots(docs.select(key, text).join(chosen, key), [key, "positive"], text).collect()
     rows.sort(key=lambda r: (r[key], r["positive"], len(r["slots"])))
-    pick = lambda p: [(np.array(r["slots"], np.int64), np.array(r["counts"])) for r in rows if r["positive"] == p]
+    pick = lambda p: [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows if r["positive"] == p]
     return fit(pick(1), pick(0), prior)
 
 
