@@ -311,7 +311,10 @@ def test_quality_distance_matches_numpy(spark):
 def test_quality_edge_cases(spark):
     frame = docs(spark, odd_texts()).withColumn("lang", F.lit(None).cast("string"))
     rows = quality.verdicts(quality.statistics(frame.select("doc_id", "lang", "source", "text"))).collect()
-    assert len(rows) == len(odd_texts()) and all(r.distance2 is None for r in rows) and sum(r.kept for r in rows) == 3
+    assert len(rows) == len(odd_texts()) and all(r.distance2 is None for r in rows)
+    for r in rows:  # without a group of its size only the base rules decide
+        n, _, _, _, repeated = base_by_hand(odd_texts()[r.doc_id])
+        assert r.kept == (n >= 20 and 100 * repeated <= 30 * n)
     assert quality.kept_documents(docs(spark, [])).count() == 0
 
 
