@@ -33,7 +33,7 @@ from .hashing import shingles
 WORDS, LIMIT = 5, (75, 100)
 #: Least hashes kept, of these looked at for lists, how many of them a pair must share, rounds of pivots, and pivots of
 #: a list in a round.
-KEEP, INDEX, OVERLAP, ROUNDS, PIVOTS = 64, 32, 14, 2, 6
+KEEP, INDEX, OVERLAP, ROUNDS, PIVOTS = 64, 32, 14, 1, 6
 #: Least share of the union sketch: six deviations below the limit.
 LEAST_SHARE = 0.42
 #: Bytes of text that a task turns into shingles at once.
