@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 DOMAINS = ("clean", "toxic", "junk")
-#: Shares of tokens that are asked for, and the total as a multiple of the largest that repeats no domain.
+#: Shares of tokens that are asked for, and the total as a multiple of that which takes the leading domain once.
 TARGETS, GROWTH = {"clean": 0.90, "toxic": 0.05, "junk": 0.05}, 1.05
 LEXICON = 48
 #: About so many labelled rows, chosen by a hash of the id, give the lexicon.
@@ -108,12 +108,14 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, growth: flo
     total = float(first["all"])
     natural = [max(1e-9, first[f"s{k}"] / total) for k in range(len(DOMAINS))]
     weight = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    size = growth * min(q / w for q, w in zip(natural, weight, strict=True) if w > 0)
+    lead = max(range(len(DOMAINS)), key=weight.__getitem__)
+    size = growth * natural[lead] / weight[lead]
+    goals = [min(size * w, growth * q) for q, w in zip(natural, weight, strict=True)]  # a scarce domain isn't repeated to fill its share
     residuals: list[list[float]] = []
     now = [first[f"s{k}"] / total for k in range(len(DOMAINS))]
     for _ in range(STEPS):
         # residuals over natural shares: rare domains close in as fast as the common one
-        residuals.append([(s - size * w) / q for s, w, q in zip(now, weight, natural, strict=True)])
+        residuals.append([(s - g) / q for s, g, q in zip(now, goals, natural, strict=True)])
         r = rate(residuals, p)
         row = cells.agg(*(F.sum(F.col("tokens") * x * r).alias(f"s{k}") for k, x in enumerate(p))).first()
         now = [row[f"s{k}"] / total for k in range(len(DOMAINS))]
