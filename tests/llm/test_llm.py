@@ -380,16 +380,23 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_cross_pairs_find_what_pivots_leave(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
-    monkeypatch.setattr(neardup, "pivot_pairs", None)
-    texts = variants(40, 3)
-    rows = neardup.sketches(docs(spark, texts)).groupBy("set_digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).where("n > 0").cache()
-    pairs = {(r.a, r.b) for r in neardup.verified(neardup.likely(neardup.cross_pairs(neardup.labelled(neardup.postings(rows), None)), rows), docs(spark, texts), "doc_id", "text").collect()}
-    nodes = [r.node for r in rows.collect()]
-    sets = dict(zip(nodes, hashing.shingles([texts[i] for i in nodes]), strict=True))
-    want = {(a, b) for a in nodes for b in nodes if a < b and (x := len(np.intersect1d(sets[a], sets[b]))) and 100 * x >= 75 * (len(sets[a]) + len(sets[b]) - x)}
-    assert pairs == want and want
+@pytest.mark.parametrize("block", [3, 256])
+def test_cells_find_what_pivots_leave(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *_: pairs.where("false"))
+    texts = [*variants(40, 3), *(" ".join([*(f"s{k}" for k in range(90)), *(f"x{i}y{k}" for k in range(i % 40))]) for i in range(60))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == near_by_hand(texts)
+
+
+def test_overlaps_and_estimate():
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(3000, int(k), replace=False)) for k in rng.integers(0, 400, 30)]
+    assert (neardup.overlaps(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+    whole = [np.sort(rng.choice(1 << 30, 1000, replace=False)) for _ in range(20)]
+    near = [np.sort(np.r_[s[rng.permutation(1000)[:858]], rng.choice(1 << 30, 142, replace=False)]) for s in whole]
+    found = neardup.possible(np.full(40, 1000), [s[: neardup.KEEP] for s in [*whole, *near]])
+    assert found[np.arange(20), np.arange(20, 40)].all() and not found[0, 1]
 
 
 def test_near_duplicates_edge_cases(spark):

@@ -5,11 +5,12 @@ KEEP least hashes of its set, its bottom-k sketch.  Of the first INDEX, the valu
 into inverted lists (see postings()).  Classes that share a list are candidates; the union of two sketches estimates
 the similarity and drops those far below the limit; the rest is verified on the full sets of both whole texts.
 
-Lists are worked through without writing out all their pairs.  First every class is paired with one pivot of its lists,
-that of most of them (a hash picks pivots, anew in each round), and verified; the links make components.  Then pairs
-across components are taken from the lists that still hold several.  Two classes as similar as asked share 27 of
-INDEX values on average and fewer than OVERLAP with a probability below 1e-6, whatever the sizes of lists; sets of up
-to INDEX shingles are never missed.
+Lists are worked through without writing out their pairs.  First every class is paired with one pivot of its lists,
+that of most of them (a hash picks pivots), and verified; the links make components.  Lists that still hold several
+components are then compared in cells of bounded size: a task has a cell's sketches, and members with partners that the
+estimate leaves go on to be verified in the same cells, which get each text once however many partners it has.  Two
+classes as similar as asked share 27 of INDEX values on average and fewer than OVERLAP with a probability below 1e-6,
+whatever the sizes of lists; sets of up to INDEX shingles are never missed.
 
 An empty or null text has no shingles and no links; fewer than five words are one shingle of the whole sequence; rows
 with a null id are left apart (component null, kept); rows that share an id count as one document with all their
@@ -31,47 +32,46 @@ from .components import components
 from .hashing import shingles
 
 WORDS, LIMIT = 5, (75, 100)
-#: Least hashes kept, of these looked at for lists, how many of them a pair must share, rounds of pivots, and pivots of
-#: a list in a round.
-KEEP, INDEX, OVERLAP, ROUNDS, PIVOTS = 64, 32, 14, 1, 6
-#: Least share of the union sketch: six deviations below the limit.
-LEAST_SHARE = 0.42
+#: Least hashes kept, of these looked at for lists, how many of them a pair must share, and pivots of a list.
+KEEP, INDEX, OVERLAP, PIVOTS = 128, 32, 14, 6
+#: Members and shingles of a block of a list, on average; they bound what a task holds, lists of any length are cut.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Bytes of text that a task turns into shingles at once.
 AT_ONCE = 2 << 20
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_digest and sketch of every row."""
+    """doc_id, n_shingles, set_digest, index (the least INDEX hashes) and sketch (31 bits of the least KEEP) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
             sets = shingles(texts_of(batch, text), WORDS)
-            least = [s[:KEEP] for s in sets]
-            offsets = np.r_[0, np.cumsum([len(s) for s in least])]
+            index, sketch = [s[:INDEX] for s in sets], [s[:KEEP] >> 32 for s in sets]
+            lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in parts])], pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts]), kind))
             yield emit(batch, [key], {
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "set_digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                "sketch": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *least]), pa.int64())),
+                "index": lists(index, pa.int64()), "sketch": lists(sketch, pa.int32()),
             })
 
-    return docs.select(key, text).mapInArrow(run, schema_of(docs, [key], "n_shingles bigint, set_digest binary, sketch array<bigint>"))
+    return docs.select(key, text).mapInArrow(run, schema_of(docs, [key], "n_shingles bigint, set_digest binary, index array<bigint>, sketch array<int>"))
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """A row (node, n, value) for each value of a class that goes into an inverted list.
+    """Each class's values that go into inverted lists: node, n and values.
 
     Of the least INDEX hashes, ordered from the rarest in the corpus, the first INDEX - OVERLAP + 1: two classes with
     OVERLAP of them in common have one of these in common.  Sets of fewer hashes ask for 75 percent of their own.  A
     value of one class alone counts as rarest and makes no list, so texts that share a common passage and are
     otherwise their own have no list at all."""
-    values = classes.select("node", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("value"))
+    values = classes.select("node", "n", F.explode("index").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     held = F.array_sort(F.collect_list(F.struct("often", "value")))  # at most INDEX values
     rows = values.join(often, "value").groupBy("node", "n").agg(held.alias("held"))
     size = F.least(F.col("n"), F.lit(INDEX)).cast("int")
     first = size - F.least(F.lit(OVERLAP), F.ceil(size * LIMIT[0] / LIMIT[1]).cast("int")) + 1
     room = F.greatest(F.lit(0), first - (size - F.size("held")))
-    return rows.select("node", "n", F.explode(F.slice("held", F.lit(1), room)).alias("v")).select("node", "n", "v.value")
+    return rows.select("node", "n", F.slice("held", F.lit(1), room)["value"].alias("values")).where(F.size("values") > 0)
 
 
 def sizes_fit(a: str, b: str):
@@ -79,17 +79,6 @@ def sizes_fit(a: str, b: str):
     return F.least(F.col(a), F.col(b)) * LIMIT[1] >= F.greatest(F.col(a), F.col(b)) * LIMIT[0]
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch doesn't rule the similarity out, with share, the estimate."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = classes.join(need, "node", "left_semi")
-    one, two = held.select(F.col("node").alias("a"), F.col("sketch").alias("s")), held.select(F.col("node").alias("b"), F.col("sketch").alias("t"))
-    rows = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("union", F.slice(F.array_sort(F.array_union("s", "t")), 1, KEEP))
-    # of a set that is kept whole every value counts, else only what both sketches cover: the least KEEP of the union
-    shared = F.size(F.array_intersect(F.array_intersect("s", "t"), F.col("union")))
-    return rows.withColumn("share", shared / F.size("union")).where(F.col("share") >= LEAST_SHARE).select("a", "b", "share")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (a, b) whose full sets are as similar as asked."""
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -97,7 +86,6 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
     rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in sliced(batches, "x", AT_ONCE):
             x, y = batch.column(batch.schema.get_field_index("x")).to_pylist(), batch.column(batch.schema.get_field_index("y")).to_pylist()
             distinct = list({*x, *y})
@@ -123,11 +111,11 @@ def mixed_lists(posted: DataFrame, keys: list[str], *more) -> DataFrame:
     return posted.groupBy(*keys).agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"), *more).where("low != high").drop("low", "high")
 
 
-def pivot_pairs(posted: DataFrame, turn: int) -> DataFrame:
+def pivot_pairs(posted: DataFrame) -> DataFrame:
     """For each class, of the PIVOTS pivots of its lists the one that shares most lists with it, if that is in another
     component.  A pivot is the least of a list by a hash of the class alone, so a
     family of near copies has few of them."""
-    picks = [F.min_by(F.struct("node", "n", "part"), F.xxhash64(F.lit(turn * PIVOTS + k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
+    picks = [F.min_by(F.struct("node", "n", "part"), F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
     lists = mixed_lists(posted, ["value"], *picks).select("value", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
     lists = lists.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.part").alias("other"))
     pairs = posted.join(lists, "value").where((F.col("part") != F.col("other")) & sizes_fit("n", "m"))
@@ -135,39 +123,159 @@ def pivot_pairs(posted: DataFrame, turn: int) -> DataFrame:
     return counts.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
 
 
-def cross_pairs(posted: DataFrame) -> DataFrame:
-    """All pairs across components that share a list."""
-    rows = posted.join(mixed_lists(posted, ["value"]).select("value"), "value", "left_semi")
-    other = rows.select("value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-    found = rows.join(other, "value").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & sizes_fit("n", "n2"))
-    return found.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+def cells(posted: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, with their sketches, in cells of about BLOCK members a side.
+
+    A long list is cut into blocks by a hash of the class, and a cell holds two of them (or one with itself).  below has
+    the class's other lists of smaller value, so that a pair is looked at in the first of its common lists alone."""
+    lists = mixed_lists(posted, ["value"], F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rows = posted.join(lists.select("value", blocks.alias("blocks")), "value").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("below", F.filter("values", lambda v: v < F.col("value"))).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "below")
+    return together(rows.join(sketch, ["node", "n"]))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """Rows of a cell one after the other in one task."""
+    return rows.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share, by products of 0/1 matrices over pieces of the shared values."""
+    m = len(sets)
+    values, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared, out = np.repeat(np.arange(m), [len(s) for s in sets]), often > 1, np.zeros((m, m), np.float32)
+    place, keep = (np.cumsum(shared) - 1)[code], shared[code]
+    order = np.argsort(place[keep], kind="stable")
+    place, owner, step = place[keep][order], owner[keep][order], max(64, (1 << 22) // m)
+    for at in range(0, end := int(shared.sum()), step):
+        lo, hi = np.searchsorted(place, [at, at + step])
+        held = np.zeros((m, min(step, end - at)), np.float32)
+        held[owner[lo:hi], place[lo:hi] - at] = 1
+        out += held @ held.T
+    return out
+
+
+def possible(n: np.ndarray, sketch: list[np.ndarray]) -> np.ndarray:
+    """Pairs whose union sketch doesn't rule the similarity out by six deviations.
+
+    What both sketches cover of the union is drawn from it without replacement; where it is the whole union, nothing is
+    left to chance.  Two more values are allowed for, since sketches hold 31 bits of each hash."""
+    top = np.array([s[-1] if size > KEEP else np.iinfo(np.int32).max for s, size in zip(sketch, n, strict=True)], np.int64)
+    covered = np.stack([np.searchsorted(s, np.minimum(top, t), side="right") for s, t in zip(sketch, top, strict=True)])
+    shared = overlaps(sketch)
+    union, limit = covered + covered.T - shared, LIMIT[0] / LIMIT[1]
+    deviation = np.sqrt(limit * (1 - limit) / union * np.maximum(0, 1 - union * (1 + limit) / (n[:, None] + n[None, :])))
+    return shared + 2 >= (limit - 6 * deviation) * union
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[tuple[tuple, list[tuple[pa.RecordBatch, list | None]]]]:
+    """Cell and its rows, in pieces; with text also the shingles of the rows, so that texts are let go piece by piece."""
+    last, held = None, []
+    for batch in sliced(batches, text, AT_ONCE) if text else batches:
+        if not len(batch):
+            continue
+        keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("value", "i", "j")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        sets = shingles(texts_of(batch, text), WORDS) if text else None
+        rows = batch.drop_columns([text]) if text else batch
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+            key = tuple(int(k[a]) for k in keys)
+            if key != last and held:
+                yield last, held
+                held = []
+            last = key
+            held.append((rows.slice(a, b - a), sets and sets[a:b]))
+    if held:
+        yield last, held
+
+
+def column(pieces: list, name: str) -> np.ndarray:
+    return np.concatenate([p.column(p.schema.get_field_index(name)).to_numpy() for p, _ in pieces])
+
+
+def arrays(pieces: list, name: str) -> list[np.ndarray]:
+    out = []
+    for p, _ in pieces:
+        lists = p.column(p.schema.get_field_index(name))
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+CANDIDATES = pa.schema([("value", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("partners", pa.list_(pa.int64()))])
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """The members of each cell that have partners there, with the partners of larger place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (value, i, j), pieces in in_groups(batches):
+            part, n, block = column(pieces, "part"), column(pieces, "n"), column(pieces, "block")
+            small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
+            ask = (part[:, None] != part) & (small * LIMIT[1] >= large * LIMIT[0]) & ((i == j) | (block[:, None] != block))
+            if ask.any():
+                ask &= overlaps(arrays(pieces, "below")) == 0
+            use = np.flatnonzero(ask.any(axis=1))
+            if not len(use):
+                continue
+            node, sketch = column(pieces, "node")[use], arrays(pieces, "sketch")
+            good = ask[np.ix_(use, use)] & possible(n[use], [sketch[k] for k in use])
+            upper = np.triu(good, 1)
+            for k in np.flatnonzero(good.any(axis=1)):
+                out.append((value, i, j, int(node[k]), node[upper[k]]))
+            if len(out) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CANDIDATES, strict=True)], schema=CANDIDATES)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CANDIDATES, strict=True)], schema=CANDIDATES)
+
+    return members.mapInArrow(run, "value bigint, i int, j int, node bigint, partners array<bigint>")
+
+
+def cell_links(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b) that join what the verified pairs of each cell join; a cell gets each of its texts once."""
+    texts = docs.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(found.select("node").distinct(), "node", "left_semi")
 
-def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return rows.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "share")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in in_groups(batches, "text"):
+            node, sets, partners = column(pieces, "node"), [s for _, held in pieces for s in held], arrays(pieces, "partners")
+            size = np.array([len(s) for s in sets])
+            ids, code = np.unique(node, return_inverse=True)  # an id that several rows share has several texts
+            ask = np.zeros((len(ids), len(ids)), bool)
+            for k, p in zip(code, partners, strict=True):
+                ask[k, np.searchsorted(ids, p)] = True
+            both = overlaps(sets)
+            good = (ask | ask.T)[np.ix_(code, code)] & (both > 0) & (LIMIT[1] * both.astype(np.int64) >= LIMIT[0] * (size[:, None] + size - both.astype(np.int64)))
+            a, b = np.nonzero(np.triu(good, 1))
+            root, links = list(range(len(ids))), []
+            for x, y in zip(code[a].tolist(), code[b].tolist(), strict=True):
+                ends = []
+                for at in (x, y):
+                    while root[at] != at:
+                        root[at] = root[root[at]]
+                        at = root[at]
+                    ends.append(at)
+                if ends[0] != ends[1]:
+                    root[max(ends)] = min(ends)
+                    links.append((int(ids[x]), int(ids[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    return together(found.join(texts, "node")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = written(sketches(docs, key, text), "sketches")
     known = rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
-    classes = written(known.groupBy("set_digest").agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    posted = written(postings(classes), "postings")
-    edges, parts = None, None
-    for turn in range(ROUNDS):
-        found = verified(pivot_pairs(labelled(posted, parts), turn), docs, key, text)
-        edges = written(found if edges is None else edges.unionByName(found), "links")
-        parts = components(edges)
-    pairs = written(likely(cross_pairs(labelled(posted, parts)), classes), "pairs")
-    for _ in range(ROUNDS):  # the likeliest partners first, so that few pairs are left across components
-        apart = across(pairs, parts)
-        best = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "share")).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-        edges = written(edges.unionByName(verified(best, docs, key, text)), "links")
-        parts = components(edges)
-    parts = components(edges.unionByName(verified(across(pairs, parts), docs, key, text)))
+    classes = written(known.groupBy("set_digest").agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("index").alias("index"), F.first("sketch").alias("sketch")), "classes")
+    posted = written(postings(classes), "postings").withColumn("value", F.explode("values"))
+    edges = written(verified(pivot_pairs(labelled(posted, None)), docs, key, text), "links")
+    found = written(candidates(cells(labelled(posted, components(edges)), classes.select("node", "n", "sketch"))), "candidates")
+    parts = components(edges.unionByName(cell_links(found, docs, key, text)))
     classes = classes.select("set_digest", "node").join(parts, "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
     joined = rows.select(key, "n_shingles", "set_digest").join(classes, "set_digest", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key))
