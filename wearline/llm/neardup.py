@@ -35,7 +35,9 @@ WORDS, LIMIT = 5, (75, 100)
 #: Least hashes kept, of these looked at for lists, how many of them a pair must share, and pivots of a list.
 KEEP, INDEX, OVERLAP, PIVOTS = 128, 32, 14, 6
 #: Members and shingles of a block of a list, on average; they bound what a task holds, lists of any length are cut.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 768, 1 << 20
+#: Bits of the filter that texts pass before they are shuffled, in rows of 4 KB: 16 MB at any size of the input.
+FILTER_BITS = 1 << 27
 #: Bytes of text that a task turns into shingles at once.
 AT_ONCE = 2 << 20
 
@@ -79,10 +81,25 @@ def sizes_fit(a: str, b: str):
     return F.least(F.col(a), F.col(b)) * LIMIT[1] >= F.greatest(F.col(a), F.col(b)) * LIMIT[0]
 
 
+def texts_needed(docs: DataFrame, need: DataFrame, key: str, text: str) -> DataFrame:
+    """node and text of the rows whose ids are in need.
+
+    A bitmap of hashed ids, of fixed size and so broadcast, drops most other rows before texts are shuffled; the join
+    after it is exact, however full the bitmap is."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    rows_of, place = lambda c: F.shiftright(bit(c), 15), lambda c: bit(c).bitwiseAND(F.lit(32767))
+    need = need.distinct()
+    bitmap = need.groupBy(rows_of("node").alias("row")).agg(F.bitmap_construct_agg(place("node")).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.col("place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = docs.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", rows_of("node")).withColumn("place", place("node"))
+    near = rows.join(F.broadcast(bitmap), "row").where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("place").bitwiseAND(F.lit(7)))), F.lit(2)) == 1)
+    return near.select("node", "text").join(need, "node", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (a, b) whose full sets are as similar as asked."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(need, "node", "left_semi")
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = texts_needed(docs, need, key, text)
     rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +159,7 @@ def together(rows: DataFrame) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values each two of the sets share, by products of 0/1 matrices over pieces of the shared values."""
+    """How many values each two different sets share, by products of 0/1 matrices over pieces of the shared values."""
     m = len(sets)
     values, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner, shared, out = np.repeat(np.arange(m), [len(s) for s in sets]), often > 1, np.zeros((m, m), np.float32)
@@ -237,7 +254,7 @@ def candidates(members: DataFrame) -> DataFrame:
 
 def cell_links(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Links (a, b) that join what the verified pairs of each cell join; a cell gets each of its texts once."""
-    texts = docs.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(found.select("node").distinct(), "node", "left_semi")
+    texts = texts_needed(docs, found.select("node"), key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in in_groups(batches, "text"):
@@ -273,7 +290,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     known = rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
     classes = written(known.groupBy("set_digest").agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("index").alias("index"), F.first("sketch").alias("sketch")), "classes")
     posted = written(postings(classes), "postings").withColumn("value", F.explode("values"))
-    edges = written(verified(pivot_pairs(labelled(posted, None)), docs, key, text), "links")
+    edges = written(verified(written(pivot_pairs(labelled(posted, None)), "pivots"), docs, key, text), "links")
     found = written(candidates(cells(labelled(posted, components(edges)), classes.select("node", "n", "sketch"))), "candidates")
     parts = components(edges.unionByName(cell_links(found, docs, key, text)))
     classes = classes.select("set_digest", "node").join(parts, "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
