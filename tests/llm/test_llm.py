@@ -289,6 +289,13 @@ def test_quality_keeps_clean_rows_and_drops_outliers(spark):
     assert kept.columns == frame.columns and kept.count() == 200
 
 
+def test_quality_drops_a_third_of_junk_copies(spark):
+    for junk in (re.sub(" ", " # ", prose(1, 60)), prose(5, 300).replace(" ", "\n")):
+        frame = docs(spark, [prose(i, 60) for i in range(190)] + [junk] * 110)
+        rows = quality.verdicts(quality.statistics(frame.select("doc_id", "lang", "source", "text"))).collect()
+        assert not any(r.base_failed for r in rows) and all(r.kept == (r.doc_id < 190) for r in rows)
+
+
 def test_quality_distance_matches_numpy(spark):
     frame = docs(spark, [prose(i, 30 + i % 50) + " #" * (i % 3) for i in range(120)])
     got = sorted((r.doc_id, r.distance2) for r in quality.verdicts(quality.statistics(frame.select("doc_id", "lang", "source", "text"))).collect())

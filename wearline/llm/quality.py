@@ -26,9 +26,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Base rules: least words, and the largest percentage of words in repeated windows of SPAN words.
 LEAST_WORDS, MOST_REPEATED, SPAN = 20, 30, 8
-LEAST_GROUP, HALF_SHARE, STEPS = 50, 0.75, 3
-#: Makes the scatter of the nearer three quarters of a normal sample in 4 dimensions that of the whole sample.
-CONSISTENCY = 1.485
+LEAST_GROUP, HALF_SHARE, STEPS = 50, 0.5, 3
+#: Makes the scatter of the nearer half of a normal sample in 4 dimensions that of the whole sample.
+CONSISTENCY = 2.11
 #: Squared distance over which a document is an outlier; a chi-squared variable with 4 degrees exceeds it three times in 1e7.
 CUTOFF = 36.0
 #: Least deviation of each transformed statistic, so that a constant one doesn't make every other value an outlier.
