@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -129,3 +130,36 @@ def test_split_preparation(spark):
         contracts.select_split(df, "none")
     assert contracts.column_faults(df.columns, ["split", "gone"], ["rul_seconds"], ["file_index"]) == ["missing gone", "forbidden rul_seconds", "leaks file_index"]
     assert contracts.metric_input_faults(df, "rul_seconds", "rms_horiz").first().n_bad == 2
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+def test_whole_queries_take_every_snapshot(spark):
+    from wearline.plans import adapters, queries
+
+    rows = adapters.labelled(spark, SMALL).select("condition", "bearing", "file_index", "rul_seconds", *queries.KNN_X).toPandas()
+    got = {(r.bearing, r.file_index): r.predicted for r in queries.life_prior_lobo_whole(spark, SMALL).collect()}
+    life = rows.file_index * 10.0 + rows.rul_seconds
+    want = {}
+    for r in rows.itertuples():
+        other = rows.bearing != r.bearing
+        own = other & (rows.condition == r.condition)
+        want[r.bearing, r.file_index] = max(0.0, np.median(life[own if own.any() else other]) - r.file_index * 10.0)
+    assert got == pytest.approx(want, abs=1e-6)
+    side = rows.bearing.str[1:].astype(int) % 2
+    train, test = rows[side == 1], rows[side == 0]
+    x, y = train[queries.KNN_X].to_numpy(float), train.rul_seconds.to_numpy(float)
+    near = {}
+    for r, v in zip(test.itertuples(), test[queries.KNN_X].to_numpy(float), strict=True):
+        d = (((v - x) / x.std(0)) ** 2).sum(1)
+        at = np.lexsort((y, d))[:3]
+        near[r.bearing, r.file_index] = y[at][d[at] == 0].mean() if d[at[0]] == 0 else np.average(y[at], weights=d[at] ** -0.5)
+    got = {(r.bearing, r.file_index): r.predicted for r in queries.knn_regression_whole(spark, SMALL).collect()}
+    assert got == pytest.approx(near, abs=1e-6)
+
+
+def test_presets_are_those_of_the_reference():
+    trees = {k: v.get("numTrees", v.get("maxIter")) for k, v in models.DEFAULTS.items() if "maxDepth" in v}
+    assert trees == {"random_forest": 500, "hist_gradient_boosting": 300, "gradient_boosting": 200, "xgboost": 500, "lightgbm": 500}

@@ -22,9 +22,9 @@ from .contracts import ContractError
 #: Default parameters by model name.
 DEFAULTS: dict[str, dict] = {
     "median": {}, "condition_life_prior": {}, "ridge": {"alpha": 10.0}, "knn": {"k": 3},
-    "random_forest": {"numTrees": 50, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "maxDepth": 10},
-    "hist_gradient_boosting": {"maxIter": 30, "stepSize": 0.05, "maxDepth": 5}, "gradient_boosting": {"maxIter": 30, "stepSize": 0.1, "maxDepth": 3},
-    "xgboost": {"maxIter": 30, "stepSize": 0.05, "maxDepth": 3, "subsamplingRate": 0.8}, "lightgbm": {"maxIter": 30, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate": 0.8},
+    "random_forest": {"numTrees": 500, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "maxDepth": 30},
+    "hist_gradient_boosting": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5}, "gradient_boosting": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 3},
+    "xgboost": {"maxIter": 500, "stepSize": 0.03, "maxDepth": 3, "subsamplingRate": 0.8}, "lightgbm": {"maxIter": 500, "stepSize": 0.03, "maxDepth": 4, "subsamplingRate": 0.8},
 }
 
 

@@ -219,7 +219,16 @@ def median_lobo(spark, sf_dir):
     c AS (SELECT f.bearing, l.condition, quantile_cont(life, 0.5) AS own FROM f JOIN l ON l.bearing <> f.bearing GROUP BY ALL), g AS (SELECT f.bearing, quantile_cont(life, 0.5) AS every FROM f JOIN l ON l.bearing <> f.bearing GROUP BY ALL)
     SELECT l.bearing, {big('file_index', 'file_index')}, {r('greatest(coalesce(own, every) - age, 0)', 'predicted')} FROM l LEFT JOIN c ON l.bearing = c.bearing AND l.condition = c.condition JOIN g ON l.bearing = g.bearing""")
 def life_prior_lobo(spark, sf_dir):
-    rows = a.labelled(spark, sf_dir).where("file_index % 10 = 0").withColumn("observed_age_seconds", F.col("file_index") * 10.0)
+    return life_priors(a.labelled(spark, sf_dir).where("file_index % 10 = 0"))
+
+
+@query()
+def life_prior_lobo_whole(spark, sf_dir):
+    return life_priors(a.labelled(spark, sf_dir))
+
+
+def life_priors(labelled: DataFrame) -> DataFrame:
+    rows = labelled.withColumn("observed_age_seconds", F.col("file_index") * 10.0)
     return models.leave_one_out("condition_life_prior", rows.select("condition", "bearing", "file_index", "rul_seconds", "observed_age_seconds"), []).select("bearing", "file_index", "predicted")
 
 
@@ -274,7 +283,16 @@ KNN_X = ["rms_horiz", "kurtosis_vert", "fft_band_3_horiz"]
     k AS (SELECT *, row_number() OVER (PARTITION BY bearing, file_index ORDER BY d, y) AS rn FROM d)
     SELECT bearing, {big('file_index', 'file_index')}, {r('CASE WHEN min(d) = 0 THEN avg(y) FILTER (d = 0) ELSE sum(y / sqrt(nullif(d, 0))) / sum(1 / sqrt(nullif(d, 0))) END', 'predicted')} FROM k WHERE rn <= 3 GROUP BY ALL""")
 def knn_regression(spark, sf_dir):
-    rows = a.labelled(spark, sf_dir).where("file_index % 20 = 0").select("bearing", "file_index", "rul_seconds", *KNN_X).withColumn("side", F.substring("bearing", 2, 20).cast("long") % 2)
+    return nearest(a.labelled(spark, sf_dir).where("file_index % 20 = 0"))
+
+
+@query()
+def knn_regression_whole(spark, sf_dir):
+    return nearest(a.labelled(spark, sf_dir))
+
+
+def nearest(labelled: DataFrame) -> DataFrame:
+    rows = labelled.select("bearing", "file_index", "rul_seconds", *KNN_X).withColumn("side", F.substring("bearing", 2, 20).cast("long") % 2)
     return models.knn_predict(rows.where("side = 1"), rows.where("side = 0"), KNN_X, "rul_seconds", ["bearing", "file_index"]).select("bearing", "file_index", "predicted")
 
 
@@ -292,8 +310,8 @@ def mllib(name: str, **params):
 
 
 ridge_cv = mllib("ridge")
-random_forest_cv = mllib("random_forest", numTrees=10, maxDepth=6)
-boosted_cv = mllib("gradient_boosting", maxIter=5)
+random_forest_cv = mllib("random_forest")
+boosted_cv = mllib("gradient_boosting")
 
 
 @query()
@@ -305,7 +323,7 @@ def total_life_ridge_cv(spark, sf_dir):
 @query()
 def feature_importance(spark, sf_dir):
     rows = fitted_samples(spark, sf_dir).cache()
-    fit = models.make_model("random_forest", rows, catalog.prefix_columns(), "rul_seconds", numTrees=10, maxDepth=5).fit(rows)
+    fit = models.make_model("random_forest", rows, catalog.prefix_columns(), "rul_seconds").fit(rows)
     return models.importances(fit, catalog.prefix_columns(), rows)
 
 
