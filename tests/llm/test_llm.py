@@ -109,6 +109,18 @@ def test_mixing_learns_domains_and_takes_effect(spark):
     assert kept[0] >= 60 and kept[3] >= 60 and kept[1] < 40 and kept[2] < 40
 
 
+def test_scarce_domains_reach_their_shares(spark):
+    rows = spark.createDataFrame([(9700, 0.999, 0.0005, 0.0005), (200, 0.001, 0.999, 0.0), (100, 0.001, 0.0, 0.999)], "n_tokens bigint, p_clean double, p_toxic double, p_junk double")
+    cells = rows.withColumnRenamed("n_tokens", "tokens")
+    targets = {"clean": 0.90, "toxic": 0.05, "junk": 0.05}
+    rate = lambda cells: mixing.rate(mixing.fit_rates(cells, targets), [F.col(f"p_{d}") for d in mixing.DOMAINS])
+    got = mixing.shares(rows.withColumn("rate", rate(cells)), targets).collect()
+    assert [r.domain for r in got] == list(mixing.DOMAINS) and [r.reached for r in got] == pytest.approx([0.9, 0.05, 0.05], abs=0.005)
+    assert [r.asked for r in got] == pytest.approx([0.9, 0.05, 0.05]) and got[2].natural < 0.016
+    few = cells.where("p_junk < 0.5")  # without a junk document its target doesn't inflate others
+    assert few.agg(F.max(rate(few))).first()[0] < 4
+
+
 def test_mixing_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     rows = mixing.mix(docs(spark, odd_texts()), none, ["doc_id"]).collect()

@@ -5,7 +5,8 @@ A naive Bayes classifier learned from the labels table gives every document a po
 LEXICON words that tell toxic rows apart best, and binned shares of symbols, of capital letters, of distinct words
 and the mean length of words.  Projected-gradient least squares then fits a rate for every document, at least 0, so that the
 expected tokens of the domains, sums of rate * tokens * posterior, match the target totals; a small ridge holds rates
-near 1.  Documents with the same binned features have the same posterior and the same gradient per token, so the
+near 1.  The total takes the leading domain GROWTH times; domains scarcer than their share get rates above 1, and shares()
+sets what is reached against what is asked.  A domain that no document is likeliest of is exempt.  Documents with the same binned features have the same posterior and the same gradient per token, so the
 iterations run over a table of such cells, whose number depends on the bins and not on the corpus.
 
 Everything is DataFrame expressions.  Labels with a null or repeated doc_id are ignored or counted once (their least
@@ -102,15 +103,18 @@ def posteriors(rows: DataFrame, domain: DataFrame) -> DataFrame:
 def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, growth: float = GROWTH) -> list[list[float]]:
     """The residuals of all steps, from which rate() makes a document's rate; cells has tokens and p_<domain>."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    first = cells.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * x).alias(f"s{k}") for k, x in enumerate(p))).first()
+    leads = [F.max((F.col("tokens") > 0) & (x >= F.greatest(*p))).alias(f"has{k}") for k, x in enumerate(p)]
+    first = cells.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * x).alias(f"s{k}") for k, x in enumerate(p)), *leads).first()
     if not first["all"]:
         return []
     total = float(first["all"])
     natural = [max(1e-9, first[f"s{k}"] / total) for k in range(len(DOMAINS))]
     weight = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    lead = max(range(len(DOMAINS)), key=weight.__getitem__)
+    has = [first[f"has{k}"] for k in range(len(DOMAINS))]
+    lead = max(range(len(DOMAINS)), key=lambda k: (has[k] and weight[k] > 0, weight[k]))
     size = growth * natural[lead] / weight[lead]
-    goals = [min(size * w, growth * q) for q, w in zip(natural, weight, strict=True)]  # a scarce domain isn't repeated to fill its share
+    # no document is likeliest of a domain without tokens of its own: what others hold of it can't make its share
+    goals = [size * w if own else min(size * w, growth * q) for q, w, own in zip(natural, weight, has, strict=True)]
     residuals: list[list[float]] = []
     now = [first[f"s{k}"] / total for k in range(len(DOMAINS))]
     for _ in range(STEPS):
@@ -143,6 +147,14 @@ def mix(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str,
     return rows.select(*keep, "n_tokens", *(F.round(c, 9).alias(c) for c in names), F.round(fitted, 6).alias("rate"))
 
 
+def shares(rows: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """domain, and the shares of tokens that are asked for, come by nature and are reached, of rows as mix() returns them."""
+    sums = rows.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}") * r).alias(f"{name}_{d}") for d in DOMAINS for name, r in (("natural", F.lit(1.0)), ("reached", F.col("rate")))))
+    share = lambda name, d: F.try_divide(F.col(f"{name}_{d}"), reduce(lambda a, b: a + b, (F.col(f"{name}_{x}") for x in DOMAINS))).alias(name)
+    parts = (F.struct(F.lit(d).alias("domain"), F.lit(targets[d] / sum(targets.values())).alias("asked"), share("natural", d), share("reached", d)) for d in DOMAINS)
+    return sums.select(F.inline(F.array(*parts)))
+
+
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more if a hash of the row falls under the rest."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
