@@ -473,6 +473,19 @@ def test_randomness_battery():
     assert secrets.not_rejected([]) == [] and secrets.not_rejected([(40, 1e-9), (40, 0.9)]) == [False, True]
 
 
+def test_secrets_behind_names_and_paths():
+    rng = np.random.default_rng(3)
+    pick = lambda k, n: "".join(rng.choice(list(secrets.ENCODINGS[k]), n))
+    hits = 0
+    for _ in range(40):
+        key, url = pick(5, 38) + "0a", pick(7, 37) + "_0a"
+        for before, value in (("AWS_SECRET_ACCESS_KEY=", key), ("?sig=", key), ("a-path/x_y/", key), ("some/path/", url), ("DB_PASS=", key + "==")):
+            found = [s for s in secrets.scan("see " + before + value) if s[1] == 3]
+            hits += any(s <= 4 + len(before) and e == 4 + len(before) + len(value) for s, _, e in found)
+    assert hits > 170
+    assert not [s for s in secrets.scan("x=aaaaaaaaaaaaaaaaaaaaaaaa1 a_b/" + "a1" * 15) if s[1] == 3]
+
+
 # Queries and the pipeline.
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")

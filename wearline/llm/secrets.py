@@ -1,5 +1,6 @@
 """Secret scans: three fixed rules, and a battery of randomness tests on other tokens.
 
+A run of letters of encodings is cut at inner '=', and where it mixes both base64 alphabets at '+', '/' or at '-', '_'.
 A token of LEAST characters or more with digits and letters gets the smallest encoding that holds it (hex, base32,
 base36, base62, base64).  Under the hypothesis that its symbols are drawn evenly and independently: a chi-squared
 test of the counts, a runs test about the middle of the alphabet and a lag-1 serial correlation test.  The three
@@ -26,6 +27,9 @@ from .common import emit, schema_of, sliced, texts_of
 #: The three rules, in the order of their names.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+#: Parts of a run, since '=' pads a token at its end only, and the cuts of a part that mixes the two base64 alphabets.
+PART = re.compile(r"[^=]+(?:=+$)?")
+CUTS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*"))
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
@@ -90,6 +94,18 @@ def not_rejected(tests: list[tuple[int, float]]) -> list[bool]:
     return out
 
 
+def pieces(run: str) -> list[tuple[int, int]]:
+    """Candidates of a run: its parts between inner '=', and of a part that no encoding holds all that is left by each cut."""
+    out: set[tuple[int, int]] = set()
+    for m in PART.finditer(run):
+        part = m.group()
+        if any(c in "+/" for c in part) and any(c in "-_" for c in part):
+            out |= {(m.start() + c.start(), m.start() + c.end()) for cut in CUTS for c in cut.finditer(part)}
+        else:
+            out.add(m.span())
+    return sorted((a, b) for a, b in out if b - a >= LEAST)
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """All spans as (start, kind, end), sorted."""
     found: list[tuple[int, int, int]] = []
@@ -99,10 +115,15 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    tested = [(m.start(), m.end(), p) for m in TOKEN.finditer(text) if (p := randomness(m.group()))]
-    for (start, end, _), stands in zip(tested, not_rejected([(e - s, p[1]) for s, e, p in tested]), strict=True):
-        if stands:
-            found.append((start, 3, end))
+    tested = [(m.start() + a, m.start() + b, p) for m in TOKEN.finditer(text) for a, b in pieces(m.group()) if (p := randomness(m.group()[a:b]))]
+    random = [(s, e) for (s, e, _), stands in zip(tested, not_rejected([(e - s, p[1]) for s, e, p in tested]), strict=True) if stands]
+    joined: list[list[int]] = []
+    for start, end in sorted(random):
+        if joined and start < joined[-1][1]:  # pieces of different cuts that overlap are one span
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    found += [(start, 3, end) for start, end in joined]
     return sorted(found)
 
 
