@@ -183,16 +183,22 @@ def test_risk_never_fits_below_zero():
 
 # 5
 
+def long_windows(own):
+    """Place and length of all windows: three lines, or fewer with 50 words."""
+    words = [len(WORD.findall(x)) for _, x in own]
+    return [(k, n) for k in range(len(own)) for n in (1, 2, 3) if k + n <= len(own) and (n == 3 or sum(words[k : k + n]) >= 50)]
+
+
 def dedup_by_hand(texts):
     found, first = {}, {}
     for d, t in enumerate(texts):
         own = [(i, x) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)]
         found[d] = own
-        for k in range(len(own) - 2):
-            first.setdefault(tuple(x for _, x in own[k : k + 3]), (d, k))
+        for k, n in long_windows(own):
+            first.setdefault(tuple(x for _, x in own[k : k + n]), (d, k))
     out = {}
     for d, own in found.items():
-        gone = {k + j for k in range(len(own) - 2) if first[tuple(x for _, x in own[k : k + 3])] != (d, k) for j in range(3)}
+        gone = {k + j for k, n in long_windows(own) if first[tuple(x for _, x in own[k : k + n])] != (d, k) for j in range(n)}
         drop = {own[k][0] for k in gone}
         out[d] = ("\n".join(x for i, x in enumerate((texts[d] or "").split("\n")) if i not in drop), len(gone))
     return out
@@ -200,7 +206,7 @@ def dedup_by_hand(texts):
 
 def test_line_dedup_matches_brute_force(spark):
     block = "first line\nsecond line\nthird line\nfourth line"
-    texts = [*odd_texts(), block, "start\n\n" + block + "\nend", "same\nsame\nsame\nsame\nsame", block + "\n" + block, "first line\nsecond line"]
+    texts = [*odd_texts(), block, "start\n\n" + block + "\nend", "same\nsame\nsame\nsame\nsame", block + "\n" + block, "first line\nsecond line", prose(50, 50), "x\n" + prose(50, 50) + "\ny", prose(51, 49), prose(51, 49), prose(52, 25) + "\n\n" + prose(53, 25), "z\n" + prose(52, 25) + "\n" + prose(53, 25)]
     want = dedup_by_hand(texts)
     frame = docs(spark, texts)
     out = lines.dedup_lines(frame)
@@ -402,7 +408,7 @@ def test_near_duplicates_match_brute_force(spark):
 @pytest.mark.parametrize("block", [3, 768])
 def test_cells_find_what_pivots_leave(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "verified", lambda pairs, *_: pairs.where("false"))
+    monkeypatch.setattr(neardup, "pivot_links", lambda pairs, *_: pairs.where("false").select("a", "b"))
     texts = [*variants(40, 3), *(" ".join([*(f"s{k}" for k in range(90)), *(f"x{i}y{k}" for k in range(i % 40))]) for i in range(60))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == near_by_hand(texts)
@@ -505,7 +511,7 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     block = "\n".join(prose(i, 12) for i in range(70, 75))
-    texts = [prose(i, 60) for i in range(120)] + [prose(5, 60)] * 3 + [prose(200, 30) + "\n" + block, prose(201, 30) + "\n" + block, "too short", None]
+    texts = [prose(i, 60) for i in range(120)] + [prose(5, 60) + f" more{i}" for i in range(3)] + [prose(200, 30) + "\n" + block, prose(201, 30) + "\n" + block, "too short", None]
     frame = docs(spark, texts).drop("n_words")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handled at once inside a task, in bytes; bounds a worker's memory however long the texts are.
 SLICE_BYTES = 8 << 20
+#: Rows of a key from which a join deals it over pieces, and the most such keys and pieces of a key.
+HOT_ROWS, HOT_KEYS, HOT_PIECES = 4096, 1024, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +30,11 @@ def crc_bucket(doc_id: Column | str, parts: int) -> Column:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset (local tests) a folder of this machine is set, and only there."""
+    Where the setting is unset, a folder of this machine is set if the master is local; a cluster has to set its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
@@ -40,9 +44,37 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back, so a lost executor costs a re-read only."""
+    return stored(df, purpose, **options)[0]
+
+
+def stored(df: DataFrame, purpose: str, **options: str) -> tuple[DataFrame, str]:
+    """written(), and the folder, for discarded()."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that written() made, once nothing that is still to be computed reads it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns called c0, c1, ..., so that helper columns of other names can't meet them, and the new name of each."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for a right side with one row per key and weight, about the number of rows of left with that key.
+
+    Keys that many rows share are dealt over pieces: at most HOT_KEYS of them, those of most weight, are broadcast with
+    their number of pieces, rows of left go to a piece by their hash, and the row of right to all pieces of its key."""
+    often = right.where(F.col(weight) > HOT_ROWS).orderBy(F.desc(weight)).limit(HOT_KEYS)
+    often = F.broadcast(often.select(*keys, F.least(F.lit(HOT_PIECES), F.ceil(F.col(weight) / HOT_ROWS)).cast("int").alias("_pieces")))
+    one = left.join(often, keys, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_pieces").cast("long")), F.lit(0)).cast("int")).drop("_pieces")
+    two = right.join(often, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))).drop("_pieces")
+    return one.join(two.hint("merge"), [*keys, "_piece"], how).drop("_piece")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

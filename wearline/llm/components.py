@@ -1,11 +1,16 @@
-"""Connected components of a table of edges by alternating star steps; every step is joins and groupings."""
+"""Connected components of a table of edges by alternating star steps; every step is joins and groupings.
+
+A node with very many neighbours is dealt over pieces (spread_join()), so no step gathers a node's edges in one task.
+Null ends make no edge; loops and repeated edges count once; other columns are not carried; an empty table gives an
+empty table.  Tables of earlier rounds are deleted once the next one is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discarded, spread_join, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -17,8 +22,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     near = both_ways(edges)
     if not large:
         near = near.where("b < a")
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    joined = near.join(least, "a")
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count(F.lit(1)).alias("degree"))
+    joined = spread_join(near, least, ["a"], "degree")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
@@ -28,12 +33,14 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the least node that it reaches) of all nodes with an edge."""
-    now, mark = written(edges.select("a", "b").where("a != b").distinct(), "edges"), None
+    spark, mark = edges.sparkSession, None
+    now, path = stored(edges.select("a", "b").where("a != b").distinct(), "edges")
     while True:
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
         if row["n"] == 0 or (row["n"], row["sum"]) == mark:
             break
-        mark = (row["n"], row["sum"])
-        now = written(star(star(now, True), False), "edges")
+        mark, last = (row["n"], row["sum"]), path
+        now, path = stored(star(star(now, True), False), "edges")
+        discarded(spark, last)
     # every edge now hangs a node on the least of its component
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
