@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of tokens that are asked for, and the total as a multiple of that which takes the leading domain once.
@@ -157,8 +157,10 @@ def shares(rows: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
 
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more if a hash of the row falls under the rest."""
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rates = mix(docs.select("doc_id", "text", key.alias("_key")), labels, ["doc_id", "_key"]).groupBy("_key").agg(F.min("rate").alias("rate"))
-    even = F.pmod(F.xxhash64(F.col("_key"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.withColumn("_key", key).join(rates, "_key").withColumn("_copies", F.floor(F.col("rate") + even).cast("int"))
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows, at = numbered(docs)
+    rows = rows.withColumn("key", F.xxhash64(at["doc_id"], at["text"]))
+    texts = rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), "key")
+    rates = mix(texts, labels, ["doc_id", "key"]).groupBy("key").agg(F.min("rate").alias("rate"))
+    even = F.pmod(F.xxhash64(F.col("key"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.join(rates, "key").withColumn("copies", F.floor(F.col("rate") + even).cast("int")).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(c).alias(name) for name, c in at.items()))

@@ -8,13 +8,18 @@ the similarity and drops those far below the limit; the rest is verified on the
 Lists are worked through without writing out their pairs.  First every class is paired with one pivot of its lists,
 that of most of them (a hash picks pivots), and verified; the links make components.  Lists that still hold several
 components are then compared in cells of bounded size: a task has a cell's sketches, and members with partners that the
-estimate leaves go on to be verified in the same cells, which get each text once however many partners it has.  Two
-classes as similar as asked share 27 of INDEX values on average and fewer than OVERLAP with a probability below 1e-6,
-whatever the sizes of lists; sets of up to INDEX shingles are never missed.
+estimate leaves go on to be verified in the same cells.  Each pass sends a text once to each cell that needs it.
+
+What can be missed, by the bounds that the tests recompute: of INDEX values, classes at the limit of 75 percent share
+27 on average if their sets are of equal size, and 24 if one set holds the other, which is the worst case; fewer than
+OVERLAP with a probability below 1e-6 (5e-7) whatever the sizes of lists.  The estimate errs by more than its six
+deviations with a probability below 1e-8.  Sets of up to INDEX shingles are never missed.
 
 An empty or null text has no shingles and no links; fewer than five words are one shingle of the whole sequence; rows
 with a null id are left apart (component null, kept); rows that share an id count as one document with all their
-texts' links; repeated rows share a component; a text's length is not limited; an empty table gives an empty table.
+texts' links; repeated rows share a component; the least id of a component stays; a text's length is not limited.
+near_duplicates() returns its own columns alone; one_of_each() passes all columns, whatever their names; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, schema_of, sliced, texts_of, written
+from .common import emit, numbered, schema_of, sliced, spread_join, texts_of, written
 from .components import components
 from .hashing import shingles
 
 WORDS, LIMIT = 5, (75, 100)
 #: Least hashes kept, of these looked at for lists, how many of them a pair must share, and pivots of a list.
-KEEP, INDEX, OVERLAP, PIVOTS = 128, 32, 14, 6
+KEEP, INDEX, OVERLAP, PIVOTS = 128, 32, 11, 6
 #: Members and shingles of a block of a list, on average; they bound what a task holds, lists of any length are cut.
 BLOCK, BLOCK_SHINGLES = 768, 1 << 20
 #: Bits of the filter that texts pass before they are shuffled, in rows of 4 KB: 16 MB at any size of the input.
@@ -67,9 +72,9 @@ def postings(classes: DataFrame) -> DataFrame:
     value of one class alone counts as rarest and makes no list, so texts that share a common passage and are
     otherwise their own have no list at all."""
     values = classes.select("node", "n", F.explode("index").alias("value"))
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = written(values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "values")
     held = F.array_sort(F.collect_list(F.struct("often", "value")))  # at most INDEX values
-    rows = values.join(often, "value").groupBy("node", "n").agg(held.alias("held"))
+    rows = spread_join(values, often, ["value"], "often").groupBy("node", "n").agg(held.alias("held"))
     size = F.least(F.col("n"), F.lit(INDEX)).cast("int")
     first = size - F.least(F.lit(OVERLAP), F.ceil(size * LIMIT[0] / LIMIT[1]).cast("int")) + 1
     room = F.greatest(F.lit(0), first - (size - F.size("held")))
@@ -93,34 +98,55 @@ def texts_needed(docs: DataFrame, need: DataFrame, key: str, text: str) -> DataF
     byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.col("place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     rows = docs.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", rows_of("node")).withColumn("place", place("node"))
     near = rows.join(F.broadcast(bitmap), "row").where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("place").bitwiseAND(F.lit(7)))), F.lit(2)) == 1)
-    return near.select("node", "text").join(need, "node", "left_semi")
+    return near.select("node", "text").join(need.hint("merge"), "node", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (a, b) whose full sets are as similar as asked."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    texts = texts_needed(docs, need, key, text)
-    rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+def pivot_links(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Pairs (a, b) whose full sets are as similar as asked; b is a pivot of a, n the size of a's set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "x", AT_ONCE):
-            x, y = batch.column(batch.schema.get_field_index("x")).to_pylist(), batch.column(batch.schema.get_field_index("y")).to_pylist()
-            distinct = list({*x, *y})
-            sets = dict(zip(distinct, shingles(distinct, WORDS), strict=True))
-            good = []
-            for s, t in zip(x, y, strict=True):
-                both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
-                good.append(both > 0 and LIMIT[1] * both >= LIMIT[0] * (len(sets[s]) + len(sets[t]) - both))
-            yield emit(batch, ["a", "b"], {"good": pa.array(good, pa.bool_())})
+    Members of a pivot are dealt over blocks; a block has the pivot's text first and keeps its set alone, while the
+    members pass by."""
+    total = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")), "pivots")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    members = spread_join(pairs.select("a", "b"), total.select("b", "size", blocks.alias("blocks")), ["b"], "size")
+    members = members.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block"), F.lit(1).alias("place"))
+    heads = total.select(F.col("b").alias("node"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("place"))
+    found = written(members.unionByName(heads), "pivot-cells")
+    rows = found.join(texts_needed(docs, found.select("node"), key, text).hint("merge"), "node")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, head = None, []
+        for batch in sliced(batches, "text", AT_ONCE):
+            a, b, good = [], [], []
+            columns = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("node", "pivot", "block", "place"))
+            for node, pivot, block, place, s in zip(*columns, shingles(texts_of(batch, "text"), WORDS), strict=True):
+                if (pivot, block) != cell:
+                    cell, head = (pivot, block), []
+                if not place:
+                    head.append(s)  # more than one if rows share the id
+                    continue
+                a.append(node)
+                b.append(pivot)
+                good.append(any(similar(s, h) for h in head))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    rows = rows.select("node", "pivot", "block", "place", "text").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "place")
     return rows.mapInArrow(run, "a bigint, b bigint, good boolean").where("good").select("a", "b").distinct()
 
 
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    if not len(s) or not len(t) or min(len(s), len(t)) * LIMIT[1] < max(len(s), len(t)) * LIMIT[0]:
+        return False
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return LIMIT[1] * both >= LIMIT[0] * (len(s) + len(t) - both)
+
+
 def labelled(posted: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Postings with the component of their node; a node without links is its own."""
     if parts is None:
         return posted.withColumn("part", F.col("node"))
-    return posted.join(parts.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return posted.join(parts.select("node", F.col("component").alias("part")).hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
 
 
 def mixed_lists(posted: DataFrame, keys: list[str], *more) -> DataFrame:
@@ -133,11 +159,11 @@ def pivot_pairs(posted: DataFrame) -> DataFrame:
     component.  A pivot is the least of a list by a hash of the class alone, so a
     family of near copies has few of them."""
     picks = [F.min_by(F.struct("node", "n", "part"), F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
-    lists = mixed_lists(posted, ["value"], *picks).select("value", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
-    lists = lists.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.part").alias("other"))
-    pairs = posted.join(lists, "value").where((F.col("part") != F.col("other")) & sizes_fit("n", "m"))
-    counts = pairs.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-    return counts.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
+    lists = written(mixed_lists(posted, ["value"], *picks).select("value", "size", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots")), "pivot-lists")
+    pairs = spread_join(posted.select("node", "n", "part", "value"), lists, ["value"], "size").withColumn("p", F.explode("pivots"))
+    pairs = pairs.select("node", "n", "part", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), F.col("p.part").alias("other")).where((F.col("part") != F.col("other")) & sizes_fit("n", "m"))
+    counts = pairs.groupBy(F.col("node").alias("a"), "n", F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+    return counts.groupBy("a", "n").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
 
 
 def cells(posted: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -145,12 +171,12 @@ def cells(posted: DataFrame, sketch: DataFrame) -> DataFrame:
 
     A long list is cut into blocks by a hash of the class, and a cell holds two of them (or one with itself).  below has
     the class's other lists of smaller value, so that a pair is looked at in the first of its common lists alone."""
-    lists = mixed_lists(posted, ["value"], F.sum("n").alias("total"))
+    lists = written(mixed_lists(posted, ["value"], F.sum("n").alias("total")), "lists")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    rows = posted.join(lists.select("value", blocks.alias("blocks")), "value").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = spread_join(posted, lists.select("value", "size", blocks.alias("blocks")), ["value"], "size").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("below", F.filter("values", lambda v: v < F.col("value"))).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "below")
-    return together(rows.join(sketch, ["node", "n"]))
+    return together(rows.join(sketch.hint("merge"), ["node", "n"]))
 
 
 def together(rows: DataFrame) -> DataFrame:
@@ -281,30 +307,33 @@ def cell_links(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
-    return together(found.join(texts, "node")).mapInArrow(run, "a bigint, b bigint").distinct()
+    return together(found.join(texts.hint("merge"), "node")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = written(sketches(docs, key, text), "sketches")
-    known = rows.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
-    classes = written(known.groupBy("set_digest").agg(F.min(key).alias("node"), F.first("n_shingles").alias("n"), F.first("index").alias("index"), F.first("sketch").alias("sketch")), "classes")
+    linked = F.col(key).isNotNull() & (F.col("n_shingles") > 0)
+    known = rows.where(linked)
+    classes = written(known.groupBy("set_digest").agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("index").alias("index"), F.first("sketch").alias("sketch")), "classes")
     posted = written(postings(classes), "postings").withColumn("value", F.explode("values"))
-    edges = written(verified(written(pivot_pairs(labelled(posted, None)), "pivots"), docs, key, text), "links")
-    found = written(candidates(cells(labelled(posted, components(edges)), classes.select("node", "n", "sketch"))), "candidates")
-    parts = components(edges.unionByName(cell_links(found, docs, key, text)))
-    classes = classes.select("set_digest", "node").join(parts, "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
-    joined = rows.select(key, "n_shingles", "set_digest").join(classes, "set_digest", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key))
-    out = joined.withColumn("component_id", F.when(F.col(key).isNotNull(), alone))
+    edges = written(pivot_links(written(pivot_pairs(labelled(posted, None)), "pivot-pairs"), docs, key, text), "links")
+    parts = written(components(edges), "parts")
+    found = written(candidates(cells(labelled(posted, parts), classes.select("node", "n", "sketch"))), "candidates")
+    stars = parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = components(stars.unionByName(cell_links(found, docs, key, text)))
+    classes = classes.select("set_digest", "node", "copies").join(parts.hint("merge"), "node", "left").select("set_digest", "copies", F.coalesce("component", "node").alias("component_id"))
+    out = spread_join(known.select(key, "n_shingles", "set_digest"), classes, ["set_digest"], "copies").select(key, "n_shingles", "component_id")
+    out = out.unionByName(rows.where(~linked).select(key, "n_shingles", F.col(key).cast("bigint").alias("component_id")))
     return out.select(key, "n_shingles", "component_id", (F.col(key).isNull() | (F.col(key) == F.col("component_id"))).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are kept, all columns; of rows equal in id and text one stays."""
-    good = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    rows = docs.withColumn("_key", F.xxhash64("text")).join(good.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    rows, at = numbered(docs)
+    good = near_duplicates(docs.select(key, text), key, text).where("kept").select(F.col(key).alias("id")).distinct()
+    rows = rows.withColumn("hash", F.xxhash64(at[text])).join(good.hint("merge"), F.col(at[key]).eqNullSafe(F.col("id")), "left_semi")
+    return rows.dropDuplicates([at[key], "hash"]).select(*(F.col(c).alias(name) for name, c in at.items()))
 
 
 #: The same in SQL: all pairs that share a shingle, on exact words.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import numbered, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -141,7 +141,8 @@ def verdicts(stats: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns as they were; rows with a repeated doc_id are judged each by its text."""
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    stats = statistics(docs.select(key.alias("_key"), "lang", "source", "text"))
-    good = verdicts(stats).where("kept").select("_key").distinct()
-    return docs.withColumn("_key", key).join(good, "_key", "left_semi").select(*docs.columns)
+    rows, at = numbered(docs)
+    key = F.xxhash64(at["doc_id"], at["text"])
+    stats = statistics(rows.select(key.alias("key"), F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text")))
+    good = verdicts(stats).where("kept").select("key").distinct()
+    return rows.withColumn("key", key).join(good, "key", "left_semi").select(*(F.col(c).alias(name) for name, c in at.items()))
