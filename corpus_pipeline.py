@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs; all but the last return the columns of documents.  run() applies them to the documents table.
+
+Null and empty texts fail the quality rules; rows with null languages or sources are judged with their like; rows with
+null ids are judged each and never linked; repeated rows (equal id and text) become one at the near-dedup; ties are broken by the least id;
+texts of any length are read whole; more columns, whatever their names, pass all stages but the last; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines of windows that came before; texts that lose all their lines go."""
-    out = lines.dedup_lines(docs).where(F.col("n_removed").eqNullSafe(0) | (F.length(F.trim("text")) > 0))
+    """Texts without the lines of windows that came before; texts that lose all their lines with words go."""
+    # counts decide, not the shortened text
+    out = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
