@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wearline.llm import bpe, components, hashing, lines, media, mixing, neardup, pitman_yor, quality, secrets, toxicity, warc
+from wearline.llm import bpe, components, hashing, lines, media, mixing, neardup, pitman_yor, quality, seating, secrets, toxicity, warc
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string"
@@ -249,36 +249,96 @@ def test_language_model_edge_cases(spark):
     assert len(rows) == 2 and all(r.train_tokens == 0 and np.isfinite(r.score) for r in rows)
 
 
-def test_seating_keeps_its_counts():
-    rng = np.random.default_rng(0)
-    seats = pitman_yor.Seats(np.array([5, 0, 3, 9]), 0.5, rng)
-    who = np.array([0, 2, 3])
-    for _ in range(200):
-        seats.leave(who)
-        seats.sit(who, np.full(3, 1.5))
-        assert seats.c.tolist() == [5, 0, 3, 9] == np.bincount(seats.owner, seats.size, 4).astype(int).tolist()
-        assert seats.t.tolist() == np.bincount(seats.owner, minlength=4).tolist() and (seats.size > 0).all()
+def test_tokens_know_the_words_before():
+    texts = ["a b c", "", "d", "e f"]
+    word, one, two, doc = pitman_yor.tokens(texts)
+    h = {w: int(pitman_yor.tokens([w])[0][0]) for w in "abcdef"}
+    e, s = pitman_yor.END, pitman_yor.START
+    want = [("a", s, s, 0), ("b", "a", s, 0), ("c", "b", "a", 0), (e, "c", "b", 0), (e, s, s, 1), ("d", s, s, 2), (e, "d", s, 2), ("e", s, s, 3), ("f", "e", s, 3), (e, "f", "e", 3)]
+    assert list(zip(word.tolist(), one.tolist(), two.tolist(), doc.tolist(), strict=True)) == [tuple(h.get(x, x) for x in row) for row in want]
+    assert [len(x) for x in pitman_yor.tokens([])] == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("discount", [0.5, 0.75, 0.8])
+def test_tables_follow_stirling_numbers(discount):
+    rng, size, n = np.random.default_rng(0), 900, 3000
+    logs, t = seating.stirling(discount, size), np.arange(1, size + 1)
+    for weight in (1e-3, 0.3, 5, 40, 400):
+        for c in (2, 30, 512, size):
+            w = logs[c, 1 : c + 1] + t[:c] * np.log(weight)
+            w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+            mean = (w * t[:c]).sum()
+            spread = math.sqrt((w * t[:c] ** 2).sum() - mean**2)
+            got = seating.tables(np.full(n, c), np.full(n, float(weight)), discount, rng.random(n), rng.random(n))
+            assert got.min() >= 1 and got.max() <= c
+            assert got.mean() == pytest.approx(mean, abs=5 * spread / math.sqrt(n) + 0.03 * mean * (c > seating.EXACT))
+
+
+def one_by_one(counts, base, discount, strength, sweeps, rng):
+    """Mean tables of each dish of a restaurant: customers leave and sit down again one after the other."""
+    seats, total = [[1] * c for c in counts], np.zeros(len(counts))
+    for k in range(sweeps):
+        for w, own in enumerate(seats):
+            for _ in range(counts[w]):
+                at = rng.choice(len(own), p=np.array(own) / sum(own))
+                own[at] -= 1
+                if not own[at]:
+                    own.pop(at)
+                weights = np.array([x - discount for x in own] + [(strength + discount * sum(map(len, seats))) * base[w]])
+                at = rng.choice(len(weights), p=weights / weights.sum())
+                if at == len(own):
+                    own.append(0)
+                own[at] += 1
+        total += [len(x) for x in seats] if k >= sweeps // 10 else 0
+    return total / (sweeps - sweeps // 10)
+
+
+def test_sweeps_match_seating_one_by_one():
+    counts, base = [2, 7, 20], np.array([0.05, 0.6, 0.2])
+    want = one_by_one(counts, base, pitman_yor.DISCOUNT[1], pitman_yor.STRENGTH[1], 1500, np.random.default_rng(1))
+    rng, c, ctx = np.random.default_rng(2), np.array(counts), np.zeros(3, int)
+    t, sums, n = np.ones(3, int), np.zeros(3), 6000
+    for _ in range(n):
+        t = pitman_yor.sweep(c, t, ctx, 1, base, 1, rng)
+        sums += t
+    assert sums / n == pytest.approx(want, rel=0.06)
 
 
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
-    pairs = sorted({(int(w), int(x)) for w, x in zip(rng.zipf(1.5, 400) % 30, rng.integers(0, 4, 400), strict=True)})
-    word, context = (np.array(x) for x in zip(*pairs, strict=True))
-    count = rng.integers(1, 20, len(pairs))
-    k = pitman_yor.CONTEXTS
-    n_words = int(word.max()) + 1
-    v = len(np.unique(word))
-    all_ = pitman_yor.Totals(int(count.sum()), v, np.bincount(context, count, k), np.bincount(context, minlength=k))
-    samples = list(pitman_yor.seated(word, context, count, n_words, all_, 1))
-    tables = np.array([np.bincount(context, t, k) for t, _, _ in samples])
-    parent = np.array([[c0.sum(), t0.sum()] for _, c0, t0 in samples], float)
-    p, parents = pitman_yor.predictive(word, context, count, samples, tables, parent, all_, n_words)
-    back = (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * tables) / (pitman_yor.STRENGTH + all_.customers)
-    for x in range(4):
-        known = {int(w): q for w, c, q in zip(word, context, p, strict=True) if c == x}
-        rest = sum(float((parents[:, w] * back[:, x]).mean()) for w in np.unique(word) if w not in known)
-        nothing = np.mean([back[s, x] * (pitman_yor.PARENT_STRENGTH + pitman_yor.PARENT_DISCOUNT * parent[s, 1]) / (v + 1) / (pitman_yor.PARENT_STRENGTH + parent[s, 0]) for s in range(len(samples))])
-        assert sum(known.values()) + rest + nothing == pytest.approx(1)
+    n_words, n2, n3 = 30, 4, 9
+    base = rng.dirichlet(np.ones(n_words + 1))[:n_words]  # the rest is for words that are not known
+    ctx2, word2 = np.repeat(np.arange(n2), n_words), np.tile(np.arange(n_words), n2)
+    up = rng.integers(0, n2, n3)
+    of3, of2 = np.repeat(np.arange(n3), n_words), (up[:, None] * n_words + np.arange(n_words)).ravel()
+    c3 = np.maximum(0, rng.zipf(1.5, n3 * n_words) % 50 - 1)
+    p = pitman_yor.sampled(c3, of3, n3, of2, ctx2, n2, base[word2], np.random.default_rng(0))
+    sums = np.bincount(of3, p)
+    assert (sums < 1).all() and (p > 0).all()
+    full = pitman_yor.sampled(c3, of3, n3, of2, ctx2, n2, base[word2] / base.sum(), np.random.default_rng(0))
+    assert np.bincount(of3, full) == pytest.approx(np.ones(n3))
+
+
+def test_language_model_knows_contexts(spark):
+    rng = np.random.default_rng(8)
+    chain = {w: rng.choice(PROSE, 2).tolist() for w in PROSE}
+
+    def walk(n):
+        out = [str(rng.choice(PROSE))]
+        while len(out) < n:
+            out.append(chain[out[-1]][rng.integers(2)])
+        return " ".join(out)
+
+    texts = [walk(60) for _ in range(150)]
+    again = [" ".join(rng.choice(PROSE, 60)) for _ in range(4)]
+    rows = {r.doc_id: r for r in pitman_yor.scored(docs(spark, [*texts, *again, *again]), (F.col("doc_id") % 5 != 1) & (F.col("doc_id") < 154)).collect()}
+    gain = lambda i: (rows[i].score - rows[i].base_score) / rows[i].n_tokens
+    held = [gain(i) for i in range(150) if i % 5 == 1]
+    assert min(held) > 0.5  # a step has two choices of some twenty
+    fresh = pitman_yor.scored(docs(spark, [*texts, *again]), (F.col("doc_id") % 5 != 1) & (F.col("doc_id") < 150)).where("doc_id >= 150").collect()
+    alone = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in fresh}
+    # a random text that was learned from is told apart from one that was not
+    assert all(gain(154 + i) > alone[150 + i] + 0.2 for i in range(4) if (150 + i) % 5 != 1)
 
 
 # 7
