@@ -1,15 +1,20 @@
 """Quality rules: base rules on counted statistics, and robust multivariate outliers per language and source.
 
 Everything is DataFrame expressions.  statistics() counts on every whole text; verdicts() turns the counts into a
-vector of shares, estimates centre and scatter per group by the minimum-covariance-determinant iteration (start from
-medians and deviations, then repeated concentration steps on the nearer HALF_SHARE of the group), and rejects
-documents whose squared Mahalanobis distance is over CUTOFF.  Quantiles come from counts over fixed bins, so they
-don't depend on the order of rows and a group of any size needs one bounded row per bin.
-
-Groups of fewer than LEAST_GROUP documents are pooled by language, and those that are still fewer together; a pool
-that stays below it gets no verdict and its documents are kept.  A null or empty text has zero counts and fails the
-base rules; null languages or sources form groups of their own; repeated rows are judged each; an empty table gives
-an empty table; texts of any length are counted whole.
+vector of shares, estimates centre and scatter per group by the minimum covariance determinant, and rejects documents
+whose squared Mahalanobis distance is over CUTOFF.  Several starts (medians and deviations, lower quartiles and
+deviations, means and covariances) each take STEPS concentration steps on the nearer HALF_SHARE of the group; the one
+whose scatter has the smallest determinant stays.  Scatters have a floor, so that the determinant of a constant
+statistic isn't 0.  Quantiles come from counts over fixed bins, so they don't depend on the order of rows and a group of any size
+needs one bounded row per bin.
+
+The same is estimated for each language and for all documents, and a group's estimate is drawn towards its language's,
+which is drawn towards all, by the weight of SHRINK documents: small groups need no rule of their own.
+
+A null or empty text has zero counts and fails the base rules; null languages or sources form groups of their own;
+repeated rows are judged each, and equal texts of a group alike; an empty table gives an empty table; texts of any
+length are counted whole.  statistics() and kept_documents() pass other columns, whatever their names; columns named like
+a new one are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +23,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import numbered, written
 
@@ -26,7 +30,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Base rules: least words, and the largest percentage of words in repeated windows of SPAN words.
 LEAST_WORDS, MOST_REPEATED, SPAN = 20, 30, 8
-LEAST_GROUP, HALF_SHARE, STEPS = 50, 0.5, 3
+SHRINK, HALF_SHARE, STEPS = 50, 0.5, 3
 #: Makes the scatter of the nearer half of a normal sample in 4 dimensions that of the whole sample.
 CONSISTENCY = 2.11
 #: Squared distance over which a document is an outlier; a chi-squared variable with 4 degrees exceeds it three times in 1e7.
@@ -39,8 +43,10 @@ BINS = 4096
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
-    keep = [c for c in docs.columns if c != text]
-    body = F.coalesce(F.col(text), F.lit(""))
+    new = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    docs, place = numbered(docs.drop(*(c for c in new if c != text)))
+    keep = [c for name, c in place.items() if name != text]
+    body = F.coalesce(F.col(place[text]), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # each step names what later steps use more than once, so that it is worked out once
     rows = docs.select(*keep, F.filter(F.split(body, SPACES), lambda w: w != "").alias("_words"), F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("_lines"))
@@ -56,7 +62,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter("_sorted", lambda x, k: x["h"].eqNullSafe(at(k - 1)["h"]) | x["h"].eqNullSafe(at(k + 1)["h"]))
     rows = rows.withColumn("_places", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("_sorted")
     step = F.aggregate(F.slice("_places", 2, F.size("_places")), F.struct(F.lit(SPAN).alias("sum"), F.get("_places", F.lit(0)).alias("last")), lambda a, p: F.struct((a["sum"] + F.least(F.lit(SPAN), p - a["last"])).alias("sum"), p.alias("last")))
-    return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(step["sum"], F.lit(0)).cast("long").alias("n_repeat_words"))
+    return rows.select(*(F.col(c).alias(name) for name, c in place.items() if name != text), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(step["sum"], F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -72,14 +78,12 @@ def vector() -> dict[str, Column]:
     }
 
 
-def quantile(rows: DataFrame, values: dict[str, Column], q: float) -> DataFrame:
-    """Per group, the value below which a share q of each column lies, from counts over bins of 4 / BINS (values in [0, 4))."""
+def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], shares: dict[str, float]) -> DataFrame:
+    """Per group, <share name>_<value name>: below what a share of each column lies, from counts over bins of 4 / BINS (values in [0, 4))."""
     bins = F.explode(F.array(*(F.struct(F.lit(k).alias("dim"), F.floor(v * (BINS / 4)).cast("int").alias("bin")) for k, v in values.items())))
-    counts = rows.select("group", bins.alias("b")).groupBy("group", "b.dim", "b.bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("group", "dim")
-    below = counts.withColumns({"below": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    hit = below.where(F.col("below") >= q * F.col("all")).groupBy("group", "dim").agg(((F.min("bin") + 0.5) * (4 / BINS)).alias("at"))
-    return hit.groupBy("group").agg(*(F.max(F.when(F.col("dim") == k, F.col("at"))).alias(k) for k in values))
+    counts = rows.select(*keys, bins.alias("b")).groupBy(*keys, "b.dim", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+    at = counts.groupBy(*keys, "dim").agg(F.percentile("bin", F.array(*map(F.lit, shares.values())), F.col("n")).alias("at"))  # at most BINS counts
+    return at.groupBy(*keys).agg(*((F.max(F.when(F.col("dim") == k, F.get("at", F.lit(i)))) * (4 / BINS) + 2 / BINS).alias(f"{name}_{k}") for k in values for i, name in enumerate(shares)))
 
 
 def squeezed(distance: Column) -> Column:
@@ -87,56 +91,81 @@ def squeezed(distance: Column) -> Column:
     return F.least(F.lit(3.999), F.log1p(distance) / 5)
 
 
-def distance(centre: list[Column], factor: list[list[Column]]) -> Column:
-    """Squared length of the solution of factor * y = x - centre, factor lower triangular."""
+PLACES = range(len(DIMS))
+PAIRS = [(i, j) for i in PLACES for j in range(i + 1)]
+#: Names of an estimate's numbers: centre and scatter.
+ESTIMATE = [*(f"m{i}" for i in PLACES), *(f"s{i}{j}" for i, j in PAIRS)]
+
+
+def factored(estimates: DataFrame) -> DataFrame:
+    """Estimates with the numbers l<i><j> of the factor, made one after the other."""
+    for i, j in PAIRS:
+        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"s{i}{j}"))  # noqa: B023
+        estimates = estimates.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
+    return estimates
+
+
+def distance() -> Column:
+    """Squared Mahalanobis distance of x0, x1, ... from the centre m<i> with the factor l<i><j>."""
     y: list[Column] = []
     for i, k in enumerate(DIMS):
-        rest = reduce(lambda a, j: a - factor[i][j] * y[j], range(i), F.col(k) - centre[i])
-        y.append(rest / factor[i][i])
+        y.append(reduce(lambda a, j: a - F.col(f"l{i}{j}") * y[j], range(i), F.col(k) - F.col(f"m{i}")) / F.col(f"l{i}{i}"))  # noqa: B023
     return reduce(lambda a, b: a + b, (v * v for v in y))
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """Per group: centre m<i> and the lower triangular factor l<i><j> of the scatter, with the floors added."""
-    pairs = [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
-    sums = rows.groupBy("group").agg(*(F.avg(k).alias(f"m{i}") for i, k in enumerate(DIMS)), *(F.avg(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"s{i}{j}") for i, j in pairs))
-    for i, j in pairs:
-        scatter = CONSISTENCY * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOOR[DIMS[i]] ** 2 if i == j else 0)
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), scatter)  # noqa: B023
-        sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
-    return sums.select("group", *(f"m{i}" for i in range(len(DIMS))), *(f"l{i}{j}" for i, j in pairs))
+def moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """Per group: n, centre and scatter (times scale, with the floors added)."""
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(k).alias(f"m{i}") for i, k in enumerate(DIMS)), *(F.avg(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"s{i}{j}") for i, j in PAIRS))
+    floor = lambda i, j: FLOOR[DIMS[i]] ** 2 if i == j else 0.0
+    return sums.withColumns({f"s{i}{j}": scale * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + floor(i, j) for i, j in PAIRS})
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """stats with its group: language and source, or the pool it falls into; null if that is too small as well."""
-    rows = stats.withColumns({"group": F.to_json(F.struct("lang", "source")), "_pool": F.to_json(F.struct("lang"))})
-    for pool in ("_pool", F.lit("all")):
-        size = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("size"))
-        rows = rows.join(size, F.col("group") == F.col("g"), "left").withColumn("group", F.when(F.col("size") >= LEAST_GROUP, F.col("group")).otherwise(F.col(pool) if isinstance(pool, str) else pool)).drop("g", "size")
-    size = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST_GROUP).drop("size")
-    return rows.join(size, F.col("group") == F.col("g"), "left").withColumn("group", F.col("g")).drop("g", "_pool")
+def starts(fit: DataFrame) -> DataFrame:
+    """Three estimates of each group to begin with, by start."""
+    middle = written(quantiles(fit, ["group"], {k: F.col(k) for k in DIMS}, {"low": 0.25, "mid": 0.5}), "quality-fit")
+    apart = quantiles(fit.join(middle, "group"), ["group"], {k: F.abs(F.col(k) - F.col(f"mid_{k}")) for k in DIMS}, {"off": 0.5})
+    middle = middle.join(apart, "group")
+    even = lambda name: [*(F.col(f"{name}_{k}").alias(f"m{i}") for i, k in enumerate(DIMS)), *((F.greatest(1.4826 * F.col(f"off_{DIMS[i]}"), F.lit(FLOOR[DIMS[i]])) ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS)]
+    plain = moments(fit, ["group"], 1.0).select("group", F.lit("mean").alias("start"), *ESTIMATE)
+    return reduce(lambda a, b: a.unionByName(b), (middle.select("group", F.lit(name).alias("start"), *even(name)) for name in ("mid", "low")), plain)
 
 
-def verdicts(stats: DataFrame) -> DataFrame:
-    """stats with distance2 (null without a group), base_failed and kept; asks for lang, source and the counts."""
-    names = [c for c in stats.columns if c not in ("group", "distance2", "base_failed", "kept", *DIMS)]
-    rows = written(stats.select(*names).withColumns(vector()), "quality-statistics")
-    rows = written(grouped(rows), "quality-vectors")
-    fit = rows.where(F.col("group").isNotNull() & ~base_failed())
-    middle = quantile(fit, {k: F.col(k) for k in DIMS}, 0.5).select("group", *(F.col(k).alias(f"m{i}") for i, k in enumerate(DIMS)))
-    middle = written(middle, "quality-fit")
-    apart = fit.join(middle, "group")
-    spread = quantile(apart, {k: F.abs(F.col(k) - F.col(f"m{i}")) for i, k in enumerate(DIMS)}, 0.5)
-    zero = F.lit(0.0)
-    held = middle.join(spread, "group").select("group", *(f"m{i}" for i in range(len(DIMS))), *((F.greatest(1.4826 * F.col(k), F.lit(FLOOR[k])) if i == j else zero).alias(f"l{i}{j}") for i, k in enumerate(DIMS) for j in range(i + 1)))
-    held = written(held, "quality-fit")
-    far = distance([F.col(f"m{i}") for i in range(len(DIMS))], [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(len(DIMS))])
+def estimates(fit: DataFrame) -> DataFrame:
+    """group, n, centre and scatter by the minimum covariance determinant."""
+    held = written(starts(fit), "quality-fit")
     for _ in range(STEPS):
-        near = fit.join(held, "group").select("group", *DIMS, squeezed(far).alias("d"))
-        limit = quantile(near, {"d": F.col("d")}, HALF_SHARE).withColumnRenamed("d", "limit")
-        held = written(moments(near.join(limit, "group").where(F.col("d") <= F.col("limit") + 4 / BINS)), "quality-fit")
-    judged = rows.join(held, "group", "left").withColumn("distance2", far)
-    return judged.select(*names, "distance2", base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(F.col("distance2") > CUTOFF, F.lit(False))).alias("kept"))
+        near = fit.join(factored(held), "group").select("group", "start", *DIMS, squeezed(distance()).alias("d"))
+        limit = quantiles(near, ["group", "start"], {"d": F.col("d")}, {"limit": HALF_SHARE})
+        held = written(moments(near.join(limit, ["group", "start"]).where(F.col("d") <= F.col("limit_d") + 4 / BINS), ["group", "start"], CONSISTENCY), "quality-fit")
+    size = fit.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    determinant = reduce(lambda a, i: a * F.col(f"l{i}{i}"), PLACES, F.lit(1.0))
+    least = factored(held).groupBy("group").agg(F.min_by(F.struct(*ESTIMATE), F.struct(determinant, "start")).alias("e"))
+    return least.join(size, "group").select("group", "n", "e.*")
+
+
+def drawn_towards(own: DataFrame, other: DataFrame, at: str) -> DataFrame:
+    """Estimates of own, and the group it belongs to in column at, drawn towards the estimate of that group by SHRINK documents."""
+    other = other.select(F.col("group").alias(at), *(F.col(c).alias(f"o{c}") for c in ESTIMATE))
+    rows = own.join(other, at)
+    return rows.select(*(c for c in own.columns if c not in ESTIMATE), *(((F.col("n") * F.col(c) + SHRINK * F.col(f"o{c}")) / (F.col("n") + SHRINK)).alias(c) for c in ESTIMATE))
+
+
+def verdicts(stats: DataFrame) -> DataFrame:
+    """stats with distance2 (null if no document of its group passes the base rules), base_failed and kept; asks for lang, source and the counts."""
+    rows, at = numbered(stats.drop("distance2", "base_failed", "kept"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    rows = rows.withColumns({c: F.col(at[c]) for c in counts}).withColumns(vector())
+    levels = F.array(F.to_json(F.struct(F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source"))), F.to_json(F.struct(F.col(at["lang"]).alias("lang"))), F.lit("all"))
+    rows = written(rows.withColumn("levels", levels).withColumn("group", F.get("levels", F.lit(0))), "quality-statistics")
+    good = rows.where(~base_failed())
+    found = written(estimates(good.select(F.explode("levels").alias("group"), *DIMS)), "quality-fit")
+    names = good.select(F.col("group"), F.get("levels", F.lit(1)).alias("upper")).distinct()
+    every = found.where("group = 'all'")
+    upper = drawn_towards(found.join(names.select(F.col("upper").alias("group")).distinct(), "group").withColumn("top", F.lit("all")), every, "top")
+    held = factored(drawn_towards(found.join(names, "group"), upper, "upper")).select("group", *(f"m{i}" for i in PLACES), *(f"l{i}{j}" for i, j in PAIRS))
+    judged = rows.join(written(held, "quality-fit"), "group", "left").withColumn("distance2", distance()).withColumn("base_failed", base_failed())
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance2") > CUTOFF, F.lit(False))
+    return judged.select(*(F.col(c).alias(name) for name, c in at.items()), "distance2", "base_failed", kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
