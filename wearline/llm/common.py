@@ -65,13 +65,14 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), {c: f"c{i}" for i, c in enumerate(df.columns)}
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """left.join(right, keys, how) for a right side with one row per key and weight, about the number of rows of left with that key.
 
-    Keys that many rows share are dealt over pieces: at most HOT_KEYS of them, those of most weight, are broadcast with
-    their number of pieces, rows of left go to a piece by their hash, and the row of right to all pieces of its key."""
-    often = right.where(F.col(weight) > HOT_ROWS).orderBy(F.desc(weight)).limit(HOT_KEYS)
-    often = F.broadcast(often.select(*keys, F.least(F.lit(HOT_PIECES), F.ceil(F.col(weight) / HOT_ROWS)).cast("int").alias("_pieces")))
+    Keys that more than about so many rows share are dealt over pieces: at most HOT_KEYS of them, those of most weight,
+    are broadcast with their number of pieces, rows of left go to a piece by their hash, and the row of right to all
+    pieces of its key.  The plan is the same at every size."""
+    often = right.where(F.col(weight) > rows).orderBy(F.desc(weight)).limit(HOT_KEYS)
+    often = F.broadcast(often.select(*keys, F.least(F.lit(HOT_PIECES), F.ceil(F.col(weight) / rows)).cast("int").alias("_pieces")))
     one = left.join(often, keys, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_pieces").cast("long")), F.lit(0)).cast("int")).drop("_pieces")
     two = right.join(often, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))).drop("_pieces")
     return one.join(two.hint("merge"), [*keys, "_piece"], how).drop("_piece")

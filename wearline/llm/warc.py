@@ -9,7 +9,8 @@ seek table, opens the frames and yields the records; fetch() opens only the fram
 revisits() decides the record types: of rows with equal payloads of LEAST bytes or more, that with the largest id is
 a response and the others revisit it (rows that repeat this largest id are responses too; null ids come last and are
 never referred to); smaller payloads are all responses.  A null payload is empty; a null address leaves its header
-out; line breaks in an address are escaped.  Extra columns are not carried; an empty table gives no bundles.
+out; line breaks in an address are escaped.  Extra columns are not carried, whatever their names; repeated rows are
+records each; payloads of any length are one record; an empty table gives no bundles.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, spread_join
 
 #: Payloads below this many bytes are never revisited.
 LEAST = 1000
+#: Rows with one payload that a task takes.
+COPIES = 256
 #: Raw bytes after which a frame ends, compressed bytes after which a bundle ends.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
 #: Fixed values of the seekable format: number of the skippable frame and of the footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 BUNDLES = "bundle string, content binary, records array<struct<record_id:string,frame:int,offset:int,length:int>>"
-RECORDS = "page_id bigint, record_type string, refers_to bigint, url string, payload binary, header_digest string"
+RECORDS = "page_id bigint, record_type string, refers_to bigint, url string, payload binary, header_digest string, length bigint"
 WRITE = {"compression": "uncompressed", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 
@@ -42,10 +45,11 @@ def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
     """page_id, url, payload, digest, record_type and refers_to of every row."""
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"), (F.octet_length(body) >= LEAST).alias("large"))
-    # only copies need an answer, so few rows meet the payloads
-    last = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND last IS NOT NULL").drop("n")
+    # small payloads have no copies to look for, and a key of their own each, so that empty pages don't meet in one task
+    rows = rows.withColumn("copy", F.when(F.col("large"), F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    last = rows.where("large").groupBy("copy").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND last IS NOT NULL")
     again = F.col("large") & F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
-    return rows.join(last, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
+    return spread_join(rows, last, ["copy"], "n", COPIES, "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
 
 
 def urn(page_id: int | None) -> str:
@@ -152,16 +156,17 @@ def answer(headers: dict[str, str], block: bytes) -> dict:
     """A record as a row of RECORDS."""
     number = lambda name: int(x) if (x := headers.get(name, "")[10:-1]) else None
     url = headers.get("WARC-Target-URI")
-    kind = headers["WARC-Type"]
+    kind, inner = headers["WARC-Type"], block[: block.index(b"\r\n\r\n")].decode().split("\r\n")[1:]
     return {
         "page_id": number("WARC-Record-ID"), "record_type": kind, "refers_to": number("WARC-Refers-To"),
         "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
         "payload": block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None,
         "header_digest": base64.b32decode(headers["WARC-Payload-Digest"][5:]).hex(),
+        "length": int(dict(line.split(": ", 1) for line in inner)["Content-Length"]),
     }
 
 
-ROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("header_digest", pa.string())])
+ROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("header_digest", pa.string()), ("length", pa.int64())])
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
@@ -196,8 +201,6 @@ def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def described(records: DataFrame) -> DataFrame:
-    """Per record: its identifier, the length and SHA-1 of its full payload (a revisit has that of its response), type and reference."""
-    own = records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.coalesce(F.sha1("payload"), "header_digest").alias("payload_digest"))
-    first = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min("payload_bytes").alias("payload_bytes"))
-    seen = own.where("record_type = 'revisit'").drop("payload_bytes").join(first, ["refers_to", "payload_digest"], "left")
-    return own.where("record_type = 'response'").unionByName(seen)
+    """Per record: its identifier, the length and SHA-1 of its full payload, type and reference; a revisit has those that its headers name."""
+    size, digest = F.coalesce(F.octet_length("payload").cast("long"), "length"), F.coalesce(F.sha1("payload"), "header_digest")
+    return records.select("page_id", "record_type", "refers_to", size.alias("payload_bytes"), digest.alias("payload_digest"))
