@@ -98,7 +98,8 @@ def texts_needed(docs: DataFrame, need: DataFrame, key: str, text: str) -> DataF
     byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.col("place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     rows = docs.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", rows_of("node")).withColumn("place", place("node"))
     near = rows.join(F.broadcast(bitmap), "row").where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("place").bitwiseAND(F.lit(7)))), F.lit(2)) == 1)
-    return near.select("node", "text").join(need.hint("merge"), "node", "left_semi")
+    # an inner join: a semi join would be moved below the bitmap
+    return near.select("node", "text").join(need.hint("merge"), "node")
 
 
 def pivot_links(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
