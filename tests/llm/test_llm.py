@@ -549,7 +549,94 @@ def test_randomness_battery():
     assert sum(map(bool, kinds)) > 180
     plain = ["a1" * 15, "abcdefghijklmnop0123456789", "aaaaaaaaaaaaaaaaaaaa1", "thisIsAVeryLongNameOfAVariable" * 2, "internationalisation-committee"]
     assert not any(s for t in plain[:3] for s in secrets.scan(t) if s[1] == 3) and not secrets.scan(plain[4])
-    assert secrets.not_rejected([]) == [] and secrets.not_rejected([(40, 1e-9), (40, 0.9)]) == [False, True]
+    assert secrets.refuted([]) == [] and secrets.refuted([(40, 1e-9), (40, 0.9)]) == [True, False]
+    # length counts: equal p-values, of which the longer token's is taken
+    assert secrets.refuted([(30, 0.03), (90, 0.03)]) == [False, True]
+
+
+def test_ordinary_tokens_are_not_reported():
+    """Names of words, of which each text has several: the share of texts with a report stays below the level."""
+    rng = np.random.default_rng(4)
+    name = lambda: "".join(str(w).title() if rng.random() < 0.5 else str(w) for w in rng.choice(PROSE, 5)) + str(rng.integers(1, 99))
+    texts = [" ".join(name() for _ in range(5)) for _ in range(400)]
+    assert sum(any(k == 3 for _, k, _ in secrets.scan(t)) for t in texts) <= 0.05 * len(texts)
+
+
+def test_battery_matches_simulation():
+    """Tails against drawn samples of what each test is to refute."""
+    rng = np.random.default_rng(5)
+    q = rng.dirichlet(np.ones(62))
+    q = q * 0 + 1 / 62 + (q - 1 / 62) * math.sqrt((secrets.SQUARES - 1 / 62) / ((q - 1 / 62) ** 2).sum())  # sum of squares as in text
+    q = np.maximum(q, 0) / np.maximum(q, 0).sum()
+    x = lambda v: ((np.bincount(v, minlength=62) - len(v) / 62) ** 2).sum()
+    sample = [rng.choice(62, 40, p=q) for _ in range(3000)]
+    for p in (0.05, 0.2):
+        low = np.quantile([x(v) for v in sample], p)
+        seen = [secrets.evenness(v, 62) for v in sample if x(v) <= low]
+        assert max(seen) < 2.5 * p + 0.02  # the share of such text that is as even as this
+    flips = [int((rng.random(29) < secrets.SWITCHES).sum()) for _ in range(20000)]
+    for k in (5, 8, 11):
+        assert secrets.binomial_above(k, 29, secrets.SWITCHES) == pytest.approx(np.mean([f >= k for f in flips]), abs=0.012)
+
+
+def rules_by_hand(text):
+    """The three fixed rules without patterns: characters are taken one by one."""
+    out = []
+    kinds = [("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20)]
+    for kind, head, tail, least in kinds:
+        at = 0
+        while (at := text.find(head, at)) >= 0:
+            end = at + len(head)
+            while end < len(text) and text[end] in tail:
+                end += 1
+            if end - at >= max(least, len(head) + 1):
+                out.append((at, kind, end))
+            at = end if end > at + len(head) else at + 1
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in "0123456789abcdef":
+            end += 1
+        if end - at >= 24:
+            out.append((at, "hex", end))
+        at = max(end, at + 1)
+    names, value = ("password", "passwd", "secret", "token", "api_key", "apikey"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    fold = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    at = 0
+    while at < len(text):
+        name = next((n for n in names if fold(text[at : at + len(n)]) == n), None)
+        at += 1
+        if not name:
+            continue
+        p = at - 1 + len(name)
+        p += text[p : p + 1] in ("'", '"') and p < len(text)
+        while text[p : p + 1] == " ":
+            p += 1
+        if text[p : p + 1] not in (":", "=") or p >= len(text):
+            continue
+        p += 1
+        while text[p : p + 1] == " ":
+            p += 1
+        p += text[p : p + 1] in ("'", '"') and p < len(text)
+        end = p
+        while end < len(text) and text[end] in value:
+            end += 1
+        if end == p:
+            continue
+        if end - p >= 6:
+            out.append((at - 1, "assign", end))
+        at = end
+    order = ("assign", "access", "hex")
+    return sorted(out, key=lambda x: (x[0], order.index(x[1])))
+
+
+def test_secret_rules_match_brute_force():
+    rng = np.random.default_rng(6)
+    bits = ["password", "Secret", "API_KEY", "apikey", "token", "AKIA", "AKIA" + "Q1" * 8, "0123456789abcdef", "a", "f", "Z", "9", ":", "=", " ", "'", '"', "_", "-", "é", "abcdef", "."]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits, int(rng.integers(1, 14))))
+        got = [(s, secrets.KINDS[k], e) for s, k, e in secrets.scan(text) if k != 3]
+        assert got == rules_by_hand(text), text
 
 
 def test_secrets_behind_names_and_paths():

@@ -2,13 +2,16 @@
 
 A run of letters of encodings is cut at inner '=', and where it mixes both base64 alphabets at '+', '/' or at '-', '_'.
 A token of LEAST characters or more with digits and letters gets the smallest encoding that holds it (hex, base32,
-base36, base62, base64).  Under the hypothesis that its symbols are drawn evenly and independently: a chi-squared
-test of the counts, a runs test about the middle of the alphabet and a lag-1 serial correlation test.  The three
-p-values are combined by Fisher's rule.  Tokens whose randomness is rejected by the false-discovery procedure, with
-weights in proportion to their lengths over the tokens of the text, are ordinary text; the others are secrets.
-
-A null or empty text has no spans; a text is scanned whole whatever its length; repeated rows are scanned each;
-extra input columns are not carried; an empty table gives an empty table.  Spans are in code points, end exclusive.
+base36, base62, base64).  What is to be refuted is that a token is ordinary: that its symbols are used as unevenly as
+letters of text are (chi-squared of the counts against the non-central distribution of such text), or that its capitals,
+small letters, digits and marks follow one another in runs as in names (a runs test), or that neighbours are correlated
+(lag-1 serial correlation against CORRELATED).  A secret refutes all three, so its p-value is the largest of the three;
+each falls with the token's length.  The step-up procedure, with weights in proportion to lengths over the tokens of a
+text, holds the share of ordinary tokens among those reported below LEVEL.
+
+A null or empty text has no spans; a text is scanned whole whatever its length; repeated rows are scanned each and
+equal texts alike; ties in the procedure go by place; extra input columns are not carried, whatever their names; an
+empty table gives an empty table.  Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: Tokens that the battery takes: runs of base64 letters, either alphabet.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LEAST, LEVEL = 20, 0.05
+#: Ordinary tokens: sum of squared letter frequencies of text, share of neighbours of different kinds, serial correlation.
+SQUARES, SWITCHES, CORRELATED = 0.065, 0.25, 0.75
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_")
 PLACES = [{c: i for i, c in enumerate(a)} for a in ENCODINGS]
@@ -46,51 +51,64 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def chi_squared_tail(x: float, df: int) -> float:
-    """Upper tail by the cube-root normal form."""
-    return normal_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+def chi_squared_below(x: float, df: float) -> float:
+    """Lower tail by the cube-root normal form."""
+    return normal_tail(-((max(x, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+
+def binomial_above(k: int, n: int, q: float) -> float:
+    """P(at least k of n)."""
+    return min(1.0, sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k, n + 1))) if n < 400 else normal_tail((k - 0.5 - n * q) / math.sqrt(n * q * (1 - q)))
+
+
+def encoding(body: str) -> int | None:
+    """Number of the smallest encoding that holds the token."""
+    return next((k for k, places in enumerate(PLACES) if all(c in places for c in body)), None)
+
+
+def evenness(v: np.ndarray, size: int) -> float:
+    """P-value of the counts being even, if they were as uneven as those of text (of digits alone, for hex)."""
+    n = len(v)
+    x = float(((np.bincount(v, minlength=size) - n / size) ** 2).sum() / (n / size))
+    df, off = size - 1, n * (size * (SQUARES if size > 16 else 0.1) - 1)
+    # a non-central variable as a multiple of a central one, of equal mean and variance
+    return chi_squared_below(x * (df + off) / (df + 2 * off), (df + off) ** 2 / (df + 2 * off))
 
 
-def randomness(token: str) -> tuple[int, float] | None:
-    """Alphabet size and combined p-value, or None if no encoding holds the token."""
+def switching(body: str) -> float:
+    """P-value of changes between kinds of characters, if they were as rare as in names."""
+    kinds = [0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3 for c in body]
+    return binomial_above(sum(a != b for a, b in zip(kinds[1:], kinds[:-1], strict=True)), len(kinds) - 1, SWITCHES)
+
+
+def uncorrelated(v: np.ndarray) -> float:
+    """P-value of a small lag-1 serial correlation, if neighbours were correlated by CORRELATED."""
+    d = v - v.mean()
+    r = min(0.999, abs(float((d[1:] * d[:-1]).sum() / max(1e-9, (d * d).sum())) + 1 / len(v)))
+    return normal_tail((math.atanh(CORRELATED) - math.atanh(r)) * math.sqrt(len(v) - 3))
+
+
+def ordinary(token: str) -> float | None:
+    """P-value of the token being ordinary, or None if no encoding holds it."""
     body = token.rstrip("=")
-    for k, places in enumerate(PLACES):
-        if all(c in places for c in body):
-            break
-    else:
-        return None
-    if not any(c in DIGITS for c in body) or not any(c.isalpha() for c in body) or len(body) < LEAST:
+    k = encoding(body)
+    if k is None or not any(c in DIGITS for c in body) or not any(c.isalpha() for c in body) or len(body) < LEAST:
         return None
-    size, n = len(ENCODINGS[k]), len(body)
-    v = np.array([places[c] for c in body], float)
-    counts = np.bincount(v.astype(int), minlength=size)
-    ps = [chi_squared_tail(float(((counts - n / size) ** 2).sum() / (n / size)), size - 1)]
-    high = v >= size / 2
-    ups, downs = int(high.sum()), int(n - high.sum())
-    if ups and downs:
-        runs, mean = 1 + int((high[1:] != high[:-1]).sum()), 1 + 2 * ups * downs / n
-        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        ps.append(min(1.0, 2 * normal_tail(abs(runs - mean) / spread)))
-    else:
-        ps.append(2.0 ** (1 - n))
-    d = v - v.mean()
-    r = float((d[1:] * d[:-1]).sum() / max(1e-9, (d * d).sum()))
-    ps.append(min(1.0, 2 * normal_tail(abs(r + 1 / n) * math.sqrt(n))))
-    half = -sum(math.log(max(p, 1e-300)) for p in ps)  # half of Fisher's statistic, which has 6 degrees of freedom
-    return size, math.exp(-half) * (1 + half + half * half / 2)
+    v = np.array([PLACES[k][c] for c in body])
+    return max(evenness(v, len(ENCODINGS[k])), switching(body), uncorrelated(v))
 
 
-def not_rejected(tests: list[tuple[int, float]]) -> list[bool]:
-    """For (length, p): whether randomness stands under the step-up rule at LEVEL with weights by length."""
+def refuted(tests: list[tuple[int, float]]) -> list[bool]:
+    """For (length, p): whether the step-up rule at LEVEL with weights by length takes it for a secret."""
     if not tests:
         return []
     mean = sum(n for n, _ in tests) / len(tests)
     weighted = [p * mean / n for n, p in tests]
     order = sorted(range(len(tests)), key=lambda i: weighted[i])
     last = max((k for k, i in enumerate(order, 1) if weighted[i] <= LEVEL * k / len(tests)), default=0)
-    out = [True] * len(tests)
+    out = [False] * len(tests)
     for i in order[:last]:
-        out[i] = False
+        out[i] = True
     return out
 
 
@@ -115,8 +133,8 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    tested = [(m.start() + a, m.start() + b, p) for m in TOKEN.finditer(text) for a, b in pieces(m.group()) if (p := randomness(m.group()[a:b]))]
-    random = [(s, e) for (s, e, _), stands in zip(tested, not_rejected([(e - s, p[1]) for s, e, p in tested]), strict=True) if stands]
+    tested = [(m.start() + a, m.start() + b, p) for m in TOKEN.finditer(text) for a, b in pieces(m.group()) if (p := ordinary(m.group()[a:b])) is not None]
+    random = [(s, e) for (s, e, _), secret in zip(tested, refuted([(e - s, p) for s, e, p in tested]), strict=True) if secret]
     joined: list[list[int]] = []
     for start, end in sorted(random):
         if joined and start < joined[-1][1]:  # pieces of different cuts that overlap are one span
