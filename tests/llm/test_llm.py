@@ -173,12 +173,53 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(docs(spark, []), model, ["doc_id"]).count() == 0
 
 
-def test_risk_never_fits_below_zero():
+def corrected_risk(w, b, positive, unlabelled, prior):
+    """The risk as it is written, and its unlabelled part, text by text."""
+    z = lambda rows: np.array([sum(w[k] * x for k, x in zip(*r, strict=True)) + b for r in rows])
+    soft = lambda x: np.log1p(np.exp(x))
+    rest = soft(z(unlabelled)).mean() - prior * soft(z(positive)).mean()
+    return prior * soft(-z(positive)).mean() + max(0, rest), rest
+
+
+def test_steps_follow_the_corrected_risk():
     rng = np.random.default_rng(1)
-    rows = [(np.unique(rng.integers(0, 50, 8)), None) for _ in range(60)]
-    rows = [(s, np.ones(len(s))) for s, _ in rows]
-    model = toxicity.fit(rows[:10], rows, 0.2)
-    assert np.isfinite(model.weights).all() and np.isfinite(model.intercept)
+    rows = lambda n: [(np.unique(rng.integers(0, 6, 3)), None) for _ in range(n)]
+    positive, unlabelled = ([(s, rng.random(len(s))) for s, _ in rows(n)] for n in (8, 20))
+    w, prior, number = rng.normal(size=6), 0.3, np.arange(6)
+    row, column, values = toxicity.stacked([*positive, *unlabelled], number)
+    for b in (0.5, -2.0):
+        risk, rest = corrected_risk(w, b, positive, unlabelled, prior)
+        assert rest > 0
+        g = toxicity.step_of(np.bincount(row, w[column] * values, 28) + b, 8, 20, prior)
+        by_hand = [(corrected_risk(w + d, b, positive, unlabelled, prior)[0] - corrected_risk(w - d, b, positive, unlabelled, prior)[0]) / 2e-5 for d in np.eye(6) * 1e-5]
+        assert np.bincount(column, g[row] * values, 6) == pytest.approx(by_hand, abs=1e-6)
+    z = np.r_[np.full(8, 9.0), np.full(20, -9.0)]  # unlabelled rows taken for clean, positives for toxic: the rest is below 0
+    g = toxicity.step_of(z, 8, 20, prior)
+    assert (g[:8] > 0).all() and (g[8:] < 0).all()
+    w, b = toxicity.first_fit(positive, unlabelled, number, prior)
+    assert np.isfinite(w).all() and np.isfinite(b)
+
+
+def test_sums_over_all_unlabelled_rows(spark):
+    texts = [*odd_texts(), *(prose(i, 40) + (" vile scum" if i % 5 == 0 else "") for i in range(60))]
+    frame = docs(spark, texts).repartition(3)
+    whole = [toxicity.slots([t or ""])[:2] for t in texts]
+    wanted = np.unique(np.concatenate([f for f, _ in whole]))[::3]
+    got = toxicity.slot_sums(frame, wanted, "text")
+    at = {int(k): i for i, k in enumerate(wanted)}
+    want = np.zeros((len(wanted) + 1, 2))
+    for f, v in whole:
+        for k, x in zip(f.tolist(), v.tolist(), strict=True):
+            if k in at:
+                want[at[k]] += x, x * x
+    want[-1, 0] = len(texts)
+    assert got == pytest.approx(want, abs=1e-5)
+    number = np.full(toxicity.SLOTS, -1)
+    number[wanted] = np.arange(len(wanted))
+    w, b = np.random.default_rng(0).normal(size=len(wanted)), 0.3
+    z = np.array([sum(w[at[k]] * x for k, x in zip(f.tolist(), v.tolist(), strict=True) if k in at) + b for f, v in whole])
+    sums = toxicity.full_sums(toxicity.blocks(frame, number, "text"), w, b)
+    assert sums[-1] == pytest.approx([np.logaddexp(0, z).sum(), len(texts)], rel=1e-5) and sums[-2, 0] == pytest.approx((1 / (1 + np.exp(-z))).sum(), rel=1e-5)
 
 
 # 5
