@@ -140,6 +140,17 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(docs(spark, []), bpe.default_path(), ["doc_id"]).count() == 0
 
 
+def test_bpe_knows_the_classes_of_all_characters():
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_path())
+    held = bpe.Vocabulary(bpe.default_path())
+    for low in (*range(0, 0x24000, 0x4000), 0x2C000, 0x30000, 0x3C000, 0xE0000, 0xF0000):
+        texts = [f"a{chr(c)}B" for c in range(low, low + 0x4000) if not 0xD800 <= c <= 0xDFFF]
+        flat, ends = held.encode(texts)
+        wrong = [t for t, a, b, e in zip(texts, ends[:-1], ends[1:], library.encode_batch(texts, add_special_tokens=False), strict=True) if flat[a:b].tolist() != e.ids]
+        assert not wrong
+        held.forget()
+
+
 def test_bpe_survives_a_full_memory(monkeypatch):
     held = bpe.Vocabulary(bpe.default_path())
     texts = [prose(i, 30) for i in range(20)]

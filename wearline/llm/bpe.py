@@ -4,8 +4,9 @@ A text is normalised (NFC, lower case), cut at white space, and each piece is cu
 Distinct unseen words of a batch become one flat symbol array; each round looks up the ranks of all neighbouring
 pairs by binary search over the sorted pair keys and merges every word's lowest-ranked pair at once.
 
-Edge cases: a null or empty text has no ids and decodes to ""; extra input columns are not carried; repeated rows are
-encoded each on its own; an empty table gives an empty table.  Strings of special tokens in a text become their ids,
+Edge cases: a null or empty text has no ids and decodes to ""; extra input columns are not carried, whatever their
+names; repeated rows are encoded each on its own; of pairs of equal rank in a word all are merged, from the left; an
+empty table gives an empty table.  Strings of special tokens in a text become their ids,
 as in the library.  A text's length is not limited.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +26,20 @@ from pyspark.sql import DataFrame
 
 from .common import emit, schema_of, sliced, texts_of
 
-#: Fixed value: how the vocabulary file cuts words.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: how the vocabulary file cuts words; {new} are code points that word_pattern() takes out of both classes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[{new}]]+|[\p{N}--[{new}]]|[[^\s\p{L}\p{N}]||[{new}]]+"
+#: Ranges of letters that Unicode 16 adds, and ranges of capitals that Unicode 16 and 17 add with their first small letter.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+CAPITALS_17 = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB),
+    (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+SMALL_17 = {c: small + c - a for a, b, small in CAPITALS_17 for c in range(a, b + 1)}
+ANY_CAPITAL_17 = re.compile("[" + "".join(map(chr, SMALL_17)) + "]")
 #: White space of the pattern; str.split() also cuts at U+001C to U+001F.
 SPACE = regex.compile(r"\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -43,6 +57,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def word_pattern() -> regex.Pattern:
+    """PATTERN with the library's letters and numbers: those that unicodedata knows, and LETTERS_16; the regex module knows more."""
+    every = "".join(map(chr, (*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1))))
+    known = {c for a, b in LETTERS_16 for c in range(a, b + 1)}
+    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and ord(c) not in known]
+    cuts = [k for k in range(1, len(new)) if new[k] != new[k - 1] + 1]
+    runs = [f"\\U{new[a]:08x}-\\U{new[b - 1]:08x}" for a, b in zip([0, *cuts], [*cuts, len(new)], strict=True)] if new else [r"\n"]
+    return regex.compile(PATTERN.replace("{new}", "".join(runs)), regex.V1)
+
+
 def gather(flat: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[ends[k] : ends[k + 1]] of the given slots one after the other, and where each ends."""
     size = ends[slots + 1] - ends[slots]
@@ -70,7 +95,7 @@ class Vocabulary:
         self.keys = keys[self.rank]
         self.merged = np.array([ids[a + b] for a, b in merges], np.int64)
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = regex.compile(PATTERN)
+        self.words = word_pattern()
         self.forget()
 
     def ranks(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -136,6 +161,8 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text)
             # letter by letter: a whole-text lower() would treat a final sigma apart
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+            if ANY_CAPITAL_17.search(text):
+                text = text.translate(SMALL_17)
         else:
             text = text.lower()
         return SPACE.split(text) if ODD_SPACE.search(text) else text.split()
