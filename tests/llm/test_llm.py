@@ -79,7 +79,7 @@ def test_rates_are_projected_least_squares(spark):
     tokens = rng.integers(10, 500, 40)
     cells = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p, strict=True)], "tokens bigint, p_clean double, p_toxic double, p_junk double")
     targets = {"clean": 0.7, "toxic": 0.15, "junk": 0.15}
-    fitted = mixing.rate(mixing.fit_rates(cells, targets, 1.0), [F.col(f"p_{d}") for d in mixing.DOMAINS])
+    fitted = mixing.rate(mixing.fit_rates(cells, targets), [F.col(f"p_{d}") for d in mixing.DOMAINS])
     got = np.array([r.r for r in cells.select(fitted.alias("r")).collect()])
     total = tokens.sum()
     q = (tokens[:, None] * p).sum(0) / total
@@ -107,16 +107,36 @@ def test_mixing_learns_domains_and_takes_effect(spark):
     assert out.columns == frame.columns
     kept = Counter(r.doc_id % 4 for r in out.collect())
     assert kept[0] >= 60 and kept[3] >= 60 and kept[1] < 40 and kept[2] < 40
+    reached = {r.domain: r for r in mixing.shares(mixing.mix(frame, labels, ["doc_id"])).collect()}
+    assert all(abs(reached[d].reached - mixing.TARGETS[d]) < 0.005 and not reached[d].exempt for d in mixing.DOMAINS)
+
+
+def test_evidence_matches_counts_by_hand(spark):
+    texts = [prose(i, 30) + (" Vile, scum!" if i % 3 == 0 else "") for i in range(150)]
+    marks = [(i, 1, int(i % 3 == 0)) for i in range(150)]
+    frame, labels = docs(spark, texts), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    domain = mixing.domains_of(labels)
+    first = {r.doc_id for r in domain.where(mixing.first_half()).collect()}
+    weights = mixing.evidence(frame, domain)
+    slot = {r.w: r.s for r in spark.createDataFrame([(w,) for w in {*PROSE, "vile", "scum"}], "w string").select("w", mixing.slots_of(F.col("w"))[0].alias("s")).collect()}
+    yes, no = (sum(i in first and (i % 3 == 0) == t for i in range(150)) for t in (True, False))
+    for w, s in slot.items():
+        a, b = (sum(i in first and (i % 3 == 0) == t and any(slot[x] == s for x in re.findall(r"\w+", texts[i].lower())) for i in range(150)) for t in (True, False))
+        p, q = (a + 0.5) / (yes + 1), (b + 0.5) / (no + 1)
+        clear = a >= mixing.LEAST_ROWS and p - q > mixing.CLEAR * math.sqrt(p * (1 - p) / yes + q * (1 - q) / no)
+        assert weights["toxic"][s] == (pytest.approx(math.log(p / q), abs=1e-3) if clear else 0)
+    assert weights["toxic"][slot["vile"]] > 3
 
 
 def test_scarce_domains_reach_their_shares(spark):
     rows = spark.createDataFrame([(9700, 0.999, 0.0005, 0.0005), (200, 0.001, 0.999, 0.0), (100, 0.001, 0.0, 0.999)], "n_tokens bigint, p_clean double, p_toxic double, p_junk double")
     cells = rows.withColumnRenamed("n_tokens", "tokens")
     targets = {"clean": 0.90, "toxic": 0.05, "junk": 0.05}
-    rate = lambda cells: mixing.rate(mixing.fit_rates(cells, targets), [F.col(f"p_{d}") for d in mixing.DOMAINS])
+    rate = lambda cells: mixing.rate(mixing.fit_rates(cells, targets), [F.col(f"p_{d}") for d in mixing.DOMAINS]) * mixing.lift(mixing.fit_rates(cells, targets), targets)
     got = mixing.shares(rows.withColumn("rate", rate(cells)), targets).collect()
     assert [r.domain for r in got] == list(mixing.DOMAINS) and [r.reached for r in got] == pytest.approx([0.9, 0.05, 0.05], abs=0.005)
     assert [r.asked for r in got] == pytest.approx([0.9, 0.05, 0.05]) and got[2].natural < 0.016
+    assert cells.where("p_clean > 0.5").agg(F.min(rate(cells))).first()[0] >= 1 - 1e-9
     few = cells.where("p_junk < 0.5")  # without a junk document its target doesn't inflate others
     assert few.agg(F.max(rate(few))).first()[0] < 4
 
