@@ -123,7 +123,7 @@ def test_evidence_matches_counts_by_hand(spark):
     for w, s in slot.items():
         a, b = (sum(i in first and (i % 3 == 0) == t and any(slot[x] == s for x in re.findall(r"\w+", texts[i].lower())) for i in range(150)) for t in (True, False))
         p, q = (a + 0.5) / (yes + 1), (b + 0.5) / (no + 1)
-        clear = a >= mixing.LEAST_ROWS and p - q > mixing.CLEAR * math.sqrt(p * (1 - p) / yes + q * (1 - q) / no)
+        clear = a >= mixing.LEAST_ROWS and p > mixing.RATIO * q and p - q > mixing.CLEAR * math.sqrt(p * (1 - p) / yes + q * (1 - q) / no)
         assert weights["toxic"][s] == (pytest.approx(math.log(p / q), abs=1e-3) if clear else 0)
     assert weights["toxic"][slot["vile"]] > 3
 

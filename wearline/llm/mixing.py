@@ -7,8 +7,8 @@ summed evidence and of binned shares of symbols, of distinct words and the mean
 
 Projected-gradient least squares then fits a rate for every document, at least 0, so that the expected tokens of the
 domains, sums of rate * tokens * posterior, are in the proportion of the targets; a small ridge holds rates near 1.  At
-last all rates are multiplied so that a document of the leading domain alone has a rate of 1 or more: the total is what
-the shares ask for, and domains that are scarcer than their share get rates above 1.  A domain of which no document is
+last all rates are multiplied so that a document that is of the leading domain by LEADING or more has a rate of 1 or
+more: the total is what the shares ask for, and domains that are scarcer than their share get rates above 1.  A domain of which no document is
 likeliest is exempt, since it has no tokens of its own; shares() reports asked, natural and reached shares and what is
 exempt.  Documents with the same binned features have the same posterior and the same gradient per token, so the
 iterations sum over a table of such cells, whose number depends on the bins and not on the corpus.
@@ -35,10 +35,13 @@ DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.90, "toxic": 0.05, "junk": 0.05}
 #: Slots of hashed words; about so many labelled rows, chosen by a hash of the id, give the words' evidence.
 SLOTS, LABELLED = 1 << 14, 20_000
-#: Rows with a word, and standard errors between domains, from which the word is evidence; evidence of a bin.
-LEAST_ROWS, CLEAR, NATS = 3, 3.0, 1.5
+#: Rows with a word, standard errors between domains and ratio of shares from which the word is evidence; evidence of a bin.
+#: Weaker words would add up to evidence in any long text.
+LEAST_ROWS, CLEAR, RATIO, NATS = 3, 4.0, 3.0, 1.5
 BINS = {"f_toxic": 12, "f_junk": 12, "f_symbols": 10, "f_distinct": 10, "f_length": 10}
 STEPS, RIDGE = 40, 1e-3
+#: Share of the leading domain from which a document's rate is at least 1, and the reciprocal of the largest lift.
+LEADING, MOST_LIFT = 0.9, 0.25
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -77,7 +80,7 @@ def evidence(docs: DataFrame, domain: DataFrame) -> dict[str, list[float]]:
         yes, no, weights = sizes[k], sum(sizes) - sizes[k], [0.0] * SLOTS
         for slot, c in counts.items() if yes and no else ():
             p, q = (c[k] + 0.5) / (yes + 1), (sum(c) - c[k] + 0.5) / (no + 1)
-            if c[k] >= LEAST_ROWS and p - q > CLEAR * math.sqrt(p * (1 - p) / yes + q * (1 - q) / no):
+            if c[k] >= LEAST_ROWS and p > RATIO * q and p - q > CLEAR * math.sqrt(p * (1 - p) / yes + q * (1 - q) / no):
                 weights[slot] = round(math.log(p / q), 4)
         out[name] = weights
     return out
@@ -148,11 +151,14 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS) -> list[lis
 
 
 def lift(residuals: list[list[float]], targets: dict[str, float] = TARGETS) -> float:
-    """What all rates are multiplied by, so that a document of the leading domain alone has a rate of 1 or more."""
-    lead, r = max(range(len(DOMAINS)), key=lambda k: targets[DOMAINS[k]]), 1.0
-    for g in residuals:
-        r = max(0.0, r - (g[lead] + RIDGE * (r - 1)) / (1 + RIDGE))
-    return 1.0 if r >= 1 or r <= 0 else 1 / r
+    """What all rates are multiplied by, so that a document of the leading domain by LEADING or more has a rate of 1 or more."""
+    lead, least = max(range(len(DOMAINS)), key=lambda k: targets[DOMAINS[k]]), 1.0
+    for other in range(len(DOMAINS)):
+        r, rest = 1.0, 0.0 if other == lead else 1 - LEADING
+        for g in residuals:
+            r = max(0.0, r - ((1 - rest) * g[lead] + rest * g[other] + RIDGE * (r - 1)) / (1 + RIDGE))
+        least = min(least, r)
+    return 1 / max(least, MOST_LIFT)
 
 
 def rate(residuals: list[list[float]], p: list[Column]) -> Column:
