@@ -116,7 +116,10 @@ def test_importances(spark):
 def test_training_contract(spark):
     df = linear(spark)
     schema = {"default_model_feature_columns": ["x"], "blocked_predictor_columns": ["bearing"], "target_column": "rul_seconds"}
-    assert contracts.training_contract(df, schema) == (["x"], "rul_seconds", "bearing")
+    assert contracts.training_contract(df, schema) == {"predictor": ["x"], "target": ["rul_seconds"], "group": ["bearing"]}
+    spoilt = df.withColumn("x", F.when(F.col("x") > 2, F.lit(float("nan"))).otherwise(F.col("x"))).withColumn("bearing", F.lit(None).cast("string"))
+    found = {(r["check"], r["column"]): r["n_bad"] for r in contracts.training_faults(spoilt, schema | {"blocked_predictor_columns": ["x"]}).collect()}
+    assert found == {("leak", "x"): 1, ("value", "x"): spoilt.where("isnan(x)").count(), ("null group", "bearing"): spoilt.count(), ("one group", "bearing"): 1}
     for bad, rows in (({"default_model_feature_columns": ["rul_seconds"]}, df), ({"default_model_feature_columns": ["gone"]}, df), ({"default_model_feature_columns": []}, df), ({}, df.withColumn("x", F.lit(float("inf")))), ({}, df.where("bearing = 'B1'"))):
         with pytest.raises(contracts.ContractError):
             contracts.training_contract(rows, schema | bad)

@@ -85,20 +85,33 @@ def verify_samples(samples: DataFrame, predictors: list[str], fractions) -> None
     assert_finite(samples, [*predictors, "rul_seconds"], "samples")
 
 
-def training_contract(frame: DataFrame, schema: dict, group: str = "bearing") -> tuple[list[str], str, str]:
-    """Predictors, target and group of a training table that passes all checks."""
-    predictors, target = list(schema.get("default_model_feature_columns", [])), str(schema.get("target_column", catalog.TARGET))
-    if not predictors:
-        raise ContractError("the schema names no predictors")
-    if leaked := sorted({*schema.get("blocked_predictor_columns", []), target} & {*predictors}):
-        raise ContractError(f"blocked predictors: {leaked}")
-    if missing := sorted({*predictors, target, group} - {*frame.columns}):
-        raise ContractError(f"missing columns: {missing}")
-    assert_finite(frame, [*predictors, target], "training table")
-    assert_empty(frame.where(F.col(group).isNull()).select(group), "null groups")
-    if frame.select(group).distinct().limit(2).count() < 2:
-        raise ContractError("leaving one out needs two groups")
-    return predictors, target, group
+def schema_roles(schema: dict, group: str = "bearing") -> list[tuple[str, str]]:
+    """(column, role) pairs of a schema dictionary; a column may have several roles."""
+    named = {"predictor": schema.get("default_model_feature_columns") or [], "target": [schema.get("target_column", catalog.TARGET)], "group": [group], "blocked": schema.get("blocked_predictor_columns") or []}
+    return [(column, role) for role, columns in named.items() for column in columns]
+
+
+def training_faults(frame: DataFrame, schema: dict, group: str = "bearing") -> DataFrame:
+    """check, column and n_bad of a training table against its schema; values are looked at in one pass over the rows.
+
+    A predictor that is blocked or the target leaks; values have to be finite, groups not null and at least two."""
+    roles = schema_roles(schema, group)
+    of = lambda *names: {c for c, role in roles if role in names}
+    known, use = {*frame.columns}, of("predictor", "target", "group")
+    named = [("no predictors", group, 1)] * (not of("predictor")) + [("leak", c, 1) for c in of("predictor") & of("blocked", "target")] + [("missing", c, 1) for c in use - known]
+    bad = {("value", c): F.sum((~finite(c)).cast("long")) for c in of("predictor", "target") & known}
+    if group in known:
+        bad |= {("null group", group): F.sum(F.col(group).isNull().cast("long")), ("one group", group): (F.min(group).eqNullSafe(F.max(group))).cast("long")}
+    found = frame.agg(F.array(*(F.struct(F.lit(check).alias("check"), F.lit(c).alias("column"), F.coalesce(n, F.lit(0)).alias("n_bad")) for (check, c), n in sorted(bad.items(), key=lambda x: x[0]))).alias("faults"))
+    fixed = frame.sparkSession.createDataFrame(sorted(named), "check string, column string, n_bad bigint")
+    return fixed.unionByName(found.select(F.inline("faults"))).where("n_bad > 0") if bad else fixed
+
+
+def training_contract(frame: DataFrame, schema: dict, group: str = "bearing") -> dict[str, list[str]]:
+    """Columns by role of a training table without faults."""
+    assert_empty(training_faults(frame, schema, group), "training table")
+    roles = schema_roles(schema, group)
+    return {role: [c for c, r in roles if r == role] for role in ("predictor", "target", "group")}
 
 
 def metric_input_faults(predictions: DataFrame, actual: str, predicted: str) -> DataFrame:
