@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite, unbiased_skewness
+from . import ranks
 from .monitor import unpivoted
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -32,8 +33,10 @@ def crosstab(frame: DataFrame, a: str, b: str) -> DataFrame:
 
 def described(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Count, moments, quantiles and bias-corrected skewness per column."""
-    found = unpivoted(frame, columns).groupBy("feature").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.array(*map(F.lit, QUANTILES))).alias("q"), F.skewness("value").alias("s"))
-    return found.select("feature", "count", "mean", "std", "min", *(F.get("q", F.lit(i)).alias(f"p{round(100 * q):02d}") for i, q in enumerate(QUANTILES)), "max", unbiased_skewness(F.col("s"), F.col("count")).alias("skew"))
+    rows, names = unpivoted(frame, columns), {f"p{round(100 * q):02d}": q for q in QUANTILES}
+    found = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("s"))
+    found = ranks.joined([found, ranks.quantiles(rows, ["feature"], "value", names)], ["feature"])
+    return found.select("feature", "count", "mean", "std", "min", *names, "max", unbiased_skewness(F.col("s"), F.col("count")).alias("skew"))
 
 
 def quality_counts(frame: DataFrame, columns: list[str], keys: list[str], target: str = "rul_seconds") -> DataFrame:
@@ -69,8 +72,10 @@ def value_counts(frame: DataFrame, column: str) -> DataFrame:
 
 
 def box_stats(frame: DataFrame, columns: list[str], group: str) -> DataFrame:
-    found = unpivoted(frame, columns, [group]).groupBy(group, "feature").agg(F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return found.select(group, "feature", "low", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "high")
+    rows = unpivoted(frame, columns, [group])
+    found = rows.groupBy(group, "feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    found = ranks.joined([found, ranks.quantiles(rows, [group, "feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})], [group, "feature"])
+    return found.select(group, "feature", "low", "q1", "median", "q3", "high")
 
 
 def histogram(frame: DataFrame, column: str, bins: int = 50) -> DataFrame:
@@ -93,12 +98,12 @@ def profile(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 def trimmed(frame: DataFrame, column: str, q: float = 0.995) -> DataFrame:
     """Rows up to the q quantile of a column."""
-    limit = frame.agg(F.percentile(column, F.lit(q)).alias("_q"))
+    limit = ranks.quantiles(frame, [], column, {"_q": q})
     return frame.crossJoin(F.broadcast(limit)).where(F.col(column) <= F.col("_q")).drop("_q")  # one row
 
 
 def capped(frame: DataFrame, column: str, q: float = 0.995) -> DataFrame:
-    limit = frame.agg(F.percentile(column, F.lit(q)).alias("_q"))
+    limit = ranks.quantiles(frame, [], column, {"_q": q})
     return frame.crossJoin(F.broadcast(limit)).withColumn(column, F.least(column, "_q")).drop("_q")  # one row
 
 
@@ -115,6 +120,3 @@ def family(columns: list[str], bands: bool) -> list[str]:
     """Columns of the spectral family, or the others."""
     return [c for c in columns if c.startswith("fft_band_") == bands]
 
-
-def row_numbers(frame: DataFrame, group: str, order: str) -> DataFrame:
-    return frame.withColumn("row", F.row_number().over(Window.partitionBy(group).orderBy(order)))

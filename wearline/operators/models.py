@@ -7,18 +7,23 @@ MLlib models need a fit per fold; for large fleets grouped() deals entities to k
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clipped
+from . import ranks
 from .contracts import ContractError
 
+#: Rows in a block of nearest neighbours.
+BLOCK_ROWS = 2048
 #: Default parameters by model name.
 DEFAULTS: dict[str, dict] = {
     "median": {}, "condition_life_prior": {}, "ridge": {"alpha": 10.0}, "knn": {"k": 3},
@@ -47,16 +52,8 @@ def check_groups(frame: DataFrame, group: str) -> None:
 # Closed forms.
 
 def fold_medians(frame: DataFrame, target: str, group: str = "bearing", within: list[str] = ()) -> DataFrame:
-    """For each group (as fold), and value of within, the median of the target over all other groups.
-
-    Every fold needs the counts of all values less its own: distinct values times groups rows, which are made in the
-    join and summed up where they are made.  For many groups, deal them to folds first, by grouped()."""
-    keys = list(within)
-    counts = frame.groupBy(*keys, F.col(group).alias("fold"), F.col(target).alias("v")).agg(F.count(F.lit(1)).alias("own"))
-    every = counts.groupBy(*keys, "v").agg(F.sum("own").alias("all"))
-    rows = every.crossJoin(frame.select(F.col(group).alias("fold")).distinct()).join(counts, [*keys, "fold", "v"], "left")
-    rows = rows.withColumn("c", F.col("all") - F.coalesce("own", F.lit(0))).where("c > 0")
-    return rows.groupBy(*keys, "fold").agg(F.percentile("v", F.lit(0.5), F.col("c")).alias("median"), F.sum("c").alias("n_train"))
+    """For each group (as fold), and value of within, the median of the target over all other groups."""
+    return ranks.medians_without(frame, list(within), group, target).withColumnRenamed(group, "fold")
 
 
 def median_cv(frame: DataFrame, target: str = "rul_seconds", group: str = "bearing") -> DataFrame:
@@ -67,7 +64,7 @@ def median_cv(frame: DataFrame, target: str = "rul_seconds", group: str = "beari
 
 
 def median_fit(frame: DataFrame, target: str) -> DataFrame:
-    return frame.agg(F.percentile(target, F.lit(0.5)).alias("median"))
+    return ranks.quantiles(frame, [], target, {"median": 0.5})
 
 
 def median_predict(frame: DataFrame, fit: DataFrame) -> DataFrame:
@@ -76,8 +73,8 @@ def median_predict(frame: DataFrame, fit: DataFrame) -> DataFrame:
 
 def life_prior_fit(frame: DataFrame, target: str = "rul_seconds", age: str = "observed_age_seconds") -> DataFrame:
     """condition and life, the median total life; the row of a null condition is over all."""
-    life = F.percentile(F.col(age) + F.col(target), F.lit(0.5)).alias("life")
-    return frame.groupBy("condition").agg(life).unionByName(frame.agg(life).withColumn("condition", F.lit(None).cast("int")))
+    rows = frame.withColumn("_life", F.col(age) + F.col(target))
+    return ranks.quantiles(rows, ["condition"], "_life", {"life": 0.5}).unionByName(ranks.quantiles(rows, [], "_life", {"life": 0.5}).withColumn("condition", F.lit(None).cast("int")))
 
 
 def life_prior_predict(frame: DataFrame, fit: DataFrame, age: str = "observed_age_seconds") -> DataFrame:
@@ -106,18 +103,50 @@ def scaled(frame: DataFrame, scale: DataFrame, features: list[str]) -> DataFrame
     return rows.select(*frame.columns, F.array(*((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}") for f in features)).alias("x"))
 
 
+def packed(rows: DataFrame, keep: list[str], n_rows: int) -> DataFrame:
+    """Rows in blocks of about BLOCK_ROWS by a hash: x of all rows one after the other, and the kept columns as arrays."""
+    block = F.pmod(F.xxhash64("x", *keep), F.lit(-(-n_rows // BLOCK_ROWS) or 1))
+    held = rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("x", *keep)).alias("r"))
+    return held.select(F.flatten("r.x").alias("x"), *(F.col(f"r.{c}").alias(c) for c in keep))
+
+
+def nearest_of(x: np.ndarray, t: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, squared distance and y of the k nearest rows of t for each row of x; ties by y."""
+    far = np.zeros((len(x), len(t)))
+    for j in range(x.shape[1]):
+        far += (x[:, j, None] - t[None, :, j]) ** 2
+    key = np.round(far, 12)
+    limit = np.partition(key, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
+    row, col = np.nonzero(key <= limit[:, None])
+    order = np.lexsort((y[col], key[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], far[row, col][place < k], y[col][place < k]
+
+
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, key: list[str], k: int = 3) -> DataFrame:
-    """Distance-weighted mean of the k nearest training rows on standardised features; rows at distance 0 take all weight.
+    """Distance-weighted mean of the k nearest training rows on standardised features; rows at distance 0 take all weight,
+    distances that agree to 12 digits go by the target.
 
-    The training table is packed into blocks of rows; each test row meets the blocks, keeps its k nearest per block and
-    then overall, so what is shuffled is k rows per block and not every pair."""
+    Both sides are packed into blocks of about BLOCK_ROWS rows; a task compares two blocks and keeps each test row's k
+    nearest, so what is shuffled is k rows per test row and block and not every pair."""
     fit = scaling(train, features)
-    blocks = scaled(train, fit, features).select(F.struct("x", F.col(target).cast("double").alias("y")).alias("r"), F.spark_partition_id().alias("block")).groupBy("block").agg(F.collect_list("r").alias("rows"))
-    rows = scaled(test, fit, features)
-    far = lambda r: F.aggregate(F.zip_with("x", r["x"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
-    near = F.slice(F.array_sort(F.transform("rows", lambda r: F.struct(far(r).alias("d"), r["y"].alias("y")))), 1, k)
-    met = rows.crossJoin(blocks).select(*rows.columns, near.alias("near"))
-    best = met.groupBy(*key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    y = F.col(target).cast("double").alias("y")
+    one = packed(scaled(test, fit, features).select("x", *key), key, test.count())
+    two = packed(scaled(train.withColumn("y", y), fit, features).select("x", "y"), ["y"], train.count()).withColumnRenamed("x", "t")
+    kinds = dict(test.dtypes)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name, i: batch.column(batch.schema.get_field_index(name)).slice(i, 1).flatten()  # noqa: B023, E731
+            for i in range(len(batch)):
+                x, t = (column(name, i).to_numpy().reshape(-1, len(features)) for name in ("x", "t"))
+                row, far, near = nearest_of(x, t, column("y", i).to_numpy(), k)
+                yield pa.RecordBatch.from_arrays([*(column(c, i).take(pa.array(row)) for c in key), pa.array(far), pa.array(near)], names=[*key, "d", "y"])
+
+    found = one.crossJoin(two).mapInArrow(compare, ", ".join([*(f"`{c}` {kinds[c]}" for c in key), "d double, y double"]))  # blocks with blocks
+    first = F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", 12).alias("r"), "y", "d"))), 1, k)
+    best = found.groupBy(*key).agg(first.alias("near"))
     exact = F.filter("near", lambda n: n["d"] == 0)
     plain = F.aggregate(exact, F.lit(0.0), lambda a, n: a + n["y"]) / F.size(exact)
     weighted = F.aggregate("near", F.lit(0.0), lambda a, n: a + n["y"] / F.sqrt(n["d"])) / F.aggregate("near", F.lit(0.0), lambda a, n: a + 1 / F.sqrt(n["d"]))
@@ -203,14 +232,3 @@ def importances(fitted, features: list[str], frame: DataFrame) -> DataFrame:
         rows = [(f, abs(float(c)) * float(spread[f])) for f, c in zip(features, last.coefficients.toArray(), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
-
-def standardised_vectors(frame: DataFrame, features: list[str]) -> DataFrame:
-    """Standardised feature arrays by MLlib's scaler, with sample deviations."""
-    rows = design(features).transform(frame)
-    fit = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(rows)
-    return fit.transform(rows).withColumn("z", vector_to_array("z"))
-
-
-def folds_of(frame: DataFrame, group: str = "bearing") -> DataFrame:
-    """fold number of each group, in name order."""
-    return frame.select(group).distinct().withColumn("fold", F.row_number().over(Window.orderBy(group)))

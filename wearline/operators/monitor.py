@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions.expressions import finite
+from . import ranks
 
 RATIO_ENDINGS = ("_current_over_early", "_recent_mean_over_early")
 
@@ -21,7 +22,7 @@ def unpivoted(frame: DataFrame, columns: list[str], keep: list[str] = ()) -> Dat
 
 def reference_ranges(frame: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """feature, p01 and p99 with linear interpolation."""
-    return unpivoted(frame, columns).groupBy("feature").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("p")).select("feature", F.get("p", F.lit(0)).alias("p01"), F.get("p", F.lit(1)).alias("p99"))
+    return ranks.quantiles(unpivoted(frame, columns), ["feature"], "value", {"p01": low, "p99": high})
 
 
 def out_of_range(frame: DataFrame, ranges: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,16 +34,17 @@ def out_of_range(frame: DataFrame, ranges: DataFrame, columns: list[str]) -> Dat
 def sanity(reference: DataFrame, target: str, current: DataFrame, prediction: str) -> DataFrame:
     """Count, mean, sample deviation, least, median and largest of the training target and of predictions."""
     rows = reference.select(F.lit("reference").alias("side"), F.col(target).alias("v")).unionByName(current.select(F.lit("current").alias("side"), F.col(prediction).alias("v")))
-    found = rows.groupBy("side").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.percentile("v", F.lit(0.5)).alias("median"), F.max("v").alias("max"))
-    return found
+    found = rows.groupBy("side").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return ranks.joined([found, ranks.quantiles(rows, ["side"], "v", {"median": 0.5})], ["side"])
 
 
 def data_summary(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Per feature: rows, missing, moments and quartiles."""
     rows = frame.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "feature", "value")
     v = F.when(finite("value"), F.col("value"))
-    found = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(v.isNull().cast("long")).alias("n_missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    return found.select("feature", "n_rows", "n_missing", "mean", "std", "min", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))), "max")
+    found = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(v.isNull().cast("long")).alias("n_missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    found = ranks.joined([found, ranks.quantiles(rows.withColumn("value", v), ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})], ["feature"])
+    return found.select("feature", "n_rows", "n_missing", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
@@ -56,13 +58,11 @@ def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
 def drift(reference: DataFrame, current: DataFrame, columns: list[str], level: float = 0.05) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov per feature: feature, n_reference, n_current, statistic, p_value and drifted.
 
-    Values are counted per side first, so windows run over distinct values of a feature."""
+    Values are counted per side first, and the two distributions are summed up over them in bins of values."""
     tagged = unpivoted(reference, columns).select("feature", "value", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(unpivoted(current, columns).select("feature", "value", F.lit(0).alias("a"), F.lit(1).alias("b")))
     counts = tagged.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    up, all_ = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature")
-    rows = counts.select("feature", F.sum("a").over(up).alias("fa"), F.sum("b").over(up).alias("fb"), F.sum("a").over(all_).alias("na"), F.sum("b").over(all_).alias("nb"))
-    gap = F.abs(F.try_divide(F.col("fa").cast("double"), "na") - F.try_divide(F.col("fb").cast("double"), "nb"))
-    found = rows.groupBy("feature").agg(F.max("na").alias("n_reference"), F.max("nb").alias("n_current"), F.max(gap).alias("statistic"))
+    rows = ranks.cumulated(counts, ["feature"], ["a", "b"])
+    found = rows.groupBy("feature").agg(F.max("total_a").alias("n_reference"), F.max("total_b").alias("n_current"), F.max(ranks.largest_gap("a", "b")).alias("statistic"))
     p = F.when(F.col("statistic").isNotNull(), kolmogorov_p(F.col("statistic"), F.col("n_reference"), F.col("n_current")))
     return found.withColumn("p_value", p).withColumn("drifted", F.coalesce(F.col("p_value") < level, F.lit(False)))
 

@@ -215,14 +215,17 @@ def median_lobo(spark, sf_dir):
     return median_predictions(spark, sf_dir).select("bearing", "file_index", "rul_seconds", "predicted")
 
 
-@query(f"""WITH {TRAJ}, l AS (SELECT *, file_index * 10 + rul_seconds AS life, file_index * 10.0E0 AS age FROM traj WHERE file_index % 10 = 0), f AS (SELECT DISTINCT bearing FROM l),
+LIFE_PRIORS = f"""WITH {TRAJ}, l AS (SELECT *, file_index * 10 + rul_seconds AS life, file_index * 10.0E0 AS age FROM traj), f AS (SELECT DISTINCT bearing FROM l),
     c AS (SELECT f.bearing, l.condition, quantile_cont(life, 0.5) AS own FROM f JOIN l ON l.bearing <> f.bearing GROUP BY ALL), g AS (SELECT f.bearing, quantile_cont(life, 0.5) AS every FROM f JOIN l ON l.bearing <> f.bearing GROUP BY ALL)
-    SELECT l.bearing, {big('file_index', 'file_index')}, {r('greatest(coalesce(own, every) - age, 0)', 'predicted')} FROM l LEFT JOIN c ON l.bearing = c.bearing AND l.condition = c.condition JOIN g ON l.bearing = g.bearing""")
+    SELECT l.bearing, {big('file_index', 'file_index')}, {r('greatest(coalesce(own, every) - age, 0)', 'predicted')} FROM l LEFT JOIN c ON l.bearing = c.bearing AND l.condition = c.condition JOIN g ON l.bearing = g.bearing"""
+
+
+@query(LIFE_PRIORS)
 def life_prior_lobo(spark, sf_dir):
-    return life_priors(a.labelled(spark, sf_dir).where("file_index % 10 = 0"))
+    return life_priors(a.labelled(spark, sf_dir))
 
 
-@query()
+@query(LIFE_PRIORS)
 def life_prior_lobo_whole(spark, sf_dir):
     return life_priors(a.labelled(spark, sf_dir))
 
@@ -278,15 +281,18 @@ def rmse_pivot(spark, sf_dir):
 KNN_X = ["rms_horiz", "kurtosis_vert", "fft_band_3_horiz"]
 
 
-@query(f"""WITH {TRAJ}, x AS (SELECT bearing, file_index, rul_seconds, CAST(substr(bearing, 2) AS BIGINT) % 2 AS side, {', '.join(KNN_X)} FROM traj WHERE file_index % 20 = 0), s AS (SELECT {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS s{i}' for i, c in enumerate(KNN_X))} FROM x WHERE side = 1),
+NEAREST = f"""WITH {TRAJ}, x AS (SELECT bearing, file_index, rul_seconds, CAST(substr(bearing, 2) AS BIGINT) % 2 AS side, {', '.join(KNN_X)} FROM traj), s AS (SELECT {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS s{i}' for i, c in enumerate(KNN_X))} FROM x WHERE side = 1),
     d AS (SELECT q.bearing, q.file_index, t.rul_seconds AS y, {' + '.join(f'((q.{c} - m{i}) / s{i} - (t.{c} - m{i}) / s{i})^2' for i, c in enumerate(KNN_X))} AS d FROM x q, x t, s WHERE q.side = 0 AND t.side = 1),
-    k AS (SELECT *, row_number() OVER (PARTITION BY bearing, file_index ORDER BY d, y) AS rn FROM d)
-    SELECT bearing, {big('file_index', 'file_index')}, {r('CASE WHEN min(d) = 0 THEN avg(y) FILTER (d = 0) ELSE sum(y / sqrt(nullif(d, 0))) / sum(1 / sqrt(nullif(d, 0))) END', 'predicted')} FROM k WHERE rn <= 3 GROUP BY ALL""")
+    k AS (SELECT *, row_number() OVER (PARTITION BY bearing, file_index ORDER BY round(d, 12), y) AS rn FROM d)
+    SELECT bearing, {big('file_index', 'file_index')}, {r('CASE WHEN min(d) = 0 THEN avg(y) FILTER (d = 0) ELSE sum(y / sqrt(nullif(d, 0))) / sum(1 / sqrt(nullif(d, 0))) END', 'predicted')} FROM k WHERE rn <= 3 GROUP BY ALL"""
+
+
+@query(NEAREST)
 def knn_regression(spark, sf_dir):
-    return nearest(a.labelled(spark, sf_dir).where("file_index % 20 = 0"))
+    return nearest(a.labelled(spark, sf_dir))
 
 
-@query()
+@query(NEAREST)
 def knn_regression_whole(spark, sf_dir):
     return nearest(a.labelled(spark, sf_dir))
 
@@ -508,9 +514,11 @@ def repeated_keys(spark, sf_dir):
     return contracts.repeated_keys(a.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query(f"WITH {TRAJ} SELECT unnest([{LIST}]) AS column, 0::BIGINT AS n_bad")
+@query(f"WITH {TRAJ} " + " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) FILTER (file_index % {5 + i} = 0) AS n_bad FROM traj" for i, c in enumerate(COLS)))
 def finite_check(spark, sf_dir):
-    return contracts.not_finite(a.trajectories(spark, sf_dir), COLS)
+    rows = a.trajectories(spark, sf_dir)
+    spoilt = {c: F.when(F.col("file_index") % (5 + i) == 0, F.lit(bad).cast("double")).otherwise(F.col(c)) for i, (c, bad) in enumerate(zip(COLS, (None, "nan", "inf", "-inf"), strict=True))}
+    return contracts.not_finite(rows.withColumns(spoilt), COLS)
 
 
 @query("WITH x AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'), y AS (SELECT DISTINCT user_id FROM events WHERE value > 300) SELECT user_id, 'left' AS side FROM x WHERE user_id NOT IN (SELECT user_id FROM y) UNION ALL SELECT user_id, 'right' FROM y WHERE user_id NOT IN (SELECT user_id FROM x)")
@@ -519,14 +527,16 @@ def key_differences(spark, sf_dir):
     return contracts.key_differences(rows.where("event_type = 'signup'"), rows.where("value > 300"), ["user_id"])
 
 
-@query("WITH x AS (SELECT DISTINCT l_returnflag, l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09), m AS (SELECT l_returnflag, max(l_suppkey) AS m FROM x GROUP BY 1) SELECT l_returnflag, g.k AS missing FROM m, range(1, 1000000) g(k) WHERE g.k < m AND NOT EXISTS (SELECT 1 FROM x WHERE x.l_returnflag = m.l_returnflag AND x.l_suppkey = g.k)")
+@query("WITH x AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS l_quantity, l_partkey FROM lineitem), m AS (SELECT l_quantity, max(l_partkey) AS m FROM x GROUP BY 1), g AS (SELECT l_quantity, unnest(range(1, m)) AS k FROM m) SELECT l_quantity, k AS missing FROM g ANTI JOIN x ON x.l_quantity = g.l_quantity AND x.l_partkey = g.k")
 def number_gaps(spark, sf_dir):
-    return contracts.gaps(a.table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount > 0.09"), ["l_returnflag"], "l_suppkey")
+    return contracts.gaps(a.table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("long")), ["l_quantity"], "l_partkey")
 
 
-@query(f"WITH {TRAJ} SELECT bearing, count(*) AS n_rows, 0::BIGINT AS n_missing, 0::BIGINT AS n_different, 0.0::DOUBLE AS largest FROM traj WHERE file_index <= floor(0.6 * n) GROUP BY bearing")
+@query(f"WITH {TRAJ} SELECT bearing, count(*) AS n_rows, count(*) FILTER (file_index % 11 = 0) AS n_missing, count(*) FILTER (file_index % 7 = 0 AND file_index % 11 <> 0) AS n_different, max(CASE WHEN file_index % 11 = 0 THEN NULL WHEN file_index % 7 = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS largest FROM traj WHERE file_index <= floor(0.6 * n) GROUP BY bearing")
 def prefix_of_complete_run(spark, sf_dir):
     test, whole = a.truncated(spark, sf_dir)
+    # the complete runs lack some files and differ in others
+    whole = whole.where(F.col("file_index") % 11 != 0).withColumn(COLS[0], F.col(COLS[0]) + F.when(F.col("file_index") % 7 == 0, 1.0).otherwise(0.0))
     return contracts.prefix_differences(test, whole, ["bearing", "file_index"], COLS)
 
 
