@@ -1,7 +1,8 @@
 """Prefix samples and health-indicator samples.
 
-All columns of a prefix depend on rows up to its cut alone, so they are worked out as windows at every row once, and
-the rows at the cuts are picked afterwards: one shuffle by entity, and no join of trajectories with prefixes.
+All columns of a prefix depend on rows up to its cut alone, and on few of them: the first and the last ones.  A row is
+passed on only to the cuts that look at it, and each (entity, cut) is one aggregation: one shuffle by entity, and no join of
+trajectories with prefixes.  Health samples work their indicator out at every row and pick the cuts afterwards.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions.expressions import window_slope
 from .signal import with_totals
-from .trajectory import by, last_rows, with_context, with_position
+from .trajectory import by, with_context, with_position
 
 
 def cut_position(n: Column, fraction: Column, least: int = 1) -> Column:
@@ -53,9 +54,38 @@ def enough_rows(frame: DataFrame, least: int, entity: str) -> DataFrame:
     return frame.withColumn("_size", n).withColumn("_ok", F.when(F.col("_size") >= least, True).otherwise(F.raise_error(F.lit(f"a trajectory needs at least {least} rows")).cast("boolean"))).where("_ok").drop("_size", "_ok")
 
 
+def features_at(rows: DataFrame, cuts: Column, keep: list[str], early: int, recent: int, entity: str = "bearing", order: str = "file_index") -> DataFrame:
+    """One row per entity and cut with the prefix predictors, cut_fraction, file_index and the kept columns of the row at the cut.
+
+    rows has position; cuts is an array of (f, at) structs.  A row goes to the cuts at or after it of whose first early or last recent rows it is one."""
+    mine = F.filter(cuts, lambda c: (F.col("position") <= c["at"]) & ((F.col("position") > c["at"] - recent) | (F.col("position") <= early)))
+    rows = rows.select(entity, order, "position", *keep, *catalog.SOURCES, F.explode(mine).alias("_cut"))
+    at, hours = F.col("_cut.at"), F.col("position") * (catalog.INTERVAL_SECONDS / 3600)
+    here = lambda c: F.max(F.when(F.col("position") == at, F.col(c)))
+    near = lambda c: F.when(F.col("position") > at - recent, F.col(c))
+    made = [here(c).alias(c) for c in (order, *keep)]
+    for s in catalog.SOURCES:
+        made += [F.percentile(F.when(F.col("position") <= early, F.col(s)), F.lit(0.5)).alias(f"_e_{s}"), here(s).alias(f"_c_{s}"), F.avg(near(s)).alias(f"_m_{s}"), F.coalesce(F.regr_slope(near(s), hours), F.lit(0.0)).alias(f"{s}_recent_slope_per_hour")]
+    found = rows.groupBy(entity, F.col("_cut.f").alias("cut_fraction"), at.alias("_at")).agg(*made)
+    scale = lambda s: F.greatest(F.abs(F.col(f"_e_{s}")), F.lit(1e-8))
+    new = {"observed_age_seconds": F.col(order) * float(catalog.INTERVAL_SECONDS)}
+    for s in catalog.SOURCES:
+        new |= {f"{s}_current_over_early": F.col(f"_c_{s}") / scale(s), f"{s}_recent_mean_over_early": F.col(f"_m_{s}") / scale(s)}
+    return with_context(found.withColumns(new))
+
+
+def positions(frame: DataFrame, entity: str) -> DataFrame:
+    """Adds position and _n, the length of the trajectory."""
+    return with_position(frame, entity).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(entity)))
+
+
 def prefix_samples(frame: DataFrame, fractions=catalog.CUT_FRACTIONS, early: int = catalog.EARLY_ROWS, recent: int = catalog.RECENT_ROWS) -> DataFrame:
     """Training samples at the cuts, with the target and total_life_seconds, which is never a predictor."""
-    rows = at_cuts(with_prefix_features(enough_rows(frame, 4, "bearing"), early, recent), fractions, 1, "bearing")
+    check_fractions(fractions)
+    cuts = F.array(*(F.struct(F.lit(float(f)).alias("f"), (cut_position(F.col("_n"), F.lit(float(f))) + 1).cast("long").alias("at")) for f in fractions))
+    # of fractions that meet at a row the first one stays
+    cuts = F.filter(cuts, lambda c, i: (i == 0) | ~F.exists(F.slice(cuts, 1, i), lambda x: x["at"] == c["at"]))
+    rows = features_at(positions(enough_rows(frame, 4, "bearing"), "bearing"), cuts, ["condition", "rul_seconds"], early, recent)
     return rows.select("condition", "bearing", "cut_fraction", F.col("file_index").alias("cut_file_index"), *catalog.prefix_columns(), "rul_seconds", (F.col("observed_age_seconds") + F.col("rul_seconds")).alias("total_life_seconds"))
 
 
@@ -63,7 +93,8 @@ def prefix_endpoints(frame: DataFrame, early: int = catalog.EARLY_ROWS, recent:
     """One inference row per entity, at its last file; the target must not be there."""
     if "rul_seconds" in frame.columns:
         raise ValueError("endpoint features must not see rul_seconds")
-    rows = last_rows(with_prefix_features(enough_rows(frame, 2, "bearing"), early, recent))
+    last = F.array(F.struct(F.lit(1.0).alias("f"), F.col("_n").alias("at")))
+    rows = features_at(positions(enough_rows(frame, 2, "bearing"), "bearing"), last, ["condition"], early, recent)
     return rows.select("condition", "bearing", F.col("file_index").alias("cut_file_index"), *catalog.prefix_columns())
 
 
