@@ -13,8 +13,8 @@ def col(c: Column | str) -> Column:
 
 
 def finite(c: Column | str) -> Column:
-    """Neither null nor NaN nor infinite."""
-    x = col(c).cast("double")
+    """A number that is neither null nor NaN nor infinite."""
+    x = col(c).try_cast("double")
     return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
 
 

@@ -211,8 +211,12 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str
 
 def leave_one_out(name: str, frame: DataFrame, features: list[str], target: str = "rul_seconds", group: str = "bearing", folds: int = 0, total_life: bool = False, seed: int = 42, **overrides) -> DataFrame:
     """Predictions of every row by a model that saw none of its fold, with model and held_out_bearing."""
-    if name in ("median", "condition_life_prior") and not folds and not total_life:
-        out = (median_cv if name == "median" else life_prior_cv)(frame, target, group)
+    if name in ("median", "condition_life_prior") and not folds:
+        if name == "median" and total_life:
+            age = F.col("observed_age_seconds")
+            out = median_cv(frame.withColumn("_goal", F.col(target) + age), "_goal", group).drop("_goal").withColumn("predicted", clipped(F.col("predicted") - age))
+        else:
+            out = (median_cv if name == "median" else life_prior_cv)(frame, target, group)
         return out.withColumn("held_out_bearing", F.col(group))
     rows = grouped(frame, folds, group)
     check_groups(rows, "fold")

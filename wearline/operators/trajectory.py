@@ -38,8 +38,10 @@ def with_context(frame: DataFrame) -> DataFrame:
 
 
 def with_temporal(frame: DataFrame, sources: list[str] | None = None, windows: tuple[int, ...] = catalog.ROLLING_WINDOWS, entity: str = "bearing", order: str = "file_index") -> DataFrame:
-    """Adds rolling mean, population deviation and slope per second over the last rows of each trajectory."""
+    """Adds rolling mean, population deviation and slope per second over the last rows of each trajectory; repeated places in its order fail the job."""
     rows = with_position(frame, entity, order) if "position" not in frame.columns else frame
+    again = F.lag(order).over(by(entity, order)).eqNullSafe(F.col(order)) & (F.col("position") > 1)
+    rows = rows.withColumn("position", F.when(again, F.raise_error(F.lit(f"repeated {order} in a trajectory")).cast("int")).otherwise(F.col("position")))
     new: dict[str, Column] = {}
     for s in sources or catalog.SOURCES:
         for n in windows:

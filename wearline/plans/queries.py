@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions.expressions import stable
-from ..operators import contracts, datasets, eda, evaluate, models, monitor, prefix, signal, trajectory
+from ..operators import contracts, datasets, eda, evaluate, experiments, models, monitor, prefix, signal, trajectory
 from . import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,11 +328,105 @@ def total_life_ridge_cv(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    rows = fitted_samples(spark, sf_dir).cache()
+    rows = kept(fitted_samples(spark, sf_dir), "samples")
     fit = models.make_model("random_forest", rows, catalog.prefix_columns(), "rul_seconds").fit(rows)
     return models.importances(fit, catalog.prefix_columns(), rows)
 
 
+# Experiments.
+
+SAMPLES = f"""cuts AS (SELECT DISTINCT condition, bearing, n, greatest(1, least(n - 2, CAST(round_even((n - 1) * f, 0) AS BIGINT))) + 1 AS cut FROM traj, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in FRACTIONS)}]) AS f)),
+    sm AS (SELECT t.condition, t.bearing, cut, cut * 10.0E0 AS age, t.rul_seconds AS y FROM cuts JOIN traj t ON t.bearing = cuts.bearing AND t.file_index = cut)"""
+LEFT_OUT = """fb AS (SELECT DISTINCT bearing FROM sm), om AS (SELECT f.bearing, median(y) AS m FROM fb f JOIN sm s ON s.bearing <> f.bearing GROUP BY 1), ol AS (SELECT f.bearing, median(y + age) AS m FROM fb f JOIN sm s ON s.bearing <> f.bearing GROUP BY 1),
+    oc AS (SELECT f.bearing, s.condition, median(y + age) AS m FROM fb f JOIN sm s ON s.bearing <> f.bearing GROUP BY 1, 2),
+    px AS (SELECT 'median' AS model, bearing, age, y, om.m AS p FROM sm JOIN om USING (bearing) UNION ALL SELECT 'condition_life_prior', s.bearing, age, y, greatest(0, coalesce(oc.m, ol.m) - age) FROM sm s JOIN ol ON s.bearing = ol.bearing LEFT JOIN oc ON oc.bearing = s.bearing AND oc.condition = s.condition
+           UNION ALL SELECT 'median:total_life', s.bearing, age, y, greatest(0, ol.m - age) FROM sm s JOIN ol USING (bearing))"""
+SCORES = """fx AS (SELECT model, bearing, sqrt(avg((y-p)^2)) AS rmse, avg(abs(y-p)) AS mae FROM px GROUP BY 1, 2), mx AS (SELECT model, avg(up / greatest(n, 1)) AS rate FROM (SELECT model, bearing, count(*) FILTER (p - before > 1e-9) AS up, count(before) AS n FROM (SELECT *, lag(p) OVER (PARTITION BY model, bearing ORDER BY age) AS before FROM px) GROUP BY 1, 2) GROUP BY 1),
+    sx AS (SELECT model, count(*) AS n_folds, avg(rmse) AS mean_rmse, stddev_samp(rmse) AS std_rmse, avg(mae) AS mean_mae, median(rmse) AS median_rmse, max(rmse) AS worst_rmse, rate AS mean_violation_rate FROM fx JOIN mx USING (model) GROUP BY model, rate)"""
+SUMMARY = ["model", "n_folds", "mean_rmse", "std_rmse", "mean_mae", "median_rmse", "worst_rmse", "mean_violation_rate"]
+
+
+def sql_summary(where: str) -> str:
+    return f"WITH {TRAJ}, {SAMPLES}, {LEFT_OUT}, {SCORES} SELECT model, n_folds, {', '.join(r(c, c) for c in SUMMARY[2:])} FROM sx WHERE {where}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for jobs that look at it many times."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plain_samples(spark, sf_dir) -> DataFrame:
+    return kept(fitted_samples(spark, sf_dir).select("condition", "bearing", "observed_age_seconds", "rul_seconds"), "samples")
+
+
+@query(sql_summary("model = 'condition_life_prior'"))
+def experiment(spark, sf_dir):
+    return experiments.run_experiment("condition_life_prior", plain_samples(spark, sf_dir), []).summary.select(*SUMMARY)
+
+
+@query(sql_summary("model IN ('median', 'condition_life_prior')"))
+def experiment_baselines(spark, sf_dir):
+    return experiments.baselines(plain_samples(spark, sf_dir)).select(*SUMMARY)
+
+
+@query(f"WITH {TRAJ}, {SAMPLES}, {LEFT_OUT}, {SCORES} SELECT 'median' AS model, {r('a.mean_rmse', 'direct')}, {r('b.mean_rmse', 'total_life')}, {r('a.mean_rmse - b.mean_rmse', 'gain')} FROM sx a, sx b WHERE a.model = 'median' AND b.model = 'median:total_life'")
+def target_ablation(spark, sf_dir):
+    return experiments.target_ablation(["median"], plain_samples(spark, sf_dir), [])
+
+
+@query()
+def experiment_suite(spark, sf_dir):
+    """A model that isn't there has status error."""
+    specs = [{"model": "median"}, {"model": "ridge"}, {"model": "no such model"}, {"model": "ridge", "label": "leaky", "features": ["rul_seconds"]}]
+    return experiments.suite(kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns(), specs, folds=3).select("model", "status", "reason", "mean_rmse")
+
+
+@query()
+def feature_ablation(spark, sf_dir):
+    columns = catalog.prefix_columns()
+    sets = {"all": columns, "age": ["observed_age_seconds"], "rms": [c for c in columns if c.startswith("rms")], "no slopes": [c for c in columns if "slope" not in c]}
+    return experiments.feature_ablation("ridge", kept(fitted_samples(spark, sf_dir), "samples"), sets, folds=3).select("model", "status", "mean_rmse", "worst_rmse")
+
+
+@query()
+def parameter_sweep(spark, sf_dir):
+    return experiments.sweep("ridge", kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns(), 3, folds=3)
+
+
+HALVES = "CAST(substr(bearing, 2) AS BIGINT) % 2"
+
+
+@query(f"""WITH {TRAJ}, x AS (SELECT bearing, CASE WHEN file_index % 9 = 0 THEN NULL ELSE rul_seconds END AS y FROM traj), m AS (SELECT median(y) AS p FROM x WHERE {HALVES} = 1), q AS (SELECT y, p FROM x, m WHERE {HALVES} = 0 AND y IS NOT NULL)
+    SELECT count(*) AS n_rows, {METRICS}, (SELECT count(*) FROM x WHERE {HALVES} = 1 AND y IS NULL) AS n_dropped_learn, (SELECT count(*) FROM x WHERE {HALVES} = 0 AND y IS NULL) AS n_dropped_judge FROM q""")
+def split_fit(spark, sf_dir):
+    rows = a.labelled(spark, sf_dir).withColumn("split", F.when(F.substring("bearing", 2, 20).cast("long") % 2 == 1, "learn").otherwise("judge"))
+    return experiments.split_fit("median", rows.withColumn("rul_seconds", F.when(F.col("file_index") % 9 != 0, F.col("rul_seconds"))), [], "learn", "judge")[1]
+
+
+HOLDOUT = f"""ts AS (SELECT *, max(file_index) FILTER (file_index <= floor(0.6 * n)) OVER (PARTITION BY bearing) AS last FROM traj), en AS (SELECT condition, bearing, last * 10.0E0 AS age, (n - last) * 10.0E0 AS y FROM ts WHERE file_index = last),
+    mm AS (SELECT median(y) AS m, median(y + age) AS l FROM sm), mc AS (SELECT condition, median(y + age) AS l FROM sm GROUP BY 1),
+    ho AS (SELECT 'median' AS model, y, m AS p FROM en, mm UNION ALL SELECT 'condition_life_prior', y, greatest(0, coalesce(mc.l, mm.l) - age) FROM en CROSS JOIN mm LEFT JOIN mc USING (condition))"""
+
+
+@query(f"WITH {TRAJ}, {SAMPLES}, {HOLDOUT}, s AS (SELECT model, count(*) AS n_rows, {METRICS} FROM ho GROUP BY model) SELECT *, row_number() OVER (ORDER BY rmse, model) AS rank, row_number() OVER (ORDER BY rmse, model) = 1 AS winner FROM s")
+def official_holdout(spark, sf_dir):
+    test, whole = a.truncated(spark, sf_dir)
+    truth = datasets.endpoint_truth(datasets.ground_truth(test, whole))
+    return experiments.official_holdout(plain_samples(spark, sf_dir), prefix.prefix_endpoints(test), truth, ["median", "condition_life_prior"], [])[1]
+
+
+@query(f"WITH {TRAJ}, {SAMPLES}, {HOLDOUT} SELECT bearing, {r('greatest(0, coalesce(mc.l, mm.l) - age)', 'predicted_rul_seconds')}, 'ok' AS status, CAST(NULL AS VARCHAR) AS error_message FROM en CROSS JOIN mm LEFT JOIN mc USING (condition) WHERE {HALVES} = 0 UNION ALL SELECT bearing, NULL, 'error', 'rejected' FROM en WHERE {HALVES} = 1")
+def saved_model_scoring(spark, sf_dir):
+    """A model is fitted on all samples, saved, loaded, and scores the requests that were accepted."""
+    path = shared(spark, "model")
+    experiments.fit("condition_life_prior", plain_samples(spark, sf_dir), []).save(path)
+    odd = F.substring("bearing", 2, 20).cast("long") % 2 == 1
+    requests = prefix.prefix_endpoints(a.truncated(spark, sf_dir)[0]).select("bearing", "condition", "observed_age_seconds", F.when(odd, "rejected").otherwise("ok").alias("outcome"), F.when(odd, "rejected").alias("reason"))
+    return experiments.score_requests(experiments.load(spark, path), requests).select("bearing", "predicted_rul_seconds", "status", "error_message")
+
+
 # Monitoring.
 
 COLS = ["rms_horiz", "kurtosis_vert", "crest_factor_horiz", "fft_band_2_vert"]
@@ -386,7 +480,8 @@ def drift_gate(spark, sf_dir):
 @query()
 def drift_scenarios(spark, sf_dir):
     test = a.trajectories(spark, sf_dir)
-    rows = prefix.prefix_endpoints(test).withColumn("_side", F.substring("bearing", 2, 20).cast("long") % 2).cache()
+    rows = prefix.prefix_endpoints(test).withColumn("_side", F.substring("bearing", 2, 20).cast("long") % 2)
+    rows = kept(rows, "scenarios")
     ref, cur = rows.where("_side = 1"), rows.where("_side = 0")
     return monitor.scenario_report(ref, cur, catalog.prefix_columns(), monitor.ranges_of(monitor.reference_ranges(ref, catalog.prefix_columns())))
 
@@ -561,11 +656,14 @@ def first_rows(spark, sf_dir):
 # Streams: the events table read as a stream of files.
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's stream under spark.checkpoint.dir; of this machine only where that is unset."""
+    """A new folder under spark.checkpoint.dir; of this machine only where that is unset and the master local."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

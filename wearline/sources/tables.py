@@ -40,21 +40,28 @@ def stored_features(table: DataFrame, split: str | None = None, dataset_version:
 
 
 def publish(df: DataFrame, name: str) -> None:
-    """Replaces table name after checks: rows, and the unique key (split, bearing, file_index); written aside, then swapped."""
+    """Replaces table name after checks: rows, and the unique key (split, bearing, file_index); written aside, then swapped.
+    The table before it is renamed and dropped last, so that a failure in between loses nothing."""
     spark = df.sparkSession
     if df.isEmpty():
         raise ContractError("refusing to publish no rows")
     assert_unique(df, catalog.KEY, name)
     spark.sql(f"DROP TABLE IF EXISTS {name}_staging")
     df.write.mode("overwrite").saveAsTable(f"{name}_staging")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}_before")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}_before")
     spark.sql(f"ALTER TABLE {name}_staging RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}_before")
 
 
-def append_predictions(log: DataFrame, path: str) -> None:
-    """Appends rows that may be logged; any other row is an error and nothing is written."""
+def append_predictions(log: DataFrame, path: str, quarantine: str | None = None) -> None:
+    """Appends rows that may be logged.  Other rows go to the quarantine folder with their fault; without one any such row is an error and nothing is written."""
     checked = request_faults(log)
-    if bad := checked.where("fault IS NOT NULL").select("request_id", "fault").limit(5).collect():
+    if quarantine:
+        checked.where("fault IS NOT NULL").write.mode("append").parquet(quarantine)
+        checked = checked.where("fault IS NULL")
+    elif bad := checked.where("fault IS NOT NULL").select("request_id", "fault").limit(5).collect():
         raise ContractError(str(bad))
     checked.drop("fault").withColumn("requested_date", F.to_date("requested_at")).write.mode("append").partitionBy("requested_date").parquet(path)
 
