@@ -739,6 +739,65 @@ def test_queries_against_sql(spark, name):
     assert Counter(tuple(r[k] for k in cols) for r in QUERIES[name](spark, SMALL).collect()) == Counter(want.fetchall())
 
 
+CLASHES = ["doc", "gone", "lines", "worded", "held", "key", "hash", "id", "rate", "copies", "copy", "group", "levels", "c0", "c1", "C2", "x0", "m0", "_piece", "node", "value"]
+
+
+def test_stages_pass_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [prose(i, 60) + "\n" + prose(i + 500, 60) for i in range(24)] + [prose(3, 60) + "\nother " + prose(900, 60), None]
+    frame = docs(spark, texts).drop("n_words").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns, name
+        rows = out.collect()
+        assert len(rows) >= 20 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES), name
+
+
+def test_very_long_texts(spark):
+    """Longer than what a task takes at once: statistics, lines, words and tokens of the whole text."""
+    text = (prose(1, 200) + "\n") * 9000  # about 11 MB
+    frame = docs(spark, [text, prose(2)])
+    n = len(WORD.findall(text))
+    assert {r.doc_id: r.n_words for r in quality.statistics(frame.select("doc_id", "lang", "source", "text")).select("doc_id", "n_words").collect()}[0] == n
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(frame.select("doc_id", "text")).select("doc_id", "n_removed").collect()}[0] == 8999
+    assert {r.doc_id: r.n_shingles for r in neardup.sketches(frame).collect()}[0] == 200
+    word, _, _, doc = pitman_yor.tokens([text, "a"])
+    assert (len(word), int((doc == 0).sum())) == (n + 3, n + 1)
+    assert len(secrets.scan(text + " AKIA" + "Q" * 16)) == 1
+    held = bpe.Vocabulary(bpe.default_path())
+    assert len(held.encode([text])[0]) == 9000 * len(held.encode([prose(1, 200)])[0])
+
+
+def test_nested_sets_are_not_missed():
+    """The chance that two classes share too few of the indexed values, where one set holds the other and where sizes are equal."""
+    below = lambda p: sum(math.comb(neardup.INDEX, k) * p**k * (1 - p) ** (neardup.INDEX - k) for k in range(neardup.OVERLAP))
+    assert below(0.75) < 1e-6 and below(6 / 7) < below(0.75)
+
+
+def test_nested_texts_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    vocabulary, texts = [f"w{i}" for i in range(4000)], []
+    for _ in range(12):
+        base = list(rng.choice(vocabulary, 800))
+        for n in (800, 604, 601, 590):  # shares about 0.75 of the shingles, just above and below
+            texts.append(" ".join(base[:n]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == near_by_hand(texts)
+
+
+def test_joins_deal_hot_keys(spark, monkeypatch):
+    from wearline.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(200)], "k int, v int")
+    right = spark.createDataFrame([(0, "a", 33), (1, "b", 33), (7, "c", 100), (9, "d", 1)], "k int, w string, n int")
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()))
+        assert Counter(map(tuple, common.spread_join(left, right, ["k"], "n", 5, how).select("k", "v", "w").collect())) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
