@@ -61,6 +61,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
+# The columns of three operators that SQL can express, from the same operators.
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def secrets_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -72,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_minhash": op9_minhash,
     "op10_secrets": op10_secrets,
+    "quality_base": quality_base,
+    "media_payload": media_payload,
+    "secrets_counts": secrets_counts,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,5 +105,20 @@ ORACLES: dict[str, str] = {
                CASE WHEN last IS NULL OR last IS NOT DISTINCT FROM page_id THEN NULL ELSE last END AS refers_to
         FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 1000""",
     "op5_lines": lines.ORACLE,
+    "quality_base": """
+        WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents), w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+        g AS (SELECT doc_id, i, ws[i:i + 7] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+        t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g), p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM t, range(8) r(k) WHERE n > 1 GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+        s AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words
+              FROM w LEFT JOIN l USING (doc_id) LEFT JOIN p USING (doc_id))
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s""",
+    "media_payload": """
+        WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, strlen(COALESCE(text, '')) AS n_bytes FROM documents), p AS (SELECT *, greatest(64, (n_bytes + 63) // 64 * 64) AS payload_bytes FROM d)
+        SELECT doc_id, n_bytes, payload_bytes, sha256(text || repeat(chr(0), payload_bytes - n_bytes)) AS payload_sha256 FROM p""",
+    "secrets_counts": f"""
+        WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents)
+        SELECT doc_id, len(list_filter(regexp_extract_all(text, '({'|'.join(map(either_case, ('password', 'passwd', 'secret', 'token', 'api_?key')))})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+               len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d""",
     "op9_minhash": neardup.ORACLE,
 }
