@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, media, mixing, neardup, pitman_yor, quality, secrets, toxicity, warc
+from . import bpe, fim, licenses, lines, manifest, media, mixing, neardup, pitman_yor, quality, secrets, toxicity, warc
 from .common import crc_bucket, shared_folder, table
 
 
@@ -61,7 +61,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
-# The columns of three operators that SQL can express, from the same operators.
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]), ["doc_id"])
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+# The columns of four operators that SQL can express, from the same operators.
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -75,6 +88,10 @@ def secrets_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
@@ -90,6 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_minhash": op9_minhash,
     "op10_secrets": op10_secrets,
+    "op11_fim": op11_fim,
+    "op12_licenses": op12_licenses,
+    "op13_manifest": op13_manifest,
+    "licenses_base": licenses_base,
     "quality_base": quality_base,
     "media_payload": media_payload,
     "secrets_counts": secrets_counts,
@@ -121,4 +142,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(list_filter(regexp_extract_all(text, '({'|'.join(map(either_case, ('password', 'passwd', 'secret', 'token', 'api_?key')))})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
                len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d""",
     "op9_minhash": neardup.ORACLE,
+    "op11_fim": fim.ORACLE,
+    "op13_manifest": manifest.oracle(),
+    "licenses_base": licenses.ORACLE_BASE,
 }
