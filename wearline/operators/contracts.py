@@ -76,6 +76,18 @@ def cut_grid_faults(samples: DataFrame, fractions) -> DataFrame:
     return rows.where((F.col("cuts") != grid) | (F.col("n_rows") != len(set(fractions))))
 
 
+def assert_grid(samples: DataFrame, fractions, entities: int | None = None, rows: int | None = None) -> None:
+    """Samples of an experiment: key columns, cut grid, number of entities and of rows."""
+    if faults := column_faults(samples.columns, ["condition", "bearing", "cut_fraction", "cut_file_index", "observed_age_seconds", "rul_seconds"]):
+        raise ContractError("; ".join(faults))
+    assert_unique(samples, ["bearing", "cut_file_index"], "samples")
+    assert_empty(cut_grid_faults(samples, fractions), "cut grid")
+    found = samples.agg(F.countDistinct("bearing").alias("entities"), F.count(F.lit(1)).alias("rows")).first()
+    for name, want in (("entities", entities), ("rows", rows)):
+        if want is not None and found[name] != want:
+            raise ContractError(f"expected {want} {name}, found {found[name]}")
+
+
 def verify_samples(samples: DataFrame, predictors: list[str], fractions) -> None:
     """Prefix and health samples: columns, leakage, keys, grid and finite values."""
     if faults := column_faults(samples.columns, [*predictors, "bearing", "cut_fraction", "cut_file_index", "rul_seconds"], (), predictors):

@@ -1,6 +1,7 @@
 """Experiments: fitted models that can be saved, one experiment end to end, and jobs made of several experiments.
 
-Every result is a DataFrame; fits of MLlib models run one after the other, closed forms fit all folds in one job.
+Every result is a DataFrame; closed forms and ridges fit all folds in one job, and all ridges of a suite in the same one; fits
+of trees run one after the other.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions.expressions import clipped, finite
-from . import contracts, datasets, evaluate, models, trajectory
+from . import contracts, datasets, evaluate, models, moments, trajectory
 
 CLOSED = ("median", "condition_life_prior")
 #: Ranges of a sweep: even on a logarithmic scale, even, whole numbers, or one of several.
@@ -96,32 +97,60 @@ class Experiment:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def run_experiment(name: str, frame: DataFrame, features: list[str], target: str = "rul_seconds", folds: int = 0, total_life: bool = False, label: str | None = None, path: str | None = None, **params) -> Experiment:
-    """Contract, design, predictions of held-out entities, fold metrics, summary and monotonicity; written to path if it is given."""
+def refuse(name: str, frame: DataFrame, features: list[str], target: str = "rul_seconds", grid: dict | None = None) -> list[str]:
+    """The columns a model looks at, if the experiment keeps its contract: none of them, nor any other that was asked for, is
+    the target or one that is never a predictor; they are there and finite; there are two entities; and, if grid is given,
+    the samples have its fractions and its numbers of entities and rows."""
     used = design_columns(name, features)
-    schema = {"default_model_feature_columns": used or [target], "target_column": target, "blocked_predictor_columns": [c for c in catalog.BLOCKED if c not in used and c != target]}
-    faults = contracts.training_faults(frame, schema)
-    contracts.assert_empty(faults if used else faults.where("check != 'leak'"), f"experiment {label or name}")
-    rows = models.leave_one_out(name, frame, used, target, folds=folds, total_life=total_life, **params).withColumn("model", F.lit(label or name))
+    if leaks := sorted({*used, *features} & {*catalog.NEVER_PREDICTORS, target}):
+        raise contracts.ContractError(f"never predictors: {', '.join(leaks)}")
+    faults = contracts.training_faults(frame, {"default_model_feature_columns": used or [target], "target_column": target, "blocked_predictor_columns": catalog.NEVER_PREDICTORS})
+    contracts.assert_empty(faults if used else faults.where("check != 'leak'"), f"experiment {name}")
+    if grid:
+        contracts.assert_grid(frame, **grid)
+    return used
+
+
+def judged(rows: DataFrame, target: str = "rul_seconds") -> Experiment:
+    """Tables of the predictions of one or more models."""
     per_fold = evaluate.metrics(rows, ["model", "held_out_bearing"], target)
     moves = trajectory.monotonicity(rows, value="predicted")
-    made = Experiment(rows, per_fold, evaluate.with_monotonicity(evaluate.prefix_summary(per_fold), evaluate.monotonic_rate(moves)), moves)
+    return Experiment(rows, per_fold, evaluate.with_monotonicity(evaluate.prefix_summary(per_fold), evaluate.monotonic_rate(moves)), moves)
+
+
+def run_experiment(name: str, frame: DataFrame, features: list[str], target: str = "rul_seconds", folds: int = 0, total_life: bool = False, label: str | None = None, path: str | None = None, grid: dict | None = None, **params) -> Experiment:
+    """Contract, design, predictions of held-out entities, fold metrics, summary and monotonicity; written to path if it is given."""
+    used = refuse(name, frame, features, target, grid)
+    made = judged(models.leave_one_out(name, frame, used, target, folds=folds, total_life=total_life, **params).withColumn("model", F.lit(label or name)), target)
     if path:
         made.write(path)
     return made
 
 
-def suite(frame: DataFrame, features: list[str], specs: list[dict], target: str = "rul_seconds", folds: int = 0) -> DataFrame:
-    """Summaries of several experiments with status, best first; one that breaks its contract or has no such model has status error and a reason."""
-    done, failed = [], []
+def suite(frame: DataFrame, features: list[str], specs: list[dict], target: str = "rul_seconds", folds: int = 0, grid: dict | None = None) -> DataFrame:
+    """Summaries of several experiments with status, best first; one that breaks its contract, has no such model or a label that was there has status error and a reason.
+
+    All ridges are solved together, from one pass over the rows."""
+    done, failed, ridges, seen = [], [], [], set()
     for spec in specs:
+        name, label = spec["model"], spec.get("label") or spec["model"]
         try:
-            done.append(run_experiment(spec["model"], frame, spec.get("features", features), target, folds, spec.get("total_life", False), spec.get("label"), **spec.get("params", {})).summary)
+            if label in seen:
+                raise contracts.ContractError(f"label {label} is used twice")
+            seen.add(label)
+            mine, params, life = spec.get("features", features), spec.get("params", {}), spec.get("total_life", False)
+            if name == "ridge":
+                ridges.append(moments.Ridge(label, tuple(refuse(name, frame, mine, target, grid)), models.effective_params(name, params)["alpha"], life))
+            else:
+                done.append(run_experiment(name, frame, mine, target, folds, life, label, grid=grid, **params).summary)
         except (contracts.ContractError, KeyError) as e:
-            failed.append((spec.get("label") or spec["model"], f"{type(e).__name__}: {e}"[:500]))
+            failed.append((label, f"{type(e).__name__}: {e}"[:500]))
+    if ridges:
+        rows = moments.leave_one_out(models.grouped(frame, folds), ridges, target, "fold").withColumn("held_out_bearing", F.col("bearing"))
+        done.append(judged(rows, target).summary)
     out = [s.withColumns({"status": F.lit("ok"), "reason": F.lit(None).cast("string")}) for s in done]
     if failed:
-        out.append(frame.sparkSession.createDataFrame([(m, "error", why) for m, why in failed], "model string, status string, reason string"))
+        out.append(frame.sparkSession.createDataFrame([(m, "error", why, None, None) for m, why in failed], "model string, status string, reason string, mean_rmse double, worst_rmse double"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out).orderBy("status", "mean_rmse", "model")  # "error" has no scores
 
 
@@ -137,6 +166,8 @@ def feature_ablation(name: str, frame: DataFrame, sets: dict[str, list[str]], ta
 
 def target_ablation(names: list[str], frame: DataFrame, features: list[str], target: str = "rul_seconds", folds: int = 0) -> DataFrame:
     """Models fitted on the remaining and on the total life; one row per model, with the difference of mean rmse."""
+    for m in names:
+        refuse(m, frame, features, target)
     specs = [{"model": m, "label": f"{m}:{kind}", "total_life": kind == "total_life"} for m in names for kind in ("direct", "total_life")]
     parts = F.split("model", ":")
     rows = suite(frame, features, specs, target, folds).where("status = 'ok'").select(F.get(parts, F.lit(0)).alias("model"), F.get(parts, F.lit(1)).alias("kind"), "mean_rmse")
@@ -160,6 +191,7 @@ def candidates(name: str, n: int, seed: int = 42) -> list[dict]:
 
 def sweep(name: str, frame: DataFrame, features: list[str], n: int, target: str = "rul_seconds", folds: int = 0, seed: int = 42) -> DataFrame:
     """Candidates with mean and worst rmse over held-out entities, best first; params is JSON."""
+    refuse(name, frame, features, target)
     tried = candidates(name, n, seed)
     rows = suite(frame, features, [{"model": name, "label": f"{k}", "params": p} for k, p in enumerate(tried)], target, folds)
     text = F.create_map(*(x for k, p in enumerate(tried) for x in (F.lit(f"{k}"), F.lit(json.dumps(p, sort_keys=True)))))

@@ -1,8 +1,8 @@
 """Regressors and leave-one-entity-out validation.
 
 Closed-form models - medians, life priors, nearest neighbours - are fitted for all folds in one job.  Leaving an entity
-out takes its counts off those of all values.
-MLlib models need a fit per fold; for large fleets grouped() deals entities to k folds.
+out takes its counts off those of all values.  Ridges are solved for all folds from sums of products (moments).
+Trees need a fit per fold; for large fleets grouped() deals entities to k folds.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clipped
-from . import ranks
+from . import moments, ranks
 from .contracts import ContractError
 
 #: Rows in a block of nearest neighbours.
@@ -219,6 +219,9 @@ def leave_one_out(name: str, frame: DataFrame, features: list[str], target: str
             out = (median_cv if name == "median" else life_prior_cv)(frame, target, group)
         return out.withColumn("held_out_bearing", F.col(group))
     rows = grouped(frame, folds, group)
+    if name == "ridge":
+        out = moments.leave_one_out(rows, [moments.Ridge(name, tuple(features), effective_params(name, overrides)["alpha"], total_life)], target, "fold")
+        return out.drop("fold").withColumn("held_out_bearing", F.col(group))
     check_groups(rows, "fold")
     names = sorted(r["fold"] for r in rows.select("fold").distinct().collect())  # one fit each
     parts = [fit_predict(name, rows.where(F.col("fold") != f).drop("fold"), rows.where(F.col("fold") == f).drop("fold"), features, target, total_life, seed=seed, **overrides) for f in names]

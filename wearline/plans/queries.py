@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions.expressions import stable
 from ..operators import contracts, datasets, eda, evaluate, experiments, models, monitor, prefix, signal, trajectory
+from ..sources.scratch import folder as shared
+from ..sources.scratch import kept
 from . import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +49,7 @@ def big(x: str, name: str) -> str:
 
 # Trajectories and samples.
 
-def sql_prefix(endpoint: bool) -> str:
+def sql_prefix(endpoint: bool, r=r) -> str:
     parts = []
     for s in catalog.SOURCES:
         early = f"greatest(abs(quantile_cont({s}, 0.5) FILTER (file_index <= 60)), 1e-8)"
@@ -59,6 +62,11 @@ def sql_prefix(endpoint: bool) -> str:
     FROM traj JOIN cuts USING (bearing) WHERE file_index <= cut GROUP BY condition, bearing, cut, cut_fraction"""
 
 
+def plain(x: str, name: str = "") -> str:
+    """r() without rounding."""
+    return f"CAST({x} AS DOUBLE)" + (f" AS {name}" if name else "")
+
+
 @query(sql_prefix(True))
 def prefix_endpoints(spark, sf_dir):
     return prefix.prefix_endpoints(a.trajectories(spark, sf_dir))
@@ -306,7 +314,64 @@ def fitted_samples(spark, sf_dir) -> DataFrame:
     return prefix.prefix_samples(a.labelled(spark, sf_dir), FRACTIONS)
 
 
-def mllib(name: str, **params):
+SCORES = """fx AS (SELECT model, bearing, sqrt(avg((y-p)^2)) AS rmse, avg(abs(y-p)) AS mae FROM px GROUP BY 1, 2), mx AS (SELECT model, avg(up / greatest(n, 1)) AS rate FROM (SELECT model, bearing, count(*) FILTER (p - before > 1e-9) AS up, count(before) AS n FROM (SELECT *, lag(p) OVER (PARTITION BY model, bearing ORDER BY age) AS before FROM px) GROUP BY 1, 2) GROUP BY 1),
+    sx AS (SELECT model, count(*) AS n_folds, avg(rmse) AS mean_rmse, stddev_samp(rmse) AS std_rmse, avg(mae) AS mean_mae, median(rmse) AS median_rmse, max(rmse) AS worst_rmse, rate AS mean_violation_rate FROM fx JOIN mx USING (model) GROUP BY model, rate)"""
+
+
+def sql_ridge(label: str, features: list[str], alpha: float, life: bool = False) -> tuple[str, str]:
+    """CTEs, and the rows (model, bearing, age, y, p) of ridges that leave each machine out: normal equations from the sums of
+    products of all rows less the machine's own, solved by elimination, one column after the other."""
+    p, n = len(features), label.replace(" ", "_").replace(":", "_")
+    goal = "y + age" if life else "y"
+    cols = {f"c{j + 1}": f for j, f in enumerate(features)}
+    names = ", ".join(f"c{j}" for j in range(p + 2))
+    scaled = ", ".join(f"({f} - avg({f}) OVER ()) / coalesce(nullif(stddev_pop({f}) OVER (), 0), 1) AS {c}" for c, f in cols.items())
+    size = f"JOIN {n}_t k ON k.bearing = {{}}.bearing AND k.i = 0 AND k.j = 0"
+    ctes = [
+        f"{n}_x AS MATERIALIZED (SELECT bearing, cut, 1.0::DOUBLE AS c0, {scaled}, {goal} - avg({goal}) OVER () AS c{p + 1}, avg({goal}) OVER () AS shift, y, age FROM fs)",
+        f"{n}_l AS MATERIALIZED (SELECT bearing, cut, CAST(substr(name, 2) AS BIGINT) AS j, v FROM (UNPIVOT (SELECT bearing, cut, {names} FROM {n}_x) ON {names} INTO NAME name VALUE v))",
+        f"{n}_o AS MATERIALIZED (SELECT a.bearing, a.j AS i, b.j, sum(a.v * b.v) AS v FROM {n}_l a JOIN {n}_l b USING (bearing, cut) GROUP BY ALL)",
+        f"{n}_t AS MATERIALIZED (SELECT bearing, i, j, sum(v) OVER (PARTITION BY i, j) - v AS v FROM {n}_o)",
+        f"{n}_c AS MATERIALIZED (SELECT t.bearing, t.i, t.j, t.v - a.v * b.v / k.v AS v, k.v AS n FROM {n}_t t JOIN {n}_t a ON a.bearing = t.bearing AND a.i = 0 AND a.j = t.i JOIN {n}_t b ON b.bearing = t.bearing AND b.i = 0 AND b.j = t.j {size.format('t')} WHERE t.i > 0 AND t.j > 0)",
+        f"{n}_d AS MATERIALIZED (SELECT bearing, i, CASE WHEN i = {p + 1} THEN 1.0 ELSE sqrt(v / n) END AS d FROM {n}_c WHERE i = j)",
+        f"{n}_m0 AS MATERIALIZED (SELECT c.bearing, c.i, list(c.v / (a.d * b.d) + CASE WHEN c.i = c.j THEN {alpha!r}::DOUBLE ELSE 0 END ORDER BY c.j) AS w FROM {n}_c c JOIN {n}_d a ON a.bearing = c.bearing AND a.i = c.i JOIN {n}_d b ON b.bearing = c.bearing AND b.i = c.j WHERE c.i <= {p} GROUP BY ALL)",
+    ]
+    for k in range(1, p + 1):
+        row = f"CASE WHEN a.i = {k} THEN list_transform(a.w, lambda x: x / b.w[{k}]) ELSE list_transform(list_zip(a.w, b.w), lambda z: z[1] - z[2] * (a.w[{k}] / b.w[{k}])) END"
+        ctes.append(f"{n}_m{k} AS MATERIALIZED (SELECT a.bearing, a.i, {row} AS w FROM {n}_m{k - 1} a JOIN {n}_m{k - 1} b ON a.bearing = b.bearing AND b.i = {k})")
+    ctes.append(f"{n}_w AS MATERIALIZED (SELECT m.bearing, m.i, m.w[{p + 1}] / d.d AS w, t.v / k.v AS mean FROM {n}_m{p} m JOIN {n}_d d USING (bearing, i) JOIN {n}_t t ON t.bearing = m.bearing AND t.i = 0 AND t.j = m.i {size.format('m')})")
+    ctes.append(f"{n}_y AS (SELECT a.bearing, a.v / k.v AS mean FROM {n}_t a {size.format('a')} WHERE a.i = 0 AND a.j = {p + 1})")
+    raw = "any_value(x.shift) + any_value(y.mean) + sum(w.w * (l.v - w.mean))"
+    took = f"greatest(0, greatest(0, {raw}) - any_value(x.age))" if life else f"greatest(0, {raw})"
+    rows = f"SELECT '{label}' AS model, x.bearing, any_value(x.age) AS age, any_value(x.y) AS y, {took} AS p FROM {n}_x x JOIN {n}_l l USING (bearing, cut) JOIN {n}_w w ON w.bearing = x.bearing AND w.i = l.j JOIN {n}_y y ON y.bearing = x.bearing GROUP BY x.bearing, x.cut"
+    return ", ".join(ctes), rows
+
+
+FITTED = f"fs AS MATERIALIZED (SELECT *, cut_file_index AS cut, observed_age_seconds AS age, rul_seconds AS y FROM ({sql_prefix(False, plain)}))"
+
+
+def sql_ridges(*models: tuple) -> str:
+    """WITH ... px, the rows of all models; each is (label, features, alpha, life)."""
+    made = [sql_ridge(*m) for m in models]
+    return f"WITH {FITTED}, {', '.join(c for c, _ in made)}, px AS MATERIALIZED ({' UNION ALL '.join(x for _, x in made)})"
+
+
+def sql_ridge_metrics(life: bool) -> str:
+    return f"{sql_ridges(('ridge', catalog.prefix_columns(), 10.0, life))} SELECT model, count(*) AS n_rows, {METRICS} FROM (SELECT model, y, p FROM px) GROUP BY model"
+
+
+@query(sql_ridge_metrics(False))
+def ridge_cv(spark, sf_dir):
+    """Each machine left out once, all fits from one pass over the samples."""
+    return evaluate.metrics(models.leave_one_out("ridge", kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns()), ["model"], "rul_seconds")
+
+
+@query(sql_ridge_metrics(True))
+def total_life_ridge_cv(spark, sf_dir):
+    return evaluate.metrics(models.leave_one_out("ridge", kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns(), total_life=True), ["model"], "rul_seconds")
+
+
+def trees(name: str, **params):
     def run(spark, sf_dir):
         rows = models.leave_one_out(name, fitted_samples(spark, sf_dir), catalog.prefix_columns(), folds=3, **params)
         return evaluate.metrics(rows, ["model"], "rul_seconds")
@@ -315,15 +380,8 @@ def mllib(name: str, **params):
     return query()(run)
 
 
-ridge_cv = mllib("ridge")
-random_forest_cv = mllib("random_forest")
-boosted_cv = mllib("gradient_boosting")
-
-
-@query()
-def total_life_ridge_cv(spark, sf_dir):
-    rows = models.leave_one_out("ridge", fitted_samples(spark, sf_dir), catalog.prefix_columns(), folds=3, total_life=True)
-    return evaluate.metrics(rows, ["model"], "rul_seconds")
+random_forest_cv = trees("random_forest")
+boosted_cv = trees("gradient_boosting")
 
 
 @query()
@@ -341,8 +399,6 @@ LEFT_OUT = """fb AS (SELECT DISTINCT bearing FROM sm), om AS (SELECT f.bearing,
     oc AS (SELECT f.bearing, s.condition, median(y + age) AS m FROM fb f JOIN sm s ON s.bearing <> f.bearing GROUP BY 1, 2),
     px AS (SELECT 'median' AS model, bearing, age, y, om.m AS p FROM sm JOIN om USING (bearing) UNION ALL SELECT 'condition_life_prior', s.bearing, age, y, greatest(0, coalesce(oc.m, ol.m) - age) FROM sm s JOIN ol ON s.bearing = ol.bearing LEFT JOIN oc ON oc.bearing = s.bearing AND oc.condition = s.condition
            UNION ALL SELECT 'median:total_life', s.bearing, age, y, greatest(0, ol.m - age) FROM sm s JOIN ol USING (bearing))"""
-SCORES = """fx AS (SELECT model, bearing, sqrt(avg((y-p)^2)) AS rmse, avg(abs(y-p)) AS mae FROM px GROUP BY 1, 2), mx AS (SELECT model, avg(up / greatest(n, 1)) AS rate FROM (SELECT model, bearing, count(*) FILTER (p - before > 1e-9) AS up, count(before) AS n FROM (SELECT *, lag(p) OVER (PARTITION BY model, bearing ORDER BY age) AS before FROM px) GROUP BY 1, 2) GROUP BY 1),
-    sx AS (SELECT model, count(*) AS n_folds, avg(rmse) AS mean_rmse, stddev_samp(rmse) AS std_rmse, avg(mae) AS mean_mae, median(rmse) AS median_rmse, max(rmse) AS worst_rmse, rate AS mean_violation_rate FROM fx JOIN mx USING (model) GROUP BY model, rate)"""
 SUMMARY = ["model", "n_folds", "mean_rmse", "std_rmse", "mean_mae", "median_rmse", "worst_rmse", "mean_violation_rate"]
 
 
@@ -350,13 +406,6 @@ def sql_summary(where: str) -> str:
     return f"WITH {TRAJ}, {SAMPLES}, {LEFT_OUT}, {SCORES} SELECT model, n_folds, {', '.join(r(c, c) for c in SUMMARY[2:])} FROM sx WHERE {where}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, for jobs that look at it many times."""
-    path = shared(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def plain_samples(spark, sf_dir) -> DataFrame:
     return kept(fitted_samples(spark, sf_dir).select("condition", "bearing", "observed_age_seconds", "rul_seconds"), "samples")
 
@@ -376,23 +425,34 @@ def target_ablation(spark, sf_dir):
     return experiments.target_ablation(["median"], plain_samples(spark, sf_dir), [])
 
 
-@query()
+#: Experiments that the contract has to refuse: a column that is never a predictor, alone or with the age.
+LEAKS = {f"leak {c}": [c] for c in catalog.NEVER_PREDICTORS} | {"leak of the difference": ["total_life_seconds", "observed_age_seconds"]}
+MEDIANS_OF_FOLDS = "SELECT avg(rmse) FROM (SELECT sqrt(avg((y - m)^2)) AS rmse FROM (SELECT a.bearing, a.y, b.m FROM fs a JOIN (SELECT f.bearing, median(s.y) AS m FROM (SELECT DISTINCT bearing FROM fs) f JOIN fs s ON s.bearing <> f.bearing GROUP BY 1) b USING (bearing)) GROUP BY bearing)"
+REFUSED = " ".join(f"UNION ALL SELECT '{label}', 'error', 'ContractError: never predictors: {columns[0]}', NULL" for label, columns in LEAKS.items())
+
+
+@query(f"{sql_ridges(('ridge', catalog.prefix_columns(), 10.0))}, {SCORES} SELECT model, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason, {r('mean_rmse', 'mean_rmse')} FROM sx UNION ALL SELECT 'no such model', 'error', 'KeyError: ''unsupported model: no such model''', NULL UNION ALL SELECT 'median', 'ok', NULL, {r(f'({MEDIANS_OF_FOLDS})')} {REFUSED}")
 def experiment_suite(spark, sf_dir):
-    """A model that isn't there has status error."""
-    specs = [{"model": "median"}, {"model": "ridge"}, {"model": "no such model"}, {"model": "ridge", "label": "leaky", "features": ["rul_seconds"]}]
-    return experiments.suite(kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns(), specs, folds=3).select("model", "status", "reason", "mean_rmse")
+    """Predictors that leak and a model that isn't there have status error."""
+    specs = [{"model": "median"}, {"model": "ridge"}, {"model": "no such model"}, *({"model": "ridge", "label": label, "features": columns} for label, columns in LEAKS.items())]
+    return experiments.suite(kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns(), specs).select("model", "status", "reason", "mean_rmse")
 
 
-@query()
+COLUMN_SETS = {"all": catalog.prefix_columns(), "age": ["observed_age_seconds"], "rms": [c for c in catalog.prefix_columns() if c.startswith("rms")], "no slopes": [c for c in catalog.prefix_columns() if "slope" not in c]}
+
+
+@query(f"{sql_ridges(*((label, columns, 10.0) for label, columns in COLUMN_SETS.items()))}, {SCORES} SELECT model, 'ok' AS status, {r('mean_rmse', 'mean_rmse')}, {r('worst_rmse', 'worst_rmse')} FROM sx")
 def feature_ablation(spark, sf_dir):
-    columns = catalog.prefix_columns()
-    sets = {"all": columns, "age": ["observed_age_seconds"], "rms": [c for c in columns if c.startswith("rms")], "no slopes": [c for c in columns if "slope" not in c]}
-    return experiments.feature_ablation("ridge", kept(fitted_samples(spark, sf_dir), "samples"), sets, folds=3).select("model", "status", "mean_rmse", "worst_rmse")
+    return experiments.feature_ablation("ridge", kept(fitted_samples(spark, sf_dir), "samples"), COLUMN_SETS).select("model", "status", "mean_rmse", "worst_rmse")
 
 
-@query()
+CANDIDATES = experiments.candidates("ridge", 6)
+PARAMS = " ".join(f"WHEN 'k{k}' THEN '{json.dumps(c)}'" for k, c in enumerate(CANDIDATES))
+
+
+@query(f"{sql_ridges(*((f'k{k}', catalog.prefix_columns(), c['alpha']) for k, c in enumerate(CANDIDATES)))}, {SCORES} SELECT CAST(substr(model, 2) AS BIGINT) AS candidate, CASE model {PARAMS} END AS params, {r('mean_rmse', 'mean_rmse')}, {r('worst_rmse', 'worst_rmse')} FROM sx")
 def parameter_sweep(spark, sf_dir):
-    return experiments.sweep("ridge", kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns(), 3, folds=3)
+    return experiments.sweep("ridge", kept(fitted_samples(spark, sf_dir), "samples"), catalog.prefix_columns(), len(CANDIDATES))
 
 
 HALVES = "CAST(substr(bearing, 2) AS BIGINT) % 2"
@@ -655,18 +715,6 @@ def first_rows(spark, sf_dir):
 
 # Streams: the events table read as a stream of files.
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; of this machine only where that is unset and the master local."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_log_stream(spark, sf_dir) -> DataFrame:
     schema = a.table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
