@@ -39,7 +39,7 @@ def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
 
 def training_dataset(features: DataFrame) -> DataFrame:
     """Snapshot features with identity, rolling columns and the target of complete runs."""
-    return with_rul(with_temporal(with_identity(features))).select(*catalog.METADATA, *catalog.signal_columns(), *catalog.temporal_columns(), catalog.TARGET)
+    return with_rul(with_temporal(with_identity(features), last=True)).select(*catalog.METADATA, *catalog.signal_columns(), *catalog.temporal_columns(), catalog.TARGET)
 
 
 def test_feature_dataset(features: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def align(features: DataFrame, truth: DataFrame) -> DataFrame:
 
 def labelled_split(features: DataFrame, complete: DataFrame | None = None) -> DataFrame:
     """Opt-in labelled form of any split: truncated runs take the target from their complete runs."""
-    rows = with_temporal(with_identity(features))
+    rows = with_temporal(with_identity(features), last=complete is None)
     return with_rul(rows) if complete is None else with_truncated_rul(rows, complete)
 
 

@@ -1,12 +1,16 @@
-"""Ordered windows over trajectories: one shuffle by entity, no look into the future."""
+"""Ordered windows over trajectories, no look into the future.  Rolling columns and centred medians work block by block (blocks)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import catalog
-from ..functions.expressions import window_slope
+from . import blocks, sliding
 
 
 def by(entity: str = "bearing", order: str = "file_index"):
@@ -25,8 +29,12 @@ def with_identity(frame: DataFrame) -> DataFrame:
 
 def with_rul(frame: DataFrame, entity: str = "bearing") -> DataFrame:
     """Labels a full run: seconds up to the last file of the entity."""
-    last = F.max("file_index").over(Window.partitionBy(entity))
-    return frame.withColumn("rul_seconds", ((last - F.col("file_index")) * catalog.INTERVAL_SECONDS).cast("double"))
+    if "_last" in frame.columns:  # with_temporal() has counted already
+        rows = frame
+    else:
+        ends = frame.groupBy(F.col(entity).alias("_entity")).agg(F.max("file_index").alias("_last"))
+        rows = frame.join(ends, F.col(entity).eqNullSafe(F.col("_entity"))).drop("_entity")
+    return rows.withColumn("rul_seconds", ((F.col("_last") - F.col("file_index")) * catalog.INTERVAL_SECONDS).cast("double")).drop("_last")
 
 
 def with_context(frame: DataFrame) -> DataFrame:
@@ -37,17 +45,24 @@ def with_context(frame: DataFrame) -> DataFrame:
     return rows.withColumns({c: checked(c) for c in catalog.CONTEXT})
 
 
-def with_temporal(frame: DataFrame, sources: list[str] | None = None, windows: tuple[int, ...] = catalog.ROLLING_WINDOWS, entity: str = "bearing", order: str = "file_index") -> DataFrame:
-    """Adds rolling mean, population deviation and slope per second over the last rows of each trajectory; repeated places in its order fail the job."""
-    rows = with_position(frame, entity, order) if "position" not in frame.columns else frame
-    again = F.lag(order).over(by(entity, order)).eqNullSafe(F.col(order)) & (F.col("position") > 1)
-    rows = rows.withColumn("position", F.when(again, F.raise_error(F.lit(f"repeated {order} in a trajectory")).cast("int")).otherwise(F.col("position")))
-    new: dict[str, Column] = {}
-    for s in sources or catalog.SOURCES:
-        for n in windows:
-            w = by(entity, order).rowsBetween(-(n - 1), 0)
-            new |= {f"{s}_roll_mean_{n}": F.avg(s).over(w), f"{s}_roll_std_{n}": F.coalesce(F.stddev_pop(s).over(w), F.lit(0.0)), f"{s}_roll_slope_{n}": window_slope(F.col(s), F.col("position") * float(catalog.INTERVAL_SECONDS), w)}
-    return rows.withColumns(new)
+def with_temporal(frame: DataFrame, sources: list[str] | None = None, windows: tuple[int, ...] = catalog.ROLLING_WINDOWS, entity: str = "bearing", order: str = "file_index", last: bool = False) -> DataFrame:
+    """Adds position, and rolling mean, population deviation and slope per second over the last rows of each trajectory; repeated
+    places in its order fail the job.  Null values are left out; without any the mean is null, deviation and slope are 0.
+
+    _last, the last place of the entity, stays if frame has it or last is true."""
+    columns = list(sources or catalog.SOURCES)
+    rows = frame if "position" in frame.columns else blocks.positioned(frame, entity, order).drop(*(() if last else ("_last",)), "_n")
+    keep = rows.columns
+    cut = blocks.haloed(rows, max(windows) - 1).withColumns({f"_y_{c}": F.col(c).cast("double") for c in columns}).repartition(entity, "_block").sortWithinPartitions(entity, "_block", "position", order)
+    names = [f"{c}_roll_{kind}_{n}" for c in columns for n in windows for kind in catalog.ROLLING_STATS]
+    step = float(catalog.INTERVAL_SECONDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in sliding.appended(batches, [f"_y_{c}" for c in columns], windows, entity, order, step, keep):
+            yield made.rename_columns([*keep, *names])
+
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
+    return cut.mapInArrow(run, schema)
 
 
 def last_rows(frame: DataFrame, entity: str = "bearing", order: str = "file_index") -> DataFrame:
@@ -77,18 +92,18 @@ def picked(frame: DataFrame, entity: str = "bearing", order: str = "file_index")
 
 def centred_median(frame: DataFrame, value: str, widest: int = 101, entity: str = "bearing", order: str = "file_index") -> DataFrame:
     """Adds smooth, the median over a centred window of max(5, min(widest, n // 30)) rows; an even width reaches one row
-    further back.  Neighbours come from one bounded frame, of which each entity takes its part."""
+    further back.  Neighbours come from one bounded frame inside a block with its halo, of which each entity takes its part."""
     half = widest // 2 + 1
-    around = by(entity, order).rowsBetween(-half, half)
-    rows = with_position(frame, entity, order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(entity)))
+    around = Window.partitionBy(entity, "_block").orderBy("position").rowsBetween(-half, half)
+    rows = blocks.haloed(blocks.positioned(frame, entity, order).drop("_last"), half, half)
     rows = rows.withColumn("_w", F.greatest(F.lit(5), F.least(F.lit(widest), F.floor(F.col("_n") / 30).cast("int"))))
-    rows = rows.withColumn("_near", F.collect_list(F.struct("position", F.col(value).alias("v"))).over(around))
+    rows = rows.withColumn("_near", F.collect_list(F.struct("position", F.col(value).alias("v"))).over(around)).where(~F.col("_halo"))
     low, high = F.col("position") - F.floor(F.col("_w") / 2), F.col("position") + F.floor((F.col("_w") - 1) / 2)
     kept = F.array_sort(F.transform(F.filter("_near", lambda x: (x["position"] >= low) & (x["position"] <= high) & x["v"].isNotNull()), lambda x: x["v"]))
     rows = rows.withColumn("_kept", kept)
     m = F.size("_kept")
     middle = (F.get("_kept", F.floor((m - 1) / 2).cast("int")) + F.get("_kept", F.floor(m / 2).cast("int"))) / 2
-    return rows.withColumn("smooth", middle).drop("_n", "_w", "_near", "_kept", "position")
+    return rows.withColumn("smooth", middle).drop("_n", "_w", "_near", "_kept", "position", "_block", "_halo")
 
 
 def monotonicity(predictions: DataFrame, model: str = "model", entity: str = "held_out_bearing", age: str = "observed_age_seconds", value: str = "prediction_rul_seconds") -> DataFrame:
