@@ -7,11 +7,8 @@ Trees need a fit per fold; for large fleets grouped() deals entities to k folds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -19,11 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clipped
-from . import moments, ranks
+from . import moments, neighbours, ranks
 from .contracts import ContractError
 
-#: Rows in a block of nearest neighbours.
-BLOCK_ROWS = 2048
 #: Default parameters by model name.
 DEFAULTS: dict[str, dict] = {
     "median": {}, "condition_life_prior": {}, "ridge": {"alpha": 10.0}, "knn": {"k": 3},
@@ -103,49 +98,25 @@ def scaled(frame: DataFrame, scale: DataFrame, features: list[str]) -> DataFrame
     return rows.select(*frame.columns, F.array(*((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}") for f in features)).alias("x"))
 
 
-def packed(rows: DataFrame, keep: list[str], n_rows: int) -> DataFrame:
-    """Rows in blocks of about BLOCK_ROWS by a hash: x of all rows one after the other, and the kept columns as arrays."""
-    block = F.pmod(F.xxhash64("x", *keep), F.lit(-(-n_rows // BLOCK_ROWS) or 1))
-    held = rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("x", *keep)).alias("r"))
-    return held.select(F.flatten("r.x").alias("x"), *(F.col(f"r.{c}").alias(c) for c in keep))
+def standardised(train: DataFrame, test: DataFrame, features: list[str], target: str, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(x, y) of the training rows and (x, key) of the test rows, by mean and deviation of the training side."""
+    fit = scaling(train, features)
+    return scaled(train.withColumn("y", F.col(target).cast("double")), fit, features).select("x", "y"), scaled(test, fit, features).select("x", *key)
 
 
-def nearest_of(x: np.ndarray, t: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, squared distance and y of the k nearest rows of t for each row of x; ties by y."""
-    far = np.zeros((len(x), len(t)))
-    for j in range(x.shape[1]):
-        far += (x[:, j, None] - t[None, :, j]) ** 2
-    key = np.round(far, 12)
-    limit = np.partition(key, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
-    row, col = np.nonzero(key <= limit[:, None])
-    order = np.lexsort((y[col], key[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < k], far[row, col][place < k], y[col][place < k]
+def knn_pruning(train: DataFrame, test: DataFrame, features: list[str], target: str, key: list[str], k: int = 3) -> DataFrame:
+    """One row: compared, the pairs of blocks that knn_predict() compares, and pairs, all there are."""
+    return neighbours.nearest(*standardised(train, test, features, target, key), key, k)[1]
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, key: list[str], k: int = 3) -> DataFrame:
     """Distance-weighted mean of the k nearest training rows on standardised features; rows at distance 0 take all weight,
     distances that agree to 12 digits go by the target.
 
-    Both sides are packed into blocks of about BLOCK_ROWS rows; a task compares two blocks and keeps each test row's k
-    nearest, so what is shuffled is k rows per test row and block and not every pair."""
-    fit = scaling(train, features)
-    y = F.col(target).cast("double").alias("y")
-    one = packed(scaled(test, fit, features).select("x", *key), key, test.count())
-    two = packed(scaled(train.withColumn("y", y), fit, features).select("x", "y"), ["y"], train.count()).withColumnRenamed("x", "t")
-    kinds = dict(test.dtypes)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = lambda name, i: batch.column(batch.schema.get_field_index(name)).slice(i, 1).flatten()  # noqa: B023, E731
-            for i in range(len(batch)):
-                x, t = (column(name, i).to_numpy().reshape(-1, len(features)) for name in ("x", "t"))
-                row, far, near = nearest_of(x, t, column("y", i).to_numpy(), k)
-                yield pa.RecordBatch.from_arrays([*(column(c, i).take(pa.array(row)) for c in key), pa.array(far), pa.array(near)], names=[*key, "d", "y"])
-
-    found = one.crossJoin(two).mapInArrow(compare, ", ".join([*(f"`{c}` {kinds[c]}" for c in key), "d double, y double"]))  # blocks with blocks
-    first = F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", 12).alias("r"), "y", "d"))), 1, k)
+    Blocks of rows are compared that the triangle inequality can't rule out (neighbours); what is shuffled then is k rows
+    per test row and block."""
+    found, _ = neighbours.nearest(*standardised(train, test, features, target, key), key, k)
+    first = F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", neighbours.DIGITS).alias("r"), "y", "d"))), 1, k)
     best = found.groupBy(*key).agg(first.alias("near"))
     exact = F.filter("near", lambda n: n["d"] == 0)
     plain = F.aggregate(exact, F.lit(0.0), lambda a, n: a + n["y"]) / F.size(exact)

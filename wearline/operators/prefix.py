@@ -1,8 +1,8 @@
 """Prefix samples and health-indicator samples.
 
 All columns of a prefix depend on rows up to its cut alone, and on few of them: the first and the last ones.  A row is
-passed on only to the cuts that look at it, and each (entity, cut) is one aggregation: one shuffle by entity, and no join of
-trajectories with prefixes.  Health samples work their indicator out at every row and pick the cuts afterwards.
+passed on only to the cuts that look at it, and each (entity, cut) is one aggregation; rows are numbered cell by cell, so no
+task holds a whole trajectory, and there is no join of trajectories with prefixes.  Health samples work their indicator out at every row and pick the cuts afterwards.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions.expressions import window_slope
+from . import blocks
 from .signal import with_totals
 from .trajectory import by, with_context, with_position
 
@@ -36,18 +37,6 @@ def at_cuts(rows: DataFrame, fractions, least: int, entity: str) -> DataFrame:
     return rows.withColumn("_n", n).withColumn("_cuts", cuts).withColumn("cut_fraction", hit["f"]).where(F.col("cut_fraction").isNotNull()).drop("_n", "_cuts")
 
 
-def with_prefix_features(frame: DataFrame, early: int = catalog.EARLY_ROWS, recent: int = catalog.RECENT_ROWS, entity: str = "bearing", order: str = "file_index") -> DataFrame:
-    """Adds the predictors of the prefix that ends at each row."""
-    rows = with_context(with_position(frame, entity, order))
-    all_before, near = by(entity, order).rowsBetween(Window.unboundedPreceding, 0), by(entity, order).rowsBetween(-(recent - 1), 0)
-    hours = F.col("position") * (catalog.INTERVAL_SECONDS / 3600)
-    new: dict[str, Column] = {"observed_age_seconds": F.col(order) * float(catalog.INTERVAL_SECONDS)}
-    for s in catalog.SOURCES:
-        scale = F.greatest(F.abs(F.percentile(F.when(F.col("position") <= early, F.col(s)), F.lit(0.5)).over(all_before)), F.lit(1e-8))
-        new |= {f"{s}_current_over_early": F.col(s) / scale, f"{s}_recent_mean_over_early": F.avg(s).over(near) / scale, f"{s}_recent_slope_per_hour": window_slope(F.col(s), hours, near)}
-    return rows.withColumns(new)
-
-
 def enough_rows(frame: DataFrame, least: int, entity: str) -> DataFrame:
     """frame, failing the job for an entity of fewer rows."""
     n = F.count(F.lit(1)).over(Window.partitionBy(entity))
@@ -74,9 +63,10 @@ def features_at(rows: DataFrame, cuts: Column, keep: list[str], early: int, rece
     return with_context(found.withColumns(new))
 
 
-def positions(frame: DataFrame, entity: str) -> DataFrame:
-    """Adds position and _n, the length of the trajectory."""
-    return with_position(frame, entity).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(entity)))
+def positions(frame: DataFrame, least: int, entity: str) -> DataFrame:
+    """Adds position and _n, the length of the trajectory, by counts per cell; fails the job for an entity of fewer rows than least."""
+    rows = blocks.positioned(frame, entity).drop("_last")
+    return rows.withColumn("_n", F.when(F.col("_n") >= least, F.col("_n")).otherwise(F.raise_error(F.lit(f"a trajectory needs at least {least} rows")).cast("bigint")))
 
 
 def prefix_samples(frame: DataFrame, fractions=catalog.CUT_FRACTIONS, early: int = catalog.EARLY_ROWS, recent: int = catalog.RECENT_ROWS) -> DataFrame:
@@ -85,7 +75,7 @@ def prefix_samples(frame: DataFrame, fractions=catalog.CUT_FRACTIONS, early: int
     cuts = F.array(*(F.struct(F.lit(float(f)).alias("f"), (cut_position(F.col("_n"), F.lit(float(f))) + 1).cast("long").alias("at")) for f in fractions))
     # of fractions that meet at a row the first one stays
     cuts = F.filter(cuts, lambda c, i: (i == 0) | ~F.exists(F.slice(cuts, 1, i), lambda x: x["at"] == c["at"]))
-    rows = features_at(positions(enough_rows(frame, 4, "bearing"), "bearing"), cuts, ["condition", "rul_seconds"], early, recent)
+    rows = features_at(positions(frame, 4, "bearing"), cuts, ["condition", "rul_seconds"], early, recent)
     return rows.select("condition", "bearing", "cut_fraction", F.col("file_index").alias("cut_file_index"), *catalog.prefix_columns(), "rul_seconds", (F.col("observed_age_seconds") + F.col("rul_seconds")).alias("total_life_seconds"))
 
 
@@ -94,7 +84,7 @@ def prefix_endpoints(frame: DataFrame, early: int = catalog.EARLY_ROWS, recent:
     if "rul_seconds" in frame.columns:
         raise ValueError("endpoint features must not see rul_seconds")
     last = F.array(F.struct(F.lit(1.0).alias("f"), F.col("_n").alias("at")))
-    rows = features_at(positions(enough_rows(frame, 2, "bearing"), "bearing"), last, ["condition"], early, recent)
+    rows = features_at(positions(frame, 2, "bearing"), last, ["condition"], early, recent)
     return rows.select("condition", "bearing", F.col("file_index").alias("cut_file_index"), *catalog.prefix_columns())
 
 

@@ -292,7 +292,7 @@ KNN_X = ["rms_horiz", "kurtosis_vert", "fft_band_3_horiz"]
 NEAREST = f"""WITH {TRAJ}, x AS (SELECT bearing, file_index, rul_seconds, CAST(substr(bearing, 2) AS BIGINT) % 2 AS side, {', '.join(KNN_X)} FROM traj), s AS (SELECT {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS s{i}' for i, c in enumerate(KNN_X))} FROM x WHERE side = 1),
     d AS (SELECT q.bearing, q.file_index, t.rul_seconds AS y, {' + '.join(f'((q.{c} - m{i}) / s{i} - (t.{c} - m{i}) / s{i})^2' for i, c in enumerate(KNN_X))} AS d FROM x q, x t, s WHERE q.side = 0 AND t.side = 1),
     k AS (SELECT *, row_number() OVER (PARTITION BY bearing, file_index ORDER BY round(d, 12), y) AS rn FROM d)
-    SELECT bearing, {big('file_index', 'file_index')}, {r('CASE WHEN min(d) = 0 THEN avg(y) FILTER (d = 0) ELSE sum(y / sqrt(nullif(d, 0))) / sum(1 / sqrt(nullif(d, 0))) END', 'predicted')} FROM k WHERE rn <= 3 GROUP BY ALL"""
+    SELECT bearing, {big('file_index', 'file_index')}, {r('CASE WHEN min(d) = 0 THEN avg(y) FILTER (d = 0) ELSE sum(y / sqrt(nullif(d, 0))) / sum(1 / sqrt(nullif(d, 0))) END + 1e-9', 'predicted')} FROM k WHERE rn <= 3 GROUP BY ALL"""
 
 
 @query(NEAREST)
@@ -307,7 +307,9 @@ def knn_regression_whole(spark, sf_dir):
 
 def nearest(labelled: DataFrame) -> DataFrame:
     rows = labelled.select("bearing", "file_index", "rul_seconds", *KNN_X).withColumn("side", F.substring("bearing", 2, 20).cast("long") % 2)
-    return models.knn_predict(rows.where("side = 1"), rows.where("side = 0"), KNN_X, "rul_seconds", ["bearing", "file_index"]).select("bearing", "file_index", "predicted")
+    made = models.knn_predict(rows.where("side = 1"), rows.where("side = 0"), KNN_X, "rul_seconds", ["bearing", "file_index"])
+    # here and in the SQL, values halfway between two roundings go up, whatever the order of earlier sums was
+    return made.select("bearing", "file_index", (F.col("predicted") + 1e-9).alias("predicted"))
 
 
 def fitted_samples(spark, sf_dir) -> DataFrame:
