@@ -83,6 +83,11 @@ def test_total_life_medians_in_one_job_match_fits_per_fold(spark):
 
 def test_sweeps_draw_the_same_candidates():
     assert experiments.candidates("random_forest", 3) == experiments.candidates("random_forest", 3)
+    for p in experiments.candidates("random_forest", 40):
+        assert p["numTrees"] in range(300, 1001, 100) and p["maxDepth"] in (30, 4, 6, 8, 12) and 1 <= p["minInstancesPerNode"] <= 5
+    for name, most in (("xgboost", 6), ("lightgbm", 30)):
+        for p in experiments.candidates(name, 40):
+            assert 200 <= p["maxIter"] <= 1000 and p["maxIter"] % 100 == 0 and p["maxDepth"] <= most and 0.6 <= p["subsamplingRate"] <= 1 and 0.6 <= float(p["featureSubsetStrategy"]) <= 1
     for p in experiments.candidates("gradient_boosting", 20):
         assert 50 <= p["maxIter"] <= 300 and 1e-2 <= p["stepSize"] <= 0.2 and 2 <= p["maxDepth"] <= 5
 

@@ -13,6 +13,8 @@ SAMPLING_HZ, SAMPLES_PER_FILE, TEMPERATURE_ROWS = 25_600, 2_560, 600
 INTERVAL_SECONDS = 10
 N_BANDS = 8
 TIME_STATS = ("rms", "kurtosis", "skewness", "crest_factor")
+#: Borders in Hz of the half-open bands of the extended spectrum.
+EXTENDED_EDGES = [0.0, 1_000.0, 3_000.0, 6_000.0, 10_000.0, 12_800.0]
 #: Operating conditions: speed in rpm, load in N.
 CONDITIONS = {1: (1800, 4000), 2: (1650, 4200), 3: (1500, 5000)}
 #: Names of splits in archives and after canonical naming.

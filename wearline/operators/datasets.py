@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
+from . import blocks, signal
 from .contracts import assert_empty, assert_unique
 from .trajectory import last_rows, with_identity, with_rul, with_temporal
 
@@ -77,11 +78,23 @@ def full_labelled(training: DataFrame, validation: DataFrame, test: DataFrame) -
     return union([labelled_split(training), labelled_split(validation), labelled_split(test, validation)])
 
 
-def run_table(samples_stats: DataFrame) -> DataFrame:
-    """Elapsed and remaining hours by the number of snapshots of each entity, for exploration."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bearing")
-    rows = samples_stats.withColumn("_p", F.row_number().over(w.orderBy("file_index"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    hours = catalog.INTERVAL_SECONDS / 3600
-    return rows.withColumns({"elapsed_hours": (F.col("_p") - 1) * hours, "rul_hours": (F.col("_n") - F.col("_p")) * hours}).drop("_p", "_n")
+def run_table(samples: DataFrame, channels: dict[str, str], step: int = 1, rate_hz: float = catalog.SAMPLING_HZ, edges: list[float] | None = None, position: str = "position") -> DataFrame:
+    """Every step-th snapshot of each entity with elapsed and remaining time by the number of snapshots, and the extended time and
+    spectrum columns of each channel (its name to the column of samples).  Missing samples are left out.
+
+    A snapshot is a bounded recording; snapshots are counted before any is left out, and only kept ones are transformed."""
+    keys = ["bearing", "file_index"]
+    edges = edges or catalog.EXTENDED_EDGES
+    known = samples.select(*keys).distinct()
+    rows = blocks.positioned(known)
+    kept = rows.where((F.col("position") - 1) % step == 0).select(*keys, F.col("_n").alias("n_snapshots"))
+    mine = samples.join(kept, keys)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), *(F.col(c).cast("double").alias(s) for s, c in channels.items()))))
+    found = mine.groupBy(*keys).agg(F.max("n_snapshots").alias("n_snapshots"), *signal.extended_stats(channels), ordered.alias("_rows"))
+    stats = signal.spectrum(rate_hz, edges)
+    found = found.withColumns({f"_{s}": stats(F.filter(F.transform("_rows", lambda r: r[s]), lambda v: v.isNotNull() & ~F.isnan(v))) for s in channels})  # noqa: B023
+    made = {f"{s}_{name}": F.col(f"_{s}.{name}") for s in channels for name in ("dominant_frequency", "spectral_centroid", "total_energy")}
+    made |= {f"{s}_{kind}_{i}": F.get(f"_{s}.{whole}", F.lit(i)) for s in channels for kind, whole in (("energy", "bands"), ("ratio", "ratios")) for i in range(len(edges) - 1)}
+    time = {"elapsed_seconds": (F.col("file_index") - 1) * catalog.INTERVAL_SECONDS, "rul_seconds": (F.col("n_snapshots") - F.col("file_index")) * catalog.INTERVAL_SECONDS}
+    time |= {name.replace("seconds", "hours"): c / 3600 for name, c in time.items()}
+    return found.withColumns(time | made).drop("_rows", "n_snapshots", *(f"_{s}" for s in channels))

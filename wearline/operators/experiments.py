@@ -21,12 +21,19 @@ from ..functions.expressions import clipped, finite
 from . import contracts, datasets, evaluate, models, moments, trajectory
 
 CLOSED = ("median", "condition_life_prior")
-#: Ranges of a sweep: even on a logarithmic scale, even, whole numbers, or one of several.
+#: Baselines that are fitted, with their parameters; ridge takes the given columns too.
+BASELINES: list[dict] = [
+    {"model": "ridge", "params": {"alpha": 1.0}}, {"model": "random_forest", "params": {"numTrees": 200, "minInstancesPerNode": 3, "featureSubsetStrategy": "all"}},
+    {"model": "hist_gradient_boosting", "params": {"maxIter": 250, "stepSize": 0.05}},
+]
+#: Ranges of a sweep: even on a logarithmic scale, even, whole numbers (by a step if there is one), or one of several.
 SEARCH: dict[str, dict[str, tuple]] = {
     "ridge": {"alpha": ("log", 1e-2, 1e3)},
-    "random_forest": {"numTrees": ("int", 100, 500), "maxDepth": ("int", 3, 12), "minInstancesPerNode": ("int", 1, 5), "featureSubsetStrategy": ("one", "sqrt", "onethird", "all")},
+    "random_forest": {"numTrees": ("int", 300, 1000, 100), "maxDepth": ("one", 30, 4, 6, 8, 12), "minInstancesPerNode": ("int", 1, 5), "featureSubsetStrategy": ("one", "sqrt", "0.5", "all")},
     "gradient_boosting": {"maxIter": ("int", 50, 300), "stepSize": ("log", 1e-2, 0.2), "maxDepth": ("int", 2, 5)},
-}
+    "xgboost": {"maxIter": ("int", 200, 1000, 100), "maxDepth": ("int", 2, 6), "stepSize": ("log", 0.01, 0.2), "subsamplingRate": ("even", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0), "minInstancesPerNode": ("int", 1, 10)},
+    "lightgbm": {"maxIter": ("int", 200, 1000, 100), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("one", 30, 3, 5, 7), "minInstancesPerNode": ("int", 2, 15), "subsamplingRate": ("even", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+}
 
 
 def design_columns(model: str, features: list[str]) -> list[str]:
@@ -154,9 +161,10 @@ def suite(frame: DataFrame, features: list[str], specs: list[dict], target: str
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out).orderBy("status", "mean_rmse", "model")  # "error" has no scores
 
 
-def baselines(frame: DataFrame, target: str = "rul_seconds") -> DataFrame:
-    """The scoreboard of the models without parameters."""
-    return evaluate.scoreboard(suite(frame, [], [{"model": m} for m in CLOSED], target))
+def baselines(frame: DataFrame, target: str = "rul_seconds", features: list[str] = (), folds: int = 0, presets: list[dict] | None = None) -> DataFrame:
+    """The scoreboard of the models without parameters and, if there are features, of ridge, forest and boosted trees on them."""
+    fitted = (BASELINES if presets is None else presets) if features else []
+    return evaluate.scoreboard(suite(frame, list(features), [*({"model": m} for m in CLOSED), *fitted], target, folds))
 
 
 def feature_ablation(name: str, frame: DataFrame, sets: dict[str, list[str]], target: str = "rul_seconds", folds: int = 0, **params) -> DataFrame:
@@ -178,14 +186,12 @@ def target_ablation(names: list[str], frame: DataFrame, features: list[str], tar
 def candidates(name: str, n: int, seed: int = 42) -> list[dict]:
     """n sets of parameters, drawn from SEARCH."""
     rng, out = random.Random(seed), []
+    draw = {
+        "log": lambda low, high: math.exp(rng.uniform(math.log(low), math.log(high))), "even": rng.uniform, "share": lambda low, high: f"{rng.uniform(low, high):.4f}",
+        "int": lambda low, high, step=1: rng.randrange(low, high + 1, step), "one": lambda *several: rng.choice(several),
+    }
     for _ in range(n):
-        one = {}
-        for key, (kind, *ends) in SEARCH[name].items():
-            if kind == "log":
-                one[key] = math.exp(rng.uniform(math.log(ends[0]), math.log(ends[1])))
-            else:
-                one[key] = rng.randint(*ends) if kind == "int" else rng.choice(ends) if kind == "one" else rng.uniform(*ends)
-        out.append(one)
+        out.append({key: draw[kind](*ends) for key, (kind, *ends) in SEARCH[name].items()})
     return out
 
 

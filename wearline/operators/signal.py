@@ -32,8 +32,8 @@ def time_domain(samples: DataFrame, keys: list[str], channels: dict[str, str]) -
     return samples.groupBy(*keys).agg(*(c for suffix, name in channels.items() for c in time_features(F.col(name), suffix)))
 
 
-def extended_time(samples: DataFrame, keys: list[str], channels: dict[str, str]) -> DataFrame:
-    """Mean, sample deviation, extremes, spans and bias-corrected moments (kurtosis not in excess) per snapshot."""
+def extended_stats(channels: dict[str, str]) -> list[Column]:
+    """Mean, sample deviation, extremes, spans and bias-corrected moments (kurtosis not in excess) of each channel."""
     out = []
     for s, name in channels.items():
         x = F.col(name)
@@ -44,7 +44,12 @@ def extended_time(samples: DataFrame, keys: list[str], channels: dict[str, str])
             unbiased_skewness(F.skewness(x), n).alias(f"{s}_skewness"), unbiased_kurtosis(F.kurtosis(x), n).alias(f"{s}_kurtosis"),
             ratio(F.max(F.abs(x)), rms(x)).alias(f"{s}_crest_factor"),
         ]
-    return samples.groupBy(*keys).agg(*out)
+    return out
+
+
+def extended_time(samples: DataFrame, keys: list[str], channels: dict[str, str]) -> DataFrame:
+    """extended_stats() per snapshot."""
+    return samples.groupBy(*keys).agg(*extended_stats(channels))
 
 
 def waveforms(samples: DataFrame, keys: list[str], position: str, channels: dict[str, str]) -> DataFrame:

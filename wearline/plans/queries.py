@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions.expressions import stable
-from ..operators import contracts, datasets, eda, evaluate, experiments, models, monitor, prefix, signal, trajectory
+from ..operators import contracts, datasets, eda, evaluate, experiments, models, monitor, prefix, signal, trajectory, windows
 from ..sources.scratch import folder as shared
 from ..sources.scratch import kept
 from . import adapters as a
@@ -209,6 +209,24 @@ def spectra(spark, sf_dir):
     return rows.select("vec_id", "dominant_frequency", F.round("spectral_centroid", 4).alias("spectral_centroid"), F.round("total_energy", 4).alias("total_energy"), F.round(F.get("bands", F.lit(0)), 4).alias("low"), F.round(F.get("bands", F.lit(1)), 4).alias("high"), F.get("ratios", F.lit(0)).alias("low_ratio"))
 
 
+RUN = f"""WITH s AS (SELECT 'S' || (vec_id % 7) AS bearing, CAST(vec_id // 7 AS BIGINT) AS k, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), n AS (SELECT bearing, k, count(DISTINCT k) OVER (PARTITION BY bearing) AS n, row_number() OVER (PARTITION BY bearing ORDER BY k) AS file_index FROM (SELECT DISTINCT bearing, k FROM s)),
+    m AS (SELECT s.bearing, file_index, n, i, x, x - avg(x) OVER (PARTITION BY s.bearing, file_index) AS c FROM s JOIN n USING (bearing, k) WHERE (file_index - 1) % 3 = 0),
+    f AS (SELECT bearing, file_index, k, k * 400.0E0 AS f, CASE WHEN k = 0 THEN 0 ELSE sum(c * cos(2 * pi() * k * i / 64))^2 + sum(c * sin(2 * pi() * k * i / 64))^2 END AS p FROM m, range(33) t(k) GROUP BY bearing, file_index, k),
+    g AS (SELECT bearing, file_index, max_by(f, p) AS top, sum(f * p) / sum(p) AS centroid, sum(p) FILTER (f >= 1000 AND f < 3000) / sum(p) AS second FROM f GROUP BY ALL),
+    h AS (SELECT bearing, file_index, max(n) AS n, avg(x) AS mean, max(x) - min(x) AS span, kurtosis(x) + 3 AS kurt FROM m GROUP BY ALL)
+    SELECT bearing, {big('file_index', 'file_index')}, {r('(file_index - 1) * 10 / 3600', 'elapsed_hours')}, {r('(n - file_index) * 10 / 3600', 'rul_hours')}, round(mean, 5) + 0.0 AS wave_mean, round(span, 5) + 0.0 AS wave_peak_to_peak, round(kurt, 4) + 0.0 AS wave_kurtosis, top AS wave_dominant_frequency, round(centroid, 3) AS wave_spectral_centroid, round(second, 5) + 0.0 AS wave_ratio_1 FROM g JOIN h USING (bearing, file_index)"""
+
+
+@query(RUN)
+def run_table(spark, sf_dir):
+    waves = a.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("S"), (F.col("vec_id") % 7).cast("string")).alias("bearing"), F.floor(F.col("vec_id") / 7).alias("k"), F.posexplode(F.col("embedding").cast("array<double>")).alias("position", "x"))
+    known = waves.select("bearing", "k").distinct()
+    numbers = known.withColumn("file_index", F.row_number().over(Window.partitionBy("bearing").orderBy("k")))
+    rows = datasets.run_table(waves.join(numbers, ["bearing", "k"]), {"wave": "x"}, 3)
+    digits = {"wave_mean": 5, "wave_peak_to_peak": 5, "wave_kurtosis": 4, "wave_spectral_centroid": 3, "wave_ratio_1": 5}
+    return rows.select("bearing", "file_index", "elapsed_hours", "rul_hours", "wave_dominant_frequency", *((F.round(c, d) + 0.0).alias(c) for c, d in digits.items()))
+
+
 # Models and evaluation.
 
 MEDIANS = f"md AS (SELECT f.bearing, quantile_cont(t.rul_seconds, 0.5) AS med FROM (SELECT DISTINCT bearing FROM traj) f JOIN traj t ON t.bearing <> f.bearing GROUP BY f.bearing), pm AS (SELECT traj.bearing, file_index, rul_seconds, med AS predicted FROM traj JOIN md USING (bearing))"
@@ -422,6 +440,13 @@ def experiment_baselines(spark, sf_dir):
     return experiments.baselines(plain_samples(spark, sf_dir)).select(*SUMMARY)
 
 
+@query()
+def baseline_models(spark, sf_dir):
+    """Medians, life priors, ridge and forest on folds of machines; boosted_cv has the boosted trees, which take minutes."""
+    presets = [p for p in experiments.BASELINES if p["model"] in ("ridge", "random_forest")]
+    return experiments.baselines(kept(fitted_samples(spark, sf_dir), "samples"), features=catalog.prefix_columns(), folds=2, presets=presets).select("model", "n_folds", "mean_rmse", "worst_rmse")
+
+
 @query(f"WITH {TRAJ}, {SAMPLES}, {LEFT_OUT}, {SCORES} SELECT 'median' AS model, {r('a.mean_rmse', 'direct')}, {r('b.mean_rmse', 'total_life')}, {r('a.mean_rmse - b.mean_rmse', 'gain')} FROM sx a, sx b WHERE a.model = 'median' AND b.model = 'median:total_life'")
 def target_ablation(spark, sf_dir):
     return experiments.target_ablation(["median"], plain_samples(spark, sf_dir), [])
@@ -539,7 +564,20 @@ def drift_gate(spark, sf_dir):
     return monitor.drift_gate(monitor.drift(*sides(spark, sf_dir), COLS))
 
 
-@query()
+def sql_scenarios() -> str:
+    """The drifted share of endpoints as they are and under each perturbation."""
+    columns = catalog.prefix_columns()
+    high = lambda c: f"(SELECT quantile_cont({c}, 0.99) FROM ref)"
+    other = lambda c: c.replace("_horiz", "_vert") if "_horiz" in c else c.replace("_vert", "_horiz")
+    made = {"none": {}, "amplitude": {c: f"4.0 * {high(c)}" for c in columns if c.endswith(monitor.RATIO_ENDINGS)}, "channel": {c: other(c) for c in columns if other(c) in columns}, "quality": dict.fromkeys(columns[:3], "-999.0::DOUBLE")}
+    sides = " UNION ALL ".join(f"SELECT '{name}' AS scenario, {', '.join(f'CAST({new.get(c, c)} AS DOUBLE) AS {c}' for c in columns)} FROM cur" for name, new in made.items())
+    return f"""WITH ep AS MATERIALIZED ({sql_prefix(True, plain)}), ref AS (SELECT * FROM ep WHERE CAST(substr(bearing, 2) AS BIGINT) % 2 = 1), cur AS (SELECT * FROM ep WHERE CAST(substr(bearing, 2) AS BIGINT) % 2 = 0), sc AS ({sides}),
+    rl AS (UNPIVOT (SELECT {', '.join(columns)} FROM ref) ON {', '.join(columns)} INTO NAME name VALUE v), ur AS (SELECT s.scenario || ':' || name AS feature, v FROM rl, (SELECT unnest(['none', 'amplitude', 'channel', 'quality']) AS scenario) s),
+    uc AS (SELECT scenario || ':' || name AS feature, v FROM (UNPIVOT (SELECT scenario, {', '.join(columns)} FROM sc) ON {', '.join(columns)} INTO NAME name VALUE v)), {KS}
+    SELECT split_part(feature, ':', 1) AS scenario, {r('avg(CASE WHEN p < 0.05 THEN 1 ELSE 0 END)', 'share')} FROM kp GROUP BY 1"""
+
+
+@query(sql_scenarios())
 def drift_scenarios(spark, sf_dir):
     test = a.trajectories(spark, sf_dir)
     rows = prefix.prefix_endpoints(test).withColumn("_side", F.substring("bearing", 2, 20).cast("long") % 2)
@@ -758,3 +796,75 @@ def stream_drift(spark, sf_dir):
     reference = a.table(spark, sf_dir, "events").where("user_id % 2 = 1").select("value")
     log.drift_per_batch(event_log_stream(spark, sf_dir).select("value"), reference, ["value"], f"{out}/rows", f"{out}/state").start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(F.col("batch").cast("long").alias("batch"), "share")
+
+
+# The same in SQL: of windows that the watermark has closed.
+
+def closed(late: str) -> str:
+    return f"(SELECT max(requested_at) FROM log) - INTERVAL {late}"
+
+
+ORACLES["stream_dashboard"] = f"WITH {a.SQL_LOG} SELECT strftime(d, '%Y-%m-%d') AS bucket, count(*) AS requests, {r('quantile_cont(latency_ms, 0.5)', 'p50')}, {r('quantile_cont(latency_ms, 0.95)', 'p95')}, {r('100 * avg(CASE WHEN status = $$error$$ THEN 1 ELSE 0 END)', 'error_rate')} FROM (SELECT *, date_trunc('day', requested_at) AS d FROM log) WHERE d + INTERVAL 1 DAY <= {closed('10 MINUTE')} GROUP BY d"
+ORACLES["stream_trailing"] = f"""WITH {a.SQL_LOG}, w AS (SELECT time_bucket(INTERVAL 3 HOUR, requested_at) - k * INTERVAL 3 HOUR AS s, latency_ms FROM log, range(2) t(k) WHERE status = 'ok')
+    SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS requests, {r('avg(latency_ms)', 'mean_latency')} FROM w WHERE s + INTERVAL 6 HOUR <= {closed('10 MINUTE')} GROUP BY s"""
+EVENT_KS = f"ur AS (SELECT 'value' AS feature, CAST(value AS DOUBLE) AS v FROM events WHERE user_id % 2 = 1 AND value IS NOT NULL), uc AS (SELECT 'value' AS feature, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL), {KS}"
+ORACLES["stream_drift"] = f"WITH {EVENT_KS} SELECT 0::BIGINT AS batch, {r('avg(CASE WHEN p < 0.05 THEN 1 ELSE 0 END)', 'share')} FROM kp"
+
+WINDOW_DRIFT = f"""WITH {a.SQL_LOG}, rv AS (SELECT CAST(value AS DOUBLE) AS v, count(*) AS n FROM events WHERE user_id % 2 = 1 AND value IS NOT NULL GROUP BY 1), rb AS (SELECT v, n, sum(n) OVER (ORDER BY v) - n AS below, sum(n) OVER () AS total FROM rv),
+    cu AS (SELECT v, (below + n) / total AS share, row_number() OVER (ORDER BY v) - 1 AS i FROM rb WHERE (below + n) * {windows.BINS} // total > below * {windows.BINS} // total), nr AS (SELECT max(total) AS nr FROM rb),
+    x AS (SELECT date_trunc('day', requested_at) AS s, latency_ms AS v FROM log WHERE latency_ms IS NOT NULL), z AS (SELECT s, count(*) AS n FROM x GROUP BY s),
+    g AS (SELECT z.s, any_value(z.n) AS n, any_value(cu.share) AS share, count(x.v) AS c FROM z CROSS JOIN cu LEFT JOIN x ON x.s = z.s AND x.v <= cu.v GROUP BY z.s, cu.i),
+    d AS (SELECT s, max(n) AS n, max(abs(share - c / n)) AS d FROM g GROUP BY s), e AS (SELECT s, n, d, nr, (sqrt(nr * n / (nr + n)) + 0.12 + 0.11 / sqrt(nr * n / (nr + n))) * d AS x FROM d, nr),
+    p AS (SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum([CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * x * x) FOR j IN range(1, 101)]))) END AS p FROM e)
+    SELECT strftime(s, '%Y-%m-%d') AS start, {big('nr', 'n_reference')}, {big('n', 'n_current')}, {r('d', 'statistic')}, {r('p', 'p_value')}, p < 0.05 AS drifted FROM p"""
+
+
+def value_bins(spark, sf_dir) -> DataFrame:
+    reference = a.table(spark, sf_dir, "events").where("user_id % 2 = 1").select(F.col("value").cast("double").alias("latency_ms"))
+    return kept(windows.reference_bins(reference, ["latency_ms"]), "bins")
+
+
+@query(WINDOW_DRIFT)
+def drift_by_day(spark, sf_dir):
+    log = a.prediction_log(spark, sf_dir).withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+    return windows.drift_by_window(log, value_bins(spark, sf_dir), ["latency_ms"]).withColumn("start", F.date_format("start", "yyyy-MM-dd")).drop("feature")
+
+
+@query(f"{WINDOW_DRIFT} WHERE s + INTERVAL 1 DAY <= {closed('10 MINUTE')}")
+def stream_drift_by_day(spark, sf_dir):
+    """The same for closed windows, from counts per bin that the stream keeps as its state."""
+    from ..streaming import log
+
+    out = shared(spark, "stream")
+    log.drift_by_window(event_log_stream(spark, sf_dir), value_bins(spark, sf_dir), ["latency_ms"], f"{out}/rows", f"{out}/state").start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").withColumn("start", F.date_format("start", "yyyy-MM-dd")).drop("feature", "batch")
+
+
+@query(ORACLES["log_dashboard"])
+def exact_log_dashboard(spark, sf_dir):
+    """Quantiles over counts of values."""
+    return windows.exact_dashboard(a.prediction_log(spark, sf_dir), "1 day").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
+
+
+@query(f"WITH {a.SQL_LOG} SELECT strftime(date_trunc('day', requested_at), '%Y-%m-%d') AS bucket, count(*) AS requests, {r('100 * avg(CASE WHEN status = $$error$$ THEN 1 ELSE 0 END)', 'error_rate')}, true AS p50_holds, true AS p95_holds FROM log GROUP BY 1")
+def latency_rollup(spark, sf_dir):
+    """Sketches of minutes merged to hours and those to days; whether the ranks of the quantiles are within the stated error."""
+    log = a.prediction_log(spark, sf_dir)
+    days = windows.dashboard_of(windows.rolled_up(windows.rolled_up(kept(windows.sketched(log), "sketches"), "1 hour"), "1 day"))
+    days = kept(days, "days")
+    off = windows.quantile_error(log, days, "1 day")
+    rows = days.join(off, "bucket")
+    return rows.select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "requests", "error_rate", (F.col("off_p50") <= windows.RANK_ERROR).alias("p50_holds"), (F.col("off_p95") <= windows.RANK_ERROR).alias("p95_holds"))
+
+
+@query(f"""WITH {TRAJ}, {SAMPLES}, m AS (SELECT avg(y) AS my, avg(age) AS ma, stddev_pop(age) AS sa, covar_pop(age, y) AS cay, count(*) AS n FROM sm), q AS (SELECT CAST(event_id AS VARCHAR) AS request_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+    SELECT request_id, CASE WHEN k IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN k IS NOT NULL THEN round(greatest(0.0, my + n * cay / sa / (n + 10) * (k - ma) / sa), 4) + 0.0 END AS predicted_rul_seconds FROM q, m""")
+def stream_model_scoring(spark, sf_dir):
+    """A ridge is fitted as a pipeline of the library, saved, loaded by the stream, and scores the log's requests into two tables."""
+    from ..streaming import log
+
+    out = shared(spark, "stream")
+    experiments.fit("ridge", plain_samples(spark, sf_dir), ["observed_age_seconds"]).save(f"{out}/model")
+    log.model_scoring(event_log_stream(spark, sf_dir).drop("status"), f"{out}/model", "props", {"k": "observed_age_seconds"}, f"{out}/rows", f"{out}/bad", f"{out}/state").start().awaitTermination()
+    both = spark.read.parquet(f"{out}/rows").unionByName(spark.read.parquet(f"{out}/bad"))
+    return both.select("request_id", "status", F.round("predicted_rul_seconds", 4).alias("predicted_rul_seconds"))

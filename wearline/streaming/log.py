@@ -1,10 +1,11 @@
-"""The prediction log as a stream: dashboards, trailing windows, scoring and drift per batch."""
+"""The prediction log as a stream: dashboards, trailing windows, scoring, and drift per batch and per window of event time."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import experiments, windows
 from ..operators.monitor import drift, drift_share, parsed_requests, scored
 
 
@@ -42,6 +43,45 @@ def drift_per_batch(stream: DataFrame, reference: DataFrame, columns: list[str],
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def drift_by_window(stream: DataFrame, bins: DataFrame, columns: list[str], out: str, checkpoint: str, width: str = "1 day", late: str = "10 minutes", at: str = "requested_at"):
+    """Appends the drift of each closed window to out.
+
+    The state is a count per open window, feature and bin of the reference.  All bins of a window close in the same batch, so
+    its statistic is that of all its rows, however they were dealt to batches; a batch that is run again writes the same folder."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        windows.window_drift(batch, bins).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counts = windows.bin_counts(stream.withWatermark(at, late), bins, columns, width, at)
+    return counts.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def latency_sketches(stream: DataFrame, width: str = "1 minute", late: str = "10 minutes", at: str = "requested_at") -> DataFrame:
+    """Requests, errors and the latency sketch of closed windows, for windows.rolled_up(); the state is a sketch per open window."""
+    return windows.sketched(stream.withWatermark(at, late), width, at)
+
+
+def model_scoring(stream: DataFrame, model: str, body: str, fields: dict[str, str], out: str, rejected: str, checkpoint: str, at: str = "requested_at", late: str = "10 minutes", key: str = "request_id"):
+    """Scores requests, each once, by the model saved in a folder: scored rows go to out, rejected ones with their error to
+    rejected.  fields names the columns that the fields of a body become.
+
+    Both sinks write a folder per batch, one after the other, and a batch that is run again - after a failure in between, or
+    from an older checkpoint - replaces what it wrote, so neither has rows twice or lacks any."""
+    fitted = experiments.load(stream.sparkSession, model)
+
+    def one(batch: DataFrame, number: int) -> None:
+        parsed = parsed_requests(batch, body, list(fields)).withColumnsRenamed(fields)
+        made = experiments.score_requests(fitted, parsed).withColumn("batch", F.lit(number)).persist()
+        try:
+            for rows, folder in ((made.where("status = 'ok'"), out), (made.where("status <> 'ok'"), rejected)):
+                rows.write.mode("overwrite").parquet(f"{folder}/number={number}")
+        finally:
+            made.unpersist()
+
+    once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return once.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def run_to_end(df: DataFrame, out: str, checkpoint: str) -> None:
     """Appends all that is there to a Parquet table, then stops."""
     df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
