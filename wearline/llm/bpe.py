@@ -38,6 +38,14 @@ CAPITALS_17 = (
     (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB),
     (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
+#: Ranges of combining marks, and the second part of the composition U+11935 U+11930, that the library's older NFC takes for plain characters.
+PLAIN_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C),
+    (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A),
+    (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+PLAIN_MARK = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in PLAIN_MARKS) + "])")
 SMALL_17 = {c: small + c - a for a, b, small in CAPITALS_17 for c in range(a, b + 1)}
 ANY_CAPITAL_17 = re.compile("[" + "".join(map(chr, SMALL_17)) + "]")
 #: White space of the pattern; str.split() also cuts at U+001C to U+001F.
@@ -68,6 +76,13 @@ def word_pattern() -> regex.Pattern:
     return regex.compile(PATTERN.replace("{new}", "".join(runs)), regex.V1)
 
 
+def composed(text: str) -> str:
+    """NFC as the library's table has it: marks that came later stand for themselves, and nothing is ordered or joined across them."""
+    if PLAIN_MARK.search(text):
+        return "".join(unicodedata.normalize("NFC", part) for part in PLAIN_MARK.split(text))
+    return unicodedata.normalize("NFC", text)
+
+
 def gather(flat: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[ends[k] : ends[k + 1]] of the given slots one after the other, and where each ends."""
     size = ends[slots + 1] - ends[slots]
@@ -158,7 +173,7 @@ class Vocabulary:
     @staticmethod
     def pieces(text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = composed(text)
             # letter by letter: a whole-text lower() would treat a final sigma apart
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
             if ANY_CAPITAL_17.search(text):
