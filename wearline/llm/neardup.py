@@ -15,9 +15,10 @@ What can be missed, by the bounds that the tests recompute: of INDEX values, cla
 OVERLAP with a probability below 1e-6 (5e-7) whatever the sizes of lists.  The estimate errs by more than its six
 deviations with a probability below 1e-8.  Sets of up to INDEX shingles are never missed.
 
-An empty or null text has no shingles and no links; fewer than five words are one shingle of the whole sequence; rows
+An empty or null text has no shingles and no links of its own; fewer than five words are one shingle of the whole sequence; rows
 with a null id are left apart (component null, kept); rows that share an id count as one document with all their
-texts' links; repeated rows share a component; the least id of a component stays; a text's length is not limited.
+texts' links: their texts get numbers of their own beyond all ids, and components that share an id are joined afterwards;
+repeated rows share a component; the least id of a component stays; a text's length is not limited.
 near_duplicates() returns its own columns alone; one_of_each() passes all columns, whatever their names; an empty
 table gives an empty table.
 """
@@ -48,20 +49,21 @@ AT_ONCE = 2 << 20
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_digest, index (the least INDEX hashes) and sketch (31 bits of the least KEEP) of every row."""
+    """doc_id, n_shingles, set_digest, index (the least INDEX hashes) and sketch (31 bits of the least KEEP) of every row, and
+    own, a hash of the text, which tells the texts of an id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
             sets = shingles(texts_of(batch, text), WORDS)
             index, sketch = [s[:INDEX] for s in sets], [s[:KEEP] >> 32 for s in sets]
             lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in parts])], pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts]), kind))
-            yield emit(batch, [key], {
+            yield emit(batch, [key, "own"], {
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "set_digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 "index": lists(index, pa.int64()), "sketch": lists(sketch, pa.int32()),
             })
 
-    return docs.select(key, text).mapInArrow(run, schema_of(docs, [key], "n_shingles bigint, set_digest binary, index array<bigint>, sketch array<int>"))
+    return docs.select(key, F.xxhash64(text).alias("own"), text).mapInArrow(run, schema_of(docs, [key], "own bigint, n_shingles bigint, set_digest binary, index array<bigint>, sketch array<int>"))
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -311,11 +313,8 @@ def cell_links(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
     return together(found.join(texts.hint("merge"), "node")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    rows = written(sketches(docs, key, text), "sketches")
-    linked = F.col(key).isNotNull() & (F.col("n_shingles") > 0)
-    known = rows.where(linked)
+def class_components(known: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """set_digest, copies (rows), least (the least id among them) and part, the least id of the component; no two texts share an id."""
     classes = written(known.groupBy("set_digest").agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("index").alias("index"), F.first("sketch").alias("sketch")), "classes")
     posted = written(postings(classes), "postings").withColumn("value", F.explode("values"))
     edges = written(pivot_links(written(pivot_pairs(labelled(posted, None)), "pivot-pairs"), docs, key, text), "links")
@@ -323,9 +322,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = written(candidates(cells(labelled(posted, parts), classes.select("node", "n", "sketch"))), "candidates")
     stars = parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = components(stars.unionByName(cell_links(found, docs, key, text)))
-    classes = classes.select("set_digest", "node", "copies").join(parts.hint("merge"), "node", "left").select("set_digest", "copies", F.coalesce("component", "node").alias("component_id"))
+    return classes.select("set_digest", "node", "copies").join(parts.hint("merge"), "node", "left").select("set_digest", "copies", F.col("node").alias("least"), F.coalesce("component", "node").alias("part"))
+
+
+def renumbered(known: DataFrame, docs: DataFrame, shared: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """known and docs with _id: the id or, of an id with several texts, a number beyond all ids for each text."""
+    most = known.agg(F.max(key)).first()[0]
+    texts = known.join(shared.select(key), key, "left_semi").groupBy(key, "own").agg(F.count(F.lit(1)).alias("m"))
+    # as many rows as texts of such ids, written so that the numbers stay
+    names = written(texts.withColumn("_id", F.lit(most).cast("long") + 1 + F.monotonically_increasing_id()), "renumbered")
+    as_id = F.coalesce("_id", F.col(key).cast("long")).alias("_id")
+    one = spread_join(known, names, [key, "own"], "m", how="left").drop("m")
+    two = spread_join(docs.where(F.col(key).isNotNull()).select(key, F.xxhash64(text).alias("own"), text), names, [key, "own"], "m", how="left")
+    return one.select(*known.columns, as_id), two.select(as_id, text)
+
+
+def joined_by_ids(rows: DataFrame, classes: DataFrame, shared: DataFrame, key: str) -> DataFrame:
+    """classes with the parts of components that share an id joined; a part is then the least of their ids."""
+    of = rows.select(key, "set_digest").join(shared.select(key), key, "left_semi").distinct().join(classes.select("set_digest", "part"), "set_digest").select(key, "part").distinct()
+    firsts = of.groupBy(key).agg(F.min("part").alias("b"), F.count(F.lit(1)).alias("m"))
+    ends = components(spread_join(of, firsts, [key], "m").select(F.col("part").alias("a"), "b"))
+    met = classes.join(ends.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+    least = rows.groupBy("set_digest").agg(F.min(key).alias("least"))
+    met = written(met.drop("least").join(least, "set_digest"), "joined")
+    names = met.groupBy("part").agg(F.min("least").cast("long").alias("name"), F.count(F.lit(1)).alias("m"))
+    return spread_join(met, names, ["part"], "m").select("set_digest", "copies", F.col("name").alias("part"))
+
+
+def without_shingles(rows: DataFrame, known: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Rows without an id, whose component is null, and rows without shingles: the component of the id's other texts, else the id."""
+    nameless = rows.where(F.col(key).isNull()).select(key, "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
+    empty = rows.where(F.col(key).isNotNull() & (F.col("n_shingles") == 0)).select(key, "n_shingles")
+    ids = empty.groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+    other = known.select(key, "set_digest").join(ids.select(key), key, "left_semi").groupBy(key).agg(F.min("set_digest").alias("set_digest"))
+    named = ids.join(spread_join(other, classes, ["set_digest"], "copies").select(key, "component_id"), key, "left")
+    return nameless.unionByName(spread_join(empty, named, [key], "m").select(key, "n_shingles", F.coalesce("component_id", F.col(key).cast("bigint")).alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows = written(sketches(docs, key, text), "sketches")
+    linked = F.col(key).isNotNull() & (F.col("n_shingles") > 0)
+    known = rows.where(linked)
+    shared = written(known.groupBy(key).agg(F.min("set_digest").alias("a"), F.max("set_digest").alias("b")).where("a != b"), "shared-ids")
+    if shared.isEmpty():
+        classes = class_components(known, docs, key, text)
+    else:
+        one, two = renumbered(known, docs, shared, key, text)
+        classes = joined_by_ids(known, written(class_components(one.drop(key), two, "_id", text), "parts-of-texts"), shared, key)
+    classes = classes.select("set_digest", "copies", F.col("part").alias("component_id"))
     out = spread_join(known.select(key, "n_shingles", "set_digest"), classes, ["set_digest"], "copies").select(key, "n_shingles", "component_id")
-    out = out.unionByName(rows.where(~linked).select(key, "n_shingles", F.col(key).cast("bigint").alias("component_id")))
+    out = out.unionByName(without_shingles(rows, known, classes, key))
     return out.select(key, "n_shingles", "component_id", (F.col(key).isNull() | (F.col(key) == F.col("component_id"))).alias("kept"))
 
 
