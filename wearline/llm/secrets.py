@@ -2,15 +2,15 @@
 
 A run of letters of encodings is cut at inner '=', and where it mixes both base64 alphabets at '+', '/' or at '-', '_'.
 A token of LEAST characters or more with digits and letters gets the smallest encoding that holds it (hex, base32,
-base36, base62, base64).  What is to be refuted is that a token is ordinary: that its symbols are used as unevenly as
-letters of text are (chi-squared of the counts against the non-central distribution of such text), or that its capitals,
-small letters, digits and marks follow one another in runs as in names (a runs test), or that neighbours are correlated
-(lag-1 serial correlation against CORRELATED).  A secret refutes all three, so its p-value is the largest of the three;
-each falls with the token's length.  The step-up procedure, with weights in proportion to lengths over the tokens of a
-text, holds the share of ordinary tokens among those reported below LEVEL.
+base36, base62, base64) and a p-value from battery.py: chi-squared, runs and serial correlation against those of
+ordinary names of its encoding and length, drawn from the letter pairs of all texts.
+
+Which tokens are reported is settled over all tokens of the table by one step-up procedure with weights in proportion to
+length, which holds the share of ordinary tokens among those reported below LEVEL.  Spark counts tokens by the weighted
+p-value, rounded up to a twentieth of a power of ten, so the driver sees a bounded table at every size.
 
 A null or empty text has no spans; a text is scanned whole whatever its length; repeated rows are scanned each and
-equal texts alike; ties in the procedure go by place; extra input columns are not carried, whatever their names; an
+equal texts alike; equal p-values are reported together; extra input columns are not carried, whatever their names; an
 empty table gives an empty table.  Spans are in code points, end exclusive.
 """
 
@@ -25,91 +25,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, schema_of, sliced, texts_of
+from . import battery
+from .common import emit, schema_of, sliced, texts_of, written
 
 #: The three rules, in the order of their names.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
-#: Parts of a run, since '=' pads a token at its end only, and the cuts of a part that mixes the two base64 alphabets.
-PART = re.compile(r"[^=]+(?:=+$)?")
-CUTS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*"))
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: Tokens that the battery takes: runs of base64 letters, either alphabet.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-LEAST, LEVEL = 20, 0.05
-#: Ordinary tokens: sum of squared letter frequencies of text, share of neighbours of different kinds, serial correlation.
-SQUARES, SWITCHES, CORRELATED = 0.065, 0.25, 0.75
-LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-ENCODINGS = (DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_")
-PLACES = [{c: i for i, c in enumerate(a)} for a in ENCODINGS]
-
-
-def normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def chi_squared_below(x: float, df: float) -> float:
-    """Lower tail by the cube-root normal form."""
-    return normal_tail(-((max(x, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
-
-
-def binomial_above(k: int, n: int, q: float) -> float:
-    """P(at least k of n)."""
-    return min(1.0, sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k, n + 1))) if n < 400 else normal_tail((k - 0.5 - n * q) / math.sqrt(n * q * (1 - q)))
-
-
-def encoding(body: str) -> int | None:
-    """Number of the smallest encoding that holds the token."""
-    return next((k for k, places in enumerate(PLACES) if all(c in places for c in body)), None)
-
-
-def evenness(v: np.ndarray, size: int) -> float:
-    """P-value of the counts being even, if they were as uneven as those of text (of digits alone, for hex)."""
-    n = len(v)
-    x = float(((np.bincount(v, minlength=size) - n / size) ** 2).sum() / (n / size))
-    df, off = size - 1, n * (size * (SQUARES if size > 16 else 0.1) - 1)
-    # a non-central variable as a multiple of a central one, of equal mean and variance
-    return chi_squared_below(x * (df + off) / (df + 2 * off), (df + off) ** 2 / (df + 2 * off))
-
-
-def switching(body: str) -> float:
-    """P-value of changes between kinds of characters, if they were as rare as in names."""
-    kinds = [0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3 for c in body]
-    return binomial_above(sum(a != b for a, b in zip(kinds[1:], kinds[:-1], strict=True)), len(kinds) - 1, SWITCHES)
-
-
-def uncorrelated(v: np.ndarray) -> float:
-    """P-value of a small lag-1 serial correlation, if neighbours were correlated by CORRELATED."""
-    d = v - v.mean()
-    r = min(0.999, abs(float((d[1:] * d[:-1]).sum() / max(1e-9, (d * d).sum())) + 1 / len(v)))
-    return normal_tail((math.atanh(CORRELATED) - math.atanh(r)) * math.sqrt(len(v) - 3))
-
-
-def ordinary(token: str) -> float | None:
-    """P-value of the token being ordinary, or None if no encoding holds it."""
-    body = token.rstrip("=")
-    k = encoding(body)
-    if k is None or not any(c in DIGITS for c in body) or not any(c.isalpha() for c in body) or len(body) < LEAST:
-        return None
-    v = np.array([PLACES[k][c] for c in body])
-    return max(evenness(v, len(ENCODINGS[k])), switching(body), uncorrelated(v))
-
-
-def refuted(tests: list[tuple[int, float]]) -> list[bool]:
-    """For (length, p): whether the step-up rule at LEVEL with weights by length takes it for a secret."""
-    if not tests:
-        return []
-    mean = sum(n for n, _ in tests) / len(tests)
-    weighted = [p * mean / n for n, p in tests]
-    order = sorted(range(len(tests)), key=lambda i: weighted[i])
-    last = max((k for k, i in enumerate(order, 1) if weighted[i] <= LEVEL * k / len(tests)), default=0)
-    out = [False] * len(tests)
-    for i in order[:last]:
-        out[i] = True
-    return out
+LEAST, LEVEL = battery.LEAST, 0.05
+#: Parts of a run, since '=' pads a token at its end only, and the cuts of a part that mixes the two base64 alphabets.
+PART = re.compile(r"[^=]+(?:=+$)?")
+CUTS = tuple(re.compile(x) for x in (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*"))
+#: Bins of weighted p-values for a power of ten, and the least p-value told apart.
+BINS, TINIEST = 20, 1e-290
+TESTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bin", pa.int32())]))
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def pieces(run: str) -> list[tuple[int, int]]:
@@ -124,37 +59,97 @@ def pieces(run: str) -> list[tuple[int, int]]:
     return sorted((a, b) for a, b in out if b - a >= LEAST)
 
 
-def scan(text: str) -> list[tuple[int, int, int]]:
-    """All spans as (start, kind, end), sorted."""
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans of the fixed rules as (start, kind, end), sorted."""
     found: list[tuple[int, int, int]] = []
     low = text.lower()
     if any(w in low for w in ASSIGN_WORDS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    tested = [(m.start() + a, m.start() + b, p) for m in TOKEN.finditer(text) for a, b in pieces(m.group()) if (p := ordinary(m.group()[a:b])) is not None]
-    random = [(s, e) for (s, e, _), secret in zip(tested, refuted([(e - s, p) for s, e, p in tested]), strict=True) if secret]
-    joined: list[list[int]] = []
-    for start, end in sorted(random):
-        if joined and start < joined[-1][1]:  # pieces of different cuts that overlap are one span
-            joined[-1][1] = max(joined[-1][1], end)
+    return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
+
+
+def tested(text: str, profiles: battery.Profiles) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of the tokens that the battery takes."""
+    out = []
+    for m in TOKEN.finditer(text):
+        for a, b in pieces(m.group()):
+            if (tail := profiles.tail(m.group()[a:b].rstrip("="))) is not None:
+                out.append((m.start() + a, m.start() + b, tail[1]))
+    return out
+
+
+def binned(p: float, length: int) -> int:
+    """Number of the bin of p / length; its upper edge is 10 to the number over BINS."""
+    return math.ceil(BINS * math.log10(max(p, TINIEST) / length))
+
+
+def last_bin(counts: list[tuple[int, int, int]]) -> int | None:
+    """The step-up rule at LEVEL over (bin, tokens, sum of lengths): the largest bin that is reported, None if none is.
+
+    A token's weighted p-value is p / length times the mean length; it is compared with LEVEL times the share of tokens
+    up to its own, so the number of tokens cancels."""
+    lengths, rank, last = sum(n for _, _, n in counts), 0, None
+    for bin, tokens, _ in sorted(counts):
+        rank += tokens
+        if 10 ** (bin / BINS) * lengths <= LEVEL * rank:
+            last = bin
+    return last
+
+
+def joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans with those that overlap (pieces of different cuts) as one."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
         else:
-            joined.append([start, end])
-    found += [(start, 3, end) for start, end in joined]
-    return sorted(found)
+            out.append([start, end])
+    return out
 
 
-def find_secrets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The key columns and secrets, an array of (kind, start, end) by start, then kind as KINDS lists them."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+def letter_pairs(df: DataFrame, text: str = "text") -> np.ndarray:
+    """battery.pair_counts() of all texts, summed up by Spark: at most 729 rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(729, np.int64)
         for batch in sliced(batches, text):
-            rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t)] for t in texts_of(batch, text)]
-            yield emit(batch, keys, {"secrets": pa.array(rows, kind)})
+            total += battery.pair_counts(texts_of(batch, text)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(729), pa.int32()), pa.array(total)], names=["pair", "n"])
+
+    out = np.zeros(729, np.int64)
+    for r in df.select(text).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(27, 27)
 
-    return df.select(*keys, text).mapInArrow(run, schema_of(df, keys, "secrets array<struct<kind:string,start:bigint,end:bigint>>"))
+
+def find_secrets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The key columns and secrets, an array of (kind, start, end) by start, then kind as KINDS lists them."""
+    profiles = battery.profiles(letter_pairs(df, text))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text):
+            texts = texts_of(batch, text)
+            base = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in base_spans(t)] for t in texts]
+            tests = [[{"start": s, "end": e, "bin": binned(p, e - s)} for s, e, p in tested(t, profiles)] for t in texts]
+            yield emit(batch, keys, {"_base": pa.array(base, SPANS), "_tests": pa.array(tests, TESTS)})
+
+    spans = "array<struct<kind:string,start:bigint,end:bigint>>"
+    scanned = df.select(*keys, text).mapInArrow(scan, schema_of(df, keys, f"_base {spans}, _tests array<struct<start:bigint,end:bigint,bin:int>>"))
+    scanned = written(scanned, "secrets-tests")
+    counts = scanned.select(F.explode("_tests").alias("t")).groupBy("t.bin").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.expr("t.end - t.start")).alias("lengths"))
+    last = last_bin([(r.bin, r.tokens, r.lengths) for r in counts.collect()])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for base, tests in zip(batch.column("_base").to_pylist(), batch.column("_tests").to_pylist(), strict=True):
+                random = joined([(t["start"], t["end"]) for t in tests if last is not None and t["bin"] <= last])
+                rows.append(sorted(base + [{"kind": "random", "start": s, "end": e} for s, e in random], key=lambda x: (x["start"], KINDS.index(x["kind"]))))
+            yield emit(batch, keys, {"secrets": pa.array(rows, SPANS)})
+
+    return scanned.mapInArrow(settle, schema_of(df, keys, f"secrets {spans}"))
 
 
 def spelled(spans: Column) -> Column:
