@@ -32,6 +32,8 @@ LEAST, LONGEST = 20, 128
 ROWS, PASS = 2000, 3.5
 #: Of names: share of words followed by a number, share of its digits followed by one more, weights of digits, styles.
 NUMBERS, MORE = 0.3, 0.5
+#: A name's own share of letters after which its word ends early is even between 0 and this: some names are of short words.
+SHORT = 0.4
 DIGIT_SHARES = np.array([0.2, 0.2, 0.15, 0.1, 0.05, 0.08, 0.05, 0.05, 0.06, 0.06])
 CAMEL, SMALL = 0.6, 0.2
 #: The same of hexadecimal names, which are numbers with short runs of letters.
@@ -79,7 +81,7 @@ def ordinary(k: int, pairs: np.ndarray, rows: int, rng: np.random.Generator) ->
     digit, ends = np.array([places[c] for c in digits]), np.cumsum(shares / shares.sum())
     marks = np.array([places[c] for c in alphabet if not c.isalnum()], np.int64)
     mark = marks[rng.integers(0, len(marks), rows)] if len(marks) else None
-    style = rng.random(rows)
+    style, early = rng.random(rows), SHORT * rng.random(rows)
     numbers, more = (HEX_NUMBERS, HEX_MORE) if len(alphabet) == 16 else (NUMBERS, MORE)
     out = np.zeros((rows, LONGEST), np.int64)
     last, number = np.full(rows, END), np.zeros(rows, bool)
@@ -87,7 +89,7 @@ def ordinary(k: int, pairs: np.ndarray, rows: int, rng: np.random.Generator) ->
     for t in range(LONGEST):
         number &= rng.random(rows) < more
         step = follow(last)
-        ended = (step == END) & ~number
+        ended = ((step == END) | ((rng.random(rows) < early) & (last != END))) & ~number
         number |= ended & (rng.random(rows) < numbers)
         first = (ended | (last == END)) & ~number
         fresh = follow(np.full(rows, END))
