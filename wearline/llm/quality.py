@@ -8,6 +8,9 @@ whose scatter has the smallest determinant stays.  Scatters have a floor, so tha
 statistic isn't 0.  Quantiles come from counts over fixed bins, so they don't depend on the order of rows and a group of any size
 needs one bounded row per bin.
 
+Rows meet their group's numbers by broadcast where there are at most FEW_GROUPS groups; beyond that the row of all
+documents alone is broadcast, and frequent groups are dealt over pieces, so no join has all rows under one key.
+
 The same is estimated for each language and for all documents, and a group's estimate is drawn towards its language's,
 which is drawn towards all, by the weight of SHRINK documents: small groups need no rule of their own.
 
@@ -24,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import numbered, spread_join, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -39,6 +42,10 @@ CUTOFF = 36.0
 FLOOR = {"x0": 0.05, "x1": 0.045, "x2": 0.15, "x3": 0.15}
 DIMS = list(FLOOR)
 BINS = 4096
+#: Most groups whose estimates are broadcast: some 7 MB.
+FEW_GROUPS = 1 << 14
+#: The group of all documents.
+ALL = "all"
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -120,27 +127,39 @@ def moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return sums.withColumns({f"s{i}{j}": scale * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + floor(i, j) for i, j in PAIRS})
 
 
-def starts(fit: DataFrame) -> DataFrame:
+def met(rows: DataFrame, numbers: DataFrame, sizes: tuple[DataFrame, int], keys: list[str], how: str = "inner") -> DataFrame:
+    """rows.join(numbers, keys, how) for one row of numbers per key; sizes are the rows of each group and the number of groups."""
+    size, groups = sizes
+    if groups <= FEW_GROUPS:
+        return rows.join(F.broadcast(numbers), keys, how)
+    every = F.col("group") == ALL
+    dealt = numbers.where(~every).join(size.select("group", F.col("n").alias("_rows")), "group")
+    others = spread_join(rows.where(~every), dealt, keys, "_rows", how=how).drop("_rows")
+    return others.unionByName(rows.where(every).join(F.broadcast(numbers.where(every)), keys, how))
+
+
+def starts(fit: DataFrame, sizes: tuple[DataFrame, int]) -> DataFrame:
     """Three estimates of each group to begin with, by start."""
     middle = written(quantiles(fit, ["group"], {k: F.col(k) for k in DIMS}, {"low": 0.25, "mid": 0.5}), "quality-fit")
-    apart = quantiles(fit.join(middle, "group"), ["group"], {k: F.abs(F.col(k) - F.col(f"mid_{k}")) for k in DIMS}, {"off": 0.5})
+    apart = quantiles(met(fit, middle, sizes, ["group"]), ["group"], {k: F.abs(F.col(k) - F.col(f"mid_{k}")) for k in DIMS}, {"off": 0.5})
     middle = middle.join(apart, "group")
     even = lambda name: [*(F.col(f"{name}_{k}").alias(f"m{i}") for i, k in enumerate(DIMS)), *((F.greatest(1.4826 * F.col(f"off_{DIMS[i]}"), F.lit(FLOOR[DIMS[i]])) ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS)]
     plain = moments(fit, ["group"], 1.0).select("group", F.lit("mean").alias("start"), *ESTIMATE)
     return reduce(lambda a, b: a.unionByName(b), (middle.select("group", F.lit(name).alias("start"), *even(name)) for name in ("mid", "low")), plain)
 
 
-def estimates(fit: DataFrame) -> DataFrame:
+def estimates(fit: DataFrame, sizes: tuple[DataFrame, int]) -> DataFrame:
     """group, n, centre and scatter by the minimum covariance determinant."""
-    held = written(starts(fit), "quality-fit")
+    held = written(starts(fit, sizes), "quality-fit")
     for _ in range(STEPS):
-        near = fit.join(factored(held), "group").select("group", "start", *DIMS, squeezed(distance()).alias("d"))
+        numbers = factored(held).select("group", F.struct("start", *(f"m{i}" for i in PLACES), *(f"l{i}{j}" for i, j in PAIRS)).alias("e"))
+        begun = numbers.groupBy("group").agg(F.collect_list("e").alias("e"))  # three starts
+        near = met(fit, begun, sizes, ["group"]).select("group", *DIMS, F.explode("e").alias("e")).select("group", *DIMS, "e.*").select("group", "start", *DIMS, squeezed(distance()).alias("d"))
         limit = quantiles(near, ["group", "start"], {"d": F.col("d")}, {"limit": HALF_SHARE})
-        held = written(moments(near.join(limit, ["group", "start"]).where(F.col("d") <= F.col("limit_d") + 4 / BINS), ["group", "start"], CONSISTENCY), "quality-fit")
-    size = fit.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+        held = written(moments(met(near, limit, sizes, ["group", "start"]).where(F.col("d") <= F.col("limit_d") + 4 / BINS), ["group", "start"], CONSISTENCY), "quality-fit")
     determinant = reduce(lambda a, i: a * F.col(f"l{i}{i}"), PLACES, F.lit(1.0))
     least = factored(held).groupBy("group").agg(F.min_by(F.struct(*ESTIMATE), F.struct(determinant, "start")).alias("e"))
-    return least.join(size, "group").select("group", "n", "e.*")
+    return least.join(sizes[0], "group").select("group", "n", "e.*")
 
 
 def drawn_towards(own: DataFrame, other: DataFrame, at: str) -> DataFrame:
@@ -155,15 +174,18 @@ def verdicts(stats: DataFrame) -> DataFrame:
     rows, at = numbered(stats.drop("distance2", "base_failed", "kept"))
     counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     rows = rows.withColumns({c: F.col(at[c]) for c in counts}).withColumns(vector())
-    levels = F.array(F.to_json(F.struct(F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source"))), F.to_json(F.struct(F.col(at["lang"]).alias("lang"))), F.lit("all"))
+    levels = F.array(F.to_json(F.struct(F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source"))), F.to_json(F.struct(F.col(at["lang"]).alias("lang"))), F.lit(ALL))
     rows = written(rows.withColumn("levels", levels).withColumn("group", F.get("levels", F.lit(0))), "quality-statistics")
     good = rows.where(~base_failed())
-    found = written(estimates(good.select(F.explode("levels").alias("group"), *DIMS)), "quality-fit")
+    fit = good.select(F.explode("levels").alias("group"), *DIMS)
+    size = written(fit.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "quality-fit")
+    sizes = (size, size.count())
+    found = written(estimates(fit, sizes), "quality-fit")
     names = good.select(F.col("group"), F.get("levels", F.lit(1)).alias("upper")).distinct()
-    every = found.where("group = 'all'")
-    upper = drawn_towards(found.join(names.select(F.col("upper").alias("group")).distinct(), "group").withColumn("top", F.lit("all")), every, "top")
+    every = F.broadcast(found.where(F.col("group") == ALL))
+    upper = drawn_towards(found.join(names.select(F.col("upper").alias("group")).distinct(), "group").withColumn("top", F.lit(ALL)), every, "top")
     held = factored(drawn_towards(found.join(names, "group"), upper, "upper")).select("group", *(f"m{i}" for i in PLACES), *(f"l{i}{j}" for i, j in PAIRS))
-    judged = rows.join(written(held, "quality-fit"), "group", "left").withColumn("distance2", distance()).withColumn("base_failed", base_failed())
+    judged = met(rows, written(held, "quality-fit"), sizes, ["group"], "left").withColumn("distance2", distance()).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance2") > CUTOFF, F.lit(False))
     return judged.select(*(F.col(c).alias(name) for name, c in at.items()), "distance2", "base_failed", kept.alias("kept"))
 
