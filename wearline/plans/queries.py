@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions.expressions import stable
-from ..operators import contracts, datasets, eda, evaluate, experiments, models, monitor, prefix, signal, trajectory, windows
+from ..operators import contracts, datasets, digests, eda, evaluate, experiments, models, monitor, prefix, signal, trajectory, windows
+from ..sources import versions
 from ..sources.scratch import folder as shared
 from ..sources.scratch import kept
 from . import adapters as a
@@ -735,6 +736,54 @@ def prefix_of_complete_run(spark, sf_dir):
     return contracts.prefix_differences(test, whole, ["bearing", "file_index"], COLS)
 
 
+def stored_trees(spark, sf_dir) -> tuple[str, str, DataFrame, DataFrame]:
+    """Truncated and complete runs, of which every seventh machine lacks a file or differs in some, with their written digest trees."""
+    test, whole = a.truncated(spark, sf_dir)
+    odd = F.substring("bearing", 2, 20).cast("long") % 7 == 0
+    whole = whole.where(~(odd & (F.col("file_index") % 11 == 0))).withColumn(COLS[0], F.col(COLS[0]) + F.when(odd & (F.col("file_index") % 5 == 0), 1.0).otherwise(0.0))
+    root = shared(spark, "trees")
+    for name, rows in (("test", test), ("whole", whole)):
+        digests.write_tree(rows, f"{root}/{name}", ["bearing"], "file_index", COLS)
+    return f"{root}/test", f"{root}/whole", test, whole
+
+
+ODD = f"WITH {TRAJ}, o AS (SELECT *, CAST(substr(bearing, 2) AS BIGINT) % 7 = 0 AND file_index % 11 = 0 AS gone, CAST(substr(bearing, 2) AS BIGINT) % 7 = 0 AND file_index % 11 <> 0 AND file_index % 5 = 0 AS other FROM traj WHERE file_index <= floor(0.6 * n))"
+
+
+@query(f"{ODD} SELECT bearing, count(*) AS n_files, count(*) FILTER (other) AS n_different, count(*) FILTER (gone) AS n_missing, min(file_index) FILTER (other OR gone)::BIGINT AS first_apart FROM o GROUP BY bearing")
+def digest_prefix_check(spark, sf_dir):
+    """Truncated against complete runs by their digest trees alone."""
+    left, right, _, _ = stored_trees(spark, sf_dir)
+    return digests.summary(spark, left, digests.differing(spark, left, right, ["bearing"], both=False), ["bearing"])
+
+
+@query(f"{ODD} SELECT bearing, count(*) AS n_rows, count(*) FILTER (gone) AS n_missing, count(*) FILTER (other) AS n_different, max(CASE WHEN other THEN 1.0 END)::DOUBLE AS largest FROM o WHERE other OR gone GROUP BY bearing")
+def digest_differences(spark, sf_dir):
+    """The samples below a difference, compared by value; no others are read."""
+    left, right, test, whole = stored_trees(spark, sf_dir)
+    found = kept(digests.differing(spark, left, right, ["bearing"], both=False), "found")
+    one, two = (digests.samples_of(rows, found, ["bearing"], "file_index") for rows in (test, whole))
+    return contracts.prefix_differences(one, two, ["bearing", "file_index"], COLS)
+
+
+@query(f"WITH {TRAJ}, v AS (SELECT 1 AS number, * FROM traj WHERE file_index <= floor(0.6 * n) UNION ALL SELECT 2, * FROM traj) SELECT number::BIGINT AS number, number = 2 AS newest, bearing, count(*) AS n_rows, max(file_index)::BIGINT AS last_file, {r('sum(rms_horiz)', 'rms_horiz')} FROM v GROUP BY ALL")
+def table_versions(spark, sf_dir):
+    """Two versions of the feature table and two refused ones between them; each published one is read by its number."""
+    test, whole = a.truncated(spark, sf_dir)
+    root, rules = shared(spark, "versions"), {"index from 1": F.col("file_index") >= 1}
+    publish = lambda rows: versions.publish(rows, root, finite_columns=catalog.signal_columns(), rules=rules)
+    publish(test)
+    for bad in (test.unionByName(test), test.withColumn("rms_vert", F.when(F.col("file_index") > 1, F.col("rms_vert")))):
+        try:
+            publish(bad)
+        except contracts.ContractError:
+            continue
+        raise AssertionError("a faulty version was published")
+    last = publish(whole)
+    rows = [versions.current(spark, root, n).withColumn("number", F.lit(n).cast("long")).withColumn("newest", F.lit(n == last)) for n in (1, last)]
+    return rows[0].unionByName(rows[1]).groupBy("number", "newest", "bearing").agg(F.count(F.lit(1)).alias("n_rows"), F.max("file_index").alias("last_file"), F.sum("rms_horiz").alias("rms_horiz"))
+
+
 @query("SELECT DISTINCT o_custkey AS bearing FROM orders WHERE o_totalprice > 300000 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice < 100000)")
 def shared_entities(spark, sf_dir):
     rows = a.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "bearing")

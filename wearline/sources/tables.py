@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import catalog
-from ..operators.contracts import ContractError, assert_unique, request_faults
+from ..operators.contracts import ContractError, request_faults
+from . import versions
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -40,14 +40,15 @@ def stored_features(table: DataFrame, split: str | None = None, dataset_version:
 
 
 def publish(df: DataFrame, name: str) -> None:
-    """Replaces table name after checks: rows, and the unique key (split, bearing, file_index); written aside, then swapped.
-    The table before it is renamed and dropped last, so that a failure in between loses nothing."""
+    """Replaces table name after checks: rows, and the unique key (split, bearing, file_index) without nulls; written aside, then swapped.
+    df is worked out once: the checks are counts of the rows written aside.  The table before it is renamed and dropped last, so
+    that a failure in between loses nothing; sources.versions has no moment without a table."""
     spark = df.sparkSession
-    if df.isEmpty():
-        raise ContractError("refusing to publish no rows")
-    assert_unique(df, catalog.KEY, name)
     spark.sql(f"DROP TABLE IF EXISTS {name}_staging")
-    df.write.mode("overwrite").saveAsTable(f"{name}_staging")
+    counts = versions.write_checked(df, lambda rows: rows.write.mode("overwrite").saveAsTable(f"{name}_staging"))
+    if faults := versions.faults_of(counts):
+        spark.sql(f"DROP TABLE {name}_staging")
+        raise ContractError("; ".join(faults))
     spark.sql(f"DROP TABLE IF EXISTS {name}_before")
     if spark.catalog.tableExists(name):
         spark.sql(f"ALTER TABLE {name} RENAME TO {name}_before")
