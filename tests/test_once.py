@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wearline.operators import blocks, models, moments, ranks
+from wearline.operators import blocks, models, moments, neighbours, ranks
 
 
 def watched(frame):
@@ -66,3 +66,15 @@ def test_positions_deal_rows_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 4  # rows, counts by cell, cells by entity, cells to rows
+
+
+def test_equal_test_rows_are_looked_up_once(spark, monkeypatch):
+    train = spark.range(200).select((F.col("id") * 1.5).alias("a"), F.col("id").cast("double").alias("y"))
+    test = spark.range(900).select("id", (F.col("id") % 30 + 0.25).alias("a"))
+    sizes, nearest = [], neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda learned, asked, *more: sizes.append(asked.count()) or nearest(learned, asked, *more))
+    found = {r["id"]: r["predicted"] for r in models.knn_predict(train, test, ["a"], "y", ["id"]).collect()}
+    assert sizes == [30] and len(found) == 900
+    for i, p in found.items():
+        d = sorted((abs(i % 30 + 0.25 - 1.5 * j), j) for j in range(200))[:3]
+        assert abs(p - sum(j / x for x, j in d) / sum(1 / x for x, _ in d)) < 1e-9
