@@ -1,8 +1,11 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wearline import catalog
-from wearline.operators import contracts, datasets, prefix, trajectory
+from wearline.operators import contracts, datasets, prefix, sliding, trajectory
+from wearline.plans import queries
 
 
 def run(n, condition=1, bearing="Bearing1_1", change=None, rul=True, first=0):
@@ -129,3 +132,12 @@ def test_monotonicity(spark):
     rows = {r.held_out_bearing: r for r in trajectory.monotonicity(df).collect()}
     assert (rows["a"].monotonic_violations, rows["a"].monotonic_comparisons) == (1, 3)
     assert rows["b"].monotonic_violation_rate == 0.0
+
+
+def test_rounding_in_the_pass_of_windows_is_that_of_sql(spark):
+    x = [5e-7, -5e-7, 1.0000015, 2.4999999, None, float("nan"), float("inf"), 1e305, -1e-9]
+    got = sliding.rounded(pa.RecordBatch.from_arrays([pa.array(x), pa.array(range(len(x)))], names=["x", "n"]), 6)
+    want = duckdb.sql(f"SELECT round(v, 6) + 0.0 FROM (SELECT unnest([{', '.join('NULL' if v is None else f'{v!r}::DOUBLE' if v == v and abs(v) < 1e306 else f'$${v}$$::DOUBLE' for v in x)}]) AS v)").fetchall()
+    assert str(got["x"].to_pylist()) == str([w for (w,) in want]) and got["n"].to_pylist() == list(range(len(x)))
+    plan = queries.QUERIES["training_dataset"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan  # eighty roundings by decimals took most of the time

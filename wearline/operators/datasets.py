@@ -38,14 +38,14 @@ def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
     return left.join(right, keys)
 
 
-def training_dataset(features: DataFrame) -> DataFrame:
+def training_dataset(features: DataFrame, digits: int | None = None) -> DataFrame:
     """Snapshot features with identity, rolling columns and the target of complete runs."""
-    return with_rul(with_temporal(with_identity(features), last=True)).select(*catalog.METADATA, *catalog.signal_columns(), *catalog.temporal_columns(), catalog.TARGET)
+    return with_rul(with_temporal(with_identity(features), last=True, digits=digits)).select(*catalog.METADATA, *catalog.signal_columns(), *catalog.temporal_columns(), catalog.TARGET)
 
 
-def test_feature_dataset(features: DataFrame) -> DataFrame:
+def test_feature_dataset(features: DataFrame, digits: int | None = None) -> DataFrame:
     """The same without a target; it asks for no complete runs."""
-    return with_temporal(with_identity(features)).select(*catalog.METADATA, *catalog.signal_columns(), *catalog.temporal_columns())
+    return with_temporal(with_identity(features), digits=digits).select(*catalog.METADATA, *catalog.signal_columns(), *catalog.temporal_columns())
 
 
 def ground_truth(test: DataFrame, validation: DataFrame) -> DataFrame:

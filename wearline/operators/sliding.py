@@ -109,3 +109,18 @@ def appended(batches: Iterator[pa.RecordBatch], columns: list[str], windows: tup
         names = [f"{c}_roll_{kind}_{n}" for c in columns for n in windows for kind in ("mean", "std", "slope")]
         yield pa.RecordBatch.from_arrays([of(c).take(take) for c in keep] + [pa.array(made[c][own], from_pandas=True) for c in names], names=[*keep, *names])
         tail = both.slice(max(int(begins[-1]), len(both) - reach)) if reach else None
+
+
+def rounded(batch: pa.RecordBatch, digits: int) -> pa.RecordBatch:
+    """batch with its doubles rounded as SQL does it: times a power of ten, half away from zero, and back; no negative zero."""
+    scale, out = 10.0**digits, []
+    for column in batch.columns:
+        if pa.types.is_float64(column.type):
+            x = column.to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore", invalid="ignore"):
+                y = x * scale
+                r = np.rint(y)
+                r = np.where(np.abs(y - r) == 0.5, y + np.copysign(0.5, y), r) / scale + 0.0
+            column = pa.array(np.where(np.isfinite(y), r, x), mask=column.is_null().to_numpy(zero_copy_only=False))
+        out.append(column)
+    return pa.RecordBatch.from_arrays(out, names=batch.schema.names)
