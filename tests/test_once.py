@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wearline.operators import blocks, models, moments, neighbours, ranks
+from wearline.operators import blocks, datasets, models, moments, neighbours, ranks
 
 
 def watched(frame):
@@ -78,3 +78,10 @@ def test_equal_test_rows_are_looked_up_once(spark, monkeypatch):
     for i, p in found.items():
         d = sorted((abs(i % 30 + 0.25 - 1.5 * j), j) for j in range(200))[:3]
         assert abs(p - sum(j / x for x, j in d) / sum(1 / x for x, _ in d)) < 1e-9
+
+
+def test_alignment_works_both_sides_out_once(spark):
+    rows = spark.range(40).select((F.col("id") % 3 + 1).cast("int").alias("condition"), F.concat(F.lit("B"), "id").alias("bearing"), F.col("id").alias("cut_file_index"))
+    features, seen = watched(rows)
+    truth, asked = watched(rows.withColumn("rul_seconds", F.lit(1.0)))
+    assert datasets.align(features, truth).count() == 40 and (seen.value, asked.value) == (40, 40)

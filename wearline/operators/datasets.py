@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..sources.scratch import kept
 from . import blocks, signal
 from .contracts import assert_empty, assert_unique
 from .trajectory import last_rows, with_identity, with_rul, with_temporal
@@ -59,9 +60,12 @@ def endpoint_truth(truth: DataFrame) -> DataFrame:
 
 
 def align(features: DataFrame, truth: DataFrame) -> DataFrame:
-    """Endpoint features with their truth; every row of either side must meet exactly one of the other."""
+    """Endpoint features with their truth; every row of either side must meet exactly one of the other.
+
+    Both sides, a row per entity, are written first: four checks and the join look at them."""
     keys = ["condition", "bearing", "cut_file_index"]
-    out = joined_one_to_one(features, truth.select(*keys, "rul_seconds"), keys)
+    features, truth = kept(features, "features"), kept(truth.select(*keys, "rul_seconds"), "truth")
+    out = joined_one_to_one(features, truth, keys)
     assert_empty(features.join(truth, keys, "left_anti"), "features without truth")
     assert_empty(truth.join(features, keys, "left_anti"), "truth without features")
     return out
