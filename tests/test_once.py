@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wearline.operators import blocks, datasets, models, moments, neighbours, ranks
+from wearline import catalog
+from wearline.operators import blocks, datasets, experiments, models, moments, neighbours, prefix, ranks
+from wearline.streaming import log
 
 
 def watched(frame):
@@ -85,3 +87,29 @@ def test_alignment_works_both_sides_out_once(spark):
     features, seen = watched(rows)
     truth, asked = watched(rows.withColumn("rul_seconds", F.lit(1.0)))
     assert datasets.align(features, truth).count() == 40 and (seen.value, asked.value) == (40, 40)
+
+
+def test_prefixes_choose_rows_without_functions_over_arrays(spark):
+    frame = spark.range(60).select(F.lit("a").alias("bearing"), F.lit(1).alias("condition"), F.col("id").alias("file_index"), F.lit(1.0).alias("rul_seconds"), *(F.lit(1.0).alias(s) for s in catalog.SOURCES))
+    made = prefix.prefix_samples(frame, (0.5, 0.501, 0.8))
+    assert [(r["cut_fraction"], r["cut_file_index"]) for r in made.orderBy("cut_fraction").collect()] == [(0.5, 30), (0.8, 47)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lambda" in line for line in plan.splitlines() if "Generate explode" in line and "_cut" in line)
+
+
+def test_a_stream_parses_its_requests_once(spark, tmp_path, monkeypatch):
+    sample = spark.range(40).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("rul_seconds"))
+    experiments.fit("ridge", sample, ["x"]).save(f"{tmp_path}/model")
+    requests = spark.range(30).select(F.col("id").cast("string").alias("request_id"), F.timestamp_seconds(F.col("id") + 1000).alias("requested_at"), F.when(F.col("id") % 5 == 0, "no").otherwise(F.format_string('{"k": %d}', "id")).alias("body"))
+    requests.coalesce(1).write.parquet(f"{tmp_path}/in")
+    counts, parsed = [], log.parsed_requests
+
+    def counting(*args):
+        rows, seen = watched(parsed(*args))
+        counts.append(seen)
+        return rows
+
+    monkeypatch.setattr(log, "parsed_requests", counting)
+    log.model_scoring(log.log_stream(spark, f"{tmp_path}/in", requests.schema), f"{tmp_path}/model", "body", {"k": "x"}, f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/state").start().awaitTermination()
+    assert (spark.read.parquet(f"{tmp_path}/out").count(), spark.read.parquet(f"{tmp_path}/bad").count()) == (24, 6)
+    assert sum(c.value for c in counts) == 30

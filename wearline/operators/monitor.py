@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,10 +147,13 @@ def parsed_requests(requests: DataFrame, body: str, columns: list[str] | None =
     rows = requests.withColumn("_m", F.from_json(body, "map<string,string>"))
     keys = F.map_keys("_m")
     wanted = F.array(*map(F.lit, names))
-    missing, extra = F.array_sort(F.array_except(wanted, keys)), F.array_sort(F.array_except(keys, wanted))
+    missing, extra = F.array_except(wanted, keys), F.array_except(keys, wanted)
     values = {c: F.try_element_at("_m", F.lit(c)).try_cast("double") for c in names}
-    wrong = F.filter(F.array(*(F.when(~finite(v), F.lit(c)) for c, v in values.items())), lambda x: x.isNotNull())
-    reason = F.when(F.col("_m").isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ","))).when(F.size(extra) > 0, F.concat(F.lit("extra "), F.array_join(extra, ","))).when(F.size(wrong) > 0, F.concat(F.lit("not a number "), F.array_join(wrong, ",")))
+    wrong = F.array(*(F.when(~finite(v), F.lit(c)) for c, v in values.items()))
+    # lists are sorted only for a message; joining leaves nulls out
+    sorted_ = lambda kind, x: F.concat(F.lit(f"{kind} "), F.array_join(F.array_sort(x), ","))
+    faulty = reduce(lambda a, b: a | b, (~finite(v) for v in values.values()), F.lit(False))
+    reason = F.when(F.col("_m").isNull(), "not a JSON object").when(F.size(missing) > 0, sorted_("missing", missing)).when(F.size(extra) > 0, sorted_("extra", extra)).when(faulty, F.concat(F.lit("not a number "), F.array_join(wrong, ",")))
     rows = rows.withColumn("reason", reason)
     return rows.select(*requests.columns, F.when(F.col("reason").isNull(), "ok").otherwise("rejected").alias("outcome"), "reason", *(F.when(F.col("reason").isNull(), v).alias(c) for c, v in values.items()))
 

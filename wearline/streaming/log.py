@@ -70,13 +70,15 @@ def model_scoring(stream: DataFrame, model: str, body: str, fields: dict[str, st
     fitted = experiments.load(stream.sparkSession, model)
 
     def one(batch: DataFrame, number: int) -> None:
-        parsed = parsed_requests(batch, body, list(fields)).withColumnsRenamed(fields)
+        # kept while it is scored: filters on the outcome would parse each body again, and each side would ask the state again
+        parsed = parsed_requests(batch, body, list(fields)).withColumnsRenamed(fields).persist()
         made = experiments.score_requests(fitted, parsed).withColumn("batch", F.lit(number)).persist()
         try:
             for rows, folder in ((made.where("status = 'ok'"), out), (made.where("status <> 'ok'"), rejected)):
                 rows.write.mode("overwrite").parquet(f"{folder}/number={number}")
         finally:
             made.unpersist()
+            parsed.unpersist()
 
     once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
     return once.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
