@@ -10,14 +10,18 @@ predictive probabilities averaged over the kept samples.
 On Spark: every token goes, packed with others of its chunk of texts, to the bucket of its previous word, so that the
 restaurants of one and of two words before lie in one task.  What buckets share is a number per word:
 
-1. Each bucket counts its words and seats them in one restaurant; sums of its tables by word are the customers of the
-   restaurant without context, which is seated over all words (parts of the words, packed, and totals).
+1. Previous words fall into GROUPS groups by hash; the words of each group are seated in one restaurant, and its tables
+   by word, summed over groups, are the customers of the restaurant without context, which is seated over all words
+   (parts of the words, packed, and totals).
 2. Each bucket gets the counts and averaged probabilities of its own words, and its tokens; it seats pairs and triples
    of words over them, and returns sums by text.
 
-Buckets grow in number with the corpus.  A previous word with more than BUCKET_TOKENS tokens (at most one in
-BUCKET_TOKENS of all tokens is such a word; they come to the driver) has its restaurant in several parts, by a hash of the word before it,
-and a pair that makes up one token in PAIRS of a chunk by the text's words as well: each part has a bucket's worth of tokens.
+Buckets grow in number with the corpus, and the tokens of a previous word with more than half of BUCKET_TOKENS tokens (so at most two
+in BUCKET_TOKENS of all tokens are such words; they come to the driver) are dealt to several tasks: by the word before it, and
+those of a pair of words before with more tokens than that by their texts as well.  Such a word still has one restaurant:
+its homes, each with whole restaurants of two words before, send their tables by following word in every sweep, one
+seating of the word sends probabilities back, and the buckets are told what the homes found.  Where tokens lie doesn't
+change a result: numbers are drawn from the keys of dishes and restaurants, and sums are of whole or fixed-point numbers.
 
 Null and empty texts consist of the end alone; rows with repeated ids are scored and counted each; null ids are
 learned from like others; extra columns are not carried, whatever their names; texts of any length are read whole;
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, sliced, texts_of, written
+from .common import discarded, numbered, sliced, stored, texts_of, written
 from .hashing import ODD, mix, words
 from .seating import tables
 
@@ -47,24 +51,36 @@ from .seating import tables
 DISCOUNT, STRENGTH = (0.85, 0.75, 0.8), (10.0, 5.0, 2.0)
 #: Sweeps before the first kept sample, and kept samples.
 BURN_IN, SAMPLES = 2, 3
-#: Bytes of text packed at once, tokens of a bucket on average, and least buckets.
-AT_ONCE, BUCKET_TOKENS, LEAST_BUCKETS = 8 << 20, 1_750_000, 32
+#: Bytes of text packed at once, and most tokens of a bucket on average.
+AT_ONCE, BUCKET_TOKENS = 8 << 20, 1_500_000
+#: Groups of previous words, at every size; buckets are a multiple.
+GROUPS = 32
 #: Characters of texts whose words are hashed at once.
 HASH_AT_ONCE = 1 << 20
-#: Share of a chunk's tokens, as one in PAIRS, from which a pair of words before counts as very frequent.
-PAIRS = 1024
+#: Scores of tokens are rounded to one in FIXED, so that their sums don't depend on their order.
+FIXED = float(1 << 30)
 END, START = 1, 0
 SEED = 11
+LAST = BURN_IN + SAMPLES - 1
 
 
 class Often:
-    """Previous words and pairs of them whose restaurants are in several parts, with the number of parts."""
+    """Previous words and pairs of them whose tokens are dealt to several tasks, with the number of these."""
 
-    def __init__(self, found: list[tuple[int, int, int]]):
-        self.by_kind = []
+    def __init__(self, found: list[tuple[int, int, int, int]]):
+        self.by_kind, self.homes = [], []
         for kind in (0, 1):
-            rows = sorted((x, parts) for k, x, parts in found if k == kind)
-            self.by_kind.append((np.array([x for x, _ in rows], np.int64), np.array([p for _, p in rows], np.int64)))
+            rows = sorted((x, one, parts) for k, x, one, parts in found if k == kind)
+            self.by_kind.append((np.array([x for x, _, _ in rows], np.int64), np.array([p for _, _, p in rows], np.int64)))
+            for x, one, parts in rows:
+                # home, and the restaurants' names in buckets
+                key, part = np.full(parts, x, np.int64), np.arange(parts)
+                if kind:
+                    home = pair_home(key[:1])
+                    self.homes.append((int(home[0]), text_part(home.repeat(parts), part).tolist()))
+                else:
+                    self.homes += [(h, [h]) for h in word_home(key, part).tolist()]
+        self.words = self.by_kind[0][0]
 
     def parts(self, kind: int, keys: np.ndarray) -> np.ndarray:
         known, parts = self.by_kind[kind]
@@ -102,41 +118,73 @@ def spread(key: np.ndarray) -> np.ndarray:
     return mix(key.astype(np.uint64))
 
 
-def contexts(word: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray, often: Often) -> np.ndarray:
-    """Restaurant of the word before, or its part."""
-    by_word, by_pair = often.parts(0, one), often.parts(1, pair_keys(one, two))
-    hot = np.flatnonzero((by_word > 1) | (by_pair > 1))
-    ctx = one.copy()
-    if len(hot):
-        of_text = np.add.reduceat(word, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
-        part = (spread(two[hot]) % by_word[hot].astype(np.uint64)).astype(np.int64) * 4096 + (spread(of_text[doc[hot]]) % by_pair[hot].astype(np.uint64)).astype(np.int64)
-        ctx[hot] = (spread(one[hot] + (part + 1) * np.int64(ODD[2] >> 1)) >> np.uint64(1)).astype(np.int64)
-    return ctx
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a.astype(np.uint64) * np.uint64(ODD[0]) + spread(b))
+
+
+def named(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return (joined(key, part) >> np.uint64(1)).astype(np.int64)
+
+
+def word_home(one: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return named(one, part + (1 << 40))
+
+
+def pair_home(pair: np.ndarray) -> np.ndarray:
+    return named(pair, np.full(len(pair), 2 << 40))
+
+
+def text_part(home: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return named(home, part + (3 << 40))
+
+
+def short(two: np.ndarray) -> np.ndarray:
+    """24 bits that tell the words before a word apart."""
+    return (spread(two) >> np.uint64(40)).astype(np.uint32)
 
 
 def pair_keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return (spread(one.astype(np.uint64) * np.uint64(ODD[0]) + spread(two)) >> np.uint64(1)).astype(np.int64)
+    return named(one, two)
+
+
+def contexts(word: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray, often: Often) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name of the word before or of its part; places of the tokens after frequent words, and their homes."""
+    by_word = often.parts(0, one)
+    hot = np.flatnonzero(by_word > 1)
+    ctx, home = one.copy(), one[hot]
+    if len(hot):
+        pair = pair_keys(one[hot], two[hot])
+        by_pair = often.parts(1, pair)
+        of_text = np.add.reduceat(word, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
+        home = np.where(by_pair > 1, pair_home(pair), word_home(home, (spread(two[hot] + np.int64(7)) % by_word[hot].astype(np.uint64)).astype(np.int64)))
+        part = (spread(of_text[doc[hot]]) % by_pair.astype(np.uint64)).astype(np.int64)
+        ctx[hot] = np.where(by_pair > 1, text_part(home, part), home)
+    return ctx, hot, home
 
 
 def frequent(docs: DataFrame, text: str) -> tuple[Often, int]:
-    """Previous words and pairs with more tokens than a bucket has, and the number of tokens."""
+    """Previous words and pairs with more tokens than half a bucket, and the number of tokens.
+
+    A chunk leaves out what it has less of than a share; all that is left out of a word is less than a quarter of a bucket."""
+    most = BUCKET_TOKENS / 2
+    row = docs.agg(F.sum(F.length(text)).alias("chars"), F.count("*").alias("n")).first()
+    share = most / 2 / max(1, (row["chars"] or 0) / 2 + 2 * row["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
             word, one, two, _ = tokens(texts_of(batch, text))
-            kinds, keys, counts = [2], [0], [len(word)]
-            for kind, key, least in ((0, one, len(word) / PAIRS), (1, pair_keys(one, two), len(word) / PAIRS)):
-                value, n = np.unique(key, return_counts=True)
-                large = n >= least
-                kinds += [kind] * int(large.sum())
-                keys += value[large].tolist()
-                counts += n[large].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["kind", "key", "n"])
+            out = [(np.array([2]), np.array([0]), np.array([0]), np.array([len(word)]))]
+            for kind, key in ((0, one), (1, pair_keys(one, short(two)))):
+                value, first, n = np.unique(key, return_index=True, return_counts=True)
+                large = np.flatnonzero(n >= len(word) * share)
+                out.append((np.full(len(large), kind), value[large], one[first[large]], n[large]))
+            kinds, keys, ones, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(ones, pa.int64()), pa.array(counts, pa.int64())], names=["kind", "key", "one", "n"])
 
-    sums = written(docs.select(text).mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-frequent")
-    row = sums.where("kind = 2").agg(F.sum("n").alias("n")).first()
-    found = sums.where((F.col("kind") < 2) & (F.col("n") > BUCKET_TOKENS)).select("kind", "key", F.ceil(F.col("n") / BUCKET_TOKENS).alias("parts")).collect()
-    return Often([(r["kind"], r["key"], r["parts"]) for r in found]), row["n"] or 0
+    sums = written(docs.select(text).mapInArrow(run, "kind int, key bigint, one bigint, n bigint").groupBy("kind", "key", "one").agg(F.sum("n").alias("n")), "lm-frequent")
+    total = sums.where("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0
+    found = sums.where((F.col("kind") < 2) & (F.col("n") > most)).select("kind", "key", "one", F.ceil(F.col("n") / most).alias("parts")).collect()
+    return Often([(r["kind"], r["key"], r["one"], r["parts"]) for r in found]), total
 
 
 # Packed columns.
@@ -163,9 +211,20 @@ def dictionary(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, place.astype(np.uint32)
 
 
-WORD_COLUMNS = (np.int64, np.uint32)
-SUM_COLUMNS = (np.int64, np.uint32, *[np.uint32] * SAMPLES)
+#: Words; and places of words, groups and training tokens.
+SUM_COLUMNS = (np.int64, np.uint32, np.uint8, np.uint32)
 TOKEN_COLUMNS = (np.int64, np.uint32, np.int64, np.uint32, np.uint8, np.uint32)
+DISH_COLUMNS = (np.int64, np.uint32, np.uint8, np.uint32)
+
+
+def three(two: np.ndarray) -> np.ndarray:
+    """The 24 bits as bytes."""
+    return np.ascontiguousarray(two.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]).reshape(-1)
+
+
+def unthree(raw: np.ndarray) -> np.ndarray:
+    low, middle, high = (raw[k::3].astype(np.uint32) for k in range(3))
+    return low | middle << np.uint32(8) | high << np.uint32(16)
 
 
 def part_of(word: np.ndarray, parts: int) -> np.ndarray:
@@ -180,22 +239,43 @@ def cut_by(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 
 def dealt_words(docs: DataFrame, often: Often, buckets: int, text: str) -> DataFrame:
-    """A row per bucket and chunk: its distinct words with the number of training tokens."""
+    """A row per bucket and chunk: its distinct words by group with the number of training tokens.
+
+    What follows the frequent word k is asked for by bucket buckets + k; rows with a home have dishes after two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
             word, one, two, doc = tokens(texts_of(batch, text))
-            bucket = (spread(contexts(word, one, two, doc, often)) % np.uint64(buckets)).astype(np.int64)
-            del one, two
-            learned = ~np.array(batch.column(batch.schema.get_field_index("held")).to_pylist(), bool)
+            two = short(two)
+            ctx, hot, home = contexts(word, one, two, doc, often)
+            bucket, group = ((spread(x) % np.uint64(n)).astype(np.int64) for x, n in ((ctx, buckets), (one, GROUPS)))
+            learned = ~np.array(batch.column(batch.schema.get_field_index("held")).to_pylist(), bool)[doc]
+            del ctx
             known, word = dictionary(word)
-            key, place = np.unique(bucket * len(known) + word, return_inverse=True)
-            n = np.bincount(place, learned[doc], len(key)).astype(np.uint32)
-            bucket, word = key // max(1, len(known)), key % max(1, len(known))
-            rows = [(k, packed(known[word[s]], n[s])) for k, s in cut_by(bucket, buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "blob"])
-
-    return docs.select(text, "held").mapInArrow(run, "bucket int, blob binary")
+            many, rows = max(1, len(known)), []
+            if len(hot):
+                of, w, t = np.searchsorted(often.words, one[hot]), word[hot].astype(np.int64), two[hot]
+                asked = np.unique(of * many + w)
+                rows += [(buckets + k, None, asked_for(known[asked[s] % many])) for k, s in cut_by(asked // many, len(often.words))]
+                order = np.lexsort((w, t, home))
+                of, w, t, home, n = of[order], w[order], t[order], home[order], learned[hot][order]
+                first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (t[1:] != t[:-1]) | (home[1:] != home[:-1])])
+                n, of, w, t, home = np.add.reduceat(n.astype(np.int64), first), of[first], w[first], t[first], home[first]
+                cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+                rows += [(int(of[a]), int(home[a]), packed(*dictionary(known[w[a:b]]), three(t[a:b]), n[a:b].astype(np.uint32))) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(home)], strict=True)]
+            key, place = np.unique((bucket * GROUPS + group) * many + word, return_inverse=True)
+            n = np.bincount(place, learned, len(key)).astype(np.uint32)
+            bucket, group, word = key // many // GROUPS, (key // many % GROUPS).astype(np.uint8), key % many
+            for k, s in cut_by(bucket, buckets):
+                distinct, at = dictionary(known[word[s]])
+                rows.append((k, None, packed(distinct, at, group[s], n[s])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "home", "blob"])
+
+    return docs.select(text, "held").mapInArrow(run, "bucket int, home bigint, blob binary")
+
+
+def asked_for(known: np.ndarray) -> bytes:
+    return packed(known, *(np.zeros(0, kind) for kind in SUM_COLUMNS[1:]))
 
 
 def dealt_tokens(docs: DataFrame, often: Often, buckets: int, key: str, text: str) -> DataFrame:
@@ -205,18 +285,18 @@ def dealt_tokens(docs: DataFrame, often: Often, buckets: int, key: str, text: st
         chunk = TaskContext.get().partitionId() << 24
         for batch in sliced(batches, text, AT_ONCE):
             word, one, two, doc = tokens(texts_of(batch, text))
-            ctx, two = contexts(word, one, two, doc, often), (spread(two) >> np.uint64(40)).astype(np.uint32)
+            two = short(two)
+            ctx, _, _ = contexts(word, one, two, doc, often)
             del one
             held = np.array(batch.column(batch.schema.get_field_index("held")).to_pylist(), bool)
             bucket = (spread(ctx) % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((doc, word, ctx, bucket))
             word, ctx, two, mark, bucket = word[order], ctx[order], two[order], (doc * 2 + ~held[doc])[order].astype(np.uint32), bucket[order]
-            two = two.view(np.uint8).reshape(-1, 4)[:, :3]  # 24 bits tell the words before a word apart
             ids, sizes = batch.column(batch.schema.get_field_index(key)).to_pylist(), np.bincount(doc, minlength=len(held)).tolist()
             rows = dict(cut_by(bucket, buckets))
             rows.setdefault(0, slice(0, 0))
             names = sorted(rows)
-            blobs = [packed(*dictionary(ctx[rows[k]]), *dictionary(word[rows[k]]), np.ascontiguousarray(two[rows[k]]).reshape(-1), mark[rows[k]]) for k in names]
+            blobs = [packed(*dictionary(ctx[rows[k]]), *dictionary(word[rows[k]]), three(two[rows[k]]), mark[rows[k]]) for k in names]
             rest = [None] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([
                 pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(blobs, pa.binary()),
@@ -252,11 +332,46 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.
 
 # Restaurants.
 
-def sweep(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+class Keyed:
+    """Numbers that depend on the key of what they are drawn for and on the step, not on what is drawn beside it."""
+
+    def __init__(self, keys: np.ndarray, step: int):
+        self.keys, self.at = keys, step << 16
+
+    def even(self, where=slice(None)) -> np.ndarray:
+        """Of (0, 1)."""
+        self.at += 1
+        return ((mix(self.keys[where] + np.uint64((self.at + SEED * ODD[3]) * ODD[0] & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+    def random(self, size: int) -> np.ndarray:
+        return self.even()
+
+    def standard_gamma(self, shape: np.ndarray) -> np.ndarray:
+        """By Marsaglia and Tsang: a cubed normal number, taken or drawn again."""
+        out = np.zeros(len(shape))
+        open_ = np.flatnonzero(shape > 0)
+        a = shape[open_]
+        less = np.flatnonzero(a < 1)
+        d = np.where(a < 1, a + 1, a) - 1 / 3
+        lift = np.exp(np.log(self.even(open_[less])) / a[less])
+        small = open_[less]
+        while len(open_):
+            z = np.sqrt(-2 * np.log(self.even(open_))) * np.cos(2 * np.pi * self.even(open_))
+            v = np.maximum(1 + z / np.sqrt(9 * d), 0) ** 3
+            with np.errstate(divide="ignore"):
+                good = np.log(self.even(open_)) < z * z / 2 + d - d * v + d * np.log(v)
+            out[open_[good]] = (d * v)[good]
+            open_, d = open_[~good], d[~good]
+        out[small] *= lift
+        return out
+
+
+def sweep(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int, rng: np.random.Generator | Keyed, dishes: Keyed | None = None) -> np.ndarray:
     """New numbers of tables of all dishes (c customers, t tables now, in restaurant ctx, over base)."""
     d, s = DISCOUNT[level], STRENGTH[level]
     y = rng.standard_gamma(s / d + np.bincount(ctx, np.minimum(t, c), n_ctx))
-    return tables(c, d * y[ctx] * base, d, 1 - rng.random(len(c)), rng.random(len(c)))
+    dishes = dishes or rng
+    return tables(c, d * y[ctx] * base, d, 1 - dishes.random(len(c)), dishes.random(len(c)))
 
 
 def predictive(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int) -> np.ndarray:
@@ -266,93 +381,139 @@ def predictive(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base:
     return (np.maximum(c - d * t, 0) + (s + d * all_t[ctx]) * base) / (s + all_c[ctx])
 
 
-def drawn(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+def drawn(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int, rng: np.random.Generator | Keyed, dishes: Keyed | None = None) -> np.ndarray:
     """A draw of each dish's probability given the seating; restaurants below it are independent given these."""
     d, s = DISCOUNT[level], STRENGTH[level]
-    own = rng.standard_gamma(np.maximum(c - d * t, 0))
+    own = (dishes or rng).standard_gamma(np.maximum(c - d * t, 0))
     rest = rng.standard_gamma(s + d * np.bincount(ctx, t, n_ctx))
     total = np.bincount(ctx, own, n_ctx) + rest
     return (own + rest[ctx] * base) / total[ctx]
 
 
-def bucket_tables(dealt: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """A row per part of the words and bucket: the bucket's words of that part, their training tokens and tables by sample."""
+def bucket_words(dealt: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """A row per part of the words and bucket: the bucket's words of that part, and their training tokens by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, held in by_bucket(batches):
-            opened = [unpacked(x.as_py(), *WORD_COLUMNS) for b in held for x in b.column(1)]
-            known, word = dictionary(np.concatenate([o[0] for o in opened]))
-            n = np.bincount(word, np.concatenate([o[1] for o in opened]), len(known)).astype(np.int64)
-            use = np.flatnonzero(n)
-            rng, c, ctx, t, kept = np.random.default_rng([SEED, 1, name]), n[use], np.zeros(len(use), np.int64), np.ones(len(use), np.int64), []
-            for k in range(BURN_IN + SAMPLES):
-                t = sweep(c, t, ctx, 1, np.full(len(c), 1 / (len(c) + 1)), 0, rng)
-                if k >= BURN_IN:
-                    kept.append(np.zeros(len(known), np.uint32))
-                    kept[-1][use] = t
+            known, word, group, n = summed([unpacked(x.as_py(), *SUM_COLUMNS) for b in held for x in b.column(1)])[:4]
             part = part_of(known, parts)
             order = np.argsort(part, kind="stable")
-            rows = [(k, packed(known[order[s]], n[order[s]].astype(np.uint32), *(t[order[s]] for t in kept))) for k, s in cut_by(part[order], parts)]
+            of, rank = part[word], np.empty(len(known), np.int64)
+            rank[order] = np.arange(len(known))
+            by_part = np.argsort(of, kind="stable")
+            own, rows = dict(cut_by(of[by_part], parts)), []
+            for k, s in cut_by(part[order], parts):
+                at = by_part[own.get(k, slice(0, 0))]
+                rows.append((k, packed(known[order[s]], (rank[word[at]] - s.start).astype(np.uint32), group[at].astype(np.uint8), n[at].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "bucket", "blob"])
 
-    return together(dealt, buckets).mapInArrow(run, "part int, bucket int, blob binary")
+    return together(dealt.select("bucket", "blob"), buckets).mapInArrow(run, "part int, bucket int, blob binary")
+
+
+def summed(opened: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Words, place, group and training tokens of each word in each group that has any, and the places of the words that were handed in."""
+    known, place = dictionary(np.concatenate([o[0] for o in opened]))
+    starts = np.cumsum([0, *(len(o[0]) for o in opened)])
+    word, group, n = (np.concatenate(x) for x in ([place[a + o[1]] for a, o in zip(starts[:-1], opened, strict=True)], [o[2] for o in opened], [o[3] for o in opened]))
+    key, at = np.unique(word.astype(np.int64) * GROUPS + group, return_inverse=True)
+    n = np.bincount(at, n, len(key)).astype(np.int64)
+    key, n = key[n > 0], n[n > 0]
+    return known, key // GROUPS, key % GROUPS, n, place, starts
+
+
+ENTRY_COLUMNS = (np.int64, np.uint32, np.uint8, np.int64)
 
 
 def vocabulary(asked: DataFrame, parts: int) -> DataFrame:
-    """A row per part of the words: training tokens and tables of its words, in order, and the buckets that asked with the places of their words."""
+    """A row per part of the words: its words, in order, their training tokens by group, and the buckets that asked with the places of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, held in by_bucket(batches):
             owner = np.concatenate([b.column(1).to_numpy() for b in held])
-            opened = [unpacked(x.as_py(), *SUM_COLUMNS) for b in held for x in b.column(2)]
-            known, place = dictionary(np.concatenate([o[0] for o in opened]))
-            sums = [np.bincount(place, np.concatenate([o[j] for o in opened]), len(known)).astype(np.int64) for j in range(1, 2 + SAMPLES)]
-            ends = np.r_[0, np.cumsum([len(o[0]) for o in opened])]
+            known, word, group, n, place, ends = summed([unpacked(x.as_py(), *SUM_COLUMNS) for b in held for x in b.column(2)])
+            sums = packed(known, word.astype(np.uint32), group.astype(np.uint8), n)
             places = packed(*(place[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([packed(*sums)], pa.binary()), pa.array([owner.tolist()], pa.list_(pa.int32())), pa.array([places], pa.binary())], names=["part", "sums", "buckets", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([sums], pa.binary()), pa.array([owner.tolist()], pa.list_(pa.int32())), pa.array([places], pa.binary())], names=["part", "sums", "buckets", "places"])
 
     rows = asked.repartition(parts, "part").sortWithinPartitions("part", "bucket")
     return rows.select("part", "bucket", "blob").mapInArrow(run, "part int, sums binary, buckets array<int>, places binary")
 
 
-def top_tables(part: int, sweep_: int, customers: list[np.ndarray], weights: list[float]) -> list[np.ndarray]:
-    """Tables of a part's words in the restaurant without context; the same whenever it is asked again."""
-    rng = np.random.default_rng([SEED, 3, part, sweep_])
-    return [tables(c, np.full(len(c), a), DISCOUNT[0], 1 - rng.random(len(c)), rng.random(len(c))) for c, a in zip(customers, weights, strict=True)]
+def totals(words_: DataFrame, size: int, measure: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """The sum over parts of size numbers that measure makes of a part's sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(measure(raw.as_py()).astype(np.int64), pa.int64())], names=["slot", "x"])
+
+    out = np.zeros(size, np.int64)
+    for row in words_.select("sums").mapInArrow(run, "slot int, x bigint").groupBy("slot").agg(F.sum("x").alias("x")).collect():
+        out[row["slot"]] = row["x"]
+    return out
+
+
+def seats(c: np.ndarray, weights: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
+    """Tables of dishes without context; the same whenever it is asked again."""
+    rng = Keyed(keys, step)
+    return tables(c, weights, DISCOUNT[0], rng.random(len(c)), rng.random(len(c)))
 
 
 def top(words_: DataFrame) -> tuple[DataFrame, int, int]:
     """bucket, part and blob (training tokens and probability without context of the bucket's words of the part); N and V.
 
-    Totals of all parts come to the driver in each sweep, a few numbers a part."""
+    Totals of all parts come to the driver in each sweep, a few numbers a group."""
     d, s, rng = DISCOUNT[0], STRENGTH[0], np.random.default_rng([SEED, 0])
-    kinds = (np.int64,) * (1 + SAMPLES)
 
-    def totals(weights: list[float] | None, sweep_: int) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    n, *c = unpacked(raw.as_py(), *kinds)
-                    opened = [np.minimum(x, 1) for x in c] if weights is None else top_tables(part, sweep_, c, weights)
-                    out = [n.sum(), (n > 0).sum(), *(x.sum() for x in c), *(x.sum() for x in opened)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in out], names=[f"x{j}" for j in range(len(out))])
-
-        names = [f"x{j}" for j in range(2 + 2 * SAMPLES)]
-        row = words_.select("part", "sums").mapInArrow(run, ", ".join(f"{x} bigint" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
-        return np.array([row[x] or 0 for x in names], np.int64)
-
-    found = totals(None, 0)
-    n, v, customers = int(found[0]), int(found[1]), found[2 : 2 + SAMPLES]
+    def by_group(raw: bytes, weights: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        known, word, group, c = unpacked(raw, *ENTRY_COLUMNS)
+        return known, word, group, c, seats(c, weights[group], joined(known[word], group.astype(np.int64) + (4 << 40)), k)
+
+    def counted(raw: bytes) -> np.ndarray:
+        _, word, group, c = unpacked(raw, *ENTRY_COLUMNS)
+        return np.r_[c.sum(), len(np.unique(word)), np.bincount(group, minlength=GROUPS)]
+
+    n, v, *dishes = totals(words_, 2 + GROUPS, counted).tolist()
+    opened, kept = np.array(dishes), []
+    for k in range(BURN_IN + SAMPLES):
+        weights = d * rng.standard_gamma(s / d + opened) / (np.array(dishes) + 1)
+        kept.append((k, weights))
+        opened = totals(words_, GROUPS, lambda raw, weights=weights, k=k: np.bincount((x := by_group(raw, weights, k))[2], x[4], GROUPS))
+    kinds = (np.int64,) * (2 + SAMPLES)
+
+    def customers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for raw in batch.column(1):
+                found = [by_group(raw.as_py(), weights, k) for k, weights in kept[BURN_IN:]]
+                known, word, _, c, _ = found[0]
+                sums.append(packed(known, *(np.bincount(word, x, len(known)).astype(np.int64) for x in (c, *(f[4] for f in found)))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary()), batch.column(2), batch.column(3)], names=batch.schema.names)
+
+    words_ = written(words_.mapInArrow(customers_of, words_.schema), "lm-top")
+
+    def without(known: np.ndarray, c: list[np.ndarray], weights: list[float], k: int) -> list[np.ndarray]:
+        return [seats(x, np.full(len(x), a), joined(known, np.full(len(known), j + (5 << 40))), k) for j, (x, a) in enumerate(zip(c, weights, strict=True))]
+
+    def measured(weights: list[float], k: int) -> np.ndarray:
+        def run(raw: bytes) -> np.ndarray:
+            known, _, *c = unpacked(raw, *kinds)
+            return np.array([x.sum() for x in (*c, *without(known, c, weights, k))])
+
+        return totals(words_, 2 * SAMPLES, run)
+
+    found = np.full(2 * SAMPLES, v)
     for k in range(BURN_IN):
-        weights = [d * float(rng.standard_gamma(s / d + x)) / (v + 1) for x in found[2 + SAMPLES :]]
-        found = totals(weights, k)
-    rest = [(s + d * o) / (v + 1) / (s + c) for o, c in zip(found[2 + SAMPLES :], customers, strict=True)]
+        weights = [d * float(rng.standard_gamma(s / d + x)) / (v + 1) for x in found[SAMPLES:]]
+        found = measured(weights, k)
+    customers = found[:SAMPLES]
+    rest = [(s + d * o) / (v + 1) / (s + c) for o, c in zip(found[SAMPLES:], customers, strict=True)]
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, buckets, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                count, *c = unpacked(raw.as_py(), *kinds)
-                opened = top_tables(part, BURN_IN - 1, c, weights)
+                known, count, *c = unpacked(raw.as_py(), *kinds)
+                opened = without(known, c, weights, BURN_IN - 1)
                 p = sum((x - d * o) / (s + all_) + r for x, o, all_, r in zip(c, opened, customers, rest, strict=True)) / SAMPLES
                 blobs = [packed(count[at], p[at].astype(np.float32)) for at in unpacked(places.as_py(), *[np.uint32] * len(buckets))]
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([part] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
@@ -360,20 +521,26 @@ def top(words_: DataFrame) -> tuple[DataFrame, int, int]:
     return words_.mapInArrow(reply, "bucket int, chunk bigint, blob binary"), n, v
 
 
-def sampled(c3: np.ndarray, of3: np.ndarray, n3: int, of2: np.ndarray, ctx2: np.ndarray, n2: int, base: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def sampled(c3: np.ndarray, of3: np.ndarray, n3: int, of2: np.ndarray, ctx2: np.ndarray, n2: int, base: np.ndarray, rng: np.random.Generator | None, keys: tuple | None = None) -> np.ndarray:
     """Averaged probabilities of dishes after two words.
 
     c3: their customers, of3: their restaurant, of2: the dish after one word that their tables are customers of; ctx2:
-    the restaurant of each of those, base: its probability without context."""
+    the restaurant of each of those, base: its probability without context; keys: those of restaurants and dishes after
+    two words (dishes with customers only) and after one, from which numbers are drawn if there is no rng."""
     use = np.flatnonzero(c3)
+    (r3, d3), (r2, d2) = keys or ((None, None), (None, None))
+
+    def by(restaurants: np.ndarray | None, dishes: np.ndarray | None, step: int) -> list:
+        return [rng] if restaurants is None else [Keyed(restaurants, step), Keyed(dishes, step)]
+
     c, ctx, up = c3[use], of3[use], of2[use]
     t, out = np.ones(len(c), np.int64), np.zeros(len(c3))
     c2 = np.bincount(up, t, len(ctx2)).astype(np.int64)
     t2 = np.minimum(c2, 1)
     for k in range(BURN_IN + SAMPLES):
-        t = sweep(c, t, ctx, n3, drawn(c2, t2, ctx2, n2, base, 1, rng)[up], 2, rng)
+        t = sweep(c, t, ctx, n3, drawn(c2, t2, ctx2, n2, base, 1, *by(r2, d2, 2 * k))[up], 2, *by(r3, d3, 2 * k))
         c2 = np.bincount(up, t, len(ctx2)).astype(np.int64)
-        t2 = sweep(c2, t2, ctx2, n2, base, 1, rng)
+        t2 = sweep(c2, t2, ctx2, n2, base, 1, *by(r2, d2, 2 * k + 1))
         if k >= BURN_IN:
             full = np.zeros(len(c3), np.int64)
             full[use] = t
@@ -381,17 +548,152 @@ def sampled(c3: np.ndarray, of3: np.ndarray, n3: int, of2: np.ndarray, ctx2: np.
     return out / SAMPLES
 
 
+def keys_one(one: np.ndarray) -> np.ndarray:
+    return joined(one, np.full(len(one), 6 << 40))
+
+
+def keys_two(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """From keys of one word."""
+    return joined(one, two + np.int64(7 << 40))
+
+
+# Frequent previous words.
+
+def homes(dealt: DataFrame, size: int) -> DataFrame:
+    """A row per home of a frequent word: its dishes after two words with training tokens, by the word two before and word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, held in by_bucket(batches):
+            opened = [unpacked(x.as_py(), *DISH_COLUMNS) for b in held for x in b.column(2)]
+            known, word = dictionary(np.concatenate([o[0][o[1]] for o in opened]))
+            key, place = np.unique(unthree(np.concatenate([o[2] for o in opened])).astype(np.int64) * len(known) + word, return_inverse=True)
+            n = np.bincount(place, np.concatenate([o[3] for o in opened]), len(key)).astype(np.uint32)
+            blob = packed(known, (key % len(known)).astype(np.uint32), three(key // len(known)), n)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([held[0].column(1)[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["home", "hot", "blob"])
+
+    rows = dealt.where("home is not null").select("home", F.col("bucket").alias("hot"), "blob")
+    return rows.repartition(size, "home").sortWithinPartitions("home").mapInArrow(run, "home bigint, hot int, blob binary")
+
+
+class Home:
+    """Whole restaurants of two words before, the later of which is a frequent one."""
+
+    def __init__(self, blob: bytes, one: int):
+        self.known, self.of2, two, c = unpacked(blob, *DISH_COLUMNS)
+        two, self.c3 = unthree(two).astype(np.int64), c.astype(np.int64)
+        restaurants, self.of3 = np.unique(two, return_inverse=True)
+        self.n3, self.use = len(restaurants), np.flatnonzero(self.c3)
+        self.r3 = keys_two(keys_one(np.full(len(restaurants), one, np.int64)), restaurants)
+        self.d3 = joined(self.r3[self.of3], self.known[self.of2])[self.use]
+
+    def swept(self, t: np.ndarray, p: np.ndarray, k: int) -> np.ndarray:
+        """Tables after sweep k over the probabilities of words after the one word."""
+        use = self.use
+        return sweep(self.c3[use], t, self.of3[use], self.n3, p[self.of2[use]], 2, Keyed(self.r3, 2 * k), Keyed(self.d3, 2 * k))
+
+
+STATE = "home bigint, t array<binary>, opened binary, drawn binary, known array<binary>"
+
+
+def seated(found: DataFrame, told: DataFrame, often: Often, parts: int) -> tuple[DataFrame, str]:
+    """Seatings and probabilities after one word of all kept samples, by home; sampled() with its two levels in different tasks."""
+    ones, spark = often.words.tolist(), found.sparkSession
+    told = told.select(F.col("bucket").alias("hot"), F.lit(0).alias("kind"), "chunk", "blob")
+
+    def sent(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x in batch.to_pylist():
+                    h = Home(x["blob"], ones[x["hot"]])
+                    if k < 0:
+                        t, old = np.ones(len(h.use), np.int64), np.zeros(len(h.known), np.uint32)
+                    else:
+                        t, (old,) = h.swept(unpacked(x["t"][-1], np.uint32)[0].astype(np.int64), unpacked(x["drawn"], float)[0], k), unpacked(x["opened"], np.uint32)
+                    n = np.bincount(h.of2[h.use], t, len(h.known)).astype(np.uint32)
+                    kept = [*(x["t"] if k > BURN_IN else []), packed(t.astype(np.uint32))]
+                    yield pa.RecordBatch.from_pylist([{"hot": x["hot"], "kind": 1, "chunk": x["home"], "blob": packed(h.known, n, old), "t": kept, "known": x["known"] or []}], MESSAGE)
+
+        return run
+
+    def answered(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for name, held in by_bucket(batches):
+                rows = [x for b in held for x in b.to_pylist()]
+                p = np.concatenate([unpacked(x["blob"], np.int64, np.float32)[1] for x in rows if not x["kind"]])
+                rows = [x for x in rows if x["kind"]]
+                opened = [unpacked(x.pop("blob"), np.int64, np.uint32, np.uint32) for x in rows]
+                known, place = dictionary(np.concatenate([o[0] for o in opened]))
+                if len(p) != len(known):
+                    raise ValueError("a frequent word's followers differ from those it asked for")
+                c, t, base, ctx = np.bincount(place, np.concatenate([o[1] for o in opened]), len(known)).astype(np.int64), np.zeros(len(known), np.int64), np.zeros(len(known)), np.zeros(len(known), np.int64)
+                t[place], base[np.lexsort((known, part_of(known, parts)))] = np.concatenate([o[2] for o in opened]), p
+                r2 = keys_one(np.array([ones[name]]))
+                d2 = joined(r2[ctx], known)
+                t = np.minimum(c, 1) if k < 0 else sweep(c, t, ctx, 1, base, 1, Keyed(r2, 2 * k + 1), Keyed(d2, 2 * k + 1))
+                more = [predictive(c, t, ctx, 1, base, 1)] if k >= BURN_IN else []
+                next_ = drawn(c, t, ctx, 1, base, 1, Keyed(r2, 2 * k + 2), Keyed(d2, 2 * k + 2)) if k < LAST else np.zeros(len(known))
+                end = 0
+                for x, o in zip(rows, opened, strict=True):
+                    at, end = place[end : end + len(o[0])], end + len(o[0])
+                    yield pa.RecordBatch.from_pylist([{"home": x["chunk"], "t": x["t"], "opened": packed(t[at].astype(np.uint32)), "drawn": packed(next_[at]), "known": [*x["known"], *(packed(m[at]) for m in more)]}], REPLY)
+
+        return run
+
+    state, path = found.select("home", *(F.lit(None).cast(kind).alias(x) for x, kind in (("t", "array<binary>"), ("opened", "binary"), ("drawn", "binary"), ("known", "array<binary>")))), None
+    for k in range(-1, BURN_IN + SAMPLES):
+        messages = found.join(state.hint("merge"), "home").mapInArrow(sent(k), "hot int, kind int, chunk bigint, blob binary, t array<binary>, known array<binary>")
+        rows = together(told.unionByName(messages, allowMissingColumns=True).withColumnRenamed("hot", "bucket"), len(ones), "kind", "chunk")
+        last, (state, path) = path, stored(rows.mapInArrow(answered(k), STATE), "lm-seated")
+        if last:
+            discarded(spark, last)
+    return state, path
+
+
+MESSAGE = pa.schema([("hot", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("t", pa.list_(pa.binary())), ("known", pa.list_(pa.binary()))])
+REPLY = pa.schema([("home", pa.int64()), ("t", pa.list_(pa.binary())), ("opened", pa.binary()), ("drawn", pa.binary()), ("known", pa.list_(pa.binary()))])
+
+
+def after_frequent(dealt: DataFrame, told: DataFrame, often: Often, buckets: int, parts: int) -> DataFrame:
+    """bucket, chunk (name of a frequent word's part) and blob (probabilities of its dishes, in order, or by word)."""
+    spark, ones, names = dealt.sparkSession, often.words.tolist(), dict(often.homes)
+    found, found_path = stored(homes(dealt, len(names)), "lm-homes")
+    told = written(told.where(F.col("bucket") >= buckets).withColumn("bucket", F.col("bucket") - buckets), "lm-followers")
+    state, path = seated(found, told, often, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                h = Home(x["blob"], ones[x["hot"]])
+                p = np.zeros(len(h.c3))
+                for t, known in zip(x["t"], x["known"], strict=True):
+                    full = np.zeros(len(h.c3), np.int64)
+                    full[h.use] = unpacked(t, np.uint32)[0]
+                    p += predictive(h.c3, full, h.of3, h.n3, unpacked(known, float)[0][h.of2], 2)
+                p = (p / SAMPLES).astype(np.float32)
+                whole = names[x["home"]] == [x["home"]]
+                blob = packed(np.zeros(0, np.int64) if whole else h.known[h.of2], p)
+                to = np.array(names[x["home"]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((spread(to) % np.uint64(buckets)).astype(np.int32)), pa.array(to), pa.array([blob] * len(to), pa.binary())], names=["bucket", "chunk", "blob"])
+
+    out = written(found.join(state.hint("merge"), "home").mapInArrow(run, "bucket int, chunk bigint, blob binary"), "lm-after")
+    discarded(spark, found_path)
+    discarded(spark, path)
+    return out
+
+
 class Bucket:
     """A bucket's tokens as dishes, and the counts and probabilities of its words."""
 
     def __init__(self, batches: list[pa.RecordBatch], parts: int):
-        count, p, self.parts, opened = [], [], [], []
+        count, p, self.parts, opened, told = [], [], [], [], {}
         for b in batches:
             for x in b.to_pylist():
                 blob = x.pop("blob")
-                if x["kind"]:
+                if x["kind"] == 1:
                     opened.append(unpacked(blob, *TOKEN_COLUMNS))
                     self.parts.append({k: x[k] for k in ("chunk", "ids", "n_tokens", "held")})
+                elif x["kind"] == 2:
+                    told[x["chunk"]] = unpacked(blob, np.int64, np.float32)
                 else:
                     for held, new in zip((count, p), unpacked(blob, np.int64, np.float32), strict=True):
                         held.append(new)
@@ -399,8 +701,8 @@ class Bucket:
         mark = np.concatenate([o[5] for o in opened])
         self.train, self.doc = (mark & 1).astype(bool), (mark >> 1).astype(np.int32)
         (ctxs, ctx), (words_, word) = (dictionary(np.concatenate([o[i][o[i + 1]] for o in opened])) for i in (0, 2))
-        two = np.concatenate([o[4] for o in opened]).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
-        del opened, mark
+        two = unthree(np.concatenate([o[4] for o in opened]))
+        del opened, mark, blob
         # replies come by part, and in a part in the order of words
         order = np.lexsort((words_, part_of(words_, parts)))
         if sum(map(len, count)) != len(words_):
@@ -414,10 +716,34 @@ class Bucket:
         del word, pair
         restaurants, of3 = np.unique(ctx.astype(np.int64) << 24 | two, return_inverse=True)
         self.n3 = len(restaurants)
-        del ctx, two, restaurants
+        del ctx, two
         dishes, dish = np.unique(of3.astype(np.int64) * max(1, len(pairs)) + self.pair, return_inverse=True)
         self.dish, self.of3, self.of2 = dish.astype(np.int32), dishes // max(1, len(pairs)), dishes % max(1, len(pairs))
-        self.c3 = np.bincount(self.dish[self.train], minlength=len(dishes))
+        del of3, dish, dishes
+        self.c3 = np.bincount(self.dish[self.train], minlength=len(self.of3))
+        # dishes after frequent words are seated at their homes
+        self.told = []
+        for name, (known, p) in told.items():
+            at = np.searchsorted(ctxs, name)
+            if at == len(ctxs) or ctxs[at] != name:
+                continue  # a part that no text falls into
+            s = slice(*np.searchsorted(self.of3, np.searchsorted(restaurants, [at << 24, at + 1 << 24])))
+            self.told.append((s, p[np.searchsorted(known, words_[self.word2[self.of2[s]]])] if len(known) else p))
+            self.c3[s] = 0
+        r2 = keys_one(ctxs)
+        r3 = keys_two(r2[restaurants >> 24], restaurants & 0xFFFFFF)
+        own, use = words_[self.word2], np.flatnonzero(self.c3)
+        self.keys = (r3, joined(r3[self.of3[use]], own[self.of2[use]])), (r2, joined(r2[self.ctx2], own))
+
+    def probabilities(self) -> np.ndarray:
+        p = sampled(self.c3, self.of3, self.n3, self.of2, self.ctx2, self.n_ctx, self.p[self.word2], None, self.keys).astype(np.float32)
+        for s, known in self.told:
+            p[s] = known
+        return p.astype(float)
+
+
+def fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * FIXED) / FIXED
 
 
 def scored(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -426,38 +752,45 @@ def scored(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> D
     docs = docs.withColumnRenamed("c2", "held")
     name, key, text = key, at[key], at[text]
     often, total = frequent(docs, text)
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_TOKENS))
+    buckets = GROUPS * max(1, -(-total // (GROUPS * BUCKET_TOKENS)))
     parts = max(8, math.isqrt(16 * buckets))
-    told, n, v = top(written(vocabulary(bucket_tables(dealt_words(docs, often, buckets, text), buckets, parts), parts), "lm-words"))
+    dealt, path = dealt_words(docs, often, buckets, text), None
+    if often.homes:
+        dealt, path = stored(dealt, "lm-dealt")
+    told, n, v = top(written(vocabulary(bucket_words(dealt.where("home is null"), buckets + len(often.words), parts), parts), "lm-words"))
     rows = dealt_tokens(docs, often, buckets, key, text).withColumn("kind", F.lit(1))
+    more = told.where(F.col("bucket") < buckets).withColumn("kind", F.lit(0))
+    if often.homes:
+        more = more.unionByName(after_frequent(dealt, told, often, buckets, parts).withColumn("kind", F.lit(2)))
+        discarded(docs.sparkSession, path)
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, held in by_bucket(batches):
+        for _, held in by_bucket(batches):
             if not any((b.column(b.schema.get_field_index("kind")).to_numpy() == 1).any() for b in held):
                 continue
             b = Bucket(held, parts)
             del held
-            p = sampled(b.c3, b.of3, b.n3, b.of2, b.ctx2, b.n_ctx, b.p[b.word2], np.random.default_rng([SEED, 2, number]))
-            base = np.log10((b.count + 0.5) / (n + 0.5 * (v + 1)))[b.word2]
-            score, known, at, out = np.log10(p), (b.count > 0)[b.word2], 0, []
+            score = fixed(np.log10(b.probabilities()))
+            base = fixed(np.log10((b.count + 0.5) / (n + 0.5 * (v + 1))))[b.word2]
+            known, at, out = (b.count > 0)[b.word2], 0, []
             for part, size in zip(b.parts, b.sizes, strict=True):
                 seen, which = np.unique(b.doc[at : at + size], return_inverse=True)
                 sums = [np.bincount(which, x, len(seen)) for x in (score[b.dish[at : at + size]], base[b.pair[at : at + size]], known[b.pair[at : at + size]])]
-                out.append(part | {"blob": packed(seen.astype(np.uint32), sums[0].astype(np.float32), sums[1], sums[2].astype(np.uint32))})
+                out.append(part | {"blob": packed(seen.astype(np.uint32), sums[0], sums[1], sums[2].astype(np.uint32))})
                 at += size
             yield pa.RecordBatch.from_pylist(out, pa.schema([("chunk", pa.int64()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]))
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        named = pdf[pdf["ids"].notna()].iloc[0]
-        size = len(named["ids"])
+        named_ = pdf[pdf["ids"].notna()].iloc[0]
+        size = len(named_["ids"])
         score, base, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
         for blob in pdf["blob"]:
-            seen, *sums = unpacked(blob, np.uint32, np.float32, np.float64, np.uint32)
+            seen, *sums = unpacked(blob, np.uint32, np.float64, np.float64, np.uint32)
             for whole, part in zip((score, base, known), sums, strict=True):
                 whole[seen] += part
-        ids = pd.array([None if x is None or x != x else int(x) for x in named["ids"]], "Int64")
-        return pd.DataFrame({name: ids, "held_out": np.array(list(named["held"]), bool), "n_tokens": np.array(list(named["n_tokens"]), np.int64), "n_known": known, "train_tokens": n, "base_score": base, "score": score})
+        ids = pd.array([None if x is None or x != x else int(x) for x in named_["ids"]], "Int64")
+        return pd.DataFrame({name: ids, "held_out": np.array(list(named_["held"]), bool), "n_tokens": np.array(list(named_["n_tokens"]), np.int64), "n_known": known, "train_tokens": n, "base_score": base, "score": score})
 
     out = f"`{name}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    sums = together(told.withColumn("kind", F.lit(0)).unionByName(rows, allowMissingColumns=True), buckets, "kind", "chunk").mapInArrow(scoring, PART)
+    sums = together(more.unionByName(rows, allowMissingColumns=True), buckets, "kind", "chunk").mapInArrow(scoring, PART)
     return sums.groupBy("chunk").applyInPandas(added, out)
