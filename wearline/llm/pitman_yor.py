@@ -16,8 +16,8 @@ restaurants of one and of two words before lie in one task.  What buckets share
 2. Each bucket gets the counts and averaged probabilities of its own words, and its tokens; it seats pairs and triples
    of words over them, and returns sums by text.
 
-Buckets grow in number with the corpus, and the tokens of a previous word with more than half of BUCKET_TOKENS tokens (so at most two
-in BUCKET_TOKENS of all tokens are such words; they come to the driver) are dealt to several tasks: by the word before it, and
+Buckets grow in number with the corpus, and the tokens of a previous word with more than BUCKET_TOKENS tokens (at most one in
+BUCKET_TOKENS of all tokens is such a word; they come to the driver) are dealt to several tasks: by the word before it, and
 those of a pair of words before with more tokens than that by their texts as well.  Such a word still has one restaurant:
 its homes, each with whole restaurants of two words before, send their tables by following word in every sweep, one
 seating of the word sends probabilities back, and the buckets are told what the homes found.  Where tokens lie doesn't
@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +52,7 @@ DISCOUNT, STRENGTH = (0.85, 0.75, 0.8), (10.0, 5.0, 2.0)
 #: Sweeps before the first kept sample, and kept samples.
 BURN_IN, SAMPLES = 2, 3
 #: Bytes of text packed at once, and most tokens of a bucket on average.
-AT_ONCE, BUCKET_TOKENS = 8 << 20, 1_500_000
+AT_ONCE, BUCKET_TOKENS = 8 << 20, 1_750_000
 #: Groups of previous words, at every size; buckets are a multiple.
 GROUPS = 32
 #: Characters of texts whose words are hashed at once.
@@ -163,12 +163,11 @@ def contexts(word: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray
 
 
 def frequent(docs: DataFrame, text: str) -> tuple[Often, int]:
-    """Previous words and pairs with more tokens than half a bucket, and the number of tokens.
+    """Previous words and pairs with more tokens than a bucket has, and the number of tokens.
 
-    A chunk leaves out what it has less of than a share; all that is left out of a word is less than a quarter of a bucket."""
-    most = BUCKET_TOKENS / 2
+    A chunk leaves out what it has less of than a share; all that is left out of a word is less than half a bucket."""
     row = docs.agg(F.sum(F.length(text)).alias("chars"), F.count("*").alias("n")).first()
-    share = most / 2 / max(1, (row["chars"] or 0) / 2 + 2 * row["n"])
+    share = BUCKET_TOKENS / 2 / max(1, (row["chars"] or 0) / 2 + 2 * row["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
@@ -183,7 +182,7 @@ def frequent(docs: DataFrame, text: str) -> tuple[Often, int]:
 
     sums = written(docs.select(text).mapInArrow(run, "kind int, key bigint, one bigint, n bigint").groupBy("kind", "key", "one").agg(F.sum("n").alias("n")), "lm-frequent")
     total = sums.where("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0
-    found = sums.where((F.col("kind") < 2) & (F.col("n") > most)).select("kind", "key", "one", F.ceil(F.col("n") / most).alias("parts")).collect()
+    found = sums.where((F.col("kind") < 2) & (F.col("n") > BUCKET_TOKENS)).select("kind", "key", "one", F.ceil(F.col("n") / BUCKET_TOKENS).alias("parts")).collect()
     return Often([(r["kind"], r["key"], r["one"], r["parts"]) for r in found]), total
 
 
@@ -387,7 +386,7 @@ def drawn(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.nd
     own = (dishes or rng).standard_gamma(np.maximum(c - d * t, 0))
     rest = rng.standard_gamma(s + d * np.bincount(ctx, t, n_ctx))
     total = np.bincount(ctx, own, n_ctx) + rest
-    return (own + rest[ctx] * base) / total[ctx]
+    return ((own + rest[ctx] * base) / total[ctx]).astype(np.float32)
 
 
 def bucket_words(dealt: DataFrame, buckets: int, parts: int) -> DataFrame:
@@ -544,7 +543,7 @@ def sampled(c3: np.ndarray, of3: np.ndarray, n3: int, of2: np.ndarray, ctx2: np.
         if k >= BURN_IN:
             full = np.zeros(len(c3), np.int64)
             full[use] = t
-            out += predictive(c3, full, of3, n3, predictive(c2, t2, ctx2, n2, base, 1)[of2], 2)
+            out += predictive(c3, full, of3, n3, predictive(c2, t2, ctx2, n2, base, 1).astype(np.float32)[of2], 2)
     return out / SAMPLES
 
 
@@ -592,11 +591,11 @@ class Home:
         return sweep(self.c3[use], t, self.of3[use], self.n3, p[self.of2[use]], 2, Keyed(self.r3, 2 * k), Keyed(self.d3, 2 * k))
 
 
-STATE = "home bigint, t array<binary>, opened binary, drawn binary, known array<binary>"
+STATE = "home bigint, t binary, opened binary, drawn binary, known binary"
 
 
-def seated(found: DataFrame, told: DataFrame, often: Often, parts: int) -> tuple[DataFrame, str]:
-    """Seatings and probabilities after one word of all kept samples, by home; sampled() with its two levels in different tasks."""
+def seated(found: DataFrame, told: DataFrame, often: Often, parts: int) -> list[tuple[DataFrame, str]]:
+    """Seatings and probabilities after one word of each kept sample, by home; sampled() with its two levels in different tasks."""
     ones, spark = often.words.tolist(), found.sparkSession
     told = told.select(F.col("bucket").alias("hot"), F.lit(0).alias("kind"), "chunk", "blob")
 
@@ -608,10 +607,9 @@ def seated(found: DataFrame, told: DataFrame, often: Often, parts: int) -> tuple
                     if k < 0:
                         t, old = np.ones(len(h.use), np.int64), np.zeros(len(h.known), np.uint32)
                     else:
-                        t, (old,) = h.swept(unpacked(x["t"][-1], np.uint32)[0].astype(np.int64), unpacked(x["drawn"], float)[0], k), unpacked(x["opened"], np.uint32)
+                        t, (old,) = h.swept(unpacked(x["t"], np.uint32)[0].astype(np.int64), unpacked(x["drawn"], np.float32)[0], k), unpacked(x["opened"], np.uint32)
                     n = np.bincount(h.of2[h.use], t, len(h.known)).astype(np.uint32)
-                    kept = [*(x["t"] if k > BURN_IN else []), packed(t.astype(np.uint32))]
-                    yield pa.RecordBatch.from_pylist([{"hot": x["hot"], "kind": 1, "chunk": x["home"], "blob": packed(h.known, n, old), "t": kept, "known": x["known"] or []}], MESSAGE)
+                    yield pa.RecordBatch.from_pylist([{"hot": x["hot"], "kind": 1, "chunk": x["home"], "blob": packed(h.known, n, old), "t": packed(t.astype(np.uint32))}], MESSAGE)
 
         return run
 
@@ -630,54 +628,60 @@ def seated(found: DataFrame, told: DataFrame, often: Often, parts: int) -> tuple
                 r2 = keys_one(np.array([ones[name]]))
                 d2 = joined(r2[ctx], known)
                 t = np.minimum(c, 1) if k < 0 else sweep(c, t, ctx, 1, base, 1, Keyed(r2, 2 * k + 1), Keyed(d2, 2 * k + 1))
-                more = [predictive(c, t, ctx, 1, base, 1)] if k >= BURN_IN else []
-                next_ = drawn(c, t, ctx, 1, base, 1, Keyed(r2, 2 * k + 2), Keyed(d2, 2 * k + 2)) if k < LAST else np.zeros(len(known))
+                mean = predictive(c, t, ctx, 1, base, 1).astype(np.float32) if k >= BURN_IN else np.zeros(len(known), np.float32)
+                next_ = drawn(c, t, ctx, 1, base, 1, Keyed(r2, 2 * k + 2), Keyed(d2, 2 * k + 2)) if k < LAST else np.zeros(len(known), np.float32)
                 end = 0
                 for x, o in zip(rows, opened, strict=True):
                     at, end = place[end : end + len(o[0])], end + len(o[0])
-                    yield pa.RecordBatch.from_pylist([{"home": x["chunk"], "t": x["t"], "opened": packed(t[at].astype(np.uint32)), "drawn": packed(next_[at]), "known": [*x["known"], *(packed(m[at]) for m in more)]}], REPLY)
+                    yield pa.RecordBatch.from_pylist([{"home": x["chunk"], "t": x["t"], "opened": packed(t[at].astype(np.uint32)), "drawn": packed(next_[at]), "known": packed(mean[at])}], REPLY)
 
         return run
 
-    state, path = found.select("home", *(F.lit(None).cast(kind).alias(x) for x, kind in (("t", "array<binary>"), ("opened", "binary"), ("drawn", "binary"), ("known", "array<binary>")))), None
+    states = []
     for k in range(-1, BURN_IN + SAMPLES):
-        messages = found.join(state.hint("merge"), "home").mapInArrow(sent(k), "hot int, kind int, chunk bigint, blob binary, t array<binary>, known array<binary>")
+        rows = found.join(states[-1][0].drop("known").hint("merge"), "home") if states else found
+        messages = rows.mapInArrow(sent(k), "hot int, kind int, chunk bigint, blob binary, t binary")
         rows = together(told.unionByName(messages, allowMissingColumns=True).withColumnRenamed("hot", "bucket"), len(ones), "kind", "chunk")
-        last, (state, path) = path, stored(rows.mapInArrow(answered(k), STATE), "lm-seated")
-        if last:
-            discarded(spark, last)
-    return state, path
+        states.append(stored(rows.mapInArrow(answered(k), STATE), "lm-seated"))
+        if 0 <= k <= BURN_IN:
+            discarded(spark, states.pop(-2)[1])
+    return states
 
 
-MESSAGE = pa.schema([("hot", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("t", pa.list_(pa.binary())), ("known", pa.list_(pa.binary()))])
-REPLY = pa.schema([("home", pa.int64()), ("t", pa.list_(pa.binary())), ("opened", pa.binary()), ("drawn", pa.binary()), ("known", pa.list_(pa.binary()))])
+MESSAGE = pa.schema([("hot", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("t", pa.binary())])
+REPLY = pa.schema([("home", pa.int64()), ("t", pa.binary()), ("opened", pa.binary()), ("drawn", pa.binary()), ("known", pa.binary())])
 
 
 def after_frequent(dealt: DataFrame, told: DataFrame, often: Often, buckets: int, parts: int) -> DataFrame:
     """bucket, chunk (name of a frequent word's part) and blob (probabilities of its dishes, in order, or by word)."""
     spark, ones, names = dealt.sparkSession, often.words.tolist(), dict(often.homes)
-    found, found_path = stored(homes(dealt, len(names)), "lm-homes")
+    # kept by home on executors' disks, so that a sweep shuffles what is sent, not the dishes
+    found = homes(dealt, len(names)).repartition(len(names), "home").persist(StorageLevel.DISK_ONLY)
     told = written(told.where(F.col("bucket") >= buckets).withColumn("bucket", F.col("bucket") - buckets), "lm-followers")
-    state, path = seated(found, told, often, parts)
+    states = seated(found, told, often, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
                 h = Home(x["blob"], ones[x["hot"]])
                 p = np.zeros(len(h.c3))
-                for t, known in zip(x["t"], x["known"], strict=True):
+                for j in range(SAMPLES):
                     full = np.zeros(len(h.c3), np.int64)
-                    full[h.use] = unpacked(t, np.uint32)[0]
-                    p += predictive(h.c3, full, h.of3, h.n3, unpacked(known, float)[0][h.of2], 2)
+                    full[h.use] = unpacked(x[f"t{j}"], np.uint32)[0]
+                    p += predictive(h.c3, full, h.of3, h.n3, unpacked(x[f"known{j}"], np.float32)[0][h.of2], 2)
                 p = (p / SAMPLES).astype(np.float32)
                 whole = names[x["home"]] == [x["home"]]
                 blob = packed(np.zeros(0, np.int64) if whole else h.known[h.of2], p)
                 to = np.array(names[x["home"]], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((spread(to) % np.uint64(buckets)).astype(np.int32)), pa.array(to), pa.array([blob] * len(to), pa.binary())], names=["bucket", "chunk", "blob"])
 
-    out = written(found.join(state.hint("merge"), "home").mapInArrow(run, "bucket int, chunk bigint, blob binary"), "lm-after")
-    discarded(spark, found_path)
-    discarded(spark, path)
+    rows = found
+    for j, (state, _) in enumerate(states):
+        rows = rows.join(state.select("home", F.col("t").alias(f"t{j}"), F.col("known").alias(f"known{j}")).hint("merge"), "home")
+    out = written(rows.mapInArrow(run, "bucket int, chunk bigint, blob binary"), "lm-after")
+    found.unpersist()
+    for _, path in states:
+        discarded(spark, path)
     return out
 
 
@@ -769,7 +773,7 @@ def scored(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> D
             if not any((b.column(b.schema.get_field_index("kind")).to_numpy() == 1).any() for b in held):
                 continue
             b = Bucket(held, parts)
-            del held
+            held.clear()
             score = fixed(np.log10(b.probabilities()))
             base = fixed(np.log10((b.count + 0.5) / (n + 0.5 * (v + 1))))[b.word2]
             known, at, out = (b.count > 0)[b.word2], 0, []
@@ -779,6 +783,7 @@ def scored(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> D
                 out.append(part | {"blob": packed(seen.astype(np.uint32), sums[0], sums[1], sums[2].astype(np.uint32))})
                 at += size
             yield pa.RecordBatch.from_pylist(out, pa.schema([("chunk", pa.int64()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]))
+            del b, score, base, known, out, seen, which, sums  # before the next bucket is read
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         named_ = pdf[pdf["ids"].notna()].iloc[0]
