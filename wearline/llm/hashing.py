@@ -15,39 +15,55 @@ ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8665
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit over the whole word; one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD[0]))
-_POWERS = [np.ones(1, np.uint64)]
+#: Bytes of text whose letters are summed at once.
+PIECE = 1 << 17
+_POWERS = {ODD[1]: np.ones(1, np.uint64), pow(ODD[1], -1, 1 << 64): np.ones(1, np.uint64)}
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, of: int = ODD[1]) -> np.ndarray:
     """The first n powers of an odd number, kept as long as they last."""
-    if len(_POWERS[0]) < n:
-        _POWERS[0] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, 4096) - 1, ODD[1], np.uint64)])
-    return _POWERS[0][:n]
+    if len(_POWERS[of]) < n:
+        _POWERS[of] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, 4096) - 1, of, np.uint64)])
+    return _POWERS[of][:n]
+
+
+def inverses(n: int) -> np.ndarray:
+    """The inverses of the first n powers."""
+    return powers(n, pow(ODD[1], -1, 1 << 64))
 
 
 def words(texts: list[str], gaps: bytes = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, and last two bytes as one number, of all words of the texts (A-Z in lower case), where each text's words end
     (with a 0 in front), and the length in bytes."""
     parts = [t.encode("utf-8", "replace").translate(LOWER) for t in texts]
-    raw = np.frombuffer(b"\x20".join([*parts, b""]), np.uint8)
+    whole = b"\x20".join([*parts, b""])
     inside = np.ones(256, bool)
     inside[list(gaps)] = False
-    solid = inside[raw]
-    edge = np.diff(np.r_[False, solid, False].astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    raw, solid = np.frombuffer(whole, np.uint8), np.zeros(len(whole) + 2, bool)
+    solid[1:-1] = np.frombuffer(whole.translate(inside.tobytes()), bool)
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    begin, end = edge[::2], edge[1::2]
     size = end - begin
     ends = np.r_[0, np.searchsorted(begin, np.cumsum([len(p) + 1 for p in parts]))] if parts else np.zeros(1, np.int64)
     if not len(size):
         return np.empty(0, np.uint64), np.empty(0, np.int64), ends, size
-    letters, first = raw[solid], np.r_[0, np.cumsum(size)[:-1]]
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    h = np.add.reduceat(LETTER[letters] * powers(int(size.max()))[place], first)
+    h, letter = np.empty(len(size), np.uint64), np.where(inside, LETTER, np.uint64(0))
+    cuts = [*np.unique(np.searchsorted(begin, np.arange(0, len(raw), PIECE))).tolist(), len(begin)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            # powers count from the piece's begin; an inverse makes them count from the word's
+            first, low, high = begin[a:b] - begin[a], begin[a], end[b - 1]
+            h[a:b] = np.add.reduceat(letter[raw[low:high]] * powers(high - low), first) * inverses(first[-1] + 1)[first]
     before = np.where(size > 1, raw[np.maximum(end - 2, 0)], 0).astype(np.int64)
     return mix(h + size.astype(np.uint64) * np.uint64(ODD[2])) & MASK, raw[end - 1].astype(np.int64) * 256 + before, ends, size
 

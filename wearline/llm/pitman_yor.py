@@ -55,6 +55,8 @@ BURN_IN, SAMPLES = 2, 3
 AT_ONCE, BUCKET_TOKENS = 8 << 20, 1_750_000
 #: Groups of previous words, at every size; buckets are a multiple.
 GROUPS = 32
+#: Numbers drawn at once.
+BLOCK = 1 << 14
 #: Characters of texts whose words are hashed at once.
 HASH_AT_ONCE = 1 << 20
 #: Scores of tokens are rounded to one in FIXED, so that their sums don't depend on their order.
@@ -92,26 +94,37 @@ class Often:
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, one and two words before, and text number of all tokens, each text closed by the end."""
-    parts, at, size = [], 0, 0
+    known, word, one, two, doc = placed(texts)
+    return known[word], known[one], known[two], doc
+
+
+def placed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the texts, START and END, in order; places among them of all tokens and of one and two words before, and text numbers."""
+    parts, counts, at, size = [dictionary(np.empty(0, np.int64))], [np.empty(0, np.int64)], 0, 0
     for k, text in enumerate(texts):
         size += len(text)
         if size >= HASH_AT_ONCE or k == len(texts) - 1:
             h, _, ends, _ = words(texts[at : k + 1])
-            parts.append((h.astype(np.int64), np.diff(ends)))
+            parts.append(dictionary(np.maximum(h.astype(np.int64), 2)))
+            counts.append(np.diff(ends))
             at, size = k + 1, 0
-    h, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
-    del parts
-    n, count, ends = len(h) + len(texts), len(texts), np.r_[0, np.cumsum(counts)]
+    known, place = merged(*zip(*parts, strict=True))
+    counts = np.concatenate(counts)
+    known, n = np.r_[START, END, known], len(place) + len(texts)
+    count, ends = len(texts), np.r_[0, np.cumsum(counts)]
     doc = np.repeat(np.arange(count, dtype=np.int32), counts + 1)
-    word = np.full(n, END, np.int64)
-    word[np.arange(len(h)) + np.repeat(np.arange(count), counts)] = np.maximum(h, 2)
+    # places of START and END are these themselves
+    word, last = np.full(n, END, np.int32), np.zeros(n, bool)
+    last[ends[1:] + np.arange(count)] = True
+    word[~last] = place + 2
     # a text's first token has no word before, its second only one
     begins = ends[:-1] + np.arange(count)
-    one, two = np.r_[START, word][:n], np.r_[START, START, word][:n]
+    one, two = np.full(n, START, np.int32), np.full(n, START, np.int32)
+    one[1:], two[2:] = word[:-1], word[:-2]
     one[begins] = two[begins] = START
     second = (begins + 1)[begins + 1 < n]
     two[second[doc[second] == doc[second - 1]]] = START
-    return word, one, two, doc
+    return known, word, one, two, doc
 
 
 def spread(key: np.ndarray) -> np.ndarray:
@@ -147,19 +160,22 @@ def pair_keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return named(one, two)
 
 
-def contexts(word: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray, often: Often) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name of the word before or of its part; places of the tokens after frequent words, and their homes."""
-    by_word = often.parts(0, one)
-    hot = np.flatnonzero(by_word > 1)
-    ctx, home = one.copy(), one[hot]
-    if len(hot):
-        pair = pair_keys(one[hot], two[hot])
-        by_pair = often.parts(1, pair)
-        of_text = np.add.reduceat(word, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
-        home = np.where(by_pair > 1, pair_home(pair), word_home(home, (spread(two[hot] + np.int64(7)) % by_word[hot].astype(np.uint64)).astype(np.int64)))
-        part = (spread(of_text[doc[hot]]) % by_pair.astype(np.uint64)).astype(np.int64)
-        ctx[hot] = np.where(by_pair > 1, text_part(home, part), home)
-    return ctx, hot, home
+def contexts(known: np.ndarray, word: np.ndarray, one: np.ndarray, two: np.ndarray, doc: np.ndarray, often: Often) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of words before or of their parts, and the place of each token's; places of the tokens after frequent words, and their homes."""
+    by_word = often.parts(0, known)
+    hot = np.flatnonzero((by_word > 1)[one])
+    if not len(hot):
+        return known, one, hot, known[one[hot]]
+    before, t = known[one[hot]], two[hot].astype(np.int64)
+    pair = pair_keys(before, t)
+    by_pair = often.parts(1, pair)
+    of_text = np.add.reduceat(known[word], np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
+    home = np.where(by_pair > 1, pair_home(pair), word_home(before, (spread(t + 7) % by_word[one[hot]].astype(np.uint64)).astype(np.int64)))
+    part = (spread(of_text[doc[hot]]) % by_pair.astype(np.uint64)).astype(np.int64)
+    names, place = dictionary(np.where(by_pair > 1, text_part(home, part), home))
+    ctx = one.copy()
+    ctx[hot] = len(known) + place
+    return np.r_[known, names], ctx, hot, home
 
 
 def frequent(docs: DataFrame, text: str) -> tuple[Often, int]:
@@ -169,16 +185,26 @@ def frequent(docs: DataFrame, text: str) -> tuple[Often, int]:
     row = docs.agg(F.sum(F.length(text)).alias("chars"), F.count("*").alias("n")).first()
     share = BUCKET_TOKENS / 2 / max(1, (row["chars"] or 0) / 2 + 2 * row["n"])
 
+    def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, _, one, two, _ = placed(texts_of(batch, text))
+        n = np.bincount(one, minlength=len(known))
+        large = n >= len(one) * share
+        words_, at, (bits, of) = np.flatnonzero(large), np.flatnonzero(large[one]), dictionary(short(known).astype(np.int64))
+        # a pair has no more tokens than its later word
+        pair, n_pair = np.unique(one[at].astype(np.int64) * len(bits) + of[two[at]], return_counts=True)
+        pair, n_pair = (x[n_pair >= len(one) * share] for x in (pair, n_pair))
+        before = known[pair // len(bits)]
+        out = [
+            (np.array([2]), np.array([0]), np.array([0]), np.array([len(one)])),
+            (np.zeros(len(words_)), known[words_], known[words_], n[words_]),
+            (np.ones(len(pair)), pair_keys(before, bits[pair % len(bits)]), before, n_pair),
+        ]
+        kinds, keys, ones, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(keys, pa.int64()), pa.array(ones, pa.int64()), pa.array(counts, pa.int64())], names=["kind", "key", "one", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
-            word, one, two, _ = tokens(texts_of(batch, text))
-            out = [(np.array([2]), np.array([0]), np.array([0]), np.array([len(word)]))]
-            for kind, key in ((0, one), (1, pair_keys(one, short(two)))):
-                value, first, n = np.unique(key, return_index=True, return_counts=True)
-                large = np.flatnonzero(n >= len(word) * share)
-                out.append((np.full(len(large), kind), value[large], one[first[large]], n[large]))
-            kinds, keys, ones, counts = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(ones, pa.int64()), pa.array(counts, pa.int64())], names=["kind", "key", "one", "n"])
+            yield chunk(batch)
 
     sums = written(docs.select(text).mapInArrow(run, "kind int, key bigint, one bigint, n bigint").groupBy("kind", "key", "one").agg(F.sum("n").alias("n")), "lm-frequent")
     total = sums.where("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -190,8 +216,13 @@ def frequent(docs: DataFrame, text: str) -> tuple[Often, int]:
 
 def packed(*columns: np.ndarray) -> bytes:
     """Columns with their lengths, first bytes of all values first, compressed."""
-    raw = b"".join(struct.pack("<I", len(c)) + np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() if len(c) else struct.pack("<I", 0) for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    raw = []
+    for c in columns:
+        by_value, by_place = np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize), np.empty((c.dtype.itemsize, len(c)), np.uint8)
+        for k in range(c.dtype.itemsize):
+            by_place[k] = by_value[:, k]
+        raw += [struct.pack("<I", len(c)), by_place]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
 def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
@@ -199,15 +230,61 @@ def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
     for kind in kinds:
         (n,) = struct.unpack_from("<I", raw, at)
         width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at + 4).reshape(width, n).T).reshape(-1).view(kind))
+        by_value = np.empty((n, width), np.uint8)
+        for k in range(width):
+            by_value[:, k] = np.frombuffer(raw, np.uint8, n, at + 4 + k * n)
+        out.append(by_value.reshape(-1).view(kind))
         at += 4 + n * width
     return out
 
 
 def dictionary(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, and the place of each value among them."""
-    distinct, place = np.unique(values, return_inverse=True)
-    return distinct, place.astype(np.uint32)
+    """Distinct values, in order, and the place of each value among them."""
+    found = pa.array(values).dictionary_encode()
+    distinct = found.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(distinct)
+    place = np.empty(len(distinct), np.uint32)
+    place[order] = np.arange(len(distinct), dtype=np.uint32)
+    return distinct[order], place[found.indices.to_numpy(zero_copy_only=False)]
+
+
+def merged(distinct: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """dictionary() of values that come as several of them."""
+    known, at = dictionary(np.concatenate(distinct))
+    starts = np.cumsum([0, *map(len, distinct)])
+    return known, np.concatenate([at[a : a + len(d)][x] for a, d, x in zip(starts[:-1].tolist(), distinct, places, strict=True)])
+
+
+def in_order(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows ordered by columns of numbers from 0 to below a limit, equal ones as they came, and whether each differs from the one before.
+
+    One sort of numbers that hold columns and place, where 63 bits are enough."""
+    n = len(columns[0][0])
+    bits, new = n.bit_length(), np.ones(n, bool)
+    if math.prod(limit for _, limit in columns) << bits < 1 << 63:
+        key = np.zeros(n, np.int64)
+        for x, limit in columns:
+            key *= limit
+            key += x
+        key <<= bits
+        key += np.arange(n, dtype=np.int32 if bits < 32 else np.int64)
+        key.sort()
+        order = np.empty(n, np.int32 if bits < 32 else np.int64)
+        np.bitwise_and(key, (1 << bits) - 1, out=order, dtype=np.int64, casting="unsafe")
+        key >>= bits
+        new[1:] = key[1:] != key[:-1]
+    else:
+        order = np.lexsort([x for x, _ in reversed(columns)])
+        new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x, _ in columns])
+    return order, new
+
+
+def grouped(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct combination, in order, and the place of every row's combination among them."""
+    order, new = in_order(*columns)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], place
 
 
 #: Words; and places of words, groups and training tokens.
@@ -242,33 +319,35 @@ def dealt_words(docs: DataFrame, often: Often, buckets: int, text: str) -> DataF
 
     What follows the frequent word k is asked for by bucket buckets + k; rows with a home have dishes after two words."""
 
+    def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, word, one, two, doc = placed(texts_of(batch, text))
+        two = short(known)[two]
+        names, ctx, hot, home = contexts(known, word, one, two, doc, often)
+        (bucket, at), (group, before) = (((spread(x) % np.uint64(n)).astype(np.int64), y) for x, n, y in ((names, buckets, ctx), (known, GROUPS, one)))
+        learned = ~np.array(batch.column(batch.schema.get_field_index("held")).to_pylist(), bool)[doc]
+        many, rows = len(known), []
+        if len(hot):
+            of, w, t = np.searchsorted(often.words, known)[one[hot]], word[hot].astype(np.int64), two[hot]
+            asked = np.unique(of * many + w)
+            rows += [(buckets + k, None, asked_for(known[asked[s] % many])) for k, s in cut_by(asked // many, len(often.words))]
+            home, place = dictionary(home)
+            order, new = in_order((place, len(home)), (t, 1 << 24), (w, many))
+            first = np.flatnonzero(new)
+            n, order = np.add.reduceat(learned[hot][order].astype(np.int64), first), order[first]
+            of, w, t, place = of[order], w[order], t[order], place[order]
+            rows += [(int(of[s.start]), int(home[k]), packed(*dictionary(known[w[s]]), three(t[s]), n[s].astype(np.uint32))) for k, s in cut_by(place, len(home))]
+        key = np.sort((((bucket[at] * GROUPS + group[before]) * many + word) << 1) + learned)
+        first = np.flatnonzero(np.r_[True, key[1:] >> 1 != key[:-1] >> 1])
+        n, key = np.add.reduceat(key & 1, first).astype(np.uint32), key[first] >> 1
+        bucket, group, word = key // many // GROUPS, (key // many % GROUPS).astype(np.uint8), key % many
+        first, place = grouped((bucket, buckets), (word, many))
+        ends = dict(cut_by(bucket[first], buckets))
+        rows += [(k, None, packed(known[word[first[ends[k]]]], (place[s] - ends[k].start).astype(np.uint32), group[s], n[s])) for k, s in cut_by(bucket, buckets)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "home", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, AT_ONCE):
-            word, one, two, doc = tokens(texts_of(batch, text))
-            two = short(two)
-            ctx, hot, home = contexts(word, one, two, doc, often)
-            bucket, group = ((spread(x) % np.uint64(n)).astype(np.int64) for x, n in ((ctx, buckets), (one, GROUPS)))
-            learned = ~np.array(batch.column(batch.schema.get_field_index("held")).to_pylist(), bool)[doc]
-            del ctx
-            known, word = dictionary(word)
-            many, rows = max(1, len(known)), []
-            if len(hot):
-                of, w, t = np.searchsorted(often.words, one[hot]), word[hot].astype(np.int64), two[hot]
-                asked = np.unique(of * many + w)
-                rows += [(buckets + k, None, asked_for(known[asked[s] % many])) for k, s in cut_by(asked // many, len(often.words))]
-                order = np.lexsort((w, t, home))
-                of, w, t, home, n = of[order], w[order], t[order], home[order], learned[hot][order]
-                first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (t[1:] != t[:-1]) | (home[1:] != home[:-1])])
-                n, of, w, t, home = np.add.reduceat(n.astype(np.int64), first), of[first], w[first], t[first], home[first]
-                cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
-                rows += [(int(of[a]), int(home[a]), packed(*dictionary(known[w[a:b]]), three(t[a:b]), n[a:b].astype(np.uint32))) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(home)], strict=True)]
-            key, place = np.unique((bucket * GROUPS + group) * many + word, return_inverse=True)
-            n = np.bincount(place, learned, len(key)).astype(np.uint32)
-            bucket, group, word = key // many // GROUPS, (key // many % GROUPS).astype(np.uint8), key % many
-            for k, s in cut_by(bucket, buckets):
-                distinct, at = dictionary(known[word[s]])
-                rows.append((k, None, packed(distinct, at, group[s], n[s])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["bucket", "home", "blob"])
+            yield chunk(batch)
 
     return docs.select(text, "held").mapInArrow(run, "bucket int, home bigint, blob binary")
 
@@ -280,28 +359,41 @@ def asked_for(known: np.ndarray) -> bytes:
 def dealt_tokens(docs: DataFrame, often: Often, buckets: int, key: str, text: str) -> DataFrame:
     """A row per bucket and chunk: its tokens; that of bucket 0 names the chunk's documents."""
 
+    def chunk(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
+        known, word, one, two, doc = placed(texts_of(batch, text))
+        two = short(known)[two]
+        names, ctx, _, _ = contexts(known, word, one, two, doc, often)
+        del one
+        held = np.array(batch.column(batch.schema.get_field_index("held")).to_pylist(), bool)
+        # names by bucket, so that one order is that of buckets and of names
+        bucket = (spread(names) % np.uint64(buckets)).astype(np.int64)
+        by_name, rank = np.lexsort((names, bucket)), np.empty(len(names), np.uint32)
+        rank[by_name] = np.arange(len(names), dtype=np.uint32)
+        names, bucket, ctx = names[by_name], bucket[by_name], rank[ctx]
+        order, _ = in_order((ctx, len(names)), (word, len(known)))
+        word, ctx, two, mark = word[order], ctx[order], two[order], (doc * 2 + ~held[doc])[order].astype(np.uint32)
+        del order, doc
+        ids, sizes = batch.column(batch.schema.get_field_index(key)).to_pylist(), np.bincount(mark >> 1, minlength=len(held)).tolist()
+        bucket = bucket.astype(np.int32)[ctx]
+        rows = {0: slice(0, 0)} | dict(cut_by(bucket, buckets))
+        used, blobs, lists = sorted(rows), [], []
+        for distinct, column, limit in ((names, ctx, len(names)), (known, word, len(known))):
+            first, place = grouped((bucket, buckets), (column, limit))
+            ends = {0: slice(0, 0)} | dict(cut_by(bucket[first], buckets))
+            lists.append((distinct[column[first]], place, ends))
+        for k in used:
+            columns = [x for distinct, place, ends in lists for x in (distinct[ends[k]], (place[rows[k]] - ends[k].start).astype(np.uint32))]
+            blobs.append(packed(*columns, three(two[rows[k]]), mark[rows[k]]))
+        rest = [None] * (len(used) - 1)
+        return pa.RecordBatch.from_arrays([
+            pa.array(used, pa.int32()), pa.array([number] * len(used), pa.int64()), pa.array(blobs, pa.binary()),
+            pa.array([ids, *rest], pa.list_(pa.int64())), pa.array([sizes, *rest], pa.list_(pa.int64())), pa.array([held.tolist(), *rest], pa.list_(pa.bool_())),
+        ], names=["bucket", "chunk", "blob", "ids", "n_tokens", "held"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 24
-        for batch in sliced(batches, text, AT_ONCE):
-            word, one, two, doc = tokens(texts_of(batch, text))
-            two = short(two)
-            ctx, _, _ = contexts(word, one, two, doc, often)
-            del one
-            held = np.array(batch.column(batch.schema.get_field_index("held")).to_pylist(), bool)
-            bucket = (spread(ctx) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((doc, word, ctx, bucket))
-            word, ctx, two, mark, bucket = word[order], ctx[order], two[order], (doc * 2 + ~held[doc])[order].astype(np.uint32), bucket[order]
-            ids, sizes = batch.column(batch.schema.get_field_index(key)).to_pylist(), np.bincount(doc, minlength=len(held)).tolist()
-            rows = dict(cut_by(bucket, buckets))
-            rows.setdefault(0, slice(0, 0))
-            names = sorted(rows)
-            blobs = [packed(*dictionary(ctx[rows[k]]), *dictionary(word[rows[k]]), three(two[rows[k]]), mark[rows[k]]) for k in names]
-            rest = [None] * (len(names) - 1)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(blobs, pa.binary()),
-                pa.array([ids, *rest], pa.list_(pa.int64())), pa.array([sizes, *rest], pa.list_(pa.int64())), pa.array([held.tolist(), *rest], pa.list_(pa.bool_())),
-            ], names=["bucket", "chunk", "blob", "ids", "n_tokens", "held"])
-            chunk += 1
+        first = TaskContext.get().partitionId() << 24
+        for k, batch in enumerate(sliced(batches, text, AT_ONCE)):
+            yield chunk(batch, first + k)
 
     return docs.select(F.col(key).cast("long").alias(key), text, "held").mapInArrow(run, "bucket int, " + PART)
 
@@ -342,48 +434,66 @@ class Keyed:
         self.at += 1
         return ((mix(self.keys[where] + np.uint64((self.at + SEED * ODD[3]) * ODD[0] & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
-    def random(self, size: int) -> np.ndarray:
-        return self.even()
-
     def standard_gamma(self, shape: np.ndarray) -> np.ndarray:
-        """By Marsaglia and Tsang: a cubed normal number, taken or drawn again."""
-        out = np.zeros(len(shape))
-        open_ = np.flatnonzero(shape > 0)
-        a = shape[open_]
-        less = np.flatnonzero(a < 1)
-        d = np.where(a < 1, a + 1, a) - 1 / 3
-        lift = np.exp(np.log(self.even(open_[less])) / a[less])
-        small = open_[less]
-        while len(open_):
-            z = np.sqrt(-2 * np.log(self.even(open_))) * np.cos(2 * np.pi * self.even(open_))
-            v = np.maximum(1 + z / np.sqrt(9 * d), 0) ** 3
-            with np.errstate(divide="ignore"):
-                good = np.log(self.even(open_)) < z * z / 2 + d - d * v + d * np.log(v)
-            out[open_[good]] = (d * v)[good]
-            open_, d = open_[~good], d[~good]
-        out[small] *= lift
+        """By Marsaglia and Tsang: a cubed normal number, taken or drawn again; most are taken by a test that needs no logarithm."""
+        out, begun = np.zeros(len(shape)), self.at
+        drawn_ = np.flatnonzero(shape > 0)
+        for k in range(0, len(drawn_), BLOCK):
+            self.at, open_ = begun, drawn_[k : k + BLOCK]
+            a = shape[open_]
+            less = np.flatnonzero(a < 1)
+            d = np.where(a < 1, a + 1, a) - 1 / 3
+            lift = np.exp(np.log(self.even(open_[less])) / a[less])
+            small = open_[less]
+            while len(open_):
+                z = np.sqrt(-2 * np.log(self.even(open_))) * np.cos(2 * np.pi * self.even(open_))
+                v = np.maximum(1 + z / np.sqrt(9 * d), 0)
+                v, u, square = v * v * v, self.even(open_), z * z
+                good = u < 1 - 0.0331 * square * square
+                at = np.flatnonzero(~good)
+                with np.errstate(divide="ignore"):
+                    good[at] = np.log(u[at]) < square[at] / 2 + d[at] - d[at] * v[at] + d[at] * np.log(v[at])
+                out[open_[good]] = (d * v)[good]
+                open_, d = open_[~good], d[~good]
+            out[small] *= lift
         return out
 
 
+def evens(rng: np.random.Generator | Keyed, rows: np.ndarray) -> np.ndarray:
+    return rng.even(rows) if isinstance(rng, Keyed) else rng.random(len(rows))
+
+
 def sweep(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int, rng: np.random.Generator | Keyed, dishes: Keyed | None = None) -> np.ndarray:
     """New numbers of tables of all dishes (c customers, t tables now, in restaurant ctx, over base)."""
     d, s = DISCOUNT[level], STRENGTH[level]
-    y = rng.standard_gamma(s / d + np.bincount(ctx, np.minimum(t, c), n_ctx))
-    dishes = dishes or rng
-    return tables(c, d * y[ctx] * base, d, 1 - dishes.random(len(c)), dishes.random(len(c)))
+    out = np.minimum(c, 1).astype(np.int64)
+    # one customer has one table, so nothing is drawn for it, nor for a restaurant of such dishes
+    more = np.flatnonzero(c > 1)
+    of, dishes, some = ctx[more], dishes or rng, np.zeros(n_ctx, bool)
+    some[of] = True
+    y = rng.standard_gamma(np.where(some, s / d + np.bincount(ctx, np.minimum(t, c), n_ctx), 0))
+    out[more] = tables(c[more], d * y[of] * base[more], d, 1 - evens(dishes, more), evens(dishes, more))
+    return out
 
 
 def predictive(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int) -> np.ndarray:
     """Probability of each dish after its context."""
     d, s = DISCOUNT[level], STRENGTH[level]
-    all_c, all_t = np.bincount(ctx, c, n_ctx), np.bincount(ctx, t, n_ctx)
-    return (np.maximum(c - d * t, 0) + (s + d * all_t[ctx]) * base) / (s + all_c[ctx])
+    rest, whole, out = s + d * np.bincount(ctx, t, n_ctx), s + np.bincount(ctx, c, n_ctx), np.empty(len(c))
+    for at in range(0, len(c), BLOCK):
+        rows = slice(at, at + BLOCK)
+        of = ctx[rows]
+        out[rows] = (np.maximum(c[rows] - d * t[rows], 0) + rest[of] * base[rows]) / whole[of]
+    return out
+
 
+def drawn(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int, rng: np.random.Generator | Keyed, dishes: Keyed | None = None, asked: np.ndarray | None = None) -> np.ndarray:
+    """A draw of each dish's probability given the seating; restaurants below it are independent given these.
 
-def drawn(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, n_ctx: int, base: np.ndarray, level: int, rng: np.random.Generator | Keyed, dishes: Keyed | None = None) -> np.ndarray:
-    """A draw of each dish's probability given the seating; restaurants below it are independent given these."""
+    asked: whether a restaurant's dishes are asked for; those of others are of no use."""
     d, s = DISCOUNT[level], STRENGTH[level]
-    own = (dishes or rng).standard_gamma(np.maximum(c - d * t, 0))
+    shape = np.maximum(c - d * t, 0)
+    own = (dishes or rng).standard_gamma(shape if asked is None else shape * asked[ctx])
     rest = rng.standard_gamma(s + d * np.bincount(ctx, t, n_ctx))
     total = np.bincount(ctx, own, n_ctx) + rest
     return ((own + rest[ctx] * base) / total[ctx]).astype(np.float32)
@@ -413,11 +523,11 @@ def summed(opened: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     """Words, place, group and training tokens of each word in each group that has any, and the places of the words that were handed in."""
     known, place = dictionary(np.concatenate([o[0] for o in opened]))
     starts = np.cumsum([0, *(len(o[0]) for o in opened)])
-    word, group, n = (np.concatenate(x) for x in ([place[a + o[1]] for a, o in zip(starts[:-1], opened, strict=True)], [o[2] for o in opened], [o[3] for o in opened]))
-    key, at = np.unique(word.astype(np.int64) * GROUPS + group, return_inverse=True)
-    n = np.bincount(at, n, len(key)).astype(np.int64)
-    key, n = key[n > 0], n[n > 0]
-    return known, key // GROUPS, key % GROUPS, n, place, starts
+    word, group, n = (np.concatenate(x) for x in ([place[a : a + len(o[0])][o[1]] for a, o in zip(starts[:-1].tolist(), opened, strict=True)], [o[2] for o in opened], [o[3] for o in opened]))
+    rows, at = grouped((word, len(known)), (group, GROUPS))
+    n = np.bincount(at, n, len(rows)).astype(np.int64)
+    rows, n = rows[n > 0], n[n > 0]
+    return known, word[rows].astype(np.int64), group[rows].astype(np.int64), n, place, starts
 
 
 ENTRY_COLUMNS = (np.int64, np.uint32, np.uint8, np.int64)
@@ -455,7 +565,7 @@ def totals(words_: DataFrame, size: int, measure: Callable[[bytes], np.ndarray])
 def seats(c: np.ndarray, weights: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
     """Tables of dishes without context; the same whenever it is asked again."""
     rng = Keyed(keys, step)
-    return tables(c, weights, DISCOUNT[0], rng.random(len(c)), rng.random(len(c)))
+    return tables(c, weights, DISCOUNT[0], rng.even(), rng.even())
 
 
 def top(words_: DataFrame) -> tuple[DataFrame, int, int]:
@@ -524,24 +634,35 @@ def sampled(c3: np.ndarray, of3: np.ndarray, n3: int, of2: np.ndarray, ctx2: np.
     """Averaged probabilities of dishes after two words.
 
     c3: their customers, of3: their restaurant, of2: the dish after one word that their tables are customers of; ctx2:
-    the restaurant of each of those, base: its probability without context; keys: those of restaurants and dishes after
-    two words (dishes with customers only) and after one, from which numbers are drawn if there is no rng."""
-    use = np.flatnonzero(c3)
-    (r3, d3), (r2, d2) = keys or ((None, None), (None, None))
-
-    def by(restaurants: np.ndarray | None, dishes: np.ndarray | None, step: int) -> list:
-        return [rng] if restaurants is None else [Keyed(restaurants, step), Keyed(dishes, step)]
+    the restaurant of each of those, base: its probability without context; keys: those of restaurants after two words and
+    after one, and of the words of dishes after one, from which numbers are drawn if there is no rng."""
+    # one customer has one table in every sweep, so only restaurants with dishes of more are seated again
+    again = np.zeros(n3, bool)
+    again[of3[c3 > 1]] = True
+    served = c3 > 0
+    use = np.flatnonzero(served & again[of3])
+    c, ctx, up = c3[use], (np.cumsum(again) - 1)[of3[use]], of2[use]
+    n_again, fixed_ = int(again.sum()), np.bincount(of2, served & ~again[of3], len(ctx2)).astype(np.int64)
+    asked = np.zeros(n2, bool)
+    asked[ctx2[of2[c3 > 1]]] = True
+    if keys:
+        r3, r2, own = keys
+        d3, d2 = joined(r3[of3[use]], own[up]), joined(r2[ctx2], own)
+        r3 = r3[again]
+
+    def by(level: int, step: int) -> list:
+        return [Keyed(r3, step), Keyed(d3, step)] if keys and level == 2 else [Keyed(r2, step), Keyed(d2, step)] if keys else [rng]
 
-    c, ctx, up = c3[use], of3[use], of2[use]
     t, out = np.ones(len(c), np.int64), np.zeros(len(c3))
-    c2 = np.bincount(up, t, len(ctx2)).astype(np.int64)
+    c2 = fixed_ + np.bincount(up, t, len(ctx2)).astype(np.int64)
     t2 = np.minimum(c2, 1)
     for k in range(BURN_IN + SAMPLES):
-        t = sweep(c, t, ctx, n3, drawn(c2, t2, ctx2, n2, base, 1, *by(r2, d2, 2 * k))[up], 2, *by(r3, d3, 2 * k))
-        c2 = np.bincount(up, t, len(ctx2)).astype(np.int64)
-        t2 = sweep(c2, t2, ctx2, n2, base, 1, *by(r2, d2, 2 * k + 1))
+        p = drawn(c2, t2, ctx2, n2, base, 1, *by(1, 2 * k), asked=asked)
+        t = sweep(c, t, ctx, n_again, p[up], 2, *by(2, 2 * k))
+        c2 = fixed_ + np.bincount(up, t, len(ctx2)).astype(np.int64)
+        t2 = sweep(c2, t2, ctx2, n2, base, 1, *by(1, 2 * k + 1))
         if k >= BURN_IN:
-            full = np.zeros(len(c3), np.int64)
+            full = served.astype(np.int32)
             full[use] = t
             out += predictive(c3, full, of3, n3, predictive(c2, t2, ctx2, n2, base, 1).astype(np.float32)[of2], 2)
     return out / SAMPLES
@@ -564,10 +685,11 @@ def homes(dealt: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, held in by_bucket(batches):
             opened = [unpacked(x.as_py(), *DISH_COLUMNS) for b in held for x in b.column(2)]
-            known, word = dictionary(np.concatenate([o[0][o[1]] for o in opened]))
-            key, place = np.unique(unthree(np.concatenate([o[2] for o in opened])).astype(np.int64) * len(known) + word, return_inverse=True)
-            n = np.bincount(place, np.concatenate([o[3] for o in opened]), len(key)).astype(np.uint32)
-            blob = packed(known, (key % len(known)).astype(np.uint32), three(key // len(known)), n)
+            known, word = merged([o[0] for o in opened], [o[1] for o in opened])
+            two = unthree(np.concatenate([o[2] for o in opened]))
+            rows, place = grouped((two, 1 << 24), (word, len(known)))
+            n = np.bincount(place, np.concatenate([o[3] for o in opened]), len(rows)).astype(np.uint32)
+            blob = packed(known, word[rows], three(two[rows]), n)
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([held[0].column(1)[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["home", "hot", "blob"])
 
     rows = dealt.where("home is not null").select("home", F.col("bucket").alias("hot"), "blob")
@@ -690,8 +812,9 @@ class Bucket:
 
     def __init__(self, batches: list[pa.RecordBatch], parts: int):
         count, p, self.parts, opened, told = [], [], [], [], {}
-        for b in batches:
-            for x in b.to_pylist():
+        batches.reverse()
+        while batches:  # each goes as soon as it is opened
+            for x in batches.pop().to_pylist():
                 blob = x.pop("blob")
                 if x["kind"] == 1:
                     opened.append(unpacked(blob, *TOKEN_COLUMNS))
@@ -704,7 +827,7 @@ class Bucket:
         self.sizes = [len(o[5]) for o in opened]
         mark = np.concatenate([o[5] for o in opened])
         self.train, self.doc = (mark & 1).astype(bool), (mark >> 1).astype(np.int32)
-        (ctxs, ctx), (words_, word) = (dictionary(np.concatenate([o[i][o[i + 1]] for o in opened])) for i in (0, 2))
+        (ctxs, ctx), (words_, word) = (merged([o[i] for o in opened], [o[i + 1] for o in opened]) for i in (0, 2))
         two = unthree(np.concatenate([o[4] for o in opened]))
         del opened, mark, blob
         # replies come by part, and in a part in the order of words
@@ -715,15 +838,15 @@ class Bucket:
         if len(order):
             self.count[order], self.p[order] = np.concatenate(count), np.concatenate(p)
         self.n_ctx, n_words = len(ctxs), max(1, len(words_))
-        pairs, pair = np.unique(ctx.astype(np.int64) * n_words + word, return_inverse=True)
-        self.pair, self.ctx2, self.word2 = pair.astype(np.int32), pairs // n_words, pairs % n_words
-        del word, pair
-        restaurants, of3 = np.unique(ctx.astype(np.int64) << 24 | two, return_inverse=True)
-        self.n3 = len(restaurants)
+        rows, self.pair = grouped((ctx, max(1, len(ctxs))), (word, n_words))
+        self.ctx2, self.word2 = ctx[rows].astype(np.int64), word[rows].astype(np.int64)
+        rows, of3 = grouped((ctx, max(1, len(ctxs))), (two, 1 << 24))
+        self.n3, restaurants = len(rows), ctx[rows].astype(np.int64) << 24 | two[rows]
         del ctx, two
-        dishes, dish = np.unique(of3.astype(np.int64) * max(1, len(pairs)) + self.pair, return_inverse=True)
-        self.dish, self.of3, self.of2 = dish.astype(np.int32), dishes // max(1, len(pairs)), dishes % max(1, len(pairs))
-        del of3, dish, dishes
+        # in a restaurant, words and pairs have the same order
+        rows, self.dish = grouped((of3, max(1, self.n3)), (word, n_words))
+        self.of3, self.of2 = of3[rows].astype(np.int64), self.pair[rows].astype(np.int64)
+        del of3, word, rows
         self.c3 = np.bincount(self.dish[self.train], minlength=len(self.of3))
         # dishes after frequent words are seated at their homes
         self.told = []
@@ -735,9 +858,7 @@ class Bucket:
             self.told.append((s, p[np.searchsorted(known, words_[self.word2[self.of2[s]]])] if len(known) else p))
             self.c3[s] = 0
         r2 = keys_one(ctxs)
-        r3 = keys_two(r2[restaurants >> 24], restaurants & 0xFFFFFF)
-        own, use = words_[self.word2], np.flatnonzero(self.c3)
-        self.keys = (r3, joined(r3[self.of3[use]], own[self.of2[use]])), (r2, joined(r2[self.ctx2], own))
+        self.keys = keys_two(r2[restaurants >> 24], restaurants & 0xFFFFFF), r2, words_[self.word2]
 
     def probabilities(self) -> np.ndarray:
         p = sampled(self.c3, self.of3, self.n3, self.of2, self.ctx2, self.n_ctx, self.p[self.word2], None, self.keys).astype(np.float32)
@@ -773,13 +894,13 @@ def scored(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> D
             if not any((b.column(b.schema.get_field_index("kind")).to_numpy() == 1).any() for b in held):
                 continue
             b = Bucket(held, parts)
-            held.clear()
             score = fixed(np.log10(b.probabilities()))
             base = fixed(np.log10((b.count + 0.5) / (n + 0.5 * (v + 1))))[b.word2]
             known, at, out = (b.count > 0)[b.word2], 0, []
             for part, size in zip(b.parts, b.sizes, strict=True):
-                seen, which = np.unique(b.doc[at : at + size], return_inverse=True)
-                sums = [np.bincount(which, x, len(seen)) for x in (score[b.dish[at : at + size]], base[b.pair[at : at + size]], known[b.pair[at : at + size]])]
+                which = b.doc[at : at + size]
+                seen = np.flatnonzero(np.bincount(which))
+                sums = [np.bincount(which, x)[seen] for x in (score[b.dish[at : at + size]], base[b.pair[at : at + size]], known[b.pair[at : at + size]])]
                 out.append(part | {"blob": packed(seen.astype(np.uint32), sums[0], sums[1], sums[2].astype(np.uint32))})
                 at += size
             yield pa.RecordBatch.from_pylist(out, pa.schema([("chunk", pa.int64()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]))

@@ -17,7 +17,9 @@ import numpy as np
 
 EXACT, FEW, TERMS, WIDEST = 512, 24.0, 16, 96
 #: Numbers worked on at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 16
+#: Most customers of dishes that are worked on together.
+WIDTHS = [*range(2, 17), *(int(16 * 2 ** (k / 6)) for k in range(1, 31))]
 
 
 @lru_cache(maxsize=8)
@@ -75,12 +77,13 @@ def tables(c: np.ndarray, a: np.ndarray, discount: float, u: np.ndarray, v: np.n
     log_a, small = np.log(np.maximum(a, 1e-300)), stirling(discount)
     some = np.flatnonzero((c > 1) & (c <= EXACT))
     some = some[np.argsort(c[some], kind="stable")]
-    sizes, first = np.unique(c[some], return_index=True)
-    for n, begin, end in zip(sizes.tolist(), first.tolist(), np.r_[first, len(some)][1:].tolist(), strict=True):
-        t, step = np.arange(1, n + 1), max(1, AT_ONCE // n)
+    for low, n in zip((1, *WIDTHS[:-1]), WIDTHS, strict=True):
+        # of numbers beyond a dish's customers none is drawn: their logarithm is minus infinity
+        begin, end = np.searchsorted(c[some], (low, n), "right").tolist()
+        t, logs, step = np.arange(1, n + 1), small[:, 1 : n + 1], max(1, AT_ONCE // n)
         for at in range(begin, end, step):
             rows = some[at : min(end, at + step)]
-            out[rows] = by_weights(small[n, 1 : n + 1] + t * log_a[rows][:, None], u[rows])
+            out[rows] = by_weights(logs[c[rows]] + t * log_a[rows][:, None], u[rows])
     step = AT_ONCE // WIDEST
     many = np.flatnonzero(c > EXACT)
     for at in range(0, len(many), step):
