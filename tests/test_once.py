@@ -1,5 +1,7 @@
 """Inputs are worked out once, and sums by machine meet whole."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,6 +36,24 @@ def test_medians_without_a_group_work_their_input_out_once(spark):
     assert seen.value == 300
 
 
+def test_ranks_hold_if_split_points_differ_when_they_are_worked_out_again(spark, monkeypatch):
+    # on a cluster parts of an approximate percentile meet in any order; here its results move at random each time
+    real, moved = F.percentile_approx, F.udf(lambda found: sorted(v + random.uniform(-9, 9) for v in found), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda *args: moved(real(*args)))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.exchange.reuse": "false"}  # the function adds a shuffle, which would be reused
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
+    try:
+        found = ranks.cumulated(ranks.counted(rows, ["k"], "v"), ["k"]).collect()
+        middle = {r["k"]: r["m"] for r in ranks.quantiles(rows, ["k"], "v", {"m": 0.5}).collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert {(r["k"], r["value"]): r["below_n"] for r in found} == {(i % 3, float(i % 1000)): sum(j % 3 == i % 3 and j % 1000 < i % 1000 for j in range(3000)) for i in range(3000)}
+    assert middle == {k: float(np.median([i % 1000 for i in range(3000) if i % 3 == k])) for k in range(3)}
+
+
 def test_sums_of_products_meet_without_a_row_per_product(spark):
     rng = np.random.default_rng(3)
     data = [(f"m{i % 700}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(2800, 2)))]
