@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wearline.operators import contracts, forests, models
+from wearline.plans import queries
 
 COLUMNS = ["a", "b", "c"]
 
@@ -102,10 +103,13 @@ def test_importances_are_those_of_mllib(spark):
     assert all(abs(ours[c] - theirs[c]) < 0.02 for c in COLUMNS)
 
 
-def test_folds_keep_no_nodes_on_the_driver(spark, monkeypatch):
+def test_folds_and_importances_keep_no_nodes_on_the_driver(spark, monkeypatch):
     def refused(*args, **more):
         raise AssertionError("a forest of MLlib")
 
     monkeypatch.setattr(models, "forest", refused)
     made = models.leave_one_out("random_forest", samples(spark, 120), COLUMNS, folds=2, numTrees=5)
     assert made.count() == 120 and made.where("predicted IS NULL").count() == 0
+    few = models.effective_params("random_forest", {"numTrees": 5})
+    monkeypatch.setattr(models, "effective_params", lambda name, overrides=None: few)
+    assert queries.QUERIES["feature_importance"](spark, "/root/testdata/sf0.001").count() == 21
