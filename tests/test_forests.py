@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wearline.operators import contracts, forests, models
+from wearline.operators import contracts, experiments, forests, models
 from wearline.plans import queries
 
 COLUMNS = ["a", "b", "c"]
@@ -113,3 +113,11 @@ def test_folds_and_importances_keep_no_nodes_on_the_driver(spark, monkeypatch):
     few = models.effective_params("random_forest", {"numTrees": 5})
     monkeypatch.setattr(models, "effective_params", lambda name, overrides=None: few)
     assert queries.QUERIES["feature_importance"](spark, "/root/testdata/sf0.001").count() == 21
+
+
+def test_baselines_grow_their_forest_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "forest", None)  # MLlib's
+    rows = samples(spark, 120).withColumns({"condition": F.lit(1), "observed_age_seconds": F.col("a"), "cut_file_index": F.col("file_index")})
+    preset = {"model": "random_forest", "params": {"numTrees": 4, "minInstancesPerNode": 3, "featureSubsetStrategy": "all"}}
+    got = {r["model"]: r["mean_rmse"] for r in experiments.baselines(rows, features=COLUMNS, folds=2, presets=[preset]).collect()}
+    assert set(got) == {"median", "condition_life_prior", "random_forest"} and got["random_forest"] < got["median"]
